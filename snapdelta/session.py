@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators count on. Partition numbers are left to the cluster.
 SETTINGS = {
@@ -26,6 +27,9 @@ def tuned(builder):
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="snapdelta-")
+        spark.sparkContext.setCheckpointDir(base)
     if not base:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     return base.rstrip("/")
@@ -35,3 +39,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; nothing is created until something is written."""
     app = spark.sparkContext.applicationId
     return f"{shared_dir(spark)}/snapdelta/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back, for plans that use them again.
+
+    Later steps start from files that outlive any executor, and read only the columns they need.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
