@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # Fixed names: modules with QUERIES and ORACLES.
-_MODULES = ("documents", "ledger")
+_MODULES = ("documents", "ledger", "push", "checks", "pulls")
 
 
 def _merged(attribute: str) -> dict:

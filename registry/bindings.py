@@ -144,8 +144,12 @@ CONNECTOR = "concat('c', cast(user_id % 20 as string))"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.selectExpr(
+    return runs_of(table(spark, sf_dir, "events"))
+
+
+def runs_of(events: DataFrame) -> DataFrame:
+    """The run ledger out of events, in a table or a stream."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).selectExpr(
         "cast(event_id as string) as run_id",
         f"{CONNECTOR} as connector_id",
         "case event_type when 'error' then 'FAILED' when 'view' then 'RUNNING' else 'SUCCESS' end as status",
@@ -178,22 +182,22 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spec rows, one per customer nation: some without a name, some twice under one name."""
-    nation = table(spark, sf_dir, "nation")
-    name = F.when(F.col("n_nationkey") % 9 != 8, F.concat(F.lit("c"), (F.col("n_nationkey") % 22).cast("string")))
-    mode = F.when(F.col("n_nationkey") % 2 == 0, "sql_pull").otherwise("rest_push")
+    """Spec rows, one per customer: some without a name, many under one name."""
+    customer = table(spark, sf_dir, "customer")
+    name = F.when(F.col("c_custkey") % 9 != 8, F.concat(F.lit("c"), (F.col("c_custkey") % 22).cast("string")))
+    mode = F.when(F.col("c_custkey") % 2 == 0, "sql_pull").otherwise("rest_push")
     body = F.to_json(
         F.struct(
             F.struct(name.alias("name")).alias("metadata"),
             F.struct(
                 mode.alias("mode"),
-                F.concat(F.lit("0 "), "n_nationkey", F.lit(" * * *")).alias("schedule"),
-                F.struct(F.lower("n_name").alias("type")).alias("source"),
+                F.concat(F.lit("0 "), "c_custkey", F.lit(" * * *")).alias("schedule"),
+                F.struct(F.lower("c_mktsegment").alias("type")).alias("source"),
             ).alias("spec"),
         )
     )
-    path = F.concat(F.lit("connectors/"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.lit(".yaml"))
-    return nation.select(path.alias("path"), body.alias("body"))
+    path = F.concat(F.lit("connectors/"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"), F.lit(".yaml"))
+    return customer.select(path.alias("path"), body.alias("body"))
 
 
 SQL_RUNS = """
@@ -220,11 +224,11 @@ batches AS (
 """
 SQL_CATALOG = """
 specs AS (
-  SELECT 'connectors/' || lpad(n_nationkey::VARCHAR, 3, '0') || '.yaml' AS path,
-         CASE WHEN n_nationkey % 9 <> 8 THEN 'c' || (n_nationkey % 22) END AS connector_id,
-         CASE WHEN n_nationkey % 2 = 0 THEN 'sql_pull' ELSE 'rest_push' END AS mode,
-         '0 ' || n_nationkey || ' * * *' AS schedule, lower(n_name) AS source_type
-  FROM nation),
+  SELECT 'connectors/' || lpad(c_custkey::VARCHAR, 12, '0') || '.yaml' AS path,
+         CASE WHEN c_custkey % 9 <> 8 THEN 'c' || (c_custkey % 22) END AS connector_id,
+         CASE WHEN c_custkey % 2 = 0 THEN 'sql_pull' ELSE 'rest_push' END AS mode,
+         '0 ' || c_custkey || ' * * *' AS schedule, lower(c_mktsegment) AS source_type
+  FROM customer),
 catalog AS (
   SELECT connector_id, min(path) AS path, arg_max(mode, path) AS mode, arg_max(schedule, path) AS schedule,
          arg_max(source_type, path) AS source_type

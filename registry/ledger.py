@@ -1,4 +1,4 @@
-"""Run ledger, checkpoints, catalog and dashboards over ``events`` and ``nation``."""
+"""Run ledger, checkpoints, catalog and dashboards over ``events``, ``customer`` and ``supplier``."""
 
 from __future__ import annotations
 
@@ -57,17 +57,17 @@ def _catalog(spark, d):
 
 
 def _jobs(spark, d):
-    """Schedule jobs out of the regions' nations: by name, by path, some disabled, some shadowed."""
-    nation = table(spark, d, "nation")
-    number = (F.col("n_nationkey") * 7 % 25).cast("string")
-    return nation.select(
-        F.col("n_nationkey").alias("position"),
-        F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("c"), number)).otherwise("other").alias("name"),
-        F.when(F.col("n_nationkey") % 4 != 0, F.concat(F.lit("connectors/c"), number, F.lit(".yaml")))
+    """Schedule jobs, one per supplier: by name, by path, some disabled, many shadowed."""
+    supplier = table(spark, d, "supplier")
+    number = (F.col("s_suppkey") * 7 % 25).cast("string")
+    return supplier.select(
+        F.col("s_suppkey").alias("position"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("c"), number)).otherwise("other").alias("name"),
+        F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("connectors/c"), number, F.lit(".yaml")))
         .otherwise("elsewhere.yaml")
         .alias("connector_path"),
-        F.when(F.col("n_nationkey") % 5 != 0, F.concat(F.lit("job "), "n_nationkey")).alias("schedule"),
-        (F.col("n_nationkey") % 2 == 0).alias("enabled"),
+        F.when(F.col("s_suppkey") % 5 != 0, F.concat(F.lit("job "), "s_suppkey")).alias("schedule"),
+        (F.col("s_suppkey") % 2 == 0).alias("enabled"),
     )
 
 
@@ -236,12 +236,12 @@ _LATEST = """latest AS (SELECT * FROM runs QUALIFY row_number() OVER (
 _IDS = """ids AS (SELECT connector_id FROM catalog UNION SELECT connector_id FROM runs UNION
     SELECT connector_id FROM checkpoints UNION SELECT connector_id FROM batches WHERE status = 'PENDING')"""
 _WAITING = """waiting AS (SELECT connector_id, count(*) AS n FROM batches WHERE status = 'PENDING' GROUP BY 1)"""
-_JOBS = """jobs AS (SELECT n_nationkey AS position,
-    CASE WHEN n_nationkey % 3 = 0 THEN 'c' || (n_nationkey * 7 % 25) ELSE 'other' END AS name,
-    CASE WHEN n_nationkey % 4 <> 0 THEN 'connectors/c' || (n_nationkey * 7 % 25) || '.yaml' ELSE 'elsewhere.yaml' END
+_JOBS = """jobs AS (SELECT s_suppkey AS position,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'c' || (s_suppkey * 7 % 25) ELSE 'other' END AS name,
+    CASE WHEN s_suppkey % 4 <> 0 THEN 'connectors/c' || (s_suppkey * 7 % 25) || '.yaml' ELSE 'elsewhere.yaml' END
       AS connector_path,
-    CASE WHEN n_nationkey % 5 <> 0 THEN 'job ' || n_nationkey END AS schedule, n_nationkey % 2 = 0 AS enabled
-  FROM nation)"""
+    CASE WHEN s_suppkey % 5 <> 0 THEN 'job ' || s_suppkey END AS schedule, s_suppkey % 2 = 0 AS enabled
+  FROM supplier)"""
 _REPORT = f"""{_LEDGER}, {_LATEST}, {_JOBS},
   matched AS (SELECT c.connector_id, arg_min(struct_pack(s := j.schedule, e := j.enabled), j.position) AS job
     FROM catalog c JOIN jobs j ON j.name = c.connector_id OR j.connector_path = 'connectors/' || c.connector_id || '.yaml'
