@@ -17,7 +17,7 @@ from registry.bindings import (
     sql_shown,
     table,
 )
-from snapdelta.operators.diff import canonical_order, changed_keys, concat_delta, delta_counts, diff
+from snapdelta.operators.diff import canonical_order, changed_keys, concat_delta, delta_counts, delta_of, diff
 from snapdelta.operators.envelope import canonical_json, index_envelope, index_line
 from snapdelta.operators.gates import duplicate_ids, flag_unsafe, pattern_scan, split_ops
 from snapdelta.operators.normalize import Mapping, acl, normalize
@@ -31,10 +31,16 @@ COPY_MAPPING = Mapping(id_field="text", title_field="lang", content_template="{{
 PATTERNS = ["@", "http", "Licen", "password", "key", "0x", "AKIA"]
 
 
-def _delta(spark, sf_dir, policy="auto_delete_missing"):
+def _one_join(spark, sf_dir, policy="auto_delete_missing"):
     return diff(snapshot(spark, sf_dir), prior_state(spark, sf_dir), "docs", policy, NOW)
 
 
+def _delta(spark, sf_dir, policy="auto_delete_missing"):
+    """The delta as a run finds it: changed keys first, then the documents of those."""
+    changes = settled(changed_keys(snapshot(spark, sf_dir), prior_state(spark, sf_dir), policy), "changes")
+    return delta_of(document_rows(spark, sf_dir), changes, DOC_MAPPING, "docs", "changed_at", policy, NOW)
+
+
 def _halves(spark, sf_dir, policy="auto_delete_missing"):
     """Upserts and deletes of a delta that is computed once, as a run does."""
     return split_ops(settled(_delta(spark, sf_dir, policy), "delta"))
@@ -101,6 +107,8 @@ QUERIES = {
     "snapshot_diff_auto": lambda spark, d: shown_docs(_delta(spark, d)),
     "snapshot_diff_soft": lambda spark, d: shown_docs(_delta(spark, d, "soft_delete_only")),
     "snapshot_diff_never": lambda spark, d: shown_docs(_delta(spark, d, "never_delete")),
+    "snapshot_diff_one_join": lambda spark, d: shown_docs(_one_join(spark, d)),
+    "snapshot_diff_one_join_never": lambda spark, d: shown_docs(_one_join(spark, d, "never_delete")),
     "changed_keys": lambda spark, d: changed_keys(snapshot(spark, d), prior_state(spark, d)).select("doc_id", "change"),
     "apply_state": _apply_state,
     "apply_delta_target": _apply_delta,
@@ -150,6 +158,8 @@ ORACLES = {
     "snapshot_diff_auto": f"{_AUTO} {sql_shown('delta')}",
     "snapshot_diff_soft": f"WITH {SQL_DOCS}, {sql_delta('soft_delete_only')} {sql_shown('delta')}",
     "snapshot_diff_never": f"WITH {SQL_DOCS}, {sql_delta('never_delete')} {sql_shown('delta')}",
+    "snapshot_diff_one_join": f"{_AUTO} {sql_shown('delta')}",
+    "snapshot_diff_one_join_never": f"WITH {SQL_DOCS}, {sql_delta('never_delete')} {sql_shown('delta')}",
     "changed_keys": f"""WITH {SQL_DOCS} SELECT coalesce(d.doc_id, s.doc_id) AS doc_id,
         CASE WHEN s.doc_id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'missing' ELSE 'changed' END AS change
         FROM docs d FULL JOIN state s ON d.doc_id = s.doc_id

@@ -151,7 +151,7 @@ def has_ink(column: Column) -> Column:
 
 def base64_line(column: Column) -> Column:
     """Base64 of the UTF-8 bytes on one line."""
-    return F.regexp_replace(F.base64(F.encode(column, "UTF-8")), "[\r\n]", "")
+    return F.replace(F.base64(F.encode(column, "UTF-8")), F.lit("\r\n"), F.lit(""))
 
 
 def index_id(column: Column) -> Column:

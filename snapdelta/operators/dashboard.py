@@ -50,9 +50,8 @@ def freshness_stats(run_events: DataFrame, now: datetime | str) -> DataFrame:
     ages = run_events.where("status = 'SUCCESS' and finished_at is not null").select(
         "connector_id", whole_seconds(utc(now), F.col("finished_at")).alias("lag_seconds")
     )
-    mean = ages.groupBy("connector_id").agg(F.avg("lag_seconds").alias("avg_lag_seconds"))
-    high = exact_percentile(ages, ["connector_id"], "lag_seconds", 0.95, "p95_lag_seconds")
-    return mean.join(high, "connector_id").select("connector_id", "avg_lag_seconds", "p95_lag_seconds")
+    found = exact_percentile(ages, ["connector_id"], "lag_seconds", 0.95, "p95_lag_seconds", "avg_lag_seconds")
+    return found.select("connector_id", "avg_lag_seconds", "p95_lag_seconds")
 
 
 def duration_stats(runs: DataFrame) -> DataFrame:
@@ -60,6 +59,4 @@ def duration_stats(runs: DataFrame) -> DataFrame:
     times = runs.where("finished_at is not null").select(
         "connector_id", whole_seconds(F.col("finished_at"), F.col("started_at")).alias("seconds")
     )
-    mean = times.groupBy("connector_id").agg(F.avg("seconds").alias("avg_seconds"))
-    high = exact_percentile(times, ["connector_id"], "seconds", 0.95, "p95_seconds")
-    return mean.join(high, "connector_id").select("connector_id", "rows", "avg_seconds", "p95_seconds")
+    return exact_percentile(times, ["connector_id"], "seconds", 0.95, "p95_seconds", "avg_seconds")

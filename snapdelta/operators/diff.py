@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.functions.text import instant, sha256_text, utc
-from snapdelta.operators.normalize import DOC_COLUMNS, json_text
+from snapdelta.operators.normalize import DOC_COLUMNS, Mapping, changed_rows, json_text, normalize
 
 DELETE_POLICIES = ("auto_delete_missing", "soft_delete_only", "never_delete")
 
@@ -66,6 +66,26 @@ def tombstones(missing: DataFrame, connector_id: str, policy: str, run_ts: datet
     return missing.select(*[columns[name].alias(name) for name in DOC_COLUMNS])
 
 
+def delta_of(
+    rows: DataFrame,
+    changes: DataFrame,
+    mapping: Mapping,
+    connector_id: str,
+    watermark_field: str | None,
+    policy: str = "auto_delete_missing",
+    run_ts: datetime | str = "1970-01-01",
+) -> DataFrame:
+    """Delta for the keys found by ``changed_keys``: documents of their rows, and tombstones.
+
+    Give ``changes`` as a written table. Its size is then known: few changes are broadcast to the
+    scan of the source rows, so unchanged rows go no further than that; many changes shuffle on
+    the id.
+    """
+    live = changed_rows(rows, changes.where("change <> 'missing'"), mapping, connector_id)
+    upserts = normalize(live, mapping, connector_id, watermark_field, run_ts)
+    return upserts.unionByName(tombstones(changes.where("change = 'missing'"), connector_id, policy, run_ts))
+
+
 def diff(
     docs: DataFrame,
     state: DataFrame,
@@ -73,11 +93,11 @@ def diff(
     policy: str = "auto_delete_missing",
     run_ts: datetime | str = "1970-01-01",
 ) -> DataFrame:
-    """Delta of a snapshot against the state: upserts, and tombstones as the policy asks.
+    """Delta of a snapshot against the state in one plan, for narrow documents.
 
-    One join finds both: documents and the state's narrow columns shuffle once on ``doc_id``. For
-    wide documents ``plans.run`` joins keys only and fetches the changed rows in a second step, so
-    that content is not shuffled at all.
+    One join finds upserts and missing keys; documents and the state's narrow columns shuffle once
+    on ``doc_id``. Where content is wide, ``changed_keys``, a written table and ``delta_of`` give the
+    same delta without shuffling content.
     """
     _check(policy)
     known = state.select("doc_id", F.col("checksum").alias("old_sum"), "source_updated_at")

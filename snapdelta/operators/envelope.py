@@ -14,9 +14,9 @@ def shown_content(content: str = "content", title: str = "title", key: str = "do
     return F.when(has_ink(F.col(content)), F.col(content)).when(has_ink(F.col(title)), F.col(title)).otherwise(F.col(key))
 
 
-def index_envelope(docs: DataFrame) -> DataFrame:
-    """``id``, ``struct_data`` (JSON text), ``mime_type`` and ``raw_bytes`` (base64) per document."""
-    facts = F.struct(
+def _struct_data() -> Column:
+    """What the index keeps beside the content, keys in order."""
+    return F.struct(
         "acl_groups",
         "acl_users",
         "checksum",
@@ -26,9 +26,13 @@ def index_envelope(docs: DataFrame) -> DataFrame:
         iso_text(F.col("updated_at")).alias("updated_at"),
         "uri",
     )
+
+
+def index_envelope(docs: DataFrame) -> DataFrame:
+    """``id``, ``struct_data`` (JSON text), ``mime_type`` and ``raw_bytes`` (base64) per document."""
     return docs.select(
         index_id(F.col("doc_id")).alias("id"),
-        json_text(facts).alias("struct_data"),
+        json_text(_struct_data()).alias("struct_data"),
         "mime_type",
         base64_line(shown_content()).alias("raw_bytes"),
     )
@@ -36,9 +40,11 @@ def index_envelope(docs: DataFrame) -> DataFrame:
 
 def index_line(docs: DataFrame) -> DataFrame:
     """One JSON line per document as the index imports it."""
-    content = F.struct(F.col("mime_type").alias("mimeType"), F.col("raw_bytes").alias("rawBytes"))
-    envelope = F.struct(content.alias("content"), "id", F.parse_json("struct_data").alias("structData"))
-    return index_envelope(docs).select(json_text(envelope).alias("value"))
+    content = F.struct(F.col("mime_type").alias("mimeType"), base64_line(shown_content()).alias("rawBytes"))
+    envelope = F.struct(
+        content.alias("content"), index_id(F.col("doc_id")).alias("id"), _struct_data().alias("structData")
+    )
+    return docs.select(json_text(envelope).alias("value"))
 
 
 def canonical_json(docs: DataFrame) -> DataFrame:

@@ -156,7 +156,7 @@ def normalize(
 
 
 def changed_rows(df: DataFrame, changed: DataFrame, mapping: Mapping, connector_id: str) -> DataFrame:
-    """Source rows whose document id is among ``changed.doc_id``."""
+    """Source rows whose document id is among ``changed.doc_id``; the join sits right on the source."""
     _require(df, mapping)
     key = doc_id(df, mapping, connector_id)
     return df.join(changed.select(F.col("doc_id").alias("_changed_id")), key == F.col("_changed_id"), "left_semi")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def exact_percentile(df: DataFrame, keys: list[str], value: str, share: float, name: str, span: int = 3_600) -> DataFrame:
-    """``keys``, ``rows`` and the interpolated percentile ``name`` of a whole-number column.
+def exact_percentile(
+    df: DataFrame, keys: list[str], value: str, share: float, name: str, mean: str, span: int = 3_600
+) -> DataFrame:
+    """``keys``, ``rows``, the mean and the interpolated percentile ``name`` of a whole-number column.
 
     Equal values are counted before any shuffle. Cumulated counts over stretches of ``span`` values
     tell which stretch holds the two ranks in question; only those stretches are looked at value by
@@ -18,14 +20,16 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, share: float, n
         F.count(F.lit(1)).alias("n")
     )
     counts = counts.withColumn("stretch", F.floor(F.col("v") / span))
-    stretches = counts.groupBy(*keys, "stretch").agg(F.sum("n").alias("n"))
-    upward = Window.partitionBy(*keys).orderBy("stretch")
+    weighted = F.sum(F.col("v") * F.col("n")).alias("weight")
+    stretches = counts.groupBy(*keys, "stretch").agg(F.sum("n").alias("n"), weighted)
+    upward, whole = Window.partitionBy(*keys).orderBy("stretch"), Window.partitionBy(*keys)
     totals = stretches.select(
         *keys,
         "stretch",
         (F.sum("n").over(upward) - F.col("n")).alias("before"),
         F.sum("n").over(upward).alias("upto"),
-        F.sum("n").over(Window.partitionBy(*keys)).alias("rows"),
+        F.sum("n").over(whole).alias("rows"),
+        F.sum("weight").over(whole).alias("weight"),
     )
     place = F.lit(share) * (F.col("rows") - 1)
     wanted = totals.withColumn("low", F.floor(place)).withColumn("high", F.ceil(place)).withColumn("part", place - F.floor(place))
@@ -41,9 +45,11 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, share: float, n
     ranked = fine.withColumn("end", F.col("before") + F.sum("n").over(inner)).withColumn("first", F.col("end") - F.col("n"))
     picked = ranked.groupBy(*keys).agg(
         F.max("rows").alias("rows"),
+        F.max("weight").alias("weight"),
         F.max("part").alias("part"),
         F.max(F.when(within("low", F.col("first"), F.col("end")), F.col("v"))).alias("lo"),
         F.max(F.when(within("high", F.col("first"), F.col("end")), F.col("v"))).alias("hi"),
     )
     middle = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
-    return picked.select(*keys, "rows", middle.cast("double").alias(name))
+    average = F.col("weight") / F.col("rows")
+    return picked.select(*keys, "rows", average.alias(mean), middle.cast("double").alias(name))

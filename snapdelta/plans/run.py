@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from snapdelta.functions.template import _SLOT
 from snapdelta.functions.text import field_type, has_field, mark_text, ref
-from snapdelta.operators.diff import changed_keys, tombstones
+from snapdelta.operators.diff import changed_keys, delta_of
 from snapdelta.operators.gates import GateError, flag_unsafe, require_unique, split_ops
-from snapdelta.operators.normalize import DOC_COLUMNS, changed_rows, normalize
+from snapdelta.operators.normalize import DOC_COLUMNS, normalize
 from snapdelta.operators.queue import next_pending_batch
 from snapdelta.operators.state import last_per_document
 from snapdelta.plans.publish import Manifest, publish, publish_csv
-from snapdelta.plans.store import Commit, Store
+from snapdelta.plans.store import Commit, Store, settle
 from snapdelta.sources.csvfiles import build_checkpoint, csv_pull, file_listing, file_manifest_hash, row_mark
 from snapdelta.sources.pages import PageError, item_rows, json_pages, missing_fields, page_gaps, read_pages
 from snapdelta.sources.sql import high_water_mark, jdbc_pull, sql_pull
@@ -84,13 +84,14 @@ def _extract(
     return csv_pull(spark, source.path, source.glob, source.csv)
 
 
-def _new_mark(store: Store, connector: Connector, marks: DataFrame, previous: str | None) -> str | None:
+def _new_mark(store: Store, connector: Connector, rows_mark: str | None, previous: str | None) -> str | None:
+    """The mark to commit, from the greatest mark among the rows of this run."""
     if connector.mode != "file_pull":
-        return high_water_mark(marks, "mark", previous).first()["watermark"]
+        return previous if rows_mark is None else rows_mark
     source = connector.source
     files = file_listing(store.spark, source.path, source.glob)
     manifest = file_manifest_hash(files).first()
-    mark = high_water_mark(marks, "mark", row_mark(previous)).first()["watermark"]
+    mark = row_mark(previous) if rows_mark is None else rows_mark
     return build_checkpoint(mark, manifest["rows"], files.agg(F.max("mtime")).first()[0], manifest["digest"])
 
 
@@ -100,8 +101,10 @@ def _mark_column(rows: DataFrame, field: str | None):
     return mark_text(ref(field), field_type(rows, field))
 
 
-def _pull_delta(store: Store, connector: Connector, rows: DataFrame, at: Commit, run_id: str, run_ts: datetime) -> tuple[str, DataFrame]:
-    """Write the delta of a pull; returns its path and the staged keys.
+def _pull_delta(
+    store: Store, connector: Connector, rows: DataFrame, at: Commit, run_id: str, run_ts: datetime
+) -> tuple[str, str | None]:
+    """Write the delta of a pull; returns its path and the greatest mark of the rows.
 
     First pass over the source: id, checksum, unsafe flag and mark of every row, written narrow. The
     gates, the mark and the diff read that table only. Second pass: documents of changed ids, which
@@ -112,36 +115,32 @@ def _pull_delta(store: Store, connector: Connector, rows: DataFrame, at: Commit,
     staged = store.staging(run_id)
     marked = rows.withColumn("_mark", _mark_column(rows, field))
     documents = flag_unsafe(normalize(marked, mapping, name, field, run_ts, keep=("_mark",)))
-    keys = documents.select("doc_id", "checksum", "unsafe", F.col("_mark").alias("mark"))
-    keys.write.mode("overwrite").parquet(f"{staged}/keys")
-    keys = spark.read.parquet(f"{staged}/keys")
-    if keys.where("unsafe").limit(1).count():
+    keys = settle(documents.select("doc_id", "checksum", "unsafe", "_mark"), f"{staged}/keys")
+    seen = keys.agg(F.count_if("unsafe").alias("unsafe"), F.max("_mark").alias("mark")).first()
+    if seen["unsafe"]:
         raise GateError("unsafe marker detected in document content")
     require_unique(keys)
 
-    changes = changed_keys(keys, store.state(name, at), connector.delete_policy)
-    changes.write.mode("overwrite").parquet(f"{staged}/changes")
-    changes = spark.read.parquet(f"{staged}/changes")
-    live, missing = changes.where("change <> 'missing'"), changes.where("change = 'missing'")
-    _check_delete_ratio(store, connector, missing, at)
+    changes = settle(changed_keys(keys, store.state(name, at), connector.delete_policy), f"{staged}/changes")
+    kinds = {row["change"]: row["count"] for row in changes.groupBy("change").count().collect()}
+    _check_delete_ratio(store, connector, kinds.get("missing", 0), at)
 
-    fresh = normalize(changed_rows(rows, live, mapping, name), mapping, name, field, run_ts)
-    delta = fresh.unionByName(tombstones(missing, name, connector.delete_policy, run_ts))
+    delta = delta_of(rows, changes, mapping, name, field, connector.delete_policy, run_ts)
     path = store.delta_path(name, run_id)
     delta.write.mode("overwrite").partitionBy("op").parquet(path)
     written = store.read_documents(path).where("op <> 'DELETE'").count()
-    if written != live.count():
-        raise SourceChanged(f"{written} documents written for {live.count()} changed ids")
-    return path, keys
+    expected = kinds.get("new", 0) + kinds.get("changed", 0)
+    if written != expected:
+        raise SourceChanged(f"{written} documents written for {expected} changed ids")
+    return path, seen["mark"]
 
 
-def _check_delete_ratio(store: Store, connector: Connector, missing: DataFrame, at: Commit) -> None:
+def _check_delete_ratio(store: Store, connector: Connector, gone: int, at: Commit) -> None:
     """Optional guard against an empty or partial snapshot deleting everything."""
-    if connector.max_delete_ratio is None:
+    if connector.max_delete_ratio is None or not gone:
         return
     known = store.state(connector.name, at).count()
-    gone = missing.count()
-    if known and gone / known > connector.max_delete_ratio:
+    if gone / known > connector.max_delete_ratio:
         raise GateError(f"{gone} of {known} documents would be deleted")
 
 
@@ -219,8 +218,8 @@ def _run(store, connector, run_id, run_ts, push_run_id, connection, index_step,
         rows = _extract(store, connector, at.watermark, run_id, connection)
         if connector.output.format == "csv":
             return _export(store, connector, rows, at, run_id, run_ts, clock)
-        path, marks = _pull_delta(store, connector, rows, at, run_id, run_ts)
-        mark = _new_mark(store, connector, marks, at.watermark)
+        path, rows_mark = _pull_delta(store, connector, rows, at, run_id, run_ts)
+        mark = _new_mark(store, connector, rows_mark, at.watermark)
 
     delta = store.read_documents(path)
     manifest = publish(delta, connector.output, connector.name, run_id, mark, run_ts, clock())

@@ -38,6 +38,12 @@ QUEUE_EVENT_SCHEMA = "run_id string, connector_id string, pos int, created_at ti
 KEY_SCHEMA = "key string, connector_id string, request_hash string, response_json string, created_at timestamp"
 
 
+def settle(df: DataFrame, path: str) -> DataFrame:
+    """Write the rows and read them back, so that what follows starts from files."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Commit:
     """Everything in force for a connector after a run."""

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from snapdelta.operators.gates import flag_rejects, validate_documents
 from snapdelta.operators.normalize import DOC_COLUMNS
 from snapdelta.operators.queue import classify_requests
-from snapdelta.plans.store import Store
+from snapdelta.plans.store import Store, settle
 from snapdelta.sources.push import parse_requests, push_events
 
 # Columns of a request row, in tables and in streams.
@@ -32,25 +32,21 @@ def intake_batch(store: Store, requests: DataFrame, batch_id: int) -> None:
 
     known = store.keys().where(F.col("batch_id") != batch_id)
     asked = requests.where("key <> ''").select("key")
-    relevant = known.join(asked, "key", "left_semi")
-    classified = classify_requests(parse_requests(requests), relevant)
-    run_id = F.md5("key")
+    narrow = ("request_id", "key", "connector_id", "received_at", "request_hash", "body_error")
     staged = f"{store.root}/push/staging/batch_id={batch_id}"
-    classified.select(
-        "request_id", "key", "connector_id", "received_at", "request_hash", "outcome", run_id.alias("run_id"),
-        F.when(F.col("outcome") == "original", F.col("body")).alias("body"), "content_type",
-    ).write.mode("overwrite").parquet(staged)
-    taken = spark.read.parquet(staged)
+    parsed = settle(parse_requests(requests).select(*narrow), f"{staged}-parsed")
+    outcomes = classify_requests(parsed, known.join(asked, "key", "left_semi"))
+    taken = settle(outcomes.withColumn("run_id", F.md5("key")), f"{staged}-taken")
     originals = taken.where("outcome = 'original'")
-
-    events = push_events(
-        parse_requests(originals.drop("request_hash")), ("run_id", "connector_id", "received_at")
+    bodies = requests.select("request_id", "content_type", "body").join(
+        originals.select("request_id", "run_id", "connector_id", "received_at"), "request_id"
     )
-    flagged = flag_rejects(validate_documents(events))
-    flagged.select(
+
+    events = push_events(parse_requests(bodies), ("run_id", "connector_id", "received_at"))
+    flagged = flag_rejects(validate_documents(events)).select(
         "run_id", "connector_id", "pos", F.col("received_at").alias("created_at"), "accepted", *DOC_COLUMNS
-    ).write.mode("overwrite").parquet(f"{staged}-events")
-    checked = spark.read.parquet(f"{staged}-events")
+    )
+    checked = settle(flagged, f"{staged}-checked")
     checked.where("accepted").drop("accepted").write.mode("overwrite").parquet(place("events"))
 
     counts = checked.groupBy("run_id").agg(
@@ -84,7 +80,7 @@ def intake_batch(store: Store, requests: DataFrame, batch_id: int) -> None:
     earlier = store.keys().where(F.col("batch_id") != batch_id).join(asked, "key", "left_semi")
     responses = earlier.select("key", "response_json").unionByName(fresh)
     known_answer = F.when(F.col("outcome").isin("original", "replay"), F.col("response_json"))
-    taken.drop("body", "content_type").join(responses, "key", "left").select(
+    taken.join(responses, "key", "left").select(
         "request_id", "key", "outcome", known_answer.alias("response_json")
     ).write.mode("overwrite").parquet(place("responses"))
 
