@@ -74,7 +74,8 @@ def double_text(column: Column) -> Column:
     mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
     power = F.substring_index(text, "E", -1)
     sign = F.when(power.startswith("-"), "-").otherwise("+")
-    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.ltrim(power, F.lit("-")), 2, "0"))
+    digits = F.ltrim(power, F.lit("-"))
+    scientific = F.concat(mantissa, F.lit("e"), sign, F.when(F.length(digits) < 2, "0").otherwise(""), digits)
     return (
         F.when(F.isnan(x), "nan")
         .when(x == float("inf"), "inf")

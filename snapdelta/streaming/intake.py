@@ -12,7 +12,8 @@ from snapdelta.operators.queue import classify_requests
 from snapdelta.plans.store import Store, settle
 from snapdelta.sources.push import parse_requests, push_events
 
-# Columns of a request row, in tables and in streams.
+# Columns of a request row, in tables and in streams. ``request_id`` is unique, for instance the
+# partition and offset under which the request arrived.
 REQUEST_SCHEMA = (
     "request_id string, key string, connector_id string, received_at timestamp, content_type string, body string"
 )
@@ -31,7 +32,7 @@ def intake_batch(store: Store, requests: DataFrame, batch_id: int) -> None:
         return f"{store.root}/push/{table}/batch_id={batch_id}"
 
     known = store.keys().where(F.col("batch_id") != batch_id)
-    asked = requests.where("key <> ''").select("key")
+    asked = requests.where("key <> ''").select("key").distinct()
     narrow = ("request_id", "key", "connector_id", "received_at", "request_hash", "body_error")
     staged = f"{store.root}/push/staging/batch_id={batch_id}"
     parsed = settle(parse_requests(requests).select(*narrow), f"{staged}-parsed")
