@@ -37,10 +37,39 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def _shared_part(a: str, b: str) -> str:
+    """The longest text that occurs in both."""
+    for size in range(min(len(a), len(b)), 0, -1):
+        for start in range(len(a) - size + 1):
+            if a[start : start + size] in b:
+                return a[start : start + size]
+    return ""
+
+
+def needles(markers: tuple[str, ...], least: int = 5) -> list[str]:
+    """Fewer, shorter texts of which every marker contains one; a text without them has no marker."""
+    found = list(dict.fromkeys(markers))
+    while len(found) > 1:
+        pairs = [(a, b) for i, a in enumerate(found) for b in found[i + 1 :]]
+        part, pair = max(((_shared_part(a, b), (a, b)) for a, b in pairs), key=lambda x: len(x[0]))
+        if len(part) < least:
+            break
+        found = [part] + [text for text in found if text not in pair]
+    return found
+
+
 def flag_unsafe(df: DataFrame, columns: tuple[str, ...] = ("title", "content"), markers=UNSAFE_MARKERS) -> DataFrame:
-    """Adds ``unsafe``: any marker inside any of the columns, whatever the case."""
+    """Adds ``unsafe``: any marker inside any of the columns, whatever the case.
+
+    Texts are lowered once. Most are cleared by the few needles; only the others are searched for
+    every marker.
+    """
     texts = F.array(*[F.lower(F.coalesce(F.col(name), F.lit(""))) for name in columns])
-    return df.withColumn("unsafe", F.exists(texts, lambda text: _any([F.contains(text, F.lit(m)) for m in markers])))
+
+    def holds(text: Column, parts) -> Column:
+        return _any([F.contains(text, F.lit(part)) for part in parts])
+
+    return df.withColumn("unsafe", F.exists(texts, lambda text: holds(text, needles(markers)) & holds(text, markers)))
 
 
 def require_clean(df: DataFrame, columns: tuple[str, ...] = ("title", "content"), markers=UNSAFE_MARKERS) -> None:

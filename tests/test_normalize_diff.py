@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 
 from snapdelta.operators.diff import canonical_order, changed_keys, delta_counts, delta_of, diff
 from snapdelta.operators.envelope import canonical_json, index_envelope, index_line
-from snapdelta.operators.gates import GateError, duplicate_ids, flag_unsafe, pattern_scan, require_clean, require_unique, split_ops
+from snapdelta.operators.gates import (
+    UNSAFE_MARKERS,
+    GateError,
+    duplicate_ids,
+    flag_unsafe,
+    needles,
+    pattern_scan,
+    require_clean,
+    require_unique,
+    split_ops,
+)
 from snapdelta.operators.normalize import DOC_SCHEMA, Mapping, NormalizationError, normalize
 from snapdelta.operators.replay import delta_diff, replay_digest, replay_tree_digest
 from snapdelta.operators.state import STATE_SCHEMA, apply_delta, apply_state
@@ -188,6 +198,15 @@ def test_gates(spark):
     require_unique(clean)
 
 
+def test_every_marker_is_found(spark):
+    parts = needles(UNSAFE_MARKERS)
+    assert len(parts) == 4 and all(any(part in marker for part in parts) for marker in UNSAFE_MARKERS)
+    assert needles(("abc", "xyz")) == ["abc", "xyz"] and needles(("one two", "one two")) == ["one two"]
+    texts = [f"before {marker.upper()} after" for marker in UNSAFE_MARKERS] + ["instructions, script and prompt"]
+    df = spark.createDataFrame([("t", text) for text in texts], "title string, content string")
+    assert sorted(r["unsafe"] for r in flag_unsafe(df).collect()) == [False] + [True] * len(UNSAFE_MARKERS)
+
+
 def test_pattern_scan_takes_the_first_listed_and_skips_undecodable(spark):
     rows = [("a", b"x key http"), ("b", b"\xff\xfe key"), ("c", b"nothing")]
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "doc_id string, content binary")
