@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from registry.bindings import NOW, SQL_BATCHES, batches, table
 from registry.ledger import shown
-from snapdelta.functions.text import utc
 from snapdelta.operators.gates import flag_rejects, split_accept_reject, validate_documents
 from snapdelta.operators.queue import classify_requests, mark_processed, next_pending_batch, request_counts
 from snapdelta.plans.store import Store
@@ -135,7 +134,8 @@ def validated(spark, d):
 
 
 def accept_reject(spark, d):
-    accepted, rejected = split_accept_reject(_valid(spark, d))
+    flagged = flag_rejects(_valid(spark, d)).select("n", "reason", "accepted")
+    accepted, rejected = split_accept_reject(settled(flagged, "flagged"))
     return accepted.select("n", F.lit("accepted").alias("part"), "reason").unionByName(
         rejected.select("n", F.lit("rejected").alias("part"), "reason")
     )

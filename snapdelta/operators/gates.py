@@ -178,9 +178,8 @@ def flag_rejects(validated: DataFrame) -> DataFrame:
     return flagged.withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull()).drop("unsafe")
 
 
-def split_accept_reject(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted documents and rejected events."""
-    flagged = flag_rejects(validated)
+def split_accept_reject(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted documents and rejected events; give a written table, since both halves read it."""
     return flagged.where("accepted"), flagged.where("not accepted")
 
 

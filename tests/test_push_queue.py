@@ -123,7 +123,7 @@ def test_contract_and_quarantine(spark):
     assert [times[n] for n in range(8)] == [
         1704067200000, 1704067200000, 1704067200000, 1704067200000, 1704067200500, 1704067200000, 1704103200000, 1704099600500
     ]
-    accepted, rejected = split_accept_reject(validate_documents(events))
+    accepted, rejected = split_accept_reject(flagged)
     assert (accepted.count(), rejected.count()) == (8, 16)
     counts = {r["request_id"]: (r["accepted"], r["rejected"]) for r in request_counts(flagged).collect()}
     assert counts == {"q": (4, 8), "r": (4, 8)}
