@@ -19,7 +19,7 @@ from snapdelta.operators.state import last_per_document
 from snapdelta.plans.publish import Manifest, publish, publish_csv
 from snapdelta.plans.store import Commit, Store, settle
 from snapdelta.sources.csvfiles import build_checkpoint, csv_pull, file_listing, file_manifest_hash, row_mark
-from snapdelta.sources.pages import PageError, item_rows, json_pages, missing_fields, page_gaps, read_pages
+from snapdelta.sources.pages import item_rows, json_pages, read_pages
 from snapdelta.sources.sql import high_water_mark, jdbc_pull, sql_pull
 from snapdelta.spec import LAKE, Connector
 
@@ -58,12 +58,9 @@ def _page_rows(spark: SparkSession, connector: Connector) -> DataFrame:
     source, mapping = connector.source, connector.mapping
     items = json_pages(read_pages(spark, source.path))
     needed = _template_fields(connector)
-    lacking = missing_fields(items, needed).collect()
-    if lacking:
-        raise PageError("items without " + ", ".join(sorted(row["field"] for row in lacking)))
     lists = [name for name in (mapping.acl_users_field, mapping.acl_groups_field) if name]
     scalars = dict.fromkeys([*needed, *mapping.metadata_fields, *filter(None, [source.watermark_field])])
-    return item_rows(items, [name for name in scalars if name not in lists], lists)
+    return item_rows(items, [name for name in scalars if name not in lists], lists, needed)
 
 
 def _extract(

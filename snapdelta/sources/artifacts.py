@@ -16,8 +16,8 @@ def read_delta(spark: SparkSession, path: str) -> DataFrame:
     """
     if not Files(spark).exists(path):
         return spark.createDataFrame([], DOC_SCHEMA)
-    lines = spark.read.text(path).where(F.col("value").rlike(r"\S"))
-    value = F.parse_json("value")
+    lines = spark.read.text(path).where(F.col("value").rlike(r"\S")).select("value", F.parse_json("value").alias("parsed"))
+    value = F.col("parsed")
 
     def text(name: str):
         return F.variant_get(value, f"$.{name}", "string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.sources.pages import kind_of, variant_at
+from snapdelta.sources.pages import variant_at
 
 
 def catalog(specs: DataFrame) -> DataFrame:
@@ -14,12 +14,13 @@ def catalog(specs: DataFrame) -> DataFrame:
     Specs without a name are skipped; of several specs with one name the greatest path wins, but
     the connector keeps the place of the first one (``path``) in listings.
     """
-    spec = F.try_parse_json("body")
+    spec = F.col("spec")
 
     def text(path: str):
         return F.try_variant_get(variant_at(spec, path), "$", "string")
 
-    rows = specs.where(kind_of(spec) == "OBJECT").select(
+    parsed = specs.select("path", F.try_parse_json("body").alias("spec"))
+    rows = parsed.select(
         text("metadata.name").alias("connector_id"),
         "path",
         F.struct(

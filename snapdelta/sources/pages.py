@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapdelta.functions.once import once
 from snapdelta.functions.text import instant
 
 
-class PageError(ValueError):
-    """A page is neither a list nor an object whose ``items`` is a list."""
-
-
 def kind_of(value: Column) -> Column:
     """``OBJECT``, ``ARRAY``, ``STRING``, ``VOID`` and so on; null where there is no value."""
-    return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
 
 
 def variant_at(value: Column, dotted_path: str) -> Column:
@@ -29,37 +26,35 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("page"), F.col("value").alias("body"))
 
 
-def _items(parsed: Column) -> tuple[Column, Column]:
-    """The list inside a page, and whether the page has the right form."""
-    inner = variant_at(parsed, "items")
-    top = kind_of(parsed)
-    listed = F.when(top == "ARRAY", parsed).when(top == "OBJECT", inner)
-    missing = (top == "OBJECT") & inner.isNull()
-    sound = F.coalesce(missing | (kind_of(listed) == "ARRAY"), F.lit(False))
-    return listed, sound
+def _page_problem(parsed: Column) -> Column:
+    """Why a parsed page cannot be flattened; null for a sound page. A missing ``items`` is an empty page."""
+    top, inner = kind_of(parsed), variant_at(parsed, "items")
+    return (
+        F.when(~F.coalesce(top.isin("ARRAY", "OBJECT"), F.lit(False)), "expected a list or an object with 'items'")
+        .when((top == "OBJECT") & (kind_of(inner) != "ARRAY"), "'items' must be a list")
+    )
 
 
 def page_errors(pages: DataFrame) -> DataFrame:
     """Pages that cannot be flattened, with the reason."""
-    parsed = F.try_parse_json("body")
-    _, sound = _items(parsed)
-    reason = F.when(F.coalesce(kind_of(parsed).isin("ARRAY", "OBJECT"), F.lit(False)), "'items' must be a list")
-    return pages.where(~sound).select("page", reason.otherwise("expected a list or an object with 'items'").alias("reason"))
+    return pages.select("page", once(F.try_parse_json("body"), _page_problem).alias("reason")).where("reason is not null")
 
 
-def json_pages(pages: DataFrame, check: bool = True) -> DataFrame:
+def json_pages(pages: DataFrame) -> DataFrame:
     """Object items of all pages: ``page``, ``pos``, ``item`` (variant).
 
-    Items that are not objects are left out. A page of another form raises, unless ``check`` is
-    off because the caller has looked at ``page_errors`` already.
+    Items that are not objects are left out. A page of another form fails the query when it is
+    reached; ``page_errors`` lists such pages. Each page is parsed once.
     """
-    if check:
-        bad = page_errors(pages).limit(5).collect()
-        if bad:
-            raise PageError("; ".join(f"{row['page']}: {row['reason']}" for row in bad))
-    listed, _ = _items(F.try_parse_json("body"))
-    elements = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>"))
-    items = pages.select("page", F.posexplode(elements).alias("pos", "item"))
+    none = F.array().cast("array<variant>")
+
+    def elements(parsed: Column) -> Column:
+        listed = F.when(kind_of(parsed) == "ARRAY", parsed).otherwise(variant_at(parsed, "items"))
+        problem = F.concat("page", F.lit(": "), _page_problem(parsed))
+        found = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), none)
+        return F.when(problem.isNull(), found).otherwise(F.raise_error(problem).cast("array<variant>"))
+
+    items = pages.select("page", F.posexplode(once(F.try_parse_json("body"), elements)).alias("pos", "item"))
     return items.where(kind_of(F.col("item")) == "OBJECT")
 
 
@@ -91,9 +86,21 @@ def _item_names(value: Column) -> Column:
     return F.when(kind_of(value) == "ARRAY", F.transform(listed, _item_text)).otherwise(one)
 
 
-def item_rows(items: DataFrame, scalars: list[str], lists: list[str] = (), item: str = "item") -> DataFrame:
-    """Rows of text columns, and of name lists, out of variant items for ``normalize``."""
-    columns = {name: _item_text(variant_at(F.col(item), name)) for name in scalars}
+def item_rows(
+    items: DataFrame, scalars: list[str], lists: list[str] = (), required: list[str] = (), item: str = "item"
+) -> DataFrame:
+    """Rows of text columns, and of name lists, out of variant items for ``normalize``.
+
+    An item without a required key fails the query that uses the column.
+    """
+
+    def scalar(name: str) -> Column:
+        value = variant_at(F.col(item), name)
+        if name not in required:
+            return _item_text(value)
+        return F.when(value.isNull(), F.raise_error(F.lit(f"item without {name}"))).otherwise(_item_text(value))
+
+    columns = {name: scalar(name) for name in scalars}
     columns |= {name: _item_names(variant_at(F.col(item), name)) for name in lists}
     return items.select(*[column.alias(name) for name, column in columns.items()])
 
@@ -111,19 +118,21 @@ def page_gaps(pages: DataFrame, cursor_path: str) -> DataFrame:
     ``pages`` has ``cursor`` (null or empty for the first page) and ``body``. Null, empty, zero and
     false end the chain.
     """
-    value = variant_at(F.try_parse_json("body"), cursor_path)
-    text = F.try_variant_get(value, "$", "string")
-    kind = kind_of(value)
-    ends = (
-        value.isNull()
-        | (kind == "VOID")
-        | (text == "")
-        | ((kind == "BOOLEAN") & (text == "false"))
-        | (kind.isin("BIGINT", "DECIMAL", "DOUBLE") & (F.try_variant_get(value, "$", "double") == 0))
-        | ((kind == "ARRAY") & (text == "[]"))
-        | ((kind == "OBJECT") & (text == "{}"))
-    )
-    following = F.when(~F.coalesce(ends, F.lit(False)), text)
-    links = pages.select("cursor", following.alias("next_cursor")).where("next_cursor is not null")
+
+    def following(value: Column) -> Column:
+        text, kind = F.try_variant_get(value, "$", "string"), kind_of(value)
+        ends = (
+            value.isNull()
+            | (kind == "VOID")
+            | (text == "")
+            | ((kind == "BOOLEAN") & (text == "false"))
+            | (kind.isin("BIGINT", "DECIMAL", "DOUBLE") & (F.try_variant_get(value, "$", "double") == 0))
+            | ((kind == "ARRAY") & (text == "[]"))
+            | ((kind == "OBJECT") & (text == "{}"))
+        )
+        return F.when(~F.coalesce(ends, F.lit(False)), text)
+
+    following_cursor = once(variant_at(F.try_parse_json("body"), cursor_path), following)
+    links = pages.select("cursor", following_cursor.alias("next_cursor")).where("next_cursor is not null")
     stored = pages.select(F.col("cursor").alias("next_cursor"))
     return links.join(stored, "next_cursor", "left_anti").select("cursor", "next_cursor")

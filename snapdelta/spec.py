@@ -72,25 +72,25 @@ class Connector:
         yield self.mode in MODES, f"unknown mode: {self.mode}"
         yield self.delete_policy in DELETE_POLICIES, f"unknown delete policy: {self.delete_policy}"
         yield output.format in ("ndjson", "csv"), f"unknown output format: {output.format}"
-        yield self.mode == "rest_push" or bool(self.schedule), "schedule is required for pull connectors"
+        yield self.mode == "rest_push" or bool(self.schedule), "a pull connector needs a schedule"
         if self.mode == "sql_pull":
             yield source.type in (*DATABASES, LAKE), f"source type of sql_pull must be one of {(*DATABASES, LAKE)}"
-            yield bool(source.query), "query is required for sql_pull"
+            yield bool(source.query), "sql_pull needs a query"
         if self.mode in ("rest_pull", "rest_push"):
-            yield source.type == "http", f"source type of {self.mode} must be http"
+            yield source.type == "http", f"{self.mode} needs a source of type http"
         if self.mode == "rest_pull":
-            yield bool(source.path), "path of the landed pages is required for rest_pull"
+            yield bool(source.path), "rest_pull needs the path of the landed pages"
         if self.mode == "file_pull":
-            yield source.type == "file", "source type of file_pull must be file"
-            yield bool(source.path), "path is required for file_pull"
-            yield bool(source.glob), "glob is required for file_pull"
-            yield source.format == "csv", "format must be csv for file_pull"
-            yield source.csv is not None, "csv options are required for file_pull"
+            yield source.type == "file", "file_pull needs a source of type file"
+            yield bool(source.path), "file_pull needs a path"
+            yield bool(source.glob), "file_pull needs a glob"
+            yield source.format == "csv", "file_pull reads the csv format only"
+            yield source.csv is not None, "file_pull needs csv options"
         if output.format == "ndjson":
-            yield self.mapping is not None, "mapping is required when output format is ndjson"
+            yield self.mapping is not None, "ndjson output needs a mapping"
         else:
-            yield self.mode == "sql_pull", "csv output is only supported for sql_pull"
-            yield not self.index, "index must be off when output format is csv"
+            yield self.mode == "sql_pull", "only sql_pull can write csv"
+            yield not self.index, "csv output cannot be indexed"
 
 
 # Fixed names: keys of spec documents and the fields they fill.

@@ -6,6 +6,7 @@ import json
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from snapdelta.functions.digest import list_digest, tree_depth
@@ -24,7 +25,7 @@ from snapdelta.sources.csvfiles import (
     normalize_header,
     row_mark,
 )
-from snapdelta.sources.pages import PageError, item_rows, json_pages, missing_fields, page_errors, page_gaps, read_pages
+from snapdelta.sources.pages import item_rows, json_pages, missing_fields, page_errors, page_gaps, read_pages
 from snapdelta.sources.sql import high_water_mark, jdbc_options, sql_pull
 
 
@@ -219,8 +220,10 @@ def test_pages_flatten(spark, tmp_path):
 def test_pages_of_another_form_are_refused(spark):
     bad = pages(spark, "5", '{"items":{}}', '{"items":null}', "{broken", "[]", "{}")
     assert rows_of(page_errors(bad), "page") == [("p0",), ("p1",), ("p2",), ("p3",)]
-    with pytest.raises(PageError):
-        json_pages(bad)
+    with pytest.raises(PySparkException, match="'items'"):
+        json_pages(bad).collect()
+    with pytest.raises(PySparkException, match="'items'"):
+        json_pages(bad).count()
 
 
 def test_item_rows_print_scalars_and_names(spark):
