@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.functions.template import _SLOT
@@ -141,19 +141,26 @@ def _check_delete_ratio(store: Store, connector: Connector, gone: int, at: Commi
         raise GateError(f"{gone} of {known} documents would be deleted")
 
 
-def _push_delta(store: Store, connector: Connector, run_id: str, batch_id: str) -> str:
-    """Write the documents of one waiting batch as a delta. They are not compared with the state."""
-    events = store.queue_events().where((F.col("connector_id") == connector.name) & (F.col("run_id") == batch_id))
+def _push_delta(store: Store, connector: Connector, run_id: str, batch: Row) -> str:
+    """Write the documents of one waiting batch as a delta. They are not compared with the state.
+
+    Only the files of the micro-batch that took the batch in are read.
+    """
+    events = store.queue_events().where(
+        (F.col("stream") == batch["stream"])
+        & (F.col("batch_id") == batch["batch_id"])
+        & (F.col("connector_id") == connector.name)
+        & (F.col("run_id") == batch["run_id"])
+    )
     documents = last_per_document(events.select(*DOC_COLUMNS, "pos"), "pos").select(*DOC_COLUMNS)
     path = store.delta_path(connector.name, run_id)
     documents.write.mode("overwrite").partitionBy("op").parquet(path)
     return path
 
 
-def _waiting_batch(store: Store, connector_id: str, run_id: str | None) -> str | None:
+def _waiting_batch(store: Store, connector_id: str, run_id: str | None) -> Row | None:
     mine = store.batches().where(F.col("connector_id") == connector_id)
-    row = next_pending_batch(mine, run_id).select("run_id").first()
-    return row["run_id"] if row else None
+    return next_pending_batch(mine, run_id).select("run_id", "stream", "batch_id").first()
 
 
 def run_connector(
@@ -169,8 +176,12 @@ def run_connector(
     """Extract, normalize, check, diff, publish, index and commit.
 
     Any failure leaves the last commit in force: mark, state and queue stay as they were, and the
-    run is logged as failed. A failed run's files are not named by any commit.
+    run is logged as failed. A failed run's files are not named by any commit, and the same run id
+    may be tried again; the id of a committed run may not, since its files are in force.
     """
+    at = store.head(connector.name)
+    if run_id in {used for used, _ in (*at.state_deltas, *at.target_deltas)}:
+        raise ValueError(f"run {run_id} has been committed already")
     started = run_ts or clock()
     facts = {"connector_id": connector.name, "started_at": started}
     store.log(run_id, 0, status="RUNNING", **facts)
@@ -207,10 +218,11 @@ def _run(store, connector, run_id, run_ts, push_run_id, connection, index_step,
     at = store.head(connector.name)
     batch_id = None
     if connector.mode == "rest_push":
-        batch_id = _waiting_batch(store, connector.name, push_run_id)
-        if batch_id is None:
+        batch = _waiting_batch(store, connector.name, push_run_id)
+        if batch is None:
             return RunResult(run_id, connector.name, 0, 0, None)
-        path, mark = _push_delta(store, connector, run_id, batch_id), at.watermark
+        batch_id = batch["run_id"]
+        path, mark = _push_delta(store, connector, run_id, batch), at.watermark
     else:
         rows = _extract(store, connector, at.watermark, run_id, connection)
         if connector.output.format == "csv":

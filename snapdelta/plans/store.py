@@ -190,21 +190,23 @@ class Store:
     # Push queue
 
     def queue(self, table: str, schema: str) -> DataFrame:
+        """A queue table with the stream and micro-batch that wrote each row, as partitions."""
         path = f"{self.root}/push/{table}"
+        full = f"{schema}, stream string, batch_id bigint"
         if not self.files.exists(path):
-            return self.spark.createDataFrame([], f"{schema}, batch_id bigint")
-        return self.spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).parquet(path)
 
     def batches(self) -> DataFrame:
         """Push batches; those named by a commit are processed."""
         drained = self._read_json(f"{self.root}/tables/*/commits/*.json", _COMMIT_SCHEMA)
         done = drained.where("batch_id is not null").select(F.col("batch_id").alias("run_id")).distinct()
-        found = self.queue("batches", BATCH_SCHEMA).drop("status", "batch_id")
+        found = self.queue("batches", BATCH_SCHEMA).drop("status")
         status = F.when(F.col("_done"), "PROCESSED").otherwise("PENDING")
         return found.join(done.withColumn("_done", F.lit(True)), "run_id", "left").withColumn("status", status).drop("_done")
 
     def queue_events(self) -> DataFrame:
-        return self.queue("events", QUEUE_EVENT_SCHEMA).drop("batch_id")
+        return self.queue("events", QUEUE_EVENT_SCHEMA)
 
     def keys(self) -> DataFrame:
         return self.queue("keys", KEY_SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,25 +21,27 @@ REQUEST_SCHEMA = (
 )
 
 
-def intake_batch(store: Store, requests: DataFrame, batch_id: int) -> None:
+def intake_batch(store: Store, requests: DataFrame, batch_id: int, stream: str = "main") -> None:
     """Take in one micro-batch: queue events, keys, batches and one response per request.
 
-    Every table gets the folder of this batch id, replaced whole, so a repeated batch changes
-    nothing. Keys of the batch itself are left out of the lookup for the same reason. Batches are
-    written after events and keys; a drain sees a batch only when the rest of it is there.
+    Every table gets the folder of this stream and batch id, replaced whole, so a repeated batch
+    changes nothing. Keys of the batch itself are left out of the lookup for the same reason.
+    Batches are written after events and keys; a drain sees a batch only when the rest is there.
     """
     spark = store.spark
+    part = f"stream={stream}/batch_id={batch_id}"
+    staged = f"{store.root}/push/staging/{part}"
 
     def place(table: str) -> str:
-        return f"{store.root}/push/{table}/batch_id={batch_id}"
+        return f"{store.root}/push/{table}/{part}"
 
-    known = store.keys().where(F.col("batch_id") != batch_id)
+    is_mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
     asked = requests.where("key <> ''").select("key").distinct()
+    known = store.keys().where(~is_mine).join(asked, "key", "left_semi")
     narrow = ("request_id", "key", "connector_id", "received_at", "request_hash", "body_error")
-    staged = f"{store.root}/push/staging/batch_id={batch_id}"
-    parsed = settle(parse_requests(requests).select(*narrow), f"{staged}-parsed")
-    outcomes = classify_requests(parsed, known.join(asked, "key", "left_semi"))
-    taken = settle(outcomes.withColumn("run_id", F.md5("key")), f"{staged}-taken")
+    parsed = settle(parse_requests(requests).select(*narrow), f"{staged}/parsed")
+    outcomes = classify_requests(parsed, known)
+    taken = settle(outcomes.withColumn("run_id", F.md5("key")), f"{staged}/taken")
     originals = taken.where("outcome = 'original'")
     bodies = requests.select("request_id", "content_type", "body").join(
         originals.select("request_id", "run_id", "connector_id", "received_at"), "request_id"
@@ -47,7 +51,7 @@ def intake_batch(store: Store, requests: DataFrame, batch_id: int) -> None:
     flagged = flag_rejects(validate_documents(events)).select(
         "run_id", "connector_id", "pos", F.col("received_at").alias("created_at"), "accepted", *DOC_COLUMNS
     )
-    checked = settle(flagged, f"{staged}-checked")
+    checked = settle(flagged, f"{staged}/checked")
     checked.where("accepted").drop("accepted").write.mode("overwrite").parquet(place("events"))
 
     counts = checked.groupBy("run_id").agg(
@@ -78,15 +82,20 @@ def intake_batch(store: Store, requests: DataFrame, batch_id: int) -> None:
     ).write.mode("overwrite").parquet(place("batches"))
 
     fresh = spark.read.parquet(place("keys")).select("key", "response_json")
-    earlier = store.keys().where(F.col("batch_id") != batch_id).join(asked, "key", "left_semi")
-    responses = earlier.select("key", "response_json").unionByName(fresh)
+    responses = known.select("key", "response_json").unionByName(fresh)
     known_answer = F.when(F.col("outcome").isin("original", "replay"), F.col("response_json"))
     taken.join(responses, "key", "left").select(
         "request_id", "key", "outcome", known_answer.alias("response_json")
     ).write.mode("overwrite").parquet(place("responses"))
+    store.files.remove(staged)
 
 
 def intake_stream(store: Store, requests: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    """Start the intake on a streaming frame of requests; ``trigger`` goes to ``writeStream``."""
-    writer = requests.writeStream.foreachBatch(lambda frame, number: intake_batch(store, frame, number))
+    """Start the intake on a streaming frame of requests; ``trigger`` goes to ``writeStream``.
+
+    Batch numbers belong to the checkpoint, so its name is part of the folders: a stream begun
+    anew does not replace what an earlier one has queued.
+    """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    writer = requests.writeStream.foreachBatch(lambda frame, number: intake_batch(store, frame, number, name))
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -68,6 +68,8 @@ def test_runs_follow_the_source(spark, folder):
 
     before = ids(store.state("hr-people"), "doc_id", "checksum", "last_seen_run_id")
     envelope = ids(store.target("hr-people"), "id", "raw_bytes")
+    with pytest.raises(ValueError, match="committed already"):
+        run(store, spec, "r3")
     packed = store.compact("hr-people", target=True)
     assert packed.state_deltas == () and packed.target_deltas == ()
     assert ids(store.state("hr-people"), "doc_id", "checksum", "last_seen_run_id") == before
@@ -223,6 +225,13 @@ def test_streams_resume_where_they_stopped(spark, tmp_path):
         answers = spark.read.parquet(f"{store.root}/push/responses").where(f"request_id = 'q{step}'")
         assert ids(answers, "outcome") == [(outcome,)]
     assert store.batches().count() == 1
+    stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(landing)
+    intake_stream(store, stream, str(tmp_path / "anew")).awaitTermination()
+    assert store.batches().count() == 1
+    assert ids(spark.read.parquet(f"{store.root}/push/responses").groupBy("outcome").count(), "outcome", "count") == [
+        ("original", 1), ("replay", 3)
+    ]
+    assert not Files(spark).names(f"{store.root}/push/staging/stream=main")
 
 
 def test_status_stream_gives_closed_hours(spark, tmp_path):
