@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from snapdelta.plans.files import Files
+
 # Settings the operators count on. Partition numbers are left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,10 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/snapdelta/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder; nothing is created until something is written."""
-    app = spark.sparkContext.applicationId
-    return f"{shared_dir(spark)}/snapdelta/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application has put under the shared folder, once its frames are done with."""
+    Files(spark).remove(_own_folder(spark))
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
