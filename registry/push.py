@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.bindings import NOW, SQL_BATCHES, batches, table
+from registry.bindings import SQL_BATCHES, SQL_CATALOG, batches, spec_documents, table
 from registry.ledger import shown
 from snapdelta.operators.gates import flag_rejects, split_accept_reject, validate_documents
-from snapdelta.operators.queue import classify_requests, mark_processed, next_pending_batch, request_counts
+from snapdelta.operators.queue import check_targets, classify_requests, mark_processed, next_pending_batch, request_counts
 from snapdelta.plans.store import Store
 from snapdelta.session import scratch, settled
+from snapdelta.sources.catalog import catalog
 from snapdelta.sources.push import body_hash, parse_requests, push_events
 from snapdelta.streaming.intake import REQUEST_SCHEMA, intake_stream
 
@@ -81,6 +82,15 @@ def idempotency_classify(spark, d):
     )
 
 
+def push_targets(spark, d):
+    """Requests for connectors of the catalog and for some that it does not know."""
+    requests = _requests(spark, d).withColumn("connector_id", F.expr("concat('c', request_id % 27)"))
+    checked = check_targets(parse_requests(requests), catalog(spec_documents(spark, d)))
+    return classify_requests(checked.where("key <> ''"), _known_keys(spark, d).where("false")).select(
+        "request_id", "target_error", F.col("outcome").isin("refused").alias("refused")
+    )
+
+
 # Pushed documents: most valid, some broken in one way each
 
 
@@ -183,6 +193,7 @@ QUERIES = {
     "push_parse": push_parse,
     "push_body_errors": push_body_errors,
     "idempotency_classify": idempotency_classify,
+    "push_targets": push_targets,
     "validate_documents": validated,
     "accept_reject": accept_reject,
     "request_counts": lambda spark, d: request_counts(flag_rejects(_valid(spark, d))),
@@ -226,6 +237,11 @@ ORACLES = {
         WHEN 4 THEN 'body must be a JSON object, a JSON array or NDJSON' END AS body_error,
         CASE {_KIND} WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 5 THEN 0 END::INTEGER AS events FROM conversations""",
     "idempotency_classify": f"WITH {_CLASSIFIED} SELECT request_id, key, outcome FROM classified",
+    "push_targets": f"""WITH {SQL_CATALOG}, {_CLASSIFIED},
+        judged AS (SELECT request_id, CASE WHEN c.connector_id IS NULL THEN 'unknown connector'
+            WHEN c.mode <> 'rest_push' THEN 'not a push connector' END AS target_error
+          FROM requests r LEFT JOIN catalog c ON c.connector_id = 'c' || (r.request_id % 27) WHERE r.key <> '')
+        SELECT request_id, target_error, target_error IS NOT NULL AS refused FROM judged""",
     "validate_documents": f"""WITH {_PUSHED} SELECT n, form AS reason,
         CASE WHEN n % 25 = 15 THEN 'text/plain' ELSE 'text/plain' END AS mime_type,
         CASE n % 25 WHEN 10 THEN '{{"lang":"en"}}' WHEN 9 THEN '[]' ELSE '{{}}' END AS metadata,

@@ -10,9 +10,22 @@ HOT_ROWS = 10_000
 HOT_KEYS = 1_000
 
 
+def check_targets(parsed: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Adds ``target_error`` to requests whose connector is unknown or does not take pushes.
+
+    ``catalog`` has one row per connector, so the join adds no rows; its size decides how it runs.
+    """
+    modes = catalog.select("connector_id", F.coalesce("mode", F.lit("")).alias("_mode"))
+    error = F.when(F.col("_mode").isNull(), "unknown connector").when(F.col("_mode") != "rest_push", "not a push connector")
+    return parsed.join(modes, "connector_id", "left").select(*parsed.columns, error.alias("target_error"))
+
+
 def key_claims(parsed: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row per key: its first parseable request here, how often it is used, its known hash."""
-    claim = F.when(F.col("body_error").isNull(), F.struct("received_at", "request_id", "request_hash"))
+    """One row per key: its first acceptable request here, how often it is used, its known hash."""
+    good = F.col("body_error").isNull()
+    if "target_error" in parsed.columns:
+        good = good & F.col("target_error").isNull()
+    claim = F.when(good, F.struct("received_at", "request_id", "request_hash"))
     claims = parsed.where("key <> ''").groupBy("key").agg(F.min(claim).alias("f"), F.count(F.lit(1)).alias("uses"))
     known = keys.select("key", F.col("request_hash").alias("known_hash"))
     return claims.join(known, "key", "left").select(
@@ -38,18 +51,22 @@ def _with_claims(parsed: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def classify_requests(parsed: DataFrame, keys: DataFrame) -> DataFrame:
-    """Adds ``outcome`` to parsed requests: original, replay, conflict, invalid or no_key.
+    """Adds ``outcome`` to parsed requests: original, replay, conflict, invalid, refused or no_key.
 
     ``keys`` (``key``, ``request_hash``) are keys used before this batch. Inside the batch the first
     parseable request takes the key; the same body again is a replay, another body a conflict.
-    Keys count across connectors and never expire.
+    Keys count across connectors and never expire. Requests that ``check_targets`` has found fault
+    with are refused before their key is looked at.
     """
+    refused = F.col("target_error").isNotNull() if "target_error" in parsed.columns else F.lit(False)
     joined = _with_claims(parsed, key_claims(parsed, keys))
-    before = F.struct("received_at", "request_id") < F.struct("first_at", "first_id")
+    place, first_place = F.struct("received_at", "request_id"), F.struct("first_at", "first_id")
+    before = place < first_place
     is_first = (F.col("received_at") == F.col("first_at")) & (F.col("request_id") == F.col("first_id"))
     same = F.col("request_hash") == F.coalesce("known_hash", "first_hash")
     outcome = (
         F.when(F.coalesce(F.col("key") == "", F.lit(True)), "no_key")
+        .when(refused, "refused")
         .when(F.col("known_hash").isNotNull(), F.when(same, "replay").otherwise("conflict"))
         .when(F.col("first_hash").isNull() | before, "invalid")
         .when(is_first, "original")

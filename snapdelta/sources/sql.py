@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from snapdelta.functions.text import field_type, has_field, mark_text, ref
 
 
-def high_water_mark(df: DataFrame, field: str | None, previous: str | None) -> DataFrame:
+def high_water_mark(df: DataFrame, field: str | None, previous: str | None, typed: bool = False) -> DataFrame:
     """One row with ``watermark``: the greatest text of the field, else the previous mark.
 
-    Marks compare as text, so integers compare digit by digit. Timestamps take their ISO text.
+    Marks compare as text, so integers compare digit by digit. Timestamps take their ISO text. With
+    ``typed`` the greatest value of the column's own type is taken, and then its text.
     """
     fallback = F.lit(previous).cast("string")
     if not field or not has_field(df, field):
         return df.sparkSession.range(1).select(fallback.alias("watermark"))
-    greatest = F.max(mark_text(ref(field), field_type(df, field)))
+    kind = field_type(df, field)
+    greatest = mark_text(F.max(ref(field)), kind) if typed else F.max(mark_text(ref(field), kind))
     return df.agg(greatest.alias("watermark")).select(F.coalesce("watermark", fallback).alias("watermark"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from snapdelta.operators.gates import flag_rejects, validate_documents
 from snapdelta.operators.normalize import DOC_COLUMNS
-from snapdelta.operators.queue import classify_requests
+from snapdelta.operators.queue import check_targets, classify_requests
 from snapdelta.plans.store import Store, settle
 from snapdelta.sources.push import parse_requests, push_events
 
@@ -21,12 +21,15 @@ REQUEST_SCHEMA = (
 )
 
 
-def intake_batch(store: Store, requests: DataFrame, batch_id: int, stream: str = "main") -> None:
+def intake_batch(
+    store: Store, requests: DataFrame, batch_id: int, stream: str = "main", catalog: DataFrame | None = None
+) -> None:
     """Take in one micro-batch: queue events, keys, batches and one response per request.
 
     Every table gets the folder of this stream and batch id, replaced whole, so a repeated batch
     changes nothing. Keys of the batch itself are left out of the lookup for the same reason.
     Batches are written after events and keys; a drain sees a batch only when the rest is there.
+    With a ``catalog``, requests for connectors that do not take pushes are refused.
     """
     spark = store.spark
     part = f"stream={stream}/batch_id={batch_id}"
@@ -37,10 +40,11 @@ def intake_batch(store: Store, requests: DataFrame, batch_id: int, stream: str =
 
     is_mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
     asked = requests.where("key <> ''").select("key").distinct()
-    known = store.keys().where(~is_mine).join(asked, "key", "left_semi")
+    earlier = store.keys().where(~is_mine).select("key", "request_hash", "response_json")
+    known = settle(earlier.join(asked, "key", "left_semi"), f"{staged}/known")
     narrow = ("request_id", "key", "connector_id", "received_at", "request_hash", "body_error")
     parsed = settle(parse_requests(requests).select(*narrow), f"{staged}/parsed")
-    outcomes = classify_requests(parsed, known)
+    outcomes = classify_requests(parsed if catalog is None else check_targets(parsed, catalog), known)
     taken = settle(outcomes.withColumn("run_id", F.md5("key")), f"{staged}/taken")
     originals = taken.where("outcome = 'original'")
     bodies = requests.select("request_id", "content_type", "body").join(
@@ -90,12 +94,14 @@ def intake_batch(store: Store, requests: DataFrame, batch_id: int, stream: str =
     store.files.remove(staged)
 
 
-def intake_stream(store: Store, requests: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+def intake_stream(
+    store: Store, requests: DataFrame, checkpoint: str, catalog: DataFrame | None = None, **trigger
+) -> StreamingQuery:
     """Start the intake on a streaming frame of requests; ``trigger`` goes to ``writeStream``.
 
     Batch numbers belong to the checkpoint, so its name is part of the folders: a stream begun
     anew does not replace what an earlier one has queued.
     """
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    writer = requests.writeStream.foreachBatch(lambda frame, number: intake_batch(store, frame, number, name))
+    writer = requests.writeStream.foreachBatch(lambda frame, number: intake_batch(store, frame, number, name, catalog))
     return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

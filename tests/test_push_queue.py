@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snapdelta.operators import queue as queue_module
 from snapdelta.operators.gates import flag_rejects, split_accept_reject, validate_documents
-from snapdelta.operators.queue import classify_requests, mark_processed, next_pending_batch, request_counts
+from snapdelta.operators.queue import check_targets, classify_requests, mark_processed, next_pending_batch, request_counts
 from snapdelta.operators.state import advance_checkpoint, advance_checkpoints, fold_run_state, last_per_document
 from snapdelta.sources.push import parse_requests, push_events
 
@@ -86,6 +86,21 @@ def test_idempotency_agrees_with_one_by_one(spark, monkeypatch, hot):
     assert {r["request_id"]: r["outcome"] for r in found.collect()} == by_hand(rows, known)
 
 
+def test_requests_for_other_connectors_are_refused_before_their_key(spark):
+    rows = [(1, "k", 0, "application/json", "{}"), (2, "k", 1, "application/json", "[]"), (3, "", 2, "application/json", "{}")]
+    asked = requests(spark, rows).withColumn("connector_id", F.when(F.col("request_id") == 2, "push").otherwise("pull"))
+    known = spark.sql("select * from values ('pull', 'sql_pull'), ('push', 'rest_push') c(connector_id, mode)")
+    keys = spark.createDataFrame([], "key string, request_hash string")
+
+    def outcomes(catalog):
+        found = classify_requests(check_targets(parse_requests(asked), catalog), keys)
+        return {r["request_id"]: (r["outcome"], r["target_error"]) for r in found.collect()}
+
+    refused = ("refused", "not a push connector")
+    assert outcomes(known) == {1: refused, 2: ("original", None), 3: ("no_key", "not a push connector")}
+    assert outcomes(known.where("false"))[2] == ("refused", "unknown connector")
+
+
 def test_contract_and_quarantine(spark):
     cases = [
         (DOC, None),

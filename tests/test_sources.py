@@ -53,6 +53,7 @@ def test_sql_pull_takes_the_mark(spark):
 def test_marks_compare_as_text(spark):
     df = spark.createDataFrame([(9, "b"), (10, None)], "n int, t string")
     assert high_water_mark(df, "n", None).first()[0] == "9"
+    assert high_water_mark(df, "n", None, typed=True).first()[0] == "10"
     assert high_water_mark(df, "t", None).first()[0] == "b"
     assert high_water_mark(df, None, "p").first()[0] == "p"
     assert high_water_mark(df, "absent", "p").first()[0] == "p"
