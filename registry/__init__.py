@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 # Fixed names: modules with QUERIES and ORACLES.
@@ -19,8 +20,19 @@ def _merged(attribute: str) -> dict:
     return merged
 
 
+def _in_utc(query):
+    """The query with the session zone it counts on, whatever session it is given."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf_dir)
+
+    return run
+
+
 def all_queries() -> dict:
-    return _merged("QUERIES")
+    return {name: _in_utc(query) for name, query in _merged("QUERIES").items()}
 
 
 def all_oracles() -> dict:
