@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check_queries import duck, table_of
+from registry import all_oracles, all_queries
 
 DATA = "/root/testdata/sf0.001"
 # Queries that write files or repeat what the unit tests look at; check_queries.py runs them all.
@@ -28,14 +29,14 @@ def database():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - SLOW))
 def test_query(spark, database, name):
     frame = entry.queries()[name](spark, DATA)
     mine = table_of(frame.columns, [tuple(row) for row in frame.collect()])
