@@ -39,3 +39,10 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 def pieces(total: int, each: int) -> int:
     """Number of parts of about ``each`` that ``total`` makes, at least one."""
     return max(1, -(-total // each))
+
+
+def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
+    """Path of a public rank file and the pattern that goes with it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from snapdelta.llm import exact, quality, sharding
-from snapdelta.llm.common import documents
+from pyspark.sql import functions as F
+
+from snapdelta.llm import bpe, exact, mixing, near, quality, sharding
+from snapdelta.llm.common import documents, tokenizer
 
 QUERIES, ORACLES = {}, {}
 
@@ -83,3 +85,69 @@ FROM d JOIN g ON d.text = g.text
 )
 def op10_exact_dedup(spark, sf_dir):
     return exact.labelled(documents(spark, sf_dir))
+
+
+@_query("op5_byte_bpe")
+def op5_byte_bpe(spark, sf_dir):
+    path, pattern = tokenizer()
+    coded = bpe.decoded(bpe.encoded(documents(spark, sf_dir), path, pattern), path)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def _sql_case(column: str, values: dict, default) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = '{k}' THEN {v!r}" for k, v in values.items()) + f" ELSE {default!r} END"
+
+
+def mixing_sql(mix: mixing.Mix, table: str = "documents") -> str:
+    """SQL of ``mixing.drawn``: one water-filling step per level, then the seeded prefix per leaf."""
+    domain_of = {source: name for name, sources in mix.domains.items() for source in sources}
+    steps, parent = [], []
+    for depth, level in enumerate(mixing.LEVELS):
+        path = [*mixing.LEVELS[: depth + 1]]
+        above = "given0" if not depth else f"given{depth}"
+        link = "CROSS JOIN given0" if not depth else f"JOIN {above} USING ({', '.join(parent)})"
+        group = f"PARTITION BY {', '.join(parent)}" if parent else ""
+        weight = _sql_case(level, mix.weights.get(level, {}), mix.default_weight)
+        steps.append(f"""
+n{depth} AS (SELECT *, capacity / w AS ratio FROM (
+  SELECT {', '.join(path)}, capacity, given, CAST({weight} AS DOUBLE) AS w FROM (
+    SELECT {', '.join(path)}, CAST(sum(capacity) AS BIGINT) AS capacity FROM leaves GROUP BY {', '.join(path)}) {link}) WHERE w > 0),
+f{depth} AS (SELECT *, coalesce(sum(capacity) OVER ({group} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    + ratio * sum(w) OVER ({group} ORDER BY ratio, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= given AS fu FROM n{depth}),
+given{depth + 1} AS (SELECT {', '.join(path)}, CASE WHEN fu THEN CAST(capacity AS DOUBLE) ELSE
+    (given - coalesce(sum(CASE WHEN fu THEN capacity END) OVER ({group}), 0)) * w / sum(CASE WHEN NOT fu THEN w END) OVER ({group}) END AS given FROM f{depth})""")
+        parent = path
+    asked = f"CAST({mix.budget_tokens} AS DOUBLE)" if mix.budget_tokens is not None else f"sum(supply) * CAST({mix.budget_share} AS DOUBLE)"
+    return f"""
+WITH d AS (SELECT doc_id, {_sql_case("coalesce(source, '')", domain_of, "other")} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  len({_SPLIT})::BIGINT AS n_tokens FROM {table}),
+leaves AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply, sum(n_tokens)::BIGINT * {mix.max_epochs} AS capacity FROM d GROUP BY ALL),
+given0 AS (SELECT least({asked}, CAST(sum(capacity) AS DOUBLE)) AS given FROM leaves),{",".join(steps)},
+b AS (SELECT *, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS epochs FROM (
+  SELECT domain, lang, source, supply, CAST(floor(given + 1e-6) AS BIGINT) AS budget FROM given3 JOIN leaves USING (domain, lang, source))),
+p AS (SELECT d.*, budget, epochs, budget - epochs * supply AS rest,
+  md5(concat_ws(':', '{mix.seed}', CAST(epochs AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS place
+  FROM d JOIN b USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, n_tokens, budget,
+  (epochs + CASE WHEN coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, n_tokens
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < rest THEN 1 ELSE 0 END)::BIGINT AS times
+FROM p
+"""
+
+
+MIX = mixing.Mix()
+
+
+@_query("op4_source_mixing", mixing_sql(MIX))
+def op4_source_mixing(spark, sf_dir):
+    return mixing.drawn(documents(spark, sf_dir), MIX)
+
+
+@_query("op2_minhash_near_dedup")
+def op2_minhash_near_dedup(spark, sf_dir):
+    return near.clustered(documents(spark, sf_dir))
