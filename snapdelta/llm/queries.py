@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from snapdelta.llm import bpe, exact, mixing, near, quality, sharding
-from snapdelta.llm.common import documents, tokenizer
+from snapdelta.llm import bpe, classifier, exact, lines, lm, mixing, near, quality, repeats, sharding
+from snapdelta.llm.common import documents, labels, tokenizer
 
 QUERIES, ORACLES = {}, {}
 
@@ -151,3 +151,61 @@ def op4_source_mixing(spark, sf_dir):
 @_query("op2_minhash_near_dedup")
 def op2_minhash_near_dedup(spark, sf_dir):
     return near.clustered(documents(spark, sf_dir))
+
+
+@_query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    found = repeats.deduplicated(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@_query("op7_lm_scoring")
+def op7_lm_scoring(spark, sf_dir):
+    return lm.scored(documents(spark, sf_dir))
+
+
+@_query("op8_quality_classifier")
+def op8_quality_classifier(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return classifier.scored(docs, classifier.fit(docs, labels(spark, sf_dir)))
+
+
+LINES_SQL = f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content,
+    unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS line FROM documents),
+w AS (
+  SELECT doc_id, line, content, count(*) OVER r AS n, {", ".join(f"lead(content, {k}) OVER o AS c{k}" for k in range(1, lines.RUN))}
+  FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY line), r AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND {lines.RUN - 1} FOLLOWING)),
+later AS (
+  SELECT doc_id, line FROM (
+    SELECT doc_id, line, row_number() OVER (PARTITION BY content, {", ".join(f"c{k}" for k in range(1, lines.RUN))} ORDER BY doc_id, line) AS copy
+    FROM w WHERE n = {lines.RUN}) WHERE copy > 1),
+gone AS (SELECT DISTINCT doc_id, line + k AS line FROM later, generate_series(0, {lines.RUN - 1}) AS t(k)),
+runs AS (SELECT doc_id, count(*) AS n_runs FROM (
+  SELECT doc_id, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line) AS prev FROM gone) WHERE prev IS NULL OR line > prev + 1 GROUP BY doc_id),
+kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(content, chr(10) ORDER BY line) AS text FROM l ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id),
+totals AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, (n_lines - coalesce(n_kept, 0))::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM totals LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
+
+
+@_query("op9_line_dedup", LINES_SQL)
+def op9_line_dedup(spark, sf_dir):
+    found = lines.deduplicated(documents(spark, sf_dir))
+    removed = F.aggregate("runs", F.lit(0), lambda total, run: total + run["end"] - run["first"])
+    return found.select(
+        "doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
+        removed.cast("bigint").alias("n_removed"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )

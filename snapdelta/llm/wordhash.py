@@ -48,7 +48,13 @@ def portions(batch: pa.RecordBatch, name: str, most: int = 1 << 21) -> Iterator[
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and the number of words before each text with the total last.
+    """Hash of every word, and the number of words before each text with the total last."""
+    hashes, starts = placed_words(data, at)
+    return hashes, np.searchsorted(starts, at, "left")
+
+
+def placed_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word.
 
     The bytes are taken in segments that end where a word ends, so temporary arrays stay small for a text of any length.
     """
@@ -90,5 +96,5 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             starts.append(begins + begin)
         begin = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), at, "left")
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts)
