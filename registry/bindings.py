@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapdelta.functions.digest import WIDTHS
 from snapdelta.operators.normalize import Mapping, normalize
 
 NOW = "2024-02-01T00:00:00+00:00"
@@ -118,6 +119,19 @@ _SQL_UPSERTS = """
 """
 
 
+def sql_tree_digest(lines: str, widths: tuple[int, ...] = WIDTHS) -> str:
+    """CTEs and the final select of ``functions.digest.tree_digest`` over the column ``line`` of a CTE."""
+    parts = [
+        f"hashes AS (SELECT sha256(line) AS h, count(*) AS n FROM {lines} GROUP BY 1)",
+        f"level0 AS (SELECT left(h, {widths[0]}) AS prefix, h || ':' || n AS item, n FROM hashes)",
+    ]
+    for i, above in enumerate([*widths[1:], 0]):
+        folded = f"SELECT prefix, sha256(string_agg(item, ',' ORDER BY item)) AS digest, sum(n) AS n FROM level{i} GROUP BY prefix"
+        parts.append(f"level{i + 1} AS (SELECT left(prefix, {above}) AS prefix, prefix || ':' || digest AS item, n FROM ({folded}))")
+    return f""", {', '.join(parts)} SELECT sha256(coalesce(string_agg(item, ',' ORDER BY item), '')) AS digest,
+        coalesce(sum(n), 0)::BIGINT AS rows FROM level{len(widths)}"""
+
+
 def sql_delta(policy: str, name: str = "delta") -> str:
     """CTE with the delta of ``docs`` against ``state``."""
     if policy == "never_delete":

@@ -15,13 +15,14 @@ from registry.bindings import (
     snapshot,
     sql_delta,
     sql_shown,
+    sql_tree_digest,
     table,
 )
 from snapdelta.operators.diff import canonical_order, changed_keys, concat_delta, delta_counts, delta_of, diff
 from snapdelta.operators.envelope import canonical_json, index_envelope, index_line
-from snapdelta.operators.gates import duplicate_ids, flag_unsafe, pattern_scan, split_ops
+from snapdelta.operators.gates import GateError, duplicate_ids, flag_unsafe, pattern_scan, require_clean, split_ops
 from snapdelta.operators.normalize import Mapping, acl, normalize
-from snapdelta.operators.replay import delta_diff, replay_digest, replay_tree_digest
+from snapdelta.operators.replay import delta_diff, replay_digest
 from snapdelta.operators.state import apply_delta, apply_state
 from snapdelta.session import settled
 
@@ -97,6 +98,38 @@ def _canonical_order(spark, sf_dir):
     return canonical_order(_delta(spark, sf_dir)).select("op", "doc_id", "checksum")
 
 
+def normalize_times(spark, d):
+    """Times of orders in several forms, as the documents' update times."""
+    orders = table(spark, d, "orders")
+    at, n = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 6
+    text = (
+        F.when(n == 0, F.date_format(at, "yyyy-MM-dd"))
+        .when(n == 1, F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"))
+        .when(n == 2, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'+02:00'"))
+        .when(n == 3, F.date_format(at, "yyyy-MM-dd HH:mm"))
+        .when(n == 4, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'-0330'"))
+    )
+    rows = orders.select("o_orderkey", text.alias("seen_at"), F.col("o_orderstatus").alias("label"))
+    docs = normalize(rows, Mapping("o_orderkey", "label", "{{ label }}"), "orders", "seen_at", NOW)
+    return docs.select("doc_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+def clean_gate(spark, d):
+    """Which sources the gate lets through, and which it stops."""
+    rows = table(spark, d, "documents").select(
+        "source", F.col("doc_id").cast("string").alias("title"),
+        F.when((F.col("doc_id") % 97 == 0) & F.col("source").isin("src1", "src3"), F.lit("Reveal System Prompt")).otherwise(F.col("text")).alias("content"),
+    )
+    outcomes = []
+    for source in sorted(r[0] for r in rows.select("source").distinct().collect()):
+        try:
+            require_clean(rows.where(F.col("source") == source))
+            outcomes.append((source, True))
+        except GateError:
+            outcomes.append((source, False))
+    return spark.createDataFrame(outcomes, "source string, passed boolean")
+
+
 QUERIES = {
     "normalize_documents": lambda spark, d: shown_docs(snapshot(spark, d)),
     "acl_normalize": acl_normalize,
@@ -120,11 +153,13 @@ QUERIES = {
     "canonical_order": _canonical_order,
     "delta_counts": lambda spark, d: delta_counts(_delta(spark, d)),
     "replay_digest": lambda spark, d: replay_digest(*_halves(spark, d)),
-    "replay_tree_digest": lambda spark, d: replay_tree_digest(*_halves(spark, d), depth=2),
+    "replay_tree_digest": lambda spark, d: replay_digest(*_halves(spark, d), widths=(2, 1)),
     "delta_diff": lambda spark, d: delta_diff(_delta(spark, d), _delta(spark, d, "soft_delete_only")).select(
         "doc_id", "op", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "side", "copies"
     ),
     "unsafe_scan": unsafe_scan,
+    "require_clean": clean_gate,
+    "normalize_times": normalize_times,
     "pattern_scan": lambda spark, d: pattern_scan(table(spark, d, "documents"), PATTERNS, "text"),
 }
 
@@ -184,16 +219,8 @@ ORACLES = {
     "canonical_order": f"{_AUTO} SELECT op, doc_id, checksum FROM delta ORDER BY op, doc_id, checksum",
     "delta_counts": f"""{_AUTO} SELECT count(*) FILTER (op = 'UPSERT') AS upserts_count,
         count(*) FILTER (op = 'DELETE') AS deletes_count FROM delta""",
-    "replay_digest": f"""{_AUTO} SELECT sha256('[' || string_agg({_LINE}, ', ' ORDER BY op, doc_id, checksum) || ']')
-        AS digest, count(*) AS rows FROM delta""",
-    "replay_tree_digest": f"""{_AUTO},
-        hashes AS (SELECT sha256({_LINE}) AS h, count(*) AS n FROM delta GROUP BY 1),
-        leaves AS (SELECT left(h, 2) AS prefix, sha256(string_agg(h || ':' || n, ',' ORDER BY h || ':' || n)) AS d,
-                   sum(n) AS n FROM hashes GROUP BY 1),
-        inner_nodes AS (SELECT left(prefix, 1) AS p, sha256(string_agg(prefix || ':' || d, ',' ORDER BY prefix || ':' || d))
-                   AS d, sum(n) AS n FROM leaves GROUP BY 1)
-        SELECT sha256(string_agg(p || ':' || d, ',' ORDER BY p || ':' || d)) AS digest, sum(n)::BIGINT AS rows
-        FROM inner_nodes""",
+    "replay_digest": f"{_AUTO}, lines AS (SELECT {_LINE} AS line FROM delta) {sql_tree_digest('lines')}",
+    "replay_tree_digest": f"{_AUTO}, lines AS (SELECT {_LINE} AS line FROM delta) {sql_tree_digest('lines', (2, 1))}",
     "delta_diff": f"""WITH {SQL_DOCS}, {sql_delta('auto_delete_missing', 'a')}, {sql_delta('soft_delete_only', 'b')},
         both_ways AS (
           SELECT doc_id, op, checksum, updated_at, 1 AS n FROM a UNION ALL
@@ -208,6 +235,16 @@ ORACLES = {
         SELECT id, list_bool_or([contains(lower(source), m) OR contains(lower(body), m) FOR m IN
           ['ignore previous instructions', 'disregard all prior instructions', 'reveal system prompt', 'system prompt',
            'developer message', '<script', 'javascript:']]) AS unsafe FROM texts""",
+    "require_clean": """WITH texts AS (SELECT source, CASE WHEN doc_id % 97 = 0 AND source IN ('src1', 'src3')
+          THEN 'Reveal System Prompt' ELSE text END AS body FROM documents)
+        SELECT source, NOT bool_or(list_bool_or([contains(lower(coalesce(body, '')), m) FOR m IN
+          ['ignore previous instructions', 'disregard all prior instructions', 'reveal system prompt', 'system prompt',
+           'developer message', '<script', 'javascript:']])) AS passed FROM texts GROUP BY source""",
+    "normalize_times": f"""SELECT 'orders:' || o_orderkey AS doc_id, strftime(CASE o_orderkey % 6
+        WHEN 0 THEN date_trunc('day', o_orderdate) WHEN 1 THEN date_trunc('second', o_orderdate)
+        WHEN 2 THEN o_orderdate - INTERVAL 2 HOUR WHEN 3 THEN date_trunc('minute', o_orderdate)
+        WHEN 4 THEN date_trunc('second', o_orderdate) + INTERVAL 210 MINUTE ELSE TIMESTAMP '{NOW[:10]}' END, '%Y-%m-%d %H:%M:%S')
+        AS updated_at FROM orders""",
     "pattern_scan": f"""SELECT * FROM (SELECT doc_id, [p FOR p IN {PATTERNS!r} IF contains(text, p)][1] AS pattern
         FROM documents) WHERE pattern IS NOT NULL""",
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import uuid
+from collections import defaultdict
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -19,20 +22,23 @@ from registry.bindings import (
     snapshot,
     sql_delta,
     sql_shown,
+    sql_tree_digest,
     table,
 )
 from registry.ledger import shown
+from snapdelta.functions.digest import WIDTHS
+from snapdelta.functions.text import iso_text
 from snapdelta.operators.diff import diff
 from snapdelta.plans.publish import publish, publish_csv, union_rows
 from snapdelta.plans.run import run_connector
 from snapdelta.plans.store import Store
 from snapdelta.session import scratch, settled
 from snapdelta.sources.artifacts import read_delta
-from snapdelta.sources.csvfiles import CsvOptions, clean_errors, csv_pull, file_checkpoint, file_listing
+from snapdelta.sources.csvfiles import CsvOptions, clean_errors, csv_pull, file_checkpoint, file_listing, file_manifest_hash
 from snapdelta.sources.pages import json_pages, page_gaps, project_items
 from snapdelta.sources.sql import high_water_mark, sql_pull
 from snapdelta.spec import Connector, Output, Source
-from snapdelta.streaming.drain import drain
+from snapdelta.streaming.drain import drain_together
 from snapdelta.streaming.intake import REQUEST_SCHEMA, intake_stream
 from snapdelta.streaming.status import status_stream
 
@@ -110,13 +116,14 @@ def csv_pull_no_header(spark, d):
     base = _orders_as_csv(spark, d, header=False)
     rows = csv_pull(spark, base, "*/*.csv", CsvOptions(delimiter=";", has_header=False))
     folder = F.element_at(F.split("file_path", "/"), -2)
-    return rows.select("column_1", "column_2", "column_3", folder.alias("folder"))
+    data = [name for name in rows.columns if name.startswith("column_")]
+    return rows.select(*data, folder.alias("folder"))
 
 
 def csv_pull_file(spark, d):
     """Rows found again inside the one record of each file."""
     base = _orders_as_csv(spark, d)
-    files = csv_pull(spark, base, "a/*.csv", CsvOptions(document_mode="file", delimiter=";"))
+    files = csv_pull(spark, base, "*/*.csv", CsvOptions(document_mode="file", delimiter=";"))
     rows = files.select(F.explode(F.from_json("file_rows_json", "array<map<string,string>>")).alias("r"))
     return rows.select(
         F.col("r")["o_orderkey"].alias("o_orderkey"),
@@ -125,19 +132,49 @@ def csv_pull_file(spark, d):
     )
 
 
+def plain_tree_digest(lines):
+    """``functions.digest.tree_digest`` of different lines, by hand."""
+
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    nodes = sorted(f"{digest(line)}:1" for line in lines)
+    for width in WIDTHS:
+        groups = defaultdict(list)
+        for item in nodes:
+            groups[item[:width]].append(item)
+        nodes = sorted(f"{name}:{digest(','.join(items))}" for name, items in groups.items())
+    return digest(",".join(nodes))
+
+
 def _file_checkpoint(spark, d):
     base = _orders_as_csv(spark, d)
-    rows = csv_pull(spark, base, "a/*.csv", CsvOptions(delimiter=";"))
-    text = file_checkpoint(file_listing(spark, base, "a/*.csv"), rows, "o_orderkey", None)
+    rows = csv_pull(spark, base, "*/*.csv", CsvOptions(delimiter=";"))
+    files = file_listing(spark, base, "*/*.csv")
+    text = file_checkpoint(files, rows, "o_orderkey", None)
+    # Paths and times differ from run to run; they are compared with a plain reading of the same listing.
+    listed = sorted((r["path"], r["mtime"], r["size"]) for r in files.collect())
+    lines = [json.dumps({"mtime": m, "path": p, "size": n}, separators=(",", ":")) for p, m, n in listed]
     stored = spark.range(1).select(F.parse_json(F.lit(text)).alias("c"))
     return stored.select(
         F.variant_get("c", "$.v", "int").alias("v"),
         F.variant_get("c", "$.rw", "string").alias("rw"),
         F.variant_get("c", "$.fc", "int").alias("fc"),
-        F.variant_get("c", "$.fh", "string").startswith("sha256:").alias("hashed"),
+        (F.variant_get("c", "$.fh", "string") == f"sha256:{plain_tree_digest(lines)}").alias("hashed"),
+        (F.variant_get("c", "$.lm", "string") == max(m for _, m, _ in listed)).alias("latest"),
     )
 
 
+def file_manifest(spark, d):
+    """Manifest hash of a listing with one file per document."""
+    listing = table(spark, d, "documents").select(
+        F.concat(F.lit("/in/"), "source", F.lit("/"), "doc_id", F.lit(".csv")).alias("path"),
+        iso_text(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id"))).alias("mtime"),
+        F.col("n_chars").alias("size"),
+    )
+    return file_manifest_hash(listing)
+
+
 # JSON pages
 
 _PAGE_ROWS = 100
@@ -191,10 +228,23 @@ def read_published(spark, d):
 def read_alias(spark, d):
     """Ids of the index lines under the latest alias."""
     manifest = _published(spark, d, alias=True)
-    latest = manifest.import_upserts_path.replace("/runs/run-1/", "/latest/")
+    latest = manifest.import_upserts_path.replace("/runs/run-1/", "/latest/run-1/")
     return spark.read.text(latest).select(F.get_json_object("value", "$.structData.doc_id").alias("doc_id"))
 
 
+def read_pointer(spark, d):
+    """What the success pointer names, with an alias and without."""
+    found = []
+    for alias in (True, False):
+        manifest = _published(spark, d, alias)
+        base = manifest.manifest_path.rsplit("/runs/", 1)[0]
+        pointed = spark.read.json(f"{base}/state/latest_success.json")
+        place = F.regexp_extract("manifest_path", "/docs/([a-z]+)/run-1/manifest.json$", 1)
+        rows = spark.read.text(pointed.first()["upserts_path"]).count()
+        found.append(pointed.select("run_id", place.alias("place"), "upserts_count", F.lit(rows).cast("bigint").alias("lines")))
+    return found[0].unionByName(found[1])
+
+
 def run_manifest(spark, d):
     manifest = _published(spark, d)
     return spark.read.json(manifest.manifest_path).select(
@@ -256,7 +306,7 @@ def run_checkpoints(spark, d):
 
 
 def drain_queue(spark, d):
-    """Pushed documents, taken in as a stream; the two oldest batches drained to the state."""
+    """Pushed documents, taken in as a stream; all batches drained to the state in one run."""
     docs = table(spark, d, "documents")
     body = F.to_json(
         F.struct(
@@ -282,7 +332,7 @@ def drain_queue(spark, d):
     stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(source)
     intake_stream(store, stream, scratch(spark, "progress")).awaitTermination()
     connector = Connector("support", "rest_push", Source(type="http"), Output(store.root), DOC_MAPPING)
-    drain(store, connector, AT, most=2)
+    drain_together(store, connector, AT)
     return store.state("support").select("doc_id", "checksum")
 
 
@@ -303,10 +353,12 @@ QUERIES = {
     "csv_pull_no_header": csv_pull_no_header,
     "csv_pull_file": csv_pull_file,
     "file_checkpoint": _file_checkpoint,
+    "file_manifest": file_manifest,
     "json_pages": _page_items,
     "page_gaps": _page_gaps,
     "read_delta": read_published,
     "publish_latest": read_alias,
+    "success_pointer": read_pointer,
     "run_manifest": run_manifest,
     "export_csv": export_csv,
     "run_state": run_state,
@@ -340,10 +392,13 @@ ORACLES = {
                CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderkey::VARCHAR END AS column_2,
                CASE WHEN o_orderkey % 2 = 0 THEN note END AS column_3,
                CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS folder FROM noted""",
-    "csv_pull_file": f"""SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus,
-        {_NOTE.format(error="'#ERROR in cell'")} AS note FROM orders WHERE o_orderkey % 2 = 0""",
-    "file_checkpoint": """SELECT 1::INTEGER AS v, max(o_orderkey::VARCHAR) AS rw, 3::INTEGER AS fc, true AS hashed
-        FROM orders WHERE o_orderkey % 2 = 0""",
+    "csv_pull_file": f"""SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus,
+        {_NOTE.format(error="'#ERROR in cell'")} AS note FROM orders""",
+    "file_checkpoint": """SELECT 1::INTEGER AS v, max(o_orderkey::VARCHAR) AS rw, 6::INTEGER AS fc, true AS hashed, true AS latest
+        FROM orders""",
+    "file_manifest": f"""WITH lines AS (SELECT '{{"mtime":"' || strftime(make_timestamp((1704067200 + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')
+        || '","path":"/in/' || source || '/' || doc_id || '.csv","size":' || n_chars || '}}' AS line FROM documents)
+        {sql_tree_digest('lines')}""",
     "json_pages": f"""SELECT 'page ' || (o_orderkey // {_PAGE_ROWS}) AS page, o_orderkey, o_orderstatus, NULL::VARCHAR AS absent
         FROM orders WHERE (o_orderkey // {_PAGE_ROWS}) % 5 <> 2""",
     "page_gaps": f"""WITH pages AS (SELECT DISTINCT o_orderkey // {_PAGE_ROWS} AS n FROM orders),
@@ -352,6 +407,8 @@ ORACLES = {
         WHERE n % 5 NOT IN (1, 2) AND n + 1 NOT IN (SELECT n FROM stored)""",
     "read_delta": f"{_AUTO} {sql_shown('delta')}",
     "publish_latest": f"{_AUTO} SELECT doc_id FROM delta WHERE op = 'UPSERT'",
+    "success_pointer": f"""{_AUTO}, n AS (SELECT count(*) AS n FROM delta WHERE op = 'UPSERT')
+        SELECT 'run-1' AS run_id, place, n AS upserts_count, n AS lines FROM n, (VALUES ('latest'), ('runs')) AS t(place)""",
     "run_manifest": f"""{_AUTO} SELECT 'run-1' AS run_id, 'docs' AS connector_id, '2024-02-01T00:00:00Z' AS started_at,
         '2024-02-01T00:00:00Z' AS completed_at, count(*) FILTER (op = 'UPSERT') AS upserts_count,
         count(*) FILTER (op = 'DELETE') AS deletes_count, 'm1' AS watermark FROM delta""",
@@ -366,8 +423,7 @@ ORACLES = {
         UNION ALL SELECT 'r2', 'docs', 'SUCCESS', count(*) FILTER (op = 'UPSERT'), count(*) FILTER (op = 'DELETE') FROM delta""",
     "run_checkpoints": f"""WITH {SQL_DOCS} SELECT 'docs' AS connector_id,
         strftime(max(changed_at), '%Y-%m-%dT%H:%M:%S+00:00') AS watermark FROM rows_in""",
-    "drain_queue": """SELECT 'd' || doc_id AS doc_id, sha256(text) AS checksum FROM documents
-        ORDER BY documents.doc_id DESC LIMIT 2""",
+    "drain_queue": """SELECT 'd' || doc_id AS doc_id, sha256(text) AS checksum FROM documents""",
     "status_stream": f"""WITH {SQL_RUNS} SELECT strftime(date_trunc('hour', started_at), '%Y-%m-%d %H:%M:%S.%f')
         AS span_start, status, count(*) AS runs FROM runs
         WHERE date_trunc('hour', started_at) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)

@@ -1,59 +1,30 @@
-"""Digests over whole DataFrames that do not depend on row order or partitioning."""
+"""Digests over whole DataFrames that do not depend on row order, partitioning or the number of rows."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many rows a digest of one ordered list would gather too much in one task.
-LIST_LIMIT = 100_000
-_LEAF_ROWS = 4_096
-
-
-class DigestTooLarge(ValueError):
-    """An exact list digest was asked for over more rows than one task should hold."""
-
-
-def list_digest(df: DataFrame, line: Column, order: list[Column], opening="[", joint=", ", closing="]") -> DataFrame:
-    """sha256 over the lines in the given order, as one JSON-like list. For small, checked sets."""
-    ranked = df.select(line.alias("line"), *[key.alias(f"k{i}") for i, key in enumerate(order)])
-    keys = [f"k{i}" for i in range(len(order))]
-    lines = F.array_sort(F.collect_list(F.struct(*keys, "line")))
-    text = F.concat(F.lit(opening), F.array_join(F.transform(lines, lambda x: x["line"]), joint), F.lit(closing))
-    return ranked.agg(F.sha2(text, 256).alias("digest"), F.count("line").alias("rows"))
-
-
-def checked_list_digest(df: DataFrame, line: Column, order: list[Column], limit: int = LIST_LIMIT, **shape) -> DataFrame:
-    """``list_digest`` after counting that no more than ``limit`` rows come in."""
-    if df.select(F.lit(1)).limit(limit + 1).count() > limit:
-        raise DigestTooLarge(f"more than {limit} rows; use tree_digest")
-    return list_digest(df, line, order, **shape)
-
-
-def tree_depth(rows: int, leaf_rows: int = _LEAF_ROWS) -> int:
-    """Hex digits of fan-out so that a leaf holds about ``leaf_rows`` rows."""
-    if rows <= leaf_rows:
-        return 0
-    return math.ceil(math.log(rows / leaf_rows, 16))
+# Hex digits that name a leaf and the nodes above it. They are part of the digest's definition: 16 million leaves under 4 096
+# nodes, so a leaf holds some thousand hashes of 10^11 rows, and no node has more than 4 096 children.
+WIDTHS = (6, 3)
 
 
-def tree_digest(df: DataFrame, line: Column, depth: int) -> DataFrame:
-    """Digest of digests: rows are hashed, copies counted, and hashes folded 16 to 1 per level.
+def tree_digest(df: DataFrame, line: Column, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """``digest`` and ``rows``: the digest of digests of the lines, of one form at every size.
 
-    Copies collapse before the first shuffle, hashes spread evenly over the leaves, and every
-    level above has at most sixteen children, so no task ever holds a large group.
+    Lines are hashed and equal ones counted. Sorted ``hash:count`` items with one prefix make a leaf, sorted ``prefix:digest``
+    items a node, and the nodes the root. Copies collapse before the first shuffle and hashes spread evenly.
     """
     hashed = df.select(F.sha2(line, 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     nodes = hashed.select(
-        F.left("h", F.lit(depth)).alias("prefix"),
+        F.left("h", F.lit(widths[0])).alias("prefix"),
         F.concat_ws(":", "h", F.col("n").cast("string")).alias("item"),
         "n",
     )
-    for level in range(depth, 0, -1):
+    for above in [*widths[1:], 0]:
         nodes = nodes.groupBy("prefix").agg(*_fold()).select(
-            F.left("prefix", F.lit(level - 1)).alias("prefix"),
+            F.left("prefix", F.lit(above)).alias("prefix"),
             F.concat_ws(":", "prefix", "digest").alias("item"),
             F.col("rows").alias("n"),
         )

@@ -53,6 +53,37 @@ def utc(moment: datetime | str) -> Column:
     return F.lit(moment.astimezone(timezone.utc).isoformat()).cast("timestamp")
 
 
+# Fixed pattern: ISO 8601 as date, week date or basic date, with an optional time and offset after one character.
+_ISO_TIME = (
+    r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-?[Ww](\d{2})(?:-?([1-7]))?)"
+    r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(?:[Zz]|([+-])(\d{2}):?(\d{2})(?::?(\d{2}))?)?)?$"
+)
+
+
+def iso_instant(column: Column) -> Column:
+    """The instant of an ISO 8601 text, UTC where it names no offset; null for any other text.
+
+    A date is required, so a time alone is none; zones go by offset, not by name.
+    """
+
+    def part(i: int, default: str = "") -> Column:
+        found = F.regexp_extract(column, _ISO_TIME, i)
+        return F.when(found == "", F.lit(default)).otherwise(found) if default else found
+
+    year, week = part(1), part(6)
+    day = F.concat_ws("-", year, F.concat(part(2), part(4)), F.concat(part(3), part(5))).try_cast("date")
+    monday = F.date_trunc("week", F.concat(year, F.lit("-01-04")).try_cast("date")).cast("date")
+    in_week = F.date_add(monday, (week.try_cast("int") - 1) * 7 + part(7, "1").try_cast("int") - 1)
+    last_week = F.weekofyear(F.concat(year, F.lit("-12-28")).try_cast("date"))
+    of_week = F.when(week.try_cast("int").between(1, last_week), in_week)
+    date = F.when(week == "", day).otherwise(of_week)
+    clock = F.concat(part(8, "00"), F.lit(":"), part(9, "00"), F.lit(":"), part(10, "00"), F.lit("."), F.left(F.rpad(part(11, "0"), 6, "0"), F.lit(6)))
+    zone = F.when(part(12) == "", "+00:00").otherwise(F.concat(part(12), part(13), F.lit(":"), part(14)))
+    seconds = F.concat(part(12), part(15, "00")).try_cast("int")
+    moment = F.concat(date.cast("string"), F.lit("T"), clock, zone).try_cast("timestamp")
+    return F.when(column.rlike(_ISO_TIME), moment - F.make_dt_interval(secs=F.coalesce(seconds, F.lit(0)).cast("decimal(18,6)")))
+
+
 def instant(column: Column) -> Column:
     """Timestamps with and without zone as ``TIMESTAMP`` (the session zone is UTC)."""
     return column.cast("timestamp")

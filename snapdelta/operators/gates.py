@@ -84,12 +84,21 @@ def duplicate_ids(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def require_unique(df: DataFrame, key: str = "doc_id", shown: int = 20) -> None:
-    """Stop the run when keys repeat; the message names the first of them in order."""
-    found = duplicate_ids(df, key).orderBy(key).limit(shown + 1).collect()
-    if found:
-        names = [row[key] for row in found[:shown]] + (["..."] if len(found) > shown else [])
-        raise GateError("duplicate document ids: " + ", ".join(names))
+def require_unique(df: DataFrame, key: str = "doc_id", report: str | None = None, named: int = 20) -> None:
+    """Stop the run when keys repeat.
+
+    All of them, with their counts, are written under ``report`` as JSON lines where that is given; the message names the
+    path, how many they are, and the first in order.
+    """
+    found = duplicate_ids(df, key)
+    if report:
+        found.write.mode("overwrite").json(report)
+        found = found.sparkSession.read.schema(found.schema).json(report)
+    many = found.count()
+    if many:
+        names = ", ".join(row[key] for row in found.orderBy(key).limit(named).collect())
+        more = "" if many <= named else f" and {many - named} more"
+        raise GateError(f"duplicate document ids: {names}{more}" + (f"; all {many} are listed in {report}" if report else ""))
 
 
 def split_ops(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

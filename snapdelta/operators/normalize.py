@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -14,6 +15,7 @@ from snapdelta.functions.text import (
     field_type,
     has_field,
     instant,
+    iso_instant,
     iso_text,
     plain_text,
     ref,
@@ -22,6 +24,8 @@ from snapdelta.functions.text import (
     utc,
 )
 
+# Map column of JSON values by name; where rows have it, metadata is taken from there as it is.
+FACTS = "_facts"
 DOC_COLUMNS = [
     "doc_id",
     "title",
@@ -84,7 +88,7 @@ def updated_at(df: DataFrame, field: str | None, run_ts: datetime | str) -> Colu
         return F.coalesce(instant(column), now)
     if isinstance(kind, T.StringType):
         bad = F.raise_error(F.concat(F.lit("not an ISO time: "), column)).cast("timestamp")
-        return F.when(column.isNull(), now).otherwise(F.coalesce(column.try_cast("timestamp"), bad))
+        return F.when(column.isNull(), now).otherwise(F.coalesce(iso_instant(column), bad))
     return now
 
 
@@ -104,6 +108,15 @@ def metadata(df: DataFrame, connector_id: str, fields: tuple[str, ...]) -> Colum
     return F.struct(*[values[name].alias(name) for name in sorted(values)])
 
 
+def _facts_text(connector_id: str) -> Column:
+    """JSON object of the connector id and the row's own JSON values, keys sorted."""
+    own = F.transform(F.map_entries(F.col(FACTS)), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    connector = F.struct(F.lit("connector_id").alias("k"), F.lit(json.dumps(connector_id)).alias("v"))
+    entries = F.sort_array(F.concat(F.filter(own, lambda e: e["k"] != "connector_id"), F.array(connector)))
+    quoted = F.transform(entries, lambda e: F.concat(F.lit('"'), F.regexp_replace(e["k"], r'(["\\])', r"\\$1"), F.lit('":'), e["v"]))
+    return F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}"))
+
+
 def json_text(column: Column) -> Column:
     """JSON text with nulls kept."""
     return F.to_json(column, {"ignoreNullFields": "false"})
@@ -144,12 +157,12 @@ def normalize(
         updated_at(df, watermark_field, run_ts).alias("updated_at"),
         acl(df, mapping.acl_users_field).alias("acl_users"),
         acl(df, mapping.acl_groups_field).alias("acl_groups"),
-        metadata(df, connector_id, mapping.metadata_fields).alias("facts"),
+        (_facts_text(connector_id) if FACTS in df.columns else metadata(df, connector_id, mapping.metadata_fields)).alias("facts"),
         *keep,
     )
     hashed = F.struct("acl_groups", "acl_users", "content", "doc_id", F.col("facts").alias("metadata"), "mime_type", "title", "uri")
     columns = {name: F.col(name) for name in DOC_COLUMNS[:8]}
-    columns["metadata"] = json_text(F.col("facts"))
+    columns["metadata"] = F.col("facts") if FACTS in df.columns else json_text(F.col("facts"))
     columns["checksum"] = sha256_text(json_text(hashed))
     columns["op"] = F.lit("UPSERT")
     return fields.select(*[columns[name].alias(name) for name in DOC_COLUMNS], *keep)

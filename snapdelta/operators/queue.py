@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Keys that repeat this often may be joined by broadcast; so many of them at most.
-HOT_ROWS = 10_000
-HOT_KEYS = 1_000
-
 
 def check_targets(parsed: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds ``target_error`` to requests whose connector is unknown or does not take pushes.
@@ -21,12 +17,12 @@ def check_targets(parsed: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def key_claims(parsed: DataFrame, keys: DataFrame) -> DataFrame:
-    """One row per key: its first acceptable request here, how often it is used, its known hash."""
+    """One row per key: its first acceptable request here and its known hash."""
     good = F.col("body_error").isNull()
     if "target_error" in parsed.columns:
         good = good & F.col("target_error").isNull()
     claim = F.when(good, F.struct("received_at", "request_id", "request_hash"))
-    claims = parsed.where("key <> ''").groupBy("key").agg(F.min(claim).alias("f"), F.count(F.lit(1)).alias("uses"))
+    claims = parsed.where("key <> ''").groupBy("key").agg(F.min(claim).alias("f"))
     known = keys.select("key", F.col("request_hash").alias("known_hash"))
     return claims.join(known, "key", "left").select(
         "key",
@@ -34,20 +30,17 @@ def key_claims(parsed: DataFrame, keys: DataFrame) -> DataFrame:
         F.col("f.request_id").alias("first_id"),
         F.col("f.request_hash").alias("first_hash"),
         "known_hash",
-        "uses",
     )
 
 
 def _with_claims(parsed: DataFrame, claims: DataFrame) -> DataFrame:
-    """Left join of requests with the claims of their key, safe against very frequent keys.
+    """Requests with the claims of their key, safe against very frequent keys.
 
-    The few most repeated keys (a fixed number) are joined by broadcast, so their requests stay
-    where they are; all other requests shuffle on the key.
+    Requests without a key have no claim: they stay where they are and take no part in the join. Keys that repeat often are
+    left to the join's skew split, which needs no number of them to be known.
     """
-    hot = claims.where(F.col("uses") >= HOT_ROWS).orderBy(F.desc("uses"), "key").limit(HOT_KEYS)
-    hot_side = parsed.join(F.broadcast(hot), "key")
-    cold = parsed.join(F.broadcast(hot.select("key")), "key", "left_anti")
-    return hot_side.unionByName(cold.join(claims, "key", "left"))
+    has_key = F.coalesce(F.col("key") != "", F.lit(False))
+    return parsed.where(has_key).join(claims, "key", "left").unionByName(parsed.where(~has_key), allowMissingColumns=True)
 
 
 def classify_requests(parsed: DataFrame, keys: DataFrame) -> DataFrame:
@@ -73,7 +66,7 @@ def classify_requests(parsed: DataFrame, keys: DataFrame) -> DataFrame:
         .when(same, "replay")
         .otherwise("conflict")
     )
-    return joined.withColumn("outcome", outcome).drop("known_hash", "first_at", "first_id", "first_hash", "uses")
+    return joined.withColumn("outcome", outcome).drop("known_hash", "first_at", "first_id", "first_hash")
 
 
 def request_counts(flagged: DataFrame, by: str = "request_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapdelta.functions.digest import LIST_LIMIT, checked_list_digest, tree_depth, tree_digest
+from snapdelta.functions.digest import WIDTHS, tree_digest
 from snapdelta.functions.text import iso_text
 from snapdelta.operators.diff import concat_delta
 from snapdelta.operators.normalize import json_text
@@ -28,23 +28,13 @@ def _line() -> Column:
     return F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
 
 
-def replay_digest(upserts: DataFrame, deletes: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
-    """sha256 over the delta as one JSON list sorted by operation, id and checksum.
+def replay_digest(upserts: DataFrame, deletes: DataFrame, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """Digest of a delta: equal for equal deltas, however large they are and however they are partitioned.
 
-    The list passes through one task, so more than ``limit`` rows are refused; large deltas take
-    ``replay_tree_digest``, which answers the same question.
+    It covers operation, id, checksum and time of every row. ``widths`` sets the shape of the tree and with it the value.
     """
     delta = concat_delta(upserts, deletes).select(*_FIELDS)
-    order = [F.col("op"), F.col("doc_id"), F.col("checksum"), F.col("updated_at")]
-    return checked_list_digest(delta, _line(), order, limit)
-
-
-def replay_tree_digest(upserts: DataFrame, deletes: DataFrame, depth: int | None = None) -> DataFrame:
-    """Digest of a delta of any size; equal for equal deltas, however they are partitioned."""
-    delta = concat_delta(upserts, deletes).select(*_FIELDS)
-    if depth is None:
-        depth = tree_depth(delta.count())
-    return tree_digest(delta, _line(), depth)
+    return tree_digest(delta, _line(), widths)
 
 
 def delta_diff(a: DataFrame, b: DataFrame) -> DataFrame:

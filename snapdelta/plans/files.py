@@ -36,6 +36,11 @@ class Files:
         found = fs.globStatus(at)
         return sorted(status.getPath().toString() for status in (found or []) if status.isFile())
 
+    def any(self, pattern: str) -> bool:
+        """Whether anything matches; one listing, and nothing per file."""
+        fs, at = self._at(pattern)
+        return len(fs.globStatus(at) or []) > 0
+
     def names(self, folder: str) -> list[str]:
         fs, at = self._at(folder)
         if not fs.exists(at):

@@ -69,7 +69,11 @@ def _write_rows(cells: DataFrame, folder: str) -> dict[str, str]:
 
 
 def _publish(frame, write, output, manifest: Manifest) -> Manifest:
-    """Data of the run, its manifest, the alias where wanted, and the pointer as the last write."""
+    """Data of the run, its manifest, the alias where wanted, and then the pointer.
+
+    An alias is a folder of its own under ``latest``, so readers of the one before are not disturbed; the pointer names the
+    new one once it is whole. The alias before it is kept for them, older ones are removed.
+    """
     files = Files(frame.sparkSession)
     base = _base(output, manifest.connector_id)
     run = f"{base}/runs/{manifest.run_id}"
@@ -78,9 +82,16 @@ def _publish(frame, write, output, manifest: Manifest) -> Manifest:
     pointed = manifest
     if output.publish_latest_alias:
         latest = f"{base}/latest"
-        pointed = replace(manifest, manifest_path=f"{latest}/manifest.json", **write(frame, latest))
+        before = files.names(latest)
+        pointed = replace(manifest, manifest_path=f"{latest}/{manifest.run_id}/manifest.json", **write(frame, f"{latest}/{manifest.run_id}"))
         files.write(pointed.manifest_path, pointed.text())
     files.write(f"{base}/state/latest_success.json", pointed.text())
+    if output.publish_latest_alias:
+        last = json.loads(files.read(f"{latest}/current.json"))["run_id"] if "current.json" in before else None
+        files.write(f"{latest}/current.json", json.dumps({"run_id": manifest.run_id}))
+        for name in before:
+            if name not in ("current.json", last, manifest.run_id):
+                files.remove(f"{latest}/{name}")
     return manifest
 
 

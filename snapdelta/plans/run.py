@@ -6,8 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from snapdelta.functions.template import _SLOT
 from snapdelta.functions.text import field_type, has_field, mark_text, ref
@@ -15,15 +16,15 @@ from snapdelta.operators.diff import changed_keys, delta_of
 from snapdelta.operators.gates import GateError, flag_unsafe, require_unique, split_ops
 from snapdelta.operators.normalize import DOC_COLUMNS, normalize
 from snapdelta.operators.queue import next_pending_batch
-from snapdelta.operators.state import last_per_document
 from snapdelta.plans.publish import Manifest, publish, publish_csv
 from snapdelta.plans.store import Commit, Store, settle
-from snapdelta.sources.csvfiles import build_checkpoint, csv_pull, file_listing, file_manifest_hash, row_mark
-from snapdelta.sources.pages import item_rows, json_pages, read_pages
+from snapdelta.sources.csvfiles import csv_pull, file_listing, file_mark, matched_files
+from snapdelta.sources.pages import item_rows, json_pages, page_gaps, read_pages
 from snapdelta.sources.sql import high_water_mark, jdbc_pull, sql_pull
 from snapdelta.spec import LAKE, Connector
 
 COMPACT_EVERY = 16
+FOLD_EVERY = 64
 
 # A step that brings a published delta into an outside index; failing stops the commit.
 IndexStep = Callable[[Manifest, DataFrame, DataFrame], None]
@@ -56,40 +57,61 @@ def _template_fields(connector: Connector) -> list[str]:
 
 def _page_rows(spark: SparkSession, connector: Connector) -> DataFrame:
     source, mapping = connector.source, connector.mapping
-    items = json_pages(read_pages(spark, source.path))
+    pages = read_pages(spark, source.path)
+    if source.next_cursor_path:
+        _require_all_pages(pages, source.next_cursor_path)
+    items = json_pages(pages)
     needed = _template_fields(connector)
     lists = [name for name in (mapping.acl_users_field, mapping.acl_groups_field) if name]
-    scalars = dict.fromkeys([*needed, *mapping.metadata_fields, *filter(None, [source.watermark_field])])
-    return item_rows(items, [name for name in scalars if name not in lists], lists, needed)
+    scalars = dict.fromkeys([*needed, *filter(None, [source.watermark_field])])
+    return item_rows(items, [name for name in scalars if name not in lists], lists, needed, facts=mapping.metadata_fields)
+
+
+def _require_all_pages(pages: DataFrame, cursor_path: str) -> None:
+    """Stop the run when a page names a next one that has not landed: a hole would pass for deleted documents.
+
+    The file of a page is named by the cursor that fetched it, URL-encoded, whatever its extension; the first may have
+    any name.
+    """
+    # The path is a URI, so the name in it is escaped once more.
+    file = F.url_decode(F.replace(F.element_at(F.split("page", "/"), -1), F.lit("+"), F.lit("%2B")))
+    named = pages.withColumn("cursor", F.url_decode(F.regexp_replace(file, r"\.[^.]*$", "")))
+    missing = page_gaps(named, cursor_path).orderBy("cursor").limit(3).collect()
+    if missing:
+        raise GateError("pages are missing: " + ", ".join(f"{r['next_cursor']} after {r['cursor']}" for r in missing))
 
 
 def _extract(
     store: Store, connector: Connector, mark: str | None, run_id: str, connection: dict[str, str] | None
-) -> DataFrame:
-    """Source rows. Rows of an outside database are written first, since a run reads them twice."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """Source rows, and for files the listing that was taken before they were read.
+
+    Rows of an outside database are written first, since a run reads them twice.
+    """
     spark, source = store.spark, connector.source
     if connector.mode == "sql_pull":
         if source.type == LAKE:
-            return sql_pull(spark, source.query, mark)[0]
+            return sql_pull(spark, source.query, mark)[0], None
         if connection is None:
             raise ValueError("a database source needs connection options")
         staged = f"{store.staging(run_id)}/rows"
-        jdbc_pull(spark, connection, source.query, mark)[0].write.mode("overwrite").parquet(staged)
-        return spark.read.parquet(staged)
+        ranges = {}
+        if source.partition_column:
+            ranges = {"partition_column": source.partition_column, "bounds": source.bounds, "partitions": source.partitions}
+        jdbc_pull(spark, connection, source.query, mark, dialect=source.type, **ranges)[0].write.mode("overwrite").parquet(staged)
+        return spark.read.parquet(staged), None
     if connector.mode == "rest_pull":
-        return _page_rows(spark, connector)
-    return csv_pull(spark, source.path, source.glob, source.csv)
+        return _page_rows(spark, connector), None
+    paths = matched_files(spark, source.path, source.glob)
+    files = settle(file_listing(spark, paths=paths), f"{store.staging(run_id)}/files")
+    return csv_pull(spark, source.path, source.glob, source.csv, paths), files
 
 
-def _new_mark(store: Store, connector: Connector, rows_mark: str | None, previous: str | None) -> str | None:
-    """The mark to commit, from the greatest mark among the rows of this run."""
-    if connector.mode != "file_pull":
-        return previous if rows_mark is None else rows_mark
-    source = connector.source
-    files = file_listing(store.spark, source.path, source.glob)
-    manifest = file_manifest_hash(files).first()
-    mark = row_mark(previous) if rows_mark is None else rows_mark
-    return build_checkpoint(mark, manifest["rows"], files.agg(F.max("mtime")).first()[0], manifest["digest"])
+def _new_mark(files: DataFrame | None, rows_mark: str | None, previous: str | None) -> str | None:
+    """The mark to commit, from the greatest mark among the rows of this run and the files they came from."""
+    if files is not None:
+        return file_mark(files, rows_mark, previous)
+    return previous if rows_mark is None else rows_mark
 
 
 def _mark_column(rows: DataFrame, field: str | None):
@@ -113,25 +135,39 @@ def _pull_delta(
     marked = rows.withColumn("_mark", _mark_column(rows, field))
     documents = flag_unsafe(normalize(marked, mapping, name, field, run_ts, keep=("_mark",)))
     keys = settle(documents.select("doc_id", "checksum", "unsafe", "_mark"), f"{staged}/keys")
-    seen = keys.agg(F.count_if("unsafe").alias("unsafe"), F.max("_mark").alias("mark")).first()
+    seen = keys.agg(F.count_if("unsafe").alias("unsafe"), F.max("_mark").alias("mark"), F.count(F.lit(1)).alias("rows")).first()
     if seen["unsafe"]:
         raise GateError("unsafe marker detected in document content")
-    require_unique(keys)
-
-    changes = settle(changed_keys(keys, store.state(name, at), connector.delete_policy), f"{staged}/changes")
-    kinds = {row["change"]: row["count"] for row in changes.groupBy("change").count().collect()}
-    _check_delete_ratio(store, connector, kinds.get("missing", 0), at)
+    require_unique(keys, report=f"{store.root}/reports/{run_id}/duplicate_ids")
 
-    delta = delta_of(rows, changes, mapping, name, field, connector.delete_policy, run_ts)
+    if at.state_base is None and not at.state_deltas:
+        # Nothing is known yet: every row is new, and no content needs to meet a list of changed ids.
+        kinds = {"new": seen["rows"]}
+        delta = normalize(rows, mapping, name, field, run_ts)
+    else:
+        changes = settle(changed_keys(keys, store.state(name, at), connector.delete_policy), f"{staged}/changes")
+        kinds = {row["change"]: row["count"] for row in changes.groupBy("change").count().collect()}
+        _check_delete_ratio(store, connector, kinds.get("missing", 0), at)
+        delta = delta_of(rows, changes, mapping, name, field, connector.delete_policy, run_ts)
     path = store.delta_path(name, run_id)
     delta.write.mode("overwrite").partitionBy("op").parquet(path)
-    written = store.read_documents(path).where("op <> 'DELETE'").count()
-    expected = kinds.get("new", 0) + kinds.get("changed", 0)
-    if written != expected:
-        raise SourceChanged(f"{written} documents written for {expected} changed ids")
+    _same_as_first_read(store.read_documents(path), keys, kinds.get("new", 0) + kinds.get("changed", 0))
     return path, seen["mark"]
 
 
+def _same_as_first_read(delta: DataFrame, keys: DataFrame, expected: int) -> None:
+    """Fail unless the written documents are those that the gates have seen: as many, with the same checksums."""
+    first = keys.select("doc_id", F.col("checksum").alias("first"))
+    written = delta.where("op <> 'DELETE'").select("doc_id", "checksum").join(first, "doc_id", "left")
+    found = written.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("checksum").eqNullSafe(F.col("first"))).alias("other")
+    ).first()
+    if found["rows"] != expected:
+        raise SourceChanged(f"{found['rows']} documents written for {expected} changed ids")
+    if found["other"]:
+        raise SourceChanged(f"{found['other']} documents differ from what the gates have checked")
+
+
 def _check_delete_ratio(store: Store, connector: Connector, gone: int, at: Commit) -> None:
     """Optional guard against an empty or partial snapshot deleting everything."""
     if connector.max_delete_ratio is None or not gone:
@@ -141,26 +177,31 @@ def _check_delete_ratio(store: Store, connector: Connector, gone: int, at: Commi
         raise GateError(f"{gone} of {known} documents would be deleted")
 
 
-def _push_delta(store: Store, connector: Connector, run_id: str, batch: Row) -> str:
-    """Write the documents of one waiting batch as a delta. They are not compared with the state.
+def _push_delta(store: Store, connector: Connector, run_id: str, batches: DataFrame) -> str:
+    """Write the documents of waiting batches as one delta. They are not compared with the state.
 
-    Only the files of the micro-batch that took the batch in are read.
+    Batches count in the order in which they came: the last that names a document decides, with its last upsert and its
+    delete, of which the delete wins. So one delta of many batches leaves what one delta each would.
     """
-    events = store.queue_events().where(
-        (F.col("stream") == batch["stream"])
-        & (F.col("batch_id") == batch["batch_id"])
-        & (F.col("connector_id") == connector.name)
-        & (F.col("run_id") == batch["run_id"])
+    taken = F.broadcast(batches) if batches.count() == 1 else batches
+    events = store.queue_events().where(F.col("connector_id") == connector.name)
+    events = events.join(taken.drop("created_at"), ["run_id", "stream", "batch_id"], "left_semi").join(
+        batches.select(F.col("run_id"), F.col("created_at").alias("came_at")), "run_id"
     )
-    documents = last_per_document(events.select(*DOC_COLUMNS, "pos"), "pos").select(*DOC_COLUMNS)
+    batch = F.struct("came_at", "run_id")
+    row = F.struct(*[c for c in DOC_COLUMNS if c not in ("doc_id", "op")])
+    last = events.groupBy("doc_id", "op").agg(F.max_by(row, F.struct(batch, "pos")).alias("d"), F.max(batch).alias("batch"))
+    decided = last.withColumn("decides", F.max("batch").over(Window.partitionBy("doc_id"))).where("batch = decides")
+    documents = decided.select("doc_id", "op", "d.*").select(*DOC_COLUMNS)
     path = store.delta_path(connector.name, run_id)
     documents.write.mode("overwrite").partitionBy("op").parquet(path)
     return path
 
 
-def _waiting_batch(store: Store, connector_id: str, run_id: str | None) -> Row | None:
+def _waiting_batches(store: Store, connector_id: str, run_id: str | None, all_waiting: bool) -> DataFrame:
     mine = store.batches().where(F.col("connector_id") == connector_id)
-    return next_pending_batch(mine, run_id).select("run_id", "stream", "batch_id").first()
+    waiting = mine.where("status = 'PENDING'") if all_waiting else next_pending_batch(mine, run_id)
+    return waiting.select("run_id", "stream", "batch_id", "created_at")
 
 
 def run_connector(
@@ -172,21 +213,22 @@ def run_connector(
     connection: dict[str, str] | None = None,
     index_step: IndexStep | None = None,
     clock: Callable[[], datetime] = _now,
+    all_waiting: bool = False,
 ) -> RunResult:
     """Extract, normalize, check, diff, publish, index and commit.
 
     Any failure leaves the last commit in force: mark, state and queue stay as they were, and the
-    run is logged as failed. A failed run's files are not named by any commit, and the same run id
+    run is logged as failed. A push run drains the oldest waiting batch, the one named, or with
+    ``all_waiting`` every batch that waits. A failed run's files are not named by any commit, and the same run id
     may be tried again; the id of a committed run may not, since its files are in force.
     """
-    at = store.head(connector.name)
-    if run_id in {used for used, _ in (*at.state_deltas, *at.target_deltas)}:
+    if store.committed(connector.name, run_id):
         raise ValueError(f"run {run_id} has been committed already")
     started = run_ts or clock()
     facts = {"connector_id": connector.name, "started_at": started}
     store.log(run_id, 0, status="RUNNING", **facts)
     try:
-        result = _run(store, connector, run_id, started, push_run_id, connection, index_step, clock)
+        result = _run(store, connector, run_id, started, push_run_id, connection, index_step, clock, all_waiting)
     except Exception as error:
         store.log(
             run_id,
@@ -209,26 +251,34 @@ def run_connector(
         **facts,
     )
     store.files.remove(store.staging(run_id))
-    if len(store.head(connector.name).state_deltas) >= COMPACT_EVERY:
-        store.compact(connector.name)
+    last = store.head(connector.name)
+    if last.version % FOLD_EVERY == 0:
+        store.fold_events()
+    if len(last.state_deltas) >= COMPACT_EVERY or len(last.target_deltas) >= COMPACT_EVERY:
+        store.compact(connector.name, len(last.state_deltas) >= COMPACT_EVERY, len(last.target_deltas) >= COMPACT_EVERY)
     return result
 
 
-def _run(store, connector, run_id, run_ts, push_run_id, connection, index_step, clock) -> RunResult:
+def _run(store, connector, run_id, run_ts, push_run_id, connection, index_step, clock, all_waiting) -> RunResult:
     at = store.head(connector.name)
     batch_id = None
     if connector.mode == "rest_push":
-        batch = _waiting_batch(store, connector.name, push_run_id)
-        if batch is None:
+        waiting = _waiting_batches(store, connector.name, push_run_id, all_waiting)
+        batches = settle(waiting, f"{store.staging(run_id)}/batches")
+        found = batches.limit(2).collect()
+        if not found:
             return RunResult(run_id, connector.name, 0, 0, None)
-        batch_id = batch["run_id"]
-        path, mark = _push_delta(store, connector, run_id, batch), at.watermark
+        if len(found) == 1:
+            batch_id = found[0]["run_id"]
+        else:
+            batches.select("run_id").write.mode("overwrite").parquet(store.drained_path(run_id))
+        path, mark = _push_delta(store, connector, run_id, batches), at.watermark
     else:
-        rows = _extract(store, connector, at.watermark, run_id, connection)
+        rows, files = _extract(store, connector, at.watermark, run_id, connection)
         if connector.output.format == "csv":
             return _export(store, connector, rows, at, run_id, run_ts, clock)
         path, rows_mark = _pull_delta(store, connector, rows, at, run_id, run_ts)
-        mark = _new_mark(store, connector, rows_mark, at.watermark)
+        mark = _new_mark(files, rows_mark, at.watermark)
 
     delta = store.read_documents(path)
     manifest = publish(delta, connector.output, connector.name, run_id, mark, run_ts, clock())
@@ -251,7 +301,11 @@ def _run(store, connector, run_id, run_ts, push_run_id, connection, index_step,
 
 
 def _export(store, connector, rows, at, run_id, run_ts, clock) -> RunResult:
-    """CSV snapshot: no mapping, no diff and no state, but the mark moves on."""
+    """CSV snapshot: no mapping, no diff and no state, but the mark moves on.
+
+    The rows are written once; mark, count, rows and alias are taken from there.
+    """
+    rows = settle(rows, f"{store.staging(run_id)}/export")
     mark = high_water_mark(rows, connector.source.watermark_field, at.watermark).first()["watermark"]
     manifest = publish_csv(rows, connector.output, connector.name, run_id, mark, run_ts, clock())
     store.commit(replace(at, run_id=run_id, watermark=mark, updated_at=clock().isoformat(), batch_id=None))

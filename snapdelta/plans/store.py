@@ -10,7 +10,9 @@ run writes only what has changed; ``compact`` folds them into a new base now and
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timezone
 from functools import reduce
@@ -71,12 +73,29 @@ class Store:
     def _commits(self, connector_id: str) -> str:
         return f"{self.root}/tables/{connector_id}/commits"
 
+    def _head_note(self, connector_id: str) -> str:
+        return f"{self.root}/heads/{connector_id}.json"
+
+    def _commit_file(self, connector_id: str, version: int) -> str:
+        return f"{self._commits(connector_id)}/{version:012d}.json"
+
     def head(self, connector_id: str) -> Commit:
-        """The last commit, or an empty one."""
-        names = [name for name in self.files.names(self._commits(connector_id)) if name.endswith(".json")]
-        if not names:
+        """The last commit, or an empty one.
+
+        A note beside the commits holds a copy of the last; commits after it (a failure came between) are found by
+        their numbers, and the note is then put right. So no commit is listed, however many there are.
+        """
+        note = self._head_note(connector_id)
+        text = self.files.read(note) if self.files.exists(note) else None
+        noted = version = json.loads(text)["version"] if text else 0
+        while self.files.exists(self._commit_file(connector_id, version + 1)):
+            version += 1
+        if not version:
             return Commit(connector_id)
-        raw = json.loads(self.files.read(f"{self._commits(connector_id)}/{names[-1]}"))
+        if version > noted:
+            text = self.files.read(self._commit_file(connector_id, version))
+            self.files.write(note, text)
+        raw = json.loads(text)
         for name in ("state_deltas", "target_deltas"):
             raw[name] = tuple(tuple(pair) for pair in raw[name])
         return Commit(**raw)
@@ -84,19 +103,36 @@ class Store:
     def commit(self, new: Commit) -> Commit:
         """Write the commit after ``new.version``; fails when another run was faster."""
         new = replace(new, version=new.version + 1)
-        self.files.write_new(f"{self._commits(new.connector_id)}/{new.version:012d}.json", json.dumps(asdict(new)))
+        self._mark_used(self.head(new.connector_id))
+        text = json.dumps(asdict(new))
+        self.files.write_new(self._commit_file(new.connector_id, new.version), text)
+        self.files.write(self._head_note(new.connector_id), text)
+        self._mark_used(new)
         return new
 
+    def _used(self, connector_id: str, run_id: str) -> str:
+        name = hashlib.sha256(run_id.encode()).hexdigest()
+        return f"{self.root}/tables/{connector_id}/used/{name[:2]}/{name}"
+
+    def _mark_used(self, commit: Commit) -> None:
+        """Note the commit's run id. The next commit does it again, should a failure come between."""
+        if commit.run_id and not self.files.exists(self._used(commit.connector_id, commit.run_id)):
+            self.files.write(self._used(commit.connector_id, commit.run_id), commit.run_id)
+
+    def committed(self, connector_id: str, run_id: str) -> bool:
+        """Whether any commit of the connector was made by this run; one lookup however many there are."""
+        return self.head(connector_id).run_id == run_id or self.files.exists(self._used(connector_id, run_id))
+
     def checkpoints(self) -> DataFrame:
-        """``connector_id, watermark, updated_at`` of every connector."""
-        commits = self._read_json(f"{self.root}/tables/*/commits/*.json", _COMMIT_SCHEMA)
-        last = commits.where("updated_at is not null").groupBy("connector_id").agg(
-            F.max_by(F.struct("watermark", "updated_at"), "version").alias("c")
-        )
-        return last.select("connector_id", "c.watermark", "c.updated_at")
+        """``connector_id, watermark, updated_at`` of every connector, from the note of its last commit.
+
+        A note is behind only after a failure between commit and note, until the connector's next run.
+        """
+        last = self._read_json(f"{self.root}/heads/*.json", _COMMIT_SCHEMA)
+        return last.where("updated_at is not null").select("connector_id", "watermark", "updated_at")
 
     def _read_json(self, pattern: str, schema: str) -> DataFrame:
-        if not self.files.glob(pattern):
+        if not self.files.any(pattern):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).json(pattern)
 
@@ -181,7 +217,26 @@ class Store:
         self.files.write(f"{self.root}/run_events/{run_id}-{seq}.json", json.dumps(event, default=_stamp))
 
     def run_events(self) -> DataFrame:
-        return self._read_json(f"{self.root}/run_events/*.json", _EVENT_SCHEMA)
+        """Events in files of their own, and those folded into tables."""
+        fresh = self._read_json(f"{self.root}/run_events/*.json", _EVENT_SCHEMA)
+        folded = f"{self.root}/run_events_folded"
+        if not self.files.exists(folded):
+            return fresh
+        earlier = self.spark.read.schema(_EVENT_SCHEMA).option("recursiveFileLookup", True).parquet(folded)
+        # A failure while folding can leave an event in both places.
+        return fresh.unionByName(earlier).dropDuplicates(["run_id", "seq"])
+
+    def fold_events(self) -> None:
+        """Write the events of finished runs into one table and remove their small files."""
+        names = [name for name in self.files.names(f"{self.root}/run_events") if name.endswith(".json")]
+        done = {name[: -len("-1.json")] for name in names if name.endswith("-1.json")}
+        paths = [f"{self.root}/run_events/{name}" for name in names if name.rsplit("-", 1)[0] in done]
+        if not paths:
+            return
+        rows = self.spark.read.schema(_EVENT_SCHEMA).json(paths)
+        rows.coalesce(1).write.parquet(f"{self.root}/run_events_folded/{uuid.uuid4().hex}")
+        for path in paths:
+            self.files.remove(path)
 
     def runs(self) -> DataFrame:
         """The run ledger, one row per run."""
@@ -199,12 +254,25 @@ class Store:
 
     def batches(self) -> DataFrame:
         """Push batches; those named by a commit are processed."""
-        drained = self._read_json(f"{self.root}/tables/*/commits/*.json", _COMMIT_SCHEMA)
-        done = drained.where("batch_id is not null").select(F.col("batch_id").alias("run_id")).distinct()
+        commits = self._read_json(f"{self.root}/tables/*/commits/*.json", _COMMIT_SCHEMA)
+        one = commits.where("batch_id is not null").select(F.col("batch_id").alias("run_id"))
+        runs = commits.select(F.col("run_id").alias("drained_by"))
+        many = self.drained().join(runs, "drained_by", "left_semi").select("run_id")
+        done = one.unionByName(many).distinct()
         found = self.queue("batches", BATCH_SCHEMA).drop("status")
         status = F.when(F.col("_done"), "PROCESSED").otherwise("PENDING")
         return found.join(done.withColumn("_done", F.lit(True)), "run_id", "left").withColumn("status", status).drop("_done")
 
+    def drained_path(self, run_id: str) -> str:
+        return f"{self.root}/push/drained/drained_by={run_id}"
+
+    def drained(self) -> DataFrame:
+        """Batches that a run has taken together; they count once the run is committed."""
+        schema, path = "run_id string, drained_by string", f"{self.root}/push/drained"
+        if not self.files.exists(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
     def queue_events(self) -> DataFrame:
         return self.queue("events", QUEUE_EVENT_SCHEMA)
 

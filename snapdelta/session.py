@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Of equal keys in a JSON object the last counts, as in most readers.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

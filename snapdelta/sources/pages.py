@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from snapdelta.functions.once import once
 from snapdelta.functions.text import instant
+from snapdelta.operators.normalize import FACTS
 
 
 def kind_of(value: Column) -> Column:
@@ -87,11 +88,17 @@ def _item_names(value: Column) -> Column:
 
 
 def item_rows(
-    items: DataFrame, scalars: list[str], lists: list[str] = (), required: list[str] = (), item: str = "item"
+    items: DataFrame,
+    scalars: list[str],
+    lists: list[str] = (),
+    required: list[str] = (),
+    item: str = "item",
+    facts: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows of text columns, and of name lists, out of variant items for ``normalize``.
 
-    An item without a required key fails the query that uses the column.
+    An item without a required key fails the query that uses the column. ``facts`` name the keys whose values are kept
+    as the JSON they are, in the map column ``FACTS``; a key that an item lacks is not in its map.
     """
 
     def scalar(name: str) -> Column:
@@ -102,6 +109,9 @@ def item_rows(
 
     columns = {name: scalar(name) for name in scalars}
     columns |= {name: _item_names(variant_at(F.col(item), name)) for name in lists}
+    if facts:
+        pairs = [F.struct(F.lit(name).alias("k"), F.to_json(variant_at(F.col(item), name)).alias("v")) for name in facts]
+        columns[FACTS] = F.map_from_entries(F.filter(F.array(*pairs), lambda pair: pair["v"].isNotNull()))
     return items.select(*[column.alias(name) for name, column in columns.items()])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,23 @@ def sql_pull(
     return rows, high_water_mark(rows, watermark_field, watermark)
 
 
-def _sql_text(value: str | None) -> str:
-    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+# What a query text is made of: quoted texts and names, comments, and the bound name as a whole word.
+_PARTS = re.compile(
+    r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/|(?P<mark>(?<![:\w]):watermark\b)""", re.DOTALL
+)
+
+
+def _sql_text(value: str | None, dialect: str | None = None) -> str:
+    """A text literal; MySQL also takes backslashes for escapes."""
+    if value is None:
+        return "NULL"
+    quoted = value.replace("'", "''")
+    return "'" + (quoted.replace("\\", "\\\\") if dialect == "mysql" else quoted) + "'"
+
+
+def bound_query(query: str, watermark: str | None, dialect: str | None = None) -> str:
+    """The query with ``:watermark`` replaced wherever it stands as a word of its own outside of quotes and comments."""
+    return _PARTS.sub(lambda m: _sql_text(watermark, dialect) if m["mark"] else m[0], query)
 
 
 def jdbc_options(
@@ -45,14 +62,14 @@ def jdbc_options(
     bounds: tuple[str, str] | None = None,
     partitions: int = 1,
     fetch_size: int = 10_000,
+    dialect: str | None = None,
 ) -> dict[str, str]:
     """Reader options for a pull from an external database.
 
     With a partition column and its bounds the database is read by ``partitions`` range queries at
     once; rows outside the bounds still come with the first and last range.
     """
-    if ":watermark" in query:
-        query = query.replace(":watermark", _sql_text(watermark))
+    query = bound_query(query, watermark, dialect)
     options = {"dbtable": f"({query.strip().rstrip(';')}) pulled", "fetchsize": str(fetch_size)}
     if partition_column:
         if not bounds or partitions < 1:

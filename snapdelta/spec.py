@@ -37,6 +37,9 @@ class Source:
     format: str | None = None
     csv: CsvOptions | None = None
     next_cursor_path: str | None = None
+    partition_column: str | None = None
+    bounds: tuple[str, str] | None = None
+    partitions: int = 1
 
 
 @dataclass(frozen=True)
@@ -62,35 +65,40 @@ class Connector:
     max_delete_ratio: float | None = field(default=None)
 
     def __post_init__(self):
-        for ok, message in self._rules():
-            if not ok:
-                raise SpecError(message)
+        broken = [f"{self.name}: {part} {rule}" for part, rule in self._broken_rules()]
+        if broken:
+            raise SpecError("; ".join(broken))
 
-    def _rules(self):
+    def _broken_rules(self):
+        """Every rule that does not hold, as the part at fault and what is asked of it."""
         source, output = self.source, self.output
-        yield bool(_NAME.fullmatch(self.name)), f"bad connector name: {self.name!r}"
-        yield self.mode in MODES, f"unknown mode: {self.mode}"
-        yield self.delete_policy in DELETE_POLICIES, f"unknown delete policy: {self.delete_policy}"
-        yield output.format in ("ndjson", "csv"), f"unknown output format: {output.format}"
-        yield self.mode == "rest_push" or bool(self.schedule), "a pull connector needs a schedule"
-        if self.mode == "sql_pull":
-            yield source.type in (*DATABASES, LAKE), f"source type of sql_pull must be one of {(*DATABASES, LAKE)}"
-            yield bool(source.query), "sql_pull needs a query"
-        if self.mode in ("rest_pull", "rest_push"):
-            yield source.type == "http", f"{self.mode} needs a source of type http"
-        if self.mode == "rest_pull":
-            yield bool(source.path), "rest_pull needs the path of the landed pages"
+        choices = {
+            "mode": (self.mode, MODES),
+            "delete policy": (self.delete_policy, DELETE_POLICIES),
+            "output format": (output.format, ("ndjson", "csv")),
+        }
+        types = {"sql_pull": (*DATABASES, LAKE), "rest_pull": ("http",), "rest_push": ("http",), "file_pull": ("file",)}
+        if self.mode in types:
+            choices["source type"] = (source.type, types[self.mode])
         if self.mode == "file_pull":
-            yield source.type == "file", "file_pull needs a source of type file"
-            yield bool(source.path), "file_pull needs a path"
-            yield bool(source.glob), "file_pull needs a glob"
-            yield source.format == "csv", "file_pull reads the csv format only"
-            yield source.csv is not None, "file_pull needs csv options"
-        if output.format == "ndjson":
-            yield self.mapping is not None, "ndjson output needs a mapping"
-        else:
-            yield self.mode == "sql_pull", "only sql_pull can write csv"
-            yield not self.index, "csv output cannot be indexed"
+            choices["source format"] = (source.format, ("csv",))
+        if not _NAME.fullmatch(self.name):
+            yield "name", "takes 1 to 64 of a-z, 0-9 and inner hyphens"
+        for part, (value, allowed) in choices.items():
+            if value not in allowed:
+                yield part, f"is {value!r}, not one of {', '.join(allowed)}"
+        needed = {"sql_pull": ("query",), "rest_pull": ("path",), "file_pull": ("path", "glob", "csv")}
+        for part in needed.get(self.mode, ()):
+            if not getattr(source, part):
+                yield f"source {part}", f"is missing for {self.mode}"
+        if self.mode != "rest_push" and not self.schedule:
+            yield "schedule", "is missing"
+        if source.partition_column and (not source.bounds or source.partitions < 1):
+            yield "source partition column", "is given without bounds or a number of partitions"
+        if output.format == "ndjson" and self.mapping is None:
+            yield "mapping", "is missing"
+        if output.format == "csv" and (self.mode != "sql_pull" or self.index):
+            yield "output format", "csv goes with sql_pull and without an index"
 
 
 # Fixed names: keys of spec documents and the fields they fill.
@@ -120,6 +128,8 @@ _SOURCE_KEYS = {
     "glob": "glob",
     "format": "format",
     "paginationNextCursorJsonPath": "next_cursor_path",
+    "partitionColumn": "partition_column",
+    "partitions": "partitions",
 }
 
 
@@ -134,6 +144,9 @@ def connector_from(document: dict[str, Any]) -> Connector:
         source = _pick(spec["source"], _SOURCE_KEYS)
         if spec["source"].get("csv") is not None:
             source["csv"] = CsvOptions(**_pick(spec["source"]["csv"], _CSV_KEYS))
+        if spec["source"].get("partitionBounds") is not None:
+            low, high = spec["source"]["partitionBounds"]
+            source["bounds"] = (str(low), str(high))
         mapping = None
         if spec.get("mapping"):
             picked = _pick(spec["mapping"], _MAPPING_KEYS)

@@ -1,4 +1,4 @@
-"""Draining the push queue, one oldest batch of a connector after the other."""
+"""Draining the push queue: one oldest batch of a connector after the other, or all that wait in one run."""
 
 from __future__ import annotations
 
@@ -30,3 +30,14 @@ def drain(
             return results or [result]
         results.append(result)
     return results
+
+
+def drain_together(
+    store: Store,
+    connector: Connector,
+    run_ts: datetime | None = None,
+    index_step: IndexStep | None = None,
+    new_id: Callable[[], str] = lambda: uuid.uuid4().hex,
+) -> RunResult:
+    """One run over every batch that waits: one delta, one commit, the same state as one run each."""
+    return run_connector(store, connector, new_id(), run_ts, index_step=index_step, all_waiting=True)

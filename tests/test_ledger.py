@@ -13,6 +13,7 @@ from snapdelta.operators.ledger import (
     NotFound,
     UnknownStatus,
     catalog_page,
+    catalog_page_info,
     catalog_report,
     checkpoint_of,
     connector_detail,
@@ -83,29 +84,29 @@ def test_ops_without_rows(spark):
 def test_ops_health_and_details(spark):
     ledger = runs(
         spark,
-        ("run-old", "support-push", "FAILED", ago(hours=4), ago(hours=4) + timedelta(minutes=1), 0, 0, "RuntimeError", "boom"),
-        ("run-new", "support-push", "SUCCESS", ago(hours=1), ago(hours=1) + timedelta(seconds=90.9), 3, 1),
+        ("first-try", "orders-feed", "FAILED", ago(hours=4), ago(hours=4) + timedelta(minutes=1), 0, 0, "OSError", "disk is full"),
+        ("second-try", "orders-feed", "SUCCESS", ago(hours=1), ago(hours=1) + timedelta(seconds=90.9), 3, 1),
     )
-    marks = checkpoints(spark, ("support-push", "w", ago(hours=2)), ("lonely", None, ago(hours=3)))
-    queue = batches(spark, ("b", "support-push", "PENDING", NOW), ("b2", "queue-only", "PENDING", NOW), ("b3", "z", "PROCESSED", NOW))
-    known = catalog(spark, ("support-push", "p", "rest_push", None, "http"), ("idle", "q", "sql_pull", "s", "oracle"))
+    marks = checkpoints(spark, ("orders-feed", "w", ago(hours=2)), ("marked-only", None, ago(hours=3)))
+    queue = batches(spark, ("b", "orders-feed", "PENDING", NOW), ("b2", "queue-only", "PENDING", NOW), ("b3", "z", "PROCESSED", NOW))
+    known = catalog(spark, ("orders-feed", "p", "rest_push", None, "http"), ("idle", "q", "sql_pull", "s", "oracle"))
     health = connector_health(known, ledger, marks, queue, NOW)
     rows = {r["connector_id"]: r for r in health.collect()}
-    assert set(rows) == {"support-push", "idle", "lonely", "queue-only"}
-    row = rows["support-push"]
+    assert set(rows) == {"orders-feed", "idle", "marked-only", "queue-only"}
+    row = rows["orders-feed"]
     assert (row["last_run_id"], row["last_status"], row["freshness_lag_seconds"], row["pending_push_batches"]) == (
-        "run-new", "SUCCESS", 7200, 1
+        "second-try", "SUCCESS", 7200, 1
     )
     assert (rows["idle"]["last_run_id"], rows["idle"]["pending_push_batches"]) == (None, 0)
-    detail = connector_detail(health, ledger, "support-push", status="failed")
-    assert [r["run_id"] for r in detail["recent_runs"].collect()] == ["run-old"]
+    detail = connector_detail(health, ledger, "orders-feed", status="failed")
+    assert [r["run_id"] for r in detail["recent_runs"].collect()] == ["first-try"]
     assert detail["runs_page"].first()["total_runs"] == 1
-    one = run_detail(ledger, "run-old", "https://logs/{run_id}", " ").first()
+    one = run_detail(ledger, "first-try", "https://logs/{run_id}", " ").first()
     assert (one["error_message"], one["duration_seconds"], one["log_url"], one["flow_url"]) == (
-        "boom", 60, "https://logs/run-old", None
+        "disk is full", 60, "https://logs/first-try", None
     )
-    assert run_rows(ledger).where("run_id = 'run-new'").first()["duration_seconds"] == 90
-    assert checkpoint_of(marks, "support-push") == "w" and checkpoint_of(marks, "nobody") is None
+    assert run_rows(ledger).where("run_id = 'second-try'").first()["duration_seconds"] == 90
+    assert checkpoint_of(marks, "orders-feed") == "w" and checkpoint_of(marks, "nobody") is None
     for lookup in (lambda: run_detail(ledger, "nothing"), lambda: connector_detail(health, ledger, "nothing")):
         with pytest.raises(NotFound):
             lookup()
@@ -114,27 +115,31 @@ def test_ops_health_and_details(spark):
 def test_paging_and_filters(spark):
     ledger = runs(
         spark,
-        ("run-1", "support-push", "FAILED", ago(hours=1), None),
-        ("run-2", "support-push", "FAILED", ago(hours=2), None),
-        ("run-3", "support-push", "SUCCESS", ago(hours=3), None),
-        ("run-4", "alpha", "FAILED", ago(hours=1), None),
-        ("run-5", "support-push", "FAILED", ago(hours=900), None),
+        ("w1", "orders-feed", "FAILED", ago(hours=1), None),
+        ("w2", "orders-feed", "FAILED", ago(hours=2), None),
+        ("w3", "orders-feed", "SUCCESS", ago(hours=3), None),
+        ("w4", "other", "FAILED", ago(hours=1), None),
+        ("w5", "orders-feed", "FAILED", ago(hours=900), None),
     )
     none = (catalog(spark), ledger, checkpoints(spark), batches(spark))
-    for offset, expected, more in ((0, ["run-1"], True), (1, ["run-2"], False), (5, [], False)):
-        parts = ops_snapshot(*none, NOW, limit=1, offset=offset, status=" failed ", connector_id="support-push")
+    for offset, expected, more in ((0, ["w1"], True), (1, ["w2"], False), (5, [], False)):
+        parts = ops_snapshot(*none, NOW, limit=1, offset=offset, status=" failed ", connector_id="orders-feed")
         assert [r["run_id"] for r in parts["recent_runs"].collect()] == expected
         info = parts["runs_page"].first()
         assert (info["total_runs"], info["has_more"]) == (2, more)
-        assert [r["connector_id"] for r in parts["connectors"].collect()] == ["support-push"]
+        assert [r["connector_id"] for r in parts["connectors"].collect()] == ["orders-feed"]
         assert parts["summary"].first()["total_runs"] == 4
-    assert [r["run_id"] for r in runs_page(ledger, 2).collect()] == ["run-4", "run-1"]
+    assert [r["run_id"] for r in runs_page(ledger, 2).collect()] == ["w4", "w1"]
     assert runs_page(ledger, 0, -5).count() == 1
     assert page_info(ledger, 5).first()["has_more"] is False
     with pytest.raises(UnknownStatus):
         filter_runs(ledger, status="done")
-    with pytest.raises(ValueError):
-        runs_page(ledger, 501)
+    assert runs_page(ledger, 10**6, 200_000).count() == 0 and runs_page(ledger, 10**6).count() == 5
+    report = spark.createDataFrame([(str(i), f"c{i}") for i in range(9)], "path string, connector_id string")
+    for limit, offset, more in ((4, 4, True), (5, 4, False), (0, -1, True)):
+        info = catalog_page_info(report, limit, offset).first()
+        assert (info["total_connectors"], info["has_more"]) == (9, more)
+    assert catalog_page(report, 5, 4).count() == 5
     with pytest.raises(ValueError):
         ops_snapshot(*none, NOW, hours=721)
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.errors import PySparkException
@@ -20,76 +21,89 @@ from snapdelta.operators.gates import (
     split_ops,
 )
 from snapdelta.operators.normalize import DOC_SCHEMA, Mapping, NormalizationError, normalize
-from snapdelta.operators.replay import delta_diff, replay_digest, replay_tree_digest
+from snapdelta.operators.replay import delta_diff, replay_digest
 from snapdelta.operators.state import STATE_SCHEMA, apply_delta, apply_state
 
 NOW = "2026-02-20T00:00:00Z"
-EMPLOYEES = Mapping(
-    id_field="employee_id",
-    title_field="full_name",
-    content_template="{{ department }} {{ role }}",
-    uri_template="https://hr.local/{{ employee_id }}",
-    acl_users_field="allowed_users",
-    acl_groups_field="allowed_groups",
-    metadata_fields=("department", "role", "absent"),
+PARTS = Mapping(
+    id_field="part_no",
+    title_field="label",
+    content_template="{{ label }} of {{ stuff }}",
+    uri_template="https://parts.example/{{ part_no }}?s={{ stuff }}",
+    acl_users_field="buyers",
+    acl_groups_field="teams",
+    metadata_fields=("stuff", "grams", "absent"),
 )
 
 
-def employees(spark, **changes):
+def parts(spark, **changes):
     row = {
-        "employee_id": 123,
-        "full_name": "Jane Doe",
-        "department": "Engineering",
-        "role": "Manager",
-        "allowed_users": ["jane@example.com"],
-        "allowed_groups": ["eng-managers"],
-        "updated_at": "2026-02-16T08:30:00Z",
+        "part_no": 40,
+        "label": "bolt",
+        "stuff": "steel",
+        "grams": 12,
+        "buyers": ["u1", "u2"],
+        "teams": ["t"],
+        "seen_at": "2026-02-16T08:30:00Z",
     } | changes
-    kinds = (
-        "employee_id int, full_name string, department string, role string, allowed_users array<string>, "
-        "allowed_groups array<string>, updated_at string"
-    )
+    kinds = "part_no int, label string, stuff string, grams int, buyers array<string>, teams array<string>, seen_at string"
     return spark.createDataFrame([tuple(row.values())], kinds)
 
 
-def test_normalize_golden_case(spark):
-    doc = normalize(employees(spark), EMPLOYEES, "hr-employees", "updated_at", NOW).first()
-    assert doc["doc_id"] == "hr-employees:123"
-    assert doc["title"] == "Jane Doe"
-    assert doc["content"] == "Engineering Manager"
-    assert doc["uri"] == "https://hr.local/123"
-    assert doc["acl_users"] == ["jane@example.com"]
-    assert doc["acl_groups"] == ["eng-managers"]
-    assert json.loads(doc["metadata"]) == {"connector_id": "hr-employees", "department": "Engineering", "role": "Manager"}
-    assert doc["checksum"].startswith("sha256:") and len(doc["checksum"]) == 71
-    assert doc["op"] == "UPSERT"
+def test_a_row_becomes_a_document(spark):
+    found = normalize(parts(spark), PARTS, "stock", "seen_at", NOW).first().asDict()
+    found["metadata"] = json.loads(found["metadata"])
+    digest = found.pop("checksum")
+    assert digest[:7] == "sha256:" and len(digest) == 71
+    del found["updated_at"]
+    assert found == {
+        "doc_id": "stock:40", "title": "bolt", "content": "bolt of steel", "uri": "https://parts.example/40?s=steel",
+        "mime_type": "text/plain", "acl_users": ["u1", "u2"], "acl_groups": ["t"], "op": "UPSERT",
+        "metadata": {"connector_id": "stock", "grams": 12, "stuff": "steel"},
+    }
 
 
 def checksum(spark, **changes):
-    return normalize(employees(spark, **changes), EMPLOYEES, "c", "updated_at", NOW).first()["checksum"]
+    return normalize(parts(spark, **changes), PARTS, "c", "seen_at", NOW).first()["checksum"]
 
 
 def test_checksum_sees_content_and_not_time(spark):
     base = checksum(spark)
-    assert checksum(spark, updated_at="2026-02-17T00:00:00+00:00") == base
-    for change in ({"full_name": "J"}, {"role": "x"}, {"allowed_users": []}, {"allowed_groups": ["a", None]}):
+    assert checksum(spark, seen_at="2026-02-17T00:00:00+00:00") == base
+    for change in ({"label": "nut"}, {"grams": 13}, {"buyers": []}, {"teams": ["t", None, "u"]}):
         assert checksum(spark, **change) != base
-    assert checksum(spark, department=None) != checksum(spark, department="None")
+    assert checksum(spark, stuff=None) != checksum(spark, stuff="None")
 
 
-def test_times_and_missing_fields(spark):
-    def seconds(df, field="updated_at"):
-        return normalize(df, EMPLOYEES, "c", field, NOW).select(F.unix_seconds("updated_at")).first()[0]
+def seconds(df, field="seen_at"):
+    return normalize(df, PARTS, "c", field, NOW).select(F.unix_micros("updated_at") / 1_000_000).first()[0]
 
-    assert seconds(employees(spark)) == 1771230600
-    assert seconds(employees(spark, updated_at="2026-02-16T08:30:00")) == 1771230600
-    assert seconds(employees(spark, updated_at=None)) == 1771545600
-    assert seconds(employees(spark), "absent") == 1771545600
-    assert seconds(employees(spark), "employee_id") == 1771545600
+
+GOOD_TIMES = [
+    "2026-02-16T08:30:00Z", "2026-02-16T08:30:00", "2026-02-16 08:30", "2026-02-16", "20260216", "20260216T083000Z", "2026-W08-1",
+    "2026W08", "2026-02-16T08", "2026-02-16x08:30:59.123456", "2026-02-16T08:30:00.5+02:00", "2026-02-16T08:30:00-0330", "2020-W53-7",
+    "2026-02-16T08:30:00,25z", "2026-02-16T08:30:00+01:02:03",
+]
+
+
+def test_iso_times_as_python_reads_them(spark):
+    for text in GOOD_TIMES:
+        when = datetime.fromisoformat(text.replace("z", "Z"))
+        when = when if when.tzinfo else when.replace(tzinfo=timezone.utc)
+        assert seconds(parts(spark, seen_at=text)) == when.timestamp(), text
+
+
+@pytest.mark.parametrize("text", ["yesterday", "12:30", "T05:00", "2024", "2024-1-1", "2024-13-01", "2024-02-30", "2026-W54-1", "2024-01-01T05:00 Europe/Berlin", "", "2024-01-01T"])
+def test_other_texts_are_no_times(spark, text):
     with pytest.raises(PySparkException):
-        normalize(employees(spark, updated_at="yesterday"), EMPLOYEES, "c", "updated_at", NOW).collect()
+        normalize(parts(spark, seen_at=text), PARTS, "c", "seen_at", NOW).collect()
+
+
+def test_missing_times_and_fields(spark):
+    run_time = 1771545600
+    assert seconds(parts(spark, seen_at=None)) == seconds(parts(spark), "absent") == seconds(parts(spark), "part_no") == run_time
     with pytest.raises(NormalizationError):
-        normalize(employees(spark).drop("full_name"), EMPLOYEES, "c", None, NOW)
+        normalize(parts(spark).drop("label"), PARTS, "c", None, NOW)
 
 
 def docs(spark, pairs):
@@ -102,21 +116,21 @@ def state(spark, pairs):
     return spark.createDataFrame(rows, STATE_SCHEMA).withColumn("source_updated_at", F.lit("2026-01-01").cast("timestamp"))
 
 
-OLD = [("old", "sha256:old"), ("keep", "sha256:same"), ("edit", "sha256:1")]
-NEW = [("keep", "sha256:same"), ("new", "sha256:new"), ("edit", "sha256:2")]
+OLD = [("sold", "p1"), ("stays", "p2"), ("moved", "p3")]
+NEW = [("stays", "p2"), ("bought", "p4"), ("moved", "p5")]
 
 
 @pytest.mark.parametrize("policy", ["auto_delete_missing", "soft_delete_only", "never_delete"])
 def test_diff_policies(spark, policy):
     delta = diff(docs(spark, NEW), state(spark, OLD), "c", policy, NOW)
     rows = {row["doc_id"]: row for row in delta.collect()}
-    assert {k for k, r in rows.items() if r["op"] == "UPSERT"} == {"new", "edit"}
+    assert {k for k, r in rows.items() if r["op"] == "UPSERT"} == {"bought", "moved"}
     gone = {k: r for k, r in rows.items() if r["op"] == "DELETE"}
     if policy == "never_delete":
         assert not gone
         return
-    assert set(gone) == {"old"}
-    row = gone["old"]
+    assert set(gone) == {"sold"}
+    row = gone["sold"]
     assert (row["title"], row["content"], row["acl_users"], row["uri"]) == ("", "", [], None)
     soft = policy == "soft_delete_only"
     assert json.loads(row["metadata"]) == ({"connector_id": "c", "soft_delete": True} if soft else {"connector_id": "c"})
@@ -144,7 +158,7 @@ def test_two_step_delta_equals_one_join(spark, policy):
 def test_state_after_delta_gives_no_new_delta(spark):
     delta = diff(docs(spark, NEW), state(spark, OLD), "c", "auto_delete_missing", NOW)
     after = apply_state(state(spark, OLD), *split_ops(delta), "c", "r1")
-    assert {(r["doc_id"], r["last_seen_run_id"]) for r in after.collect()} == {("keep", "r0"), ("new", "r1"), ("edit", "r1")}
+    assert {(r["doc_id"], r["last_seen_run_id"]) for r in after.collect()} == {("stays", "r0"), ("bought", "r1"), ("moved", "r1")}
     assert diff(docs(spark, NEW), after, "c").count() == 0
     assert delta_counts(delta).first()[:] == (2, 1)
 
@@ -191,13 +205,21 @@ def test_gates(spark):
     with pytest.raises(GateError):
         require_clean(bad)
     assert flag_unsafe(clean.withColumn("title", F.lit(None).cast("string"))).first()["unsafe"] is False
-    twice = docs(spark, [("hr-file-csv:1", "1"), ("hr-file-csv:1", "2"), ("x", "1")])
-    assert [tuple(r) for r in duplicate_ids(twice).collect()] == [("hr-file-csv:1", 2)]
-    with pytest.raises(GateError, match="hr-file-csv:1"):
+    twice = docs(spark, [("s:7", "1"), ("s:7", "2"), ("x", "1")])
+    assert [tuple(r) for r in duplicate_ids(twice).collect()] == [("s:7", 2)]
+    with pytest.raises(GateError, match="s:7$"):
         require_unique(twice)
     require_unique(clean)
 
 
+def test_all_duplicates_are_listed(spark, tmp_path):
+    ids = spark.range(90).selectExpr("concat('d', id % 30) as doc_id")
+    report = str(tmp_path / "duplicates")
+    with pytest.raises(GateError, match="d0, d1, d10.* and 10 more; all 30 are listed in"):
+        require_unique(ids, report=report)
+    assert {tuple(r) for r in spark.read.json(report).select("doc_id", "copies").collect()} == {(f"d{i}", 3) for i in range(30)}
+
+
 def test_every_marker_is_found(spark):
     parts = needles(UNSAFE_MARKERS)
     assert len(parts) == 4 and all(any(part in marker for part in parts) for marker in UNSAFE_MARKERS)
@@ -214,27 +236,14 @@ def test_pattern_scan_takes_the_first_listed_and_skips_undecodable(spark):
 
 
 def test_replay_digest_is_stable_and_sees_every_field(spark):
-    import hashlib
-
     up, gone = docs(spark, [("b", "2"), ("a", "1")]), docs(spark, [("z", "9")]).withColumn("op", F.lit("DELETE"))
-    listed = [
-        {"checksum": c, "doc_id": k, "op": op, "updated_at": "2026-02-16T00:00:00+00:00"}
-        for op, k, c in [("DELETE", "z", "9"), ("UPSERT", "a", "1"), ("UPSERT", "b", "2")]
-    ]
-    expected = hashlib.sha256(json.dumps(listed, sort_keys=True).encode()).hexdigest()
-    assert replay_digest(up, gone).first()["digest"] == expected
-    assert replay_digest(up.repartition(3), gone).first()["digest"] == expected
-    empty = up.where("false")
-    assert replay_digest(empty, empty).first()["digest"] == hashlib.sha256(b"[]").hexdigest()
-    with pytest.raises(ValueError):
-        replay_digest(up, gone, limit=2)
-    tree = replay_tree_digest(up, gone, depth=1).first()
-    assert tree["rows"] == 3
-    assert replay_tree_digest(up.repartition(5), gone, depth=1).first() == tree
-    assert replay_tree_digest(up.unionByName(up), gone, depth=1).first()["digest"] != tree["digest"]
-    assert replay_tree_digest(empty, empty).first()["rows"] == 0
+    base = replay_digest(up, gone).first()
+    assert base["rows"] == 3 and replay_digest(up.repartition(5), gone).first() == base
     changed = up.withColumn("checksum", F.when(F.col("doc_id") == "a", "other").otherwise(F.col("checksum")))
-    assert replay_tree_digest(changed, gone, depth=1).first()["digest"] != tree["digest"]
+    later = up.withColumn("updated_at", F.lit("2026-02-17").cast("timestamp"))
+    for other in ((changed, gone), (later, gone), (up, gone.withColumn("op", F.lit("UPSERT"))), (up.unionByName(up), gone), (up, gone.where("false"))):
+        assert replay_digest(*other).first()["digest"] != base["digest"]
+    assert replay_digest(up.where("false"), up.where("false")).first()["rows"] == 0
     found = {(r["doc_id"], r["checksum"], r["side"], r["copies"]) for r in delta_diff(up.unionByName(up), changed).collect()}
     assert found == {("a", "1", "a", 2), ("a", "other", "b", 1), ("b", "2", "a", 1)}
 

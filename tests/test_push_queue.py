@@ -8,7 +8,6 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from snapdelta.operators import queue as queue_module
 from snapdelta.operators.gates import flag_rejects, split_accept_reject, validate_documents
 from snapdelta.operators.queue import check_targets, classify_requests, mark_processed, next_pending_batch, request_counts
 from snapdelta.operators.state import advance_checkpoint, advance_checkpoints, fold_run_state, last_per_document
@@ -69,11 +68,16 @@ def by_hand(rows, known):
     return outcome
 
 
-@pytest.mark.parametrize("hot", [10_000, 30])
-def test_idempotency_agrees_with_one_by_one(spark, monkeypatch, hot):
-    """With the low limit the frequent keys take the broadcast way."""
-    monkeypatch.setattr(queue_module, "HOT_ROWS", hot)
-    monkeypatch.setattr(queue_module, "HOT_KEYS", 2)
+def test_requests_without_a_key_stay_where_they_are(spark, tmp_path):
+    rows = [(number, None if number % 2 else "", 0, "application/json", "{}") for number in range(400)]
+    keys = spark.createDataFrame([], "key string, request_hash string")
+    parse_requests(requests(spark, rows)).repartition(8).write.parquet(str(tmp_path / "r"))
+    found = classify_requests(spark.read.parquet(str(tmp_path / "r")), keys)
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 400 and max(sizes) < 400 and {r["outcome"] for r in found.collect()} == {"no_key"}
+
+
+def test_idempotency_agrees_with_one_by_one(spark):
     rng = random.Random(11)
     rows = []
     for number in range(600):

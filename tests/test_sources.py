@@ -1,32 +1,33 @@
 from __future__ import annotations
 
 import csv as pycsv
+import hashlib
 import io
 import json
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from snapdelta.functions.digest import list_digest, tree_depth
+from snapdelta.functions.digest import WIDTHS, tree_digest
 from snapdelta.plans.publish import csv_rows, union_rows
 from snapdelta.sources.artifacts import read_delta
 from snapdelta.sources.catalog import catalog
 from snapdelta.sources.csvfiles import (
     CsvOptions,
     CsvSourceError,
-    build_checkpoint,
+    FileMark,
     clean_errors,
     csv_pull,
     file_checkpoint,
     file_listing,
     file_manifest_hash,
     normalize_header,
-    row_mark,
 )
 from snapdelta.sources.pages import item_rows, json_pages, missing_fields, page_errors, page_gaps, read_pages
-from snapdelta.sources.sql import high_water_mark, jdbc_options, sql_pull
+from snapdelta.sources.sql import bound_query, high_water_mark, jdbc_options, sql_pull
 
 
 def rows_of(df, *names):
@@ -65,6 +66,10 @@ def test_jdbc_options():
     assert options["dbtable"] == "(select * from t where u > 'o''clock') pulled"
     assert options["partitionColumn"] == "id" and options["numPartitions"] == "4"
     assert "NULL" in jdbc_options("select :watermark", None)["dbtable"]
+    query = """select ':watermark', "a:watermark", b -- :watermark
+        /* :watermark */ from t where x::watermark > :watermark and y > :watermark_x"""
+    assert bound_query(query, "m") == query.replace("> :watermark and", "> 'm' and")
+    assert bound_query(":watermark", "a\\'b") == "'a\\''b'" and bound_query(":watermark", "a\\b", "mysql") == "'a\\\\b'"
     with pytest.raises(ValueError):
         jdbc_options("select 1", partition_column="id")
 
@@ -72,22 +77,24 @@ def test_jdbc_options():
 # CSV
 
 
-def test_row_mode_with_lineage_and_checkpoint(spark, tmp_path):
-    (tmp_path / "a.csv").write_text(
-        "employee_id,full_name,updated_at\n1,Ada,2026-02-16T08:00:00+00:00\n2,Bob,2026-02-16T09:00:00+00:00\n"
-    )
-    (tmp_path / "b.csv").write_text("employee_id,full_name,updated_at\n3,Cam,2026-02-16T10:00:00+00:00\n")
-    (tmp_path / "c.txt").write_text("other")
-    rows = csv_pull(spark, str(tmp_path), "*.csv")
-    assert rows_of(rows, "file_name", "employee_id") == [("a.csv", "1"), ("a.csv", "2"), ("b.csv", "3")]
-    first = rows.where("employee_id = '1'").first()
-    assert first["file_path"] == str(tmp_path / "a.csv")
-    assert first["file_size_bytes"] == (tmp_path / "a.csv").stat().st_size
-    assert first["file_mtime"].endswith("+00:00")
-    text = file_checkpoint(file_listing(spark, str(tmp_path), "*.csv"), rows, "updated_at", None)
-    stored = json.loads(text)
-    assert (stored["v"], stored["fc"], stored["rw"]) == (1, 2, "2026-02-16T10:00:00+00:00")
-    assert stored["fh"].startswith("sha256:") and len(text) <= 255 and stored["lm"]
+def test_rows_carry_their_file_and_the_checkpoint_their_mark(spark, tmp_path):
+    ships = {"north": ["wren,7", "heron,12"], "south": ["plover,9"]}
+    for name, lines in ships.items():
+        (tmp_path / f"{name}.csv").write_text("\n".join(["ship,knots", *lines]) + "\n")
+    (tmp_path / "north.bak").write_text("ship,knots\nwreck,0\n")
+    found = csv_pull(spark, str(tmp_path), "*.csv").collect()
+    assert {(r["file_name"], f"{r['ship']},{r['knots']}") for r in found} == {
+        (f"{name}.csv", line) for name, lines in ships.items() for line in lines
+    }
+    for row in found:
+        file = tmp_path / row["file_name"]
+        assert (row["file_path"], row["file_size_bytes"]) == (str(file), file.stat().st_size)
+    files = file_listing(spark, str(tmp_path), "*.csv")
+    mark = FileMark.parse(file_checkpoint(files, csv_pull(spark, str(tmp_path), "*.csv"), "ship", None))
+    assert (mark.rows, mark.files, mark.digest) == ("wren", 2, file_manifest_hash(files).first()["digest"])
+    assert mark.latest == max(r["mtime"] for r in files.collect())
+    none = csv_pull(spark, str(tmp_path), "*.csv").where("false")
+    assert FileMark.parse(file_checkpoint(files, none, "ship", "older")).rows == "older"
 
 
 def test_file_mode(spark, tmp_path):
@@ -113,17 +120,28 @@ def test_latin_semicolons_without_header(spark, tmp_path):
 
 
 def test_headers_that_differ_and_collide(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("Element-Typ;Verantwortliche/r;Geltungsbereich(e);Straße\nx;y;z;w\n")
-    (tmp_path / "b.csv").write_text("Geltungsbereich(e);Element Typ;file_name\nz2;x2;mine\n")
-    (tmp_path / "c.csv").write_text("a b;a-b\n1;2\n")
+    (tmp_path / "1.csv").write_text("Höhe (m);Gipfel;Größe/Art\n4810;Blanc;x\n")
+    (tmp_path / "2.csv").write_text("GIPFEL;file_path;hohe--m\nRosa;mine;4634\n")
+    (tmp_path / "3.csv").write_text("a b;a-b\nfirst;last\n")
     rows = csv_pull(spark, str(tmp_path), "*.csv", CsvOptions(delimiter=";", normalize_headers=True))
-    assert rows.columns[:6] == ["element_typ", "verantwortliche_r", "geltungsbereich_e", "strae", "a_b", "file_path"]
-    assert rows_of(rows, "element_typ", "geltungsbereich_e", "a_b", "file_name") == [
-        ("x", "z", None, "a.csv"),
-        ("x2", "z2", None, "b.csv"),
-        (None, None, "2", "c.csv"),
+    assert rows.columns[:5] == ["hohe_m", "gipfel", "groe_art", "a_b", "file_path"]
+    assert rows_of(rows, "gipfel", "hohe_m", "a_b", "file_name") == [
+        ("Blanc", "4810", None, "1.csv"), ("Rosa", "4634", None, "2.csv"), (None, None, "last", "3.csv")
     ]
-    assert [normalize_header(h) for h in ("Technische ID", "Ä-Ö", "__x__")] == ["technische_id", "a_o", "x"]
+    assert rows_of(rows.where("gipfel = 'Rosa'"), "file_path") == [(str(tmp_path / "2.csv"),)]
+    names = {"": "", "--": "", "A": "a", "ﬁn 1": "fin_1", " x..y ": "x_y", "Ωmega": "mega"}
+    assert {name: normalize_header(name) for name in names} == names
+
+
+def test_header_over_two_lines_and_true_width(spark, tmp_path):
+    (tmp_path / "h.csv").write_text('id,"na\nme",c\n1,x,"two\nlines"\n')
+    rows = csv_pull(spark, str(tmp_path), "h.csv")
+    assert rows.columns[:3] == ["id", "na\nme", "c"]
+    assert tuple(rows.first())[:3] == ("1", "x", "two\nlines")
+    (tmp_path / "n.csv").write_text('1,"x\na,b,c,d",3\n2,y\n')
+    bare = csv_pull(spark, str(tmp_path), "n.csv", CsvOptions(has_header=False))
+    assert bare.columns[:4] == ["column_1", "column_2", "column_3", "file_path"]
+    assert rows_of(bare, "column_1", "column_2", "column_3") == [("1", "x\na,b,c,d", "3"), ("2", "y", None)]
 
 
 def test_cells_agree_with_a_plain_csv_reader(spark, tmp_path):
@@ -165,25 +183,41 @@ def test_csv_contract_errors(spark, tmp_path):
         CsvOptions(document_mode="cell")
 
 
-def test_old_checkpoints_and_limit():
-    assert row_mark("2026-02-01") == "2026-02-01"
-    assert row_mark('{"v":1,"rw":"m","fc":1}') == "m"
-    assert row_mark('{"v":1,"rw":5}') is None
-    assert row_mark('{"foo":"bar"}') == '{"foo":"bar"}'
-    assert row_mark("") is None and row_mark(None) is None
+def test_file_marks_of_all_times():
+    mark = FileMark("m", 3, "t", "sha256:x")
+    assert FileMark.parse(mark.text()) == mark
+    assert FileMark.parse('{"v":1,"rw":17,"fc":2}') == FileMark(None, 2)
+    for plain in ("2020-05-05", "[1]", '{"v":2,"rw":"m"}', "{broken"):
+        assert FileMark.parse(plain) == FileMark(rows=plain)
+    assert FileMark.parse("") == FileMark.parse(None) == FileMark()
     with pytest.raises(CsvSourceError):
-        build_checkpoint("x" * 240, 1, None, "sha256:1")
+        FileMark("y" * 250).text()
 
 
 def test_manifest_hash_depends_on_the_listing_only(spark):
     files = spark.createDataFrame([("b", "t2", 2), ("a", "t1", 1)], "path string, mtime string, size bigint")
     found = file_manifest_hash(files).first()
-    expected = json.dumps([{"mtime": "t1", "path": "a", "size": 1}, {"mtime": "t2", "path": "b", "size": 2}], separators=(",", ":"))
-    import hashlib
+    assert file_manifest_hash(files.orderBy("path").coalesce(1)).first() == found and found["rows"] == 2
+    for other in (files.where("path = 'a'"), files.withColumn("size", F.lit(1)), files.unionByName(files)):
+        assert file_manifest_hash(other).first()["digest"] != found["digest"]
+    assert file_manifest_hash(files.where("false")).first()["rows"] == 0
+
+
+@pytest.mark.parametrize("rows", [99_999, 200_000])
+def test_digest_has_one_form_at_every_size(spark, rows):
+    lines = [str(i * i) for i in range(rows)]
+
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
 
-    assert found["digest"] == "sha256:" + hashlib.sha256(expected.encode()).hexdigest() and found["rows"] == 2
-    assert list_digest(files.where("false"), F.col("path"), [F.col("path")]).first()["rows"] == 0
-    assert [tree_depth(n) for n in (0, 4096, 4097, 65_536, 10**12)] == [0, 0, 1, 1, 7]
+    nodes = sorted(f"{digest(line)}:1" for line in lines)
+    for width in WIDTHS:
+        groups = defaultdict(list)
+        for item in nodes:
+            groups[item[:width]].append(item)
+        nodes = sorted(f"{name}:{digest(','.join(items))}" for name, items in groups.items())
+    found = tree_digest(spark.range(rows).selectExpr("cast(id * id as string) as line"), F.col("line")).first()
+    assert found[:] == (digest(",".join(nodes)), rows)
 
 
 def test_clean_errors_touches_text_only(spark):
@@ -193,11 +227,11 @@ def test_clean_errors_touches_text_only(spark):
 
 
 def test_export_header_is_the_ordered_union(spark):
-    a = spark.createDataFrame([(1, "x", "n")], "notiz_id int, autor string, notiz string")
-    b = spark.createDataFrame([(2, "y", "u")], "notiz_id int, autor string, business_unit string")
-    cells = csv_rows(union_rows([a, b]))
-    assert cells.columns == ["notiz_id", "autor", "notiz", "business_unit"]
-    assert rows_of(cells, *cells.columns) == [("1", "x", "n", ""), ("2", "y", "", "u")]
+    birds = spark.createDataFrame([(4, "owl")], "legs int, bird string")
+    fish = spark.createDataFrame([(None, "cod", 9)], "legs int, fish string, fins int")
+    cells = csv_rows(union_rows([birds, fish, birds]))
+    assert cells.columns == ["legs", "bird", "fish", "fins"]
+    assert rows_of(cells, *cells.columns) == [("", "", "cod", "9"), ("4", "owl", "", ""), ("4", "owl", "", "")]
 
 
 # Pages
