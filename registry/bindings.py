@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.functions.digest import WIDTHS
+from snapdelta.operators.diff import changed_keys, delta_of
 from snapdelta.operators.normalize import Mapping, normalize
+from snapdelta.session import settled
 
 NOW = "2024-02-01T00:00:00+00:00"
 RUN = "run-1"
@@ -72,6 +74,13 @@ def prior_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_delta(spark: SparkSession, sf_dir: str, policy: str = "auto_delete_missing", state: DataFrame | None = None) -> DataFrame:
+    """The delta as a run finds it: changed keys first, then the documents of those; content is not shuffled for it."""
+    known = prior_state(spark, sf_dir) if state is None else state
+    changes = settled(changed_keys(snapshot(spark, sf_dir), known, policy), "changes")
+    return delta_of(document_rows(spark, sf_dir), changes, DOC_MAPPING, "docs", "changed_at", policy, NOW)
+
+
 def shown_docs(docs: DataFrame) -> DataFrame:
     """Documents with lists and times as text, for comparing."""
     return docs.select(
@@ -119,7 +128,7 @@ _SQL_UPSERTS = """
 """
 
 
-def sql_tree_digest(lines: str, widths: tuple[int, ...] = WIDTHS) -> str:
+def sql_tree_digest(lines: str, widths: tuple[int, ...] = WIDTHS, prefix: str = "") -> str:
     """CTEs and the final select of ``functions.digest.tree_digest`` over the column ``line`` of a CTE."""
     parts = [
         f"hashes AS (SELECT sha256(line) AS h, count(*) AS n FROM {lines} GROUP BY 1)",
@@ -128,7 +137,7 @@ def sql_tree_digest(lines: str, widths: tuple[int, ...] = WIDTHS) -> str:
     for i, above in enumerate([*widths[1:], 0]):
         folded = f"SELECT prefix, sha256(string_agg(item, ',' ORDER BY item)) AS digest, sum(n) AS n FROM level{i} GROUP BY prefix"
         parts.append(f"level{i + 1} AS (SELECT left(prefix, {above}) AS prefix, prefix || ':' || digest AS item, n FROM ({folded}))")
-    return f""", {', '.join(parts)} SELECT sha256(coalesce(string_agg(item, ',' ORDER BY item), '')) AS digest,
+    return f""", {', '.join(parts)} SELECT '{prefix}' || sha256(coalesce(string_agg(item, ',' ORDER BY item), '')) AS digest,
         coalesce(sum(n), 0)::BIGINT AS rows FROM level{len(widths)}"""
 
 

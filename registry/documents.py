@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registry.bindings import (
-    DOC_MAPPING,
     NOW,
     RUN,
     SQL_DOCS,
     document_rows,
     prior_state,
+    run_delta,
     shown_docs,
     snapshot,
     sql_delta,
@@ -18,7 +18,7 @@ from registry.bindings import (
     sql_tree_digest,
     table,
 )
-from snapdelta.operators.diff import canonical_order, changed_keys, concat_delta, delta_counts, delta_of, diff
+from snapdelta.operators.diff import canonical_order, changed_keys, concat_delta, delta_counts, diff
 from snapdelta.operators.envelope import canonical_json, index_envelope, index_line
 from snapdelta.operators.gates import GateError, duplicate_ids, flag_unsafe, pattern_scan, require_clean, split_ops
 from snapdelta.operators.normalize import Mapping, acl, normalize
@@ -36,15 +36,9 @@ def _one_join(spark, sf_dir, policy="auto_delete_missing"):
     return diff(snapshot(spark, sf_dir), prior_state(spark, sf_dir), "docs", policy, NOW)
 
 
-def _delta(spark, sf_dir, policy="auto_delete_missing"):
-    """The delta as a run finds it: changed keys first, then the documents of those."""
-    changes = settled(changed_keys(snapshot(spark, sf_dir), prior_state(spark, sf_dir), policy), "changes")
-    return delta_of(document_rows(spark, sf_dir), changes, DOC_MAPPING, "docs", "changed_at", policy, NOW)
-
-
 def _halves(spark, sf_dir, policy="auto_delete_missing"):
     """Upserts and deletes of a delta that is computed once, as a run does."""
-    return split_ops(settled(_delta(spark, sf_dir, policy), "delta"))
+    return split_ops(settled(run_delta(spark, sf_dir, policy), "delta"))
 
 
 def acl_normalize(spark, sf_dir):
@@ -63,7 +57,7 @@ def content_checksum(spark, sf_dir):
 
 def _apply_state(spark, sf_dir):
     state = settled(prior_state(spark, sf_dir), "state")
-    delta = settled(diff(snapshot(spark, sf_dir), state, "docs", "auto_delete_missing", NOW), "delta")
+    delta = settled(run_delta(spark, sf_dir, state=state), "delta")
     merged = apply_state(state, *split_ops(delta), "docs", RUN)
     return merged.withColumn("source_updated_at", F.date_format("source_updated_at", "yyyy-MM-dd HH:mm:ss"))
 
@@ -73,7 +67,7 @@ def _apply_delta(spark, sf_dir):
     state = settled(prior_state(spark, sf_dir), "state")
     docs = snapshot(spark, sf_dir)
     before = index_envelope(docs.join(state.select("doc_id"), "doc_id", "left_semi")).withColumn("raw_bytes", F.lit("old"))
-    delta = settled(diff(docs, state, "docs", "auto_delete_missing", NOW), "delta")
+    delta = settled(run_delta(spark, sf_dir, state=state), "delta")
     return apply_delta(before, *split_ops(delta))
 
 
@@ -95,7 +89,7 @@ def _tagged(upserts, deletes):
 
 
 def _canonical_order(spark, sf_dir):
-    return canonical_order(_delta(spark, sf_dir)).select("op", "doc_id", "checksum")
+    return canonical_order(run_delta(spark, sf_dir)).select("op", "doc_id", "checksum")
 
 
 def normalize_times(spark, d):
@@ -137,9 +131,9 @@ QUERIES = {
     "index_envelope": lambda spark, d: index_envelope(snapshot(spark, d)),
     "index_line": lambda spark, d: index_line(snapshot(spark, d)),
     "canonical_json": lambda spark, d: canonical_json(snapshot(spark, d)),
-    "snapshot_diff_auto": lambda spark, d: shown_docs(_delta(spark, d)),
-    "snapshot_diff_soft": lambda spark, d: shown_docs(_delta(spark, d, "soft_delete_only")),
-    "snapshot_diff_never": lambda spark, d: shown_docs(_delta(spark, d, "never_delete")),
+    "snapshot_diff_auto": lambda spark, d: shown_docs(run_delta(spark, d)),
+    "snapshot_diff_soft": lambda spark, d: shown_docs(run_delta(spark, d, "soft_delete_only")),
+    "snapshot_diff_never": lambda spark, d: shown_docs(run_delta(spark, d, "never_delete")),
     "snapshot_diff_one_join": lambda spark, d: shown_docs(_one_join(spark, d)),
     "snapshot_diff_one_join_never": lambda spark, d: shown_docs(_one_join(spark, d, "never_delete")),
     "changed_keys": lambda spark, d: changed_keys(snapshot(spark, d), prior_state(spark, d)).select("doc_id", "change"),
@@ -151,10 +145,10 @@ QUERIES = {
     "split_ops": lambda spark, d: _tagged(*_halves(spark, d)),
     "concat_delta": lambda spark, d: concat_delta(*_halves(spark, d)).select("doc_id", "op", "checksum"),
     "canonical_order": _canonical_order,
-    "delta_counts": lambda spark, d: delta_counts(_delta(spark, d)),
+    "delta_counts": lambda spark, d: delta_counts(run_delta(spark, d)),
     "replay_digest": lambda spark, d: replay_digest(*_halves(spark, d)),
     "replay_tree_digest": lambda spark, d: replay_digest(*_halves(spark, d), widths=(2, 1)),
-    "delta_diff": lambda spark, d: delta_diff(_delta(spark, d), _delta(spark, d, "soft_delete_only")).select(
+    "delta_diff": lambda spark, d: delta_diff(run_delta(spark, d), run_delta(spark, d, "soft_delete_only")).select(
         "doc_id", "op", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "side", "copies"
     ),
     "unsafe_scan": unsafe_scan,

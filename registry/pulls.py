@@ -12,14 +12,12 @@ from pyspark.sql import functions as F
 
 from registry.bindings import (
     DOC_MAPPING,
-    NOW,
     SQL_DOCS,
     SQL_RUNS,
     document_rows,
-    prior_state,
+    run_delta,
     runs_of,
     shown_docs,
-    snapshot,
     sql_delta,
     sql_shown,
     sql_tree_digest,
@@ -28,7 +26,6 @@ from registry.bindings import (
 from registry.ledger import shown
 from snapdelta.functions.digest import WIDTHS
 from snapdelta.functions.text import iso_text
-from snapdelta.operators.diff import diff
 from snapdelta.plans.publish import publish, publish_csv, union_rows
 from snapdelta.plans.run import run_connector
 from snapdelta.plans.store import Store
@@ -211,7 +208,7 @@ def _page_gaps(spark, d):
 
 
 def _delta(spark, d):
-    return settled(diff(snapshot(spark, d), prior_state(spark, d), "docs", "auto_delete_missing", NOW), "delta")
+    return settled(run_delta(spark, d), "delta")
 
 
 def _published(spark, d, alias=False):
@@ -398,7 +395,7 @@ ORACLES = {
         FROM orders""",
     "file_manifest": f"""WITH lines AS (SELECT '{{"mtime":"' || strftime(make_timestamp((1704067200 + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')
         || '","path":"/in/' || source || '/' || doc_id || '.csv","size":' || n_chars || '}}' AS line FROM documents)
-        {sql_tree_digest('lines')}""",
+        {sql_tree_digest('lines', prefix='sha256:')}""",
     "json_pages": f"""SELECT 'page ' || (o_orderkey // {_PAGE_ROWS}) AS page, o_orderkey, o_orderstatus, NULL::VARCHAR AS absent
         FROM orders WHERE (o_orderkey // {_PAGE_ROWS}) % 5 <> 2""",
     "page_gaps": f"""WITH pages AS (SELECT DISTINCT o_orderkey // {_PAGE_ROWS} AS n FROM orders),

@@ -5,7 +5,6 @@ import json
 import random
 from datetime import datetime, timedelta, timezone
 
-import pytest
 from pyspark.sql import functions as F
 
 from snapdelta.operators.gates import flag_rejects, split_accept_reject, validate_documents

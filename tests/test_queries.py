@@ -11,15 +11,6 @@ from check_queries import duck, table_of
 from registry import all_oracles, all_queries
 
 DATA = "/root/testdata/sf0.001"
-# Queries that write files or repeat what the unit tests look at; check_queries.py runs them all.
-SLOW = set(
-    "accept_reject apply_delta_target canonical_order catalog_filter catalog_page concat_delta connector_detail "
-    "connector_health csv_pull_file csv_pull_no_header csv_pull_row delta_diff drain_queue export_csv file_checkpoint "
-    "intake_stream intake_stream_batches mark_processed_batches mark_processed_events mttr ops_snapshot_connectors "
-    "ops_snapshot_runs ops_summary publish_latest read_delta run_checkpoints run_ledger run_manifest run_state run_target "
-    "slo_gate snapshot_diff_never snapshot_diff_one_join snapshot_diff_one_join_never snapshot_diff_soft split_ops".split()
-)
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
@@ -36,7 +27,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(all_queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, database, name):
     frame = entry.queries()[name](spark, DATA)
     mine = table_of(frame.columns, [tuple(row) for row in frame.collect()])
