@@ -8,8 +8,9 @@ the similarity, with the concentration of independent samples.
 
 Equal sets are one class before anything is compared. Classes that share a band become candidates; each link between classes
 is confirmed on the full sets. Within a bucket classes are compared with a few centres first and joined into components;
-afterwards only pairs of different components are left to compare, so a group of thousands of copies costs a star and not
-all its pairs. Pairs whose sketches agree in too few bins to reach the threshold are left out before their sets are fetched.
+afterwards only members of different components are left to compare, so a group of thousands of copies costs a star and not
+all its pairs. That comparison is made on two bits of every bin inside the join, so texts that only share a common passage
+give no pairs; what is left is compared on whole bytes of the bins, and then on the sets.
 
 Defined results: a text without words has an empty set and is linked with nothing. A row without id can be named by nobody; it
 forms a component of its own with a null ``component_id`` and is kept. Rows with one id are one document, which links if either
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm import wordhash
@@ -32,9 +33,11 @@ WORDS = 4
 COORDINATES = 128
 ROWS = 4
 SIMILARITY = (80, 100)
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 # A pair at the threshold agrees in 102 of 128 bins on average, 4.5 standard deviations above this.
 LEAST_EQUAL = 80
+# Two bits of every bin, in four numbers. At the threshold 19 of 128 differ on average, five standard deviations below this.
+MOST_UNLIKE = 40
 
 _random = np.random.default_rng(7_001)
 _FACTORS = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,14 +93,17 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         for batch in batches:
             for part in wordhash.portions(batch, "text"):
                 hashes, before = wordhash.words(*wordhash.texts_of(part.column(1)))
-                sizes, names, bands, marks = [], [], [], []
+                sizes, names, bands, marks, bits = [], [], [], [], []
                 for i in range(part.num_rows):
                     own = shingle_set(hashes[before[i] : before[i + 1]], words)
                     sizes.append(len(own))
                     names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     bins = sketch(own) if len(own) else None
                     bands.append(bands_of(bins).view(np.int64) if len(own) else empty)
-                    marks.append((wordhash.mix(bins) & np.uint64(255)).astype(np.uint8).tobytes() if len(own) else b"")
+                    mark = (wordhash.mix(bins) & np.uint64(255)).astype(np.uint8) if len(own) else np.zeros(0, np.uint8)
+                    marks.append(mark.tobytes())
+                    pairs = (mark & 3).reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
+                    bits.append(np.bitwise_or.reduce(pairs, 1).view(np.int64).tolist() if len(own) else [])
                 ends = np.cumsum([0, *map(len, bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -106,11 +112,12 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                         pa.array(names, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([empty, *bands]))),
                         pa.array(marks, pa.binary()),
+                        pa.array(bits, pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "digest", "bands", "marks"],
+                    ["doc_id", "n_shingles", "digest", "bands", "marks", "bits"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>, marks binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>, marks binary, bits array<bigint>")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -127,6 +134,15 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, f"node {kind}, elements binary")
 
 
+def _unlike(left: list[Column], right: list[Column]) -> Column:
+    """Number of bins whose two bits differ."""
+    count = F.lit(0)
+    for x, y in zip(left, right):
+        both = x.bitwiseXOR(y)
+        count = count + F.bit_count(both.bitwiseOR(F.shiftrightunsigned(both, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return count
+
+
 def _promising(pairs: DataFrame) -> DataFrame:
     """Pairs whose sketches agree in enough bins."""
     schema = pairs.schema
@@ -170,7 +186,7 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rows = settled(sketched(docs, id_col, text_col, words), "near-sketches")
     named = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = named.groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks")
+        F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks"), F.any_value("bits").alias("bits")
     )
     classes = settled(classes, "near-classes")
     hits = classes.select("node", F.posexplode("bands").alias("band", "value"))
@@ -179,7 +195,7 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     candidates = members.select("node").distinct()
     texts = docs.select(F.col(id_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = settled(_sets(texts.join(candidates, "node", "left_semi"), words), "near-sets")
-    marks = settled(classes.join(candidates, "node", "left_semi").select("node", "marks"), "near-marks")
+    marks = settled(classes.join(candidates, "node", "left_semi").select("node", "marks", "bits"), "near-marks")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Distinct pairs, written once as links."""
@@ -209,10 +225,13 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     open_buckets = members.join(labels, "node").groupBy("band", "value").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low <> high").select("band", "value")
-    rest = settled(members.join(open_buckets, ["band", "value"]).join(labels, "node").select("band", "value", "node", "component"), "near-rest")
-    left = rest.select("band", "value", F.col("node").alias("a"), F.col("component").alias("of"))
-    right = rest.select("band", "value", F.col("node").alias("b"), "component")
-    across = left.join(right, ["band", "value"]).where("of < component").select("a", "b")
+    rest = members.join(open_buckets, ["band", "value"]).join(labels, "node").join(marks, "node")
+    rest = settled(rest.select("band", "value", "node", "component", *[F.col("bits")[i].alias(f"w{i}") for i in range(4)]), "near-rest")
+    left = rest.select("band", "value", F.col("node").alias("a"), F.col("component").alias("of"), *[F.col(f"w{i}").alias(f"v{i}") for i in range(4)])
+    right = rest.withColumnRenamed("node", "b")
+    alike = _unlike([F.col(f"v{i}") for i in range(4)], [F.col(f"w{i}") for i in range(4)]) <= MOST_UNLIKE
+    same = (left["band"] == right["band"]) & (left["value"] == right["value"])
+    across = left.join(right, same & (left["of"] < right["component"]) & alike).select("a", "b")
     links = links.unionByName(confirmed(across, "near-links"))
     labels = components(candidates, links)
     found = classes.select("digest", "node").join(labels, "node", "left")
