@@ -36,7 +36,8 @@ BUCKET_BYTES = 24 << 20
 END = np.uint64(0xE0D0F7E87A11CE55)
 START = np.uint64(0x57A27B0F7E87ACE5)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_NARROW = 6
+# Arcs are known by the upper 56 bits of their hash; words by all 64.
+_NARROW = 7
 
 
 def held_out(key: Column, parts: int = 7, part: int = 2) -> Column:
@@ -79,14 +80,28 @@ def _counted(keys: np.ndarray, training: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys[first], np.add.reduceat(training[order].astype(np.uint32), first).astype(np.uint32)
 
 
-def _narrow(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _upper(keys: np.ndarray, width: int) -> np.ndarray:
+    return keys >> np.uint64(64 - 8 * width)
+
+
+def _narrow(keys: np.ndarray, width: int) -> bytes:
+    """The upper bytes of sorted keys, byte by byte: the first ones hardly change, so they shrink to nothing."""
+    return _packed(np.ascontiguousarray(np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 8 - width :].T).tobytes())
 
 
 def _wide(data: bytes, width: int) -> np.ndarray:
-    got = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(got), 8), np.uint8)
-    out[:, :width] = got
+    """``_upper`` of the keys that were packed."""
+    got = np.frombuffer(_unpacked(data), np.uint8).reshape(width, -1)
+    out = np.zeros((got.shape[1], 8), np.uint8)
+    out[:, :width] = got.T
     return out.view(np.uint64).ravel()
 
 
@@ -119,7 +134,7 @@ def _requests(table: pa.Table, buckets: int) -> pa.Table:
                 rows["block"].append(block)
                 rows["kind"].append(kind)
                 rows["keys"].append(_narrow(keys[first:last], width))
-                rows["counts"].append(counts[first:last].tobytes())
+                rows["counts"].append(_packed(counts[first:last].tobytes()))
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.table([pa.array(rows[n], k) for n, k in zip(rows, kinds)], list(rows))
 
@@ -133,7 +148,7 @@ def _answers(table: pa.Table) -> pa.Table:
         if not part.num_rows:
             continue
         packs = [_wide(x.as_py(), width) for x in part.column("keys")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in part.column("counts")])
+        counts = np.concatenate([np.frombuffer(_unpacked(x.as_py()), np.uint32) for x in part.column("counts")])
         keys = np.concatenate(packs)
         order = np.argsort(keys, kind="stable")
         ranked = keys[order]
@@ -155,8 +170,8 @@ def _answers(table: pa.Table) -> pa.Table:
             if known.any():
                 out["block"].append(block)
                 out["kind"].append(kind)
-                out["keys"].append(_narrow(pack[known], width))
-                out["counts"].append(own[known].tobytes())
+                out["keys"].append(_narrow(pack[known] << np.uint64(64 - 8 * width), width))
+                out["counts"].append(_packed(own[known].astype(np.int64).tobytes()))
     types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.table([pa.array(out[n], k) for n, k in zip(out, types)], list(out))
 
@@ -206,13 +221,10 @@ def _scores(block_key, texts: pa.Table, replies: pa.Table, documents: int, total
     for kind, keys, width in ((WORD, tokens, 8), (ARC, arcs_of(contexts_of(tokens, starts), tokens), _NARROW)):
         keys, counts = _counted(keys, training)
         counts = counts.astype(np.int64)
-        short = keys & np.uint64((1 << 8 * width) - 1)
-        order = np.argsort(short, kind="stable") if width < 8 else None
-        ranked = short if order is None else short[order]
+        ranked = _upper(keys, width)
         for i in np.flatnonzero(kinds == kind):
             asked = _wide(replies.column("keys")[int(i)].as_py(), width)
-            at = np.searchsorted(ranked, asked)
-            counts[at if order is None else order[at]] += np.frombuffer(replies.column("counts")[int(i)].as_py(), np.int64)
+            counts[np.searchsorted(ranked, asked)] += np.frombuffer(_unpacked(replies.column("counts")[int(i)].as_py()), np.int64)
         learnt += [keys, counts]
     counts, weights = Automaton(*learnt, documents, total).weights(tokens, starts)
     first = starts[:-1]
@@ -244,7 +256,8 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # Both uses of the dealt texts have one plan, so Spark writes this shuffle once.
     dealt = rows.withColumn("block", block).repartition(max(2, blocks), "block")
     requests = dealt.groupBy("block").applyInArrow(lambda t: _requests(t, buckets), _REQUEST)
-    replies = requests.groupBy("bucket").applyInArrow(_answers, _REPLY)
+    # Small packs would be put into few tasks by their bytes; counting them is the work, so each bucket has its own.
+    replies = requests.repartition(max(2, buckets), "bucket").groupBy("bucket").applyInArrow(_answers, _REPLY)
     result = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_part double, score double, words bigint, train_tokens bigint"
     out = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(
         lambda key, texts, answers: _scores(key, texts, answers, documents, total), result
