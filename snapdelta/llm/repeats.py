@@ -33,8 +33,8 @@ from snapdelta.llm.runindex import RunIndex
 LENGTH = 100
 ANCHOR = 24
 BLOCK_BYTES = 12 << 20
-BUCKET_BYTES = 24 << 20
-INDEX_BYTES = 1 << 20
+BUCKET_BYTES = 6 << 20
+INDEX_BYTES = 1 << 18
 _SEGMENT = 1 << 17
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -95,6 +95,11 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np
     return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
 
 
+def _anchor_place(text: bytes, anchor: np.uint64) -> int:
+    """Where the anchor of a segment lies: at the first substring with its hash."""
+    return int(np.flatnonzero(_anchor_hashes(np.frombuffer(text, np.uint8)) == anchor)[0])
+
+
 class Block:
     """A block's distinct documents in order, as bytes end to end, and their segments."""
 
@@ -165,14 +170,23 @@ def _repeated(block: Block, answers: pa.Table) -> np.ndarray:
     return out
 
 
-_FIELDS = ("bucket", "block", "anchors", "sizes", "texts", "ids", "known", "ties", "starts", "ranks")
-_SENT = "bucket int, block int, anchors binary, sizes binary, texts binary, ids binary, known binary, ties binary, starts binary, ranks binary"
+_FIELDS = ("bucket", "block", "anchors", "sizes", "texts", "starts", "places", "ranks", "ids", "known", "ties")
+_SENT = "bucket int, block int, anchors binary, sizes binary, texts binary, starts binary, places binary, ranks binary, ids binary, known binary, ties binary"
+
+
+def _packed(data: bytes) -> bytes:
+    """Compressed, the length in front: segments overlap and are text, so they shrink to well under half."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _sends(table: pa.Table, answers: pa.Table, buckets: int, length: int) -> pa.Table:
     """A block's distinct segments with repeated anchors and the first position of each."""
     out: dict[str, list] = {name: [] for name in _FIELDS}
-    types = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 9]
     if table.num_rows:
         number = table.column("block")[0].as_py()
         block = Block(table, length)
@@ -196,10 +210,13 @@ def _sends(table: pa.Table, answers: pa.Table, buckets: int, length: int) -> pa.
             a, b = at[bucket], at[bucket + 1]
             if a == b:
                 continue
-            own, rank = [texts[k] for k in order[a:b]], ranks[a:b]
+            own = [texts[k] for k in order[a:b]]
+            # Documents of the pack are told once; a segment has the place of its document among them.
+            rank, place = np.unique(ranks[a:b], return_inverse=True)
             values = (
-                bucket, number, anchors[a:b].tobytes(), np.fromiter(map(len, own), np.int32, len(own)).tobytes(), b"".join(own),
-                ids[rank].tobytes(), known[rank].tobytes(), ties[rank].tobytes(), starts[a:b].astype(np.int64).tobytes(), rank.astype(np.int64).tobytes(),
+                bucket, number, anchors[a:b].tobytes(), np.fromiter(map(len, own), np.uint8, len(own)).tobytes(), _packed(b"".join(own)),
+                _packed(starts[a:b].astype(np.int64).tobytes()), _packed(place.astype(np.int32).tobytes()),
+                rank.astype(np.int64).tobytes(), ids[rank].tobytes(), known[rank].tobytes(), ties[rank].tobytes(),
             )
             for name, value in zip(_FIELDS, values):
                 out[name].append(value)
@@ -209,15 +226,18 @@ def _sends(table: pa.Table, answers: pa.Table, buckets: int, length: int) -> pa.
 def _stay(table: pa.Table, length: int, index_bytes: int) -> pa.Table:
     """For the earliest copy of each segment, the windows that occur in no earlier segment, as bits; to the owning blocks."""
 
-    def column(name, kind):
-        return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-
-    anchors, sizes = column("anchors", np.uint64), column("sizes", np.int32).astype(np.int64)
-    ids, known, ties = column("ids", np.int64), column("known", np.uint8), column("ties", np.int64)
-    starts, ranks = column("starts", np.int64), column("ranks", np.int64)
-    counts = [len(x.as_py()) // 8 for x in table.column("anchors")]
-    blocks = np.repeat(table.column("block").to_numpy(), counts)
-    raw = b"".join(x.as_py() for x in table.column("texts"))
+    def column(name, kind, opened=lambda x: x):
+        return [np.frombuffer(opened(x.as_py()), kind) for x in table.column(name)]
+
+    sizes = np.concatenate(column("sizes", np.uint8)).astype(np.int64)
+    anchors, starts = np.concatenate(column("anchors", np.uint64)), np.concatenate(column("starts", np.int64, _unpacked))
+    places = column("places", np.int32, _unpacked)
+    known, ids, ties, ranks = (
+        np.concatenate([of[at] for of, at in zip(column(name, kind), places)])
+        for name, kind in (("known", np.uint8), ("ids", np.int64), ("ties", np.int64), ("ranks", np.int64))
+    )
+    blocks = np.repeat(table.column("block").to_numpy(), [len(at) for at in places])
+    raw = b"".join(_unpacked(x.as_py()) for x in table.column("texts"))
     begins = np.concatenate(([0], np.cumsum(sizes)))
     # Earliest first, so the first text seen is the one that owns its copies.
     order = np.lexsort((starts, ties, ids, known))
@@ -230,39 +250,70 @@ def _stay(table: pa.Table, length: int, index_bytes: int) -> pa.Table:
     ranked = anchors[mine][by_anchor]
     group = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
     group_sizes = np.diff(np.append(group, len(ranked)))
-    low, high = np.zeros(len(mine), np.uint64), np.zeros(len(mine), np.uint64)
     windows = sizes[mine] - length + 1
-    ones = lambda k: (np.uint64(1) << np.minimum(k, 63).astype(np.uint64)) - np.uint64(1)
-    low[:] = np.where(windows >= 64, ~np.uint64(0), ones(windows))
-    high[:] = np.where(windows > 64, ones(np.maximum(windows - 64, 0)), np.uint64(0))
-
-    def index(members: list[int]) -> None:
-        """Several anchors' segments in one index; windows of different anchors are never equal."""
-        data = np.frombuffer(b"".join(texts[m] for m in members), np.uint8)
-        lengths = sizes[mine[members]]
-        held = RunIndex(data, lengths)
+    stay = np.arange(128)[None, :] < windows[:, None]  # per segment and window; repeats are struck out
+
+    def index(parts: list[list[tuple[int, int, int]]]) -> None:
+        """Several groups in one index; windows of different groups are never equal."""
+        items = [item for part in parts for item in part]
+        data = b"".join(texts[t][s : e - 1 + length] for t, s, e in items)
+        held = RunIndex(np.frombuffer(data, np.uint8), np.array([e - 1 + length - s for _, s, e in items], np.int64))
         at, first = held.first_occurrences(length)
-        text = np.searchsorted(held.begins, at, "right") - 1
-        bit = (at - held.begins[text]).astype(np.uint64)
-        whole = np.asarray(members)
-        value = np.where(first, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-        for into, part in ((low, bit < 64), (high, bit >= 64)):
-            sums = np.zeros(len(members), np.uint64)
-            np.add.at(sums, text[part], value[part])
-            into[whole] = sums
-
-    pending, held_bytes = [], 0
+        item = np.searchsorted(held.begins, at, "right") - 1
+        owner, begin = (np.array([x[k] for x in items])[item] for k in (0, 1))
+        gone = ~first
+        stay[owner[gone], (begin + at - held.begins[item])[gone]] = False
+
+    pending, waiting = [], 0
+
+    def add(part: list[tuple[int, int, int]], anchor_at: dict[int, int] | None = None) -> None:
+        """Take in a group of segments, earliest first, as (segment, first window, end); a large one is divided.
+
+        Windows are divided by how far their anchor lies from their start, and these by the bytes that all windows of such
+        a range share: windows in different parts cannot be equal. Parts that say the same become one at each step.
+        """
+        nonlocal pending, waiting
+        if len(part) == 1:
+            return
+        total = sum(e - 1 + length - s for _, s, e in part)
+        if total <= index_bytes:
+            pending.append(part)
+            waiting += total
+            if waiting >= index_bytes:
+                index(pending)
+                pending, waiting = [], 0
+            return
+        if anchor_at is None:
+            anchor_at = {t: _anchor_place(texts[t], anchors[mine[t]]) for t, _, _ in part}
+        near = min(anchor_at[t] - e + 1 for t, s, e in part)
+        far = max(anchor_at[t] - s for t, s, e in part)
+        if near == far:
+            return  # single windows, all different
+        middle = (near + far + 1) // 2
+        for least, most in ((middle, far), (near, middle - 1)):
+            seen: set[bytes] = set()
+            parts: dict[bytes, list[tuple[int, int, int]]] = {}
+            for t, s, e in part:
+                at = anchor_at[t]
+                s, e = max(s, at - most), min(e, at - least + 1)
+                if s >= e:
+                    continue
+                text = texts[t][s : e - 1 + length]
+                if text in seen:
+                    stay[t, s:e] = False
+                    continue
+                seen.add(text)
+                parts.setdefault(texts[t][at - least : at - most + length], []).append((t, s, e))
+            for smaller in parts.values():
+                add(smaller, anchor_at)
+
     for first, many in zip(group.tolist(), group_sizes.tolist()):
-        if many == 1:
-            continue
-        members = by_anchor[first : first + many]
-        pending += members.tolist()
-        held_bytes += int(sizes[mine[members]].sum())
-        if held_bytes >= index_bytes:
-            index(pending)
-            pending, held_bytes = [], 0
+        if many > 1:
+            add([(t, 0, int(windows[t])) for t in by_anchor[first : first + many].tolist()])
     if pending:
         index(pending)
+    bits = np.packbits(stay, axis=1, bitorder="little").view(np.uint64)
+    low, high = bits[:, 0], bits[:, 1]
     out: dict[str, list] = {"block": [], "ranks": [], "starts": [], "low": [], "high": []}
     by_block = np.argsort(blocks[mine], kind="stable")
     of = blocks[mine][by_block]
@@ -341,10 +392,10 @@ def _removes(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes=BLOCK_BYTES, bucket_bytes=BUCKET_BYTES, index_bytes=INDEX_BYTES) -> DataFrame:
     """``doc_id``, ``n_bytes``, removed ``spans`` (start, end in bytes) and the ``kept`` bytes of every row.
 
-    ``length`` must be at least 24 and at most 151, so that a segment has no more than 128 windows.
+    ``length`` must be from 24 to 139 bytes, so that a segment has at most 116 windows and 255 bytes.
     """
-    if not ANCHOR <= length <= 151:
-        raise ValueError("length must be from 24 to 151 bytes")
+    if not ANCHOR <= length <= 139:
+        raise ValueError("length must be from 24 to 139 bytes")
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
@@ -354,9 +405,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # All uses of the dealt texts have one plan, so Spark writes this shuffle once.
     dealt = rows.withColumn("block", number).repartition(max(2, blocks), "block")
     asks = dealt.groupBy("block").applyInArrow(lambda t: _asks(t, buckets, length), "bucket int, block int, keys binary")
-    shared = asks.groupBy("bucket").applyInArrow(_shared_anchors, "block int, keys binary")
+    # Small packs would be put into few tasks by their bytes; the work on them is larger, so each bucket has its own.
+    shared = asks.repartition(max(2, buckets), "bucket").groupBy("bucket").applyInArrow(_shared_anchors, "block int, keys binary")
     sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda t, a: _sends(t, a, buckets, length), _SENT)
-    stay = sent.groupBy("bucket").applyInArrow(
+    stay = sent.repartition(max(2, buckets), "bucket").groupBy("bucket").applyInArrow(
         lambda t: _stay(t, length, index_bytes), "block int, ranks binary, starts binary, low binary, high binary"
     )
     answers = stay.withColumn("keys", F.lit(None).cast("binary")).unionByName(shared, allowMissingColumns=True)

@@ -20,7 +20,7 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     new = np.empty(len(keys), np.int64)
     new[0] = 1
     new[1:] = ranked[1:] != ranked[:-1]
-    out = np.empty(len(keys), np.int64)
+    out = np.empty(len(keys), np.int32)
     out[order] = np.cumsum(new)
     return out
 
@@ -32,11 +32,11 @@ class RunIndex:
         texts = len(lengths)
         self.begins = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1]
         n = int(lengths.sum()) + texts
-        symbols = np.zeros(n + _FIRST, np.int64)
+        symbols = np.zeros(n + _FIRST, np.int16)
         ends = self.begins + lengths
         inner = np.ones(n, bool)
         inner[ends] = False
-        symbols[:n][inner] = data.astype(np.int64) + 1
+        symbols[:n][inner] = data.astype(np.int16) + 1
         self.n, self.symbols = n, symbols
         self.room = np.repeat(ends, lengths + 1) - np.arange(n)  # symbols left before the end mark
         self.levels: list[tuple[int, np.ndarray]] = []
@@ -53,10 +53,10 @@ class RunIndex:
         ranks, width = _ranks(keys), _FIRST
         self.levels.append((width, ranks))
         while width < longest:
-            after = np.zeros(n, np.int64)
+            after = np.zeros(n, np.int32)
             inside = np.flatnonzero(self.room >= width)
             after[inside] = ranks[inside + width]
-            ranks = _ranks((ranks << 32) | after)
+            ranks = _ranks((ranks.astype(np.int64) << 32) | after)
             width *= 2
             self.levels.append((width, ranks))
         # Equal suffixes of different texts are in the order of the texts.
