@@ -17,16 +17,23 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 16_384
+from snapdelta.llm.wordhash import portions
+
+CHUNK = 32_768
 OVERLAP = 512
-REMEMBERED = 200_000
+REMEMBERED = 120_000
+# Ids that are decoded at once, and bytes of text that are encoded at once, more only for one longer text.
+AT_ONCE = 1 << 18
+TEXT_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,27 +41,92 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+_NONE = 1 << 30
+# Pieces up to so many bytes are merged side by side; longer ones, which are few, one by one.
+_SIDE_BY_SIDE = 32
+
+
+class Merges:
+    """Ranks as tables: the id of each byte, and of each pair of ids that makes a token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[key] for key in self.keys.tolist()], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        wanted = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.made[at], _NONE)
+
+    def ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, four bytes each: the adjacent pair of lowest rank is joined first, the leftmost of equals."""
+        out: list[bytes | None] = [None] * len(pieces)
+        groups: dict[int, list[int]] = {}
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = array("i", (whole,)).tobytes()
+            elif len(piece) > _SIDE_BY_SIDE:
+                out[i] = array("i", merge(piece, self.ranks)).tobytes()
+            else:
+                groups.setdefault(-(-len(piece) // 8), []).append(i)
+        for members in groups.values():
+            for low in range(0, len(members), 1 << 13):
+                self._side_by_side(pieces, members[low : low + (1 << 13)], out)
+        return out
+
+    def _side_by_side(self, pieces: list[bytes], members: list[int], out: list) -> None:
+        sizes = np.array([len(pieces[i]) for i in members])
+        wide = int(sizes.max())
+        column = np.arange(wide + 1)
+        inside = column[None, :wide] < sizes[:, None]
+        ids = np.zeros((len(members), wide + 1), np.int64)
+        ids[:, :wide][inside] = self.byte[np.frombuffer(b"".join(pieces[i] for i in members), np.uint8)]
+        after = np.repeat(np.minimum(column + 1, wide)[None], len(members), 0)
+        before = np.repeat((column - 1)[None], len(members), 0)
+        ranks = np.full((len(members), wide + 1), _NONE, np.int64)
+        paired = column[None, : wide - 1] < sizes[:, None] - 1
+        ranks[:, : wide - 1][paired] = self._rank(ids[:, : wide - 1][paired], ids[:, 1:wide][paired])
+        alive = np.zeros((len(members), wide + 1), bool)
+        alive[:, :wide] = inside
+        rows = np.arange(len(members))
+        while len(rows):
+            at = ranks[rows].argmin(1)
+            best = ranks[rows, at]
+            rows, at, best = rows[best < _NONE], at[best < _NONE], best[best < _NONE]
+            gone = after[rows, at]
+            following = after[rows, gone]
+            ids[rows, at] = best
+            alive[rows, gone] = False
+            ranks[rows, gone] = _NONE
+            after[rows, at] = following
+            before[rows, following] = at
+            right = alive[rows, following]
+            ranks[rows, at] = np.where(right, self._rank(best, ids[rows, following]), _NONE)
+            left = before[rows, at]
+            has = left >= 0
+            ranks[rows[has], left[has]] = self._rank(ids[rows[has], left[has]], best[has])
+        flat = ids[alive].astype(np.int32).tobytes()
+        ends = np.cumsum(alive.sum(1)).tolist()
+        begin = 0
+        for i, end in zip(members, ends):
+            out[i] = flat[4 * begin : 4 * end]
+            begin = end
+
+
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: the adjacent pair of lowest rank is joined first, the leftmost of equals, until none has a rank."""
+    """The same for one piece of any length: pairs in a heap over a linked list."""
     if piece in ranks:
         return [ranks[piece]]
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    if len(parts) > 48:
-        return _merge_long(parts, ranks)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (best is None or rank < best):
-                best, at = rank, i
-        if best is None:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[part] for part in parts]
-
-
-def _merge_long(parts: list, ranks: dict[bytes, int]) -> list[int]:
-    """The same order of joins from a heap of pairs over a linked list."""
+    parts: list = [piece[i : i + 1] for i in range(len(piece))]
     n = len(parts)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap = []
@@ -85,94 +157,104 @@ def _merge_long(parts: list, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder:
-    """Pieces to ids with a bounded memory of pieces seen."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import regex
+    """Pieces to ids, with a bounded memory of pieces: those seen lately, and the generation before them.
 
-        self.ranks, self.cut, self.seen = ranks, regex.compile(pattern), {}
+    ``memory`` may be handed from task to task of a worker; it changes the time only.
+    """
 
-    def ids_of(self, piece: str) -> list[int]:
-        ids = self.seen.get(piece)
-        if ids is None:
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            ids = self.seen[piece] = merge(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        return ids
+    def __init__(self, merges: Merges, pattern: str, memory: dict | None = None):
+        import regex
 
-    def whole(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.cut.findall(text):
-            out += self.ids_of(piece)
+        self.merges, self.cut = merges, regex.compile(pattern)
+        self.memory = memory if memory is not None else {}
+        self.memory.setdefault("lately", {})
+        self.memory.setdefault("before", {})
+
+    def coded(self, pieces: list[str]) -> list[bytes]:
+        """Ids of the pieces, each as four bytes. Those not remembered are merged together."""
+        out = list(map(self.memory["lately"].get, pieces))
+        new = dict.fromkeys(piece for piece, ids in zip(pieces, out) if ids is None)
+        if not new:
+            return out
+        before = self.memory["before"]
+        unknown = [piece for piece in new if piece not in before]
+        found = dict(zip(unknown, self.merges.ids_of([piece.encode("utf-8", "surrogatepass") for piece in unknown])))
+        for piece in new:
+            new[piece] = found[piece] if piece in found else before[piece]
+        out = [new[piece] if ids is None else ids for piece, ids in zip(pieces, out)]
+        self.memory["lately"].update(new)
+        if len(self.memory["lately"]) >= REMEMBERED:
+            self.memory["lately"], self.memory["before"] = {}, self.memory["lately"]
         return out
 
-    def chunk(self, text: str, start: int, last: bool) -> tuple[list[int], list[int], list[int]]:
-        """Sure cuts (absolute), tokens per piece and ids. A piece is sure if a character follows its end, or at the text's end.
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, each as four bytes."""
+        cut = [self.cut.findall(text) for text in texts]
+        coded = self.coded(list(chain.from_iterable(cut)))
+        ends = list(accumulate(map(len, cut), initial=0))
+        return [b"".join(coded[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def chunk(self, text: str, start: int, last: bool) -> dict:
+        """Sure cuts (absolute), where the ids of each piece begin, and the ids. A piece is sure if a character follows it, or at the text's end.
 
-        A run of blanks gives its last one up to a word that follows, so one character after the end decides.
+        A run of blanks gives its last one up to a word that follows, so one character after the end decides. Pieces
+        cover every character, so their lengths are the cuts.
         """
-        cuts, counts, ids = [start], [], []
-        for found in self.cut.finditer(text):
-            if not last and found.end() >= len(text):
-                break
-            got = self.ids_of(found.group())
-            cuts.append(start + found.end())
-            counts.append(len(got))
-            ids += got
-        return cuts, counts, ids
-
-
-def stitch(chunks: Iterator[dict], encoder: Encoder, end: int) -> list[int]:
-    """Ids of a whole text from its chunks in order; each has ``start``, ``text``, ``cuts``, ``counts`` and ``ids``."""
-    out: list[int] = []
+        pieces = self.cut.findall(text)
+        if not last and pieces:
+            pieces.pop()
+        coded = self.coded(pieces)
+        cuts = start + np.cumsum(np.fromiter(chain((0,), map(len, pieces)), np.int64, len(pieces) + 1))
+        at = np.cumsum(np.fromiter(chain((0,), map(len, coded)), np.int64, len(pieces) + 1)) // 4
+        return {"start": start, "text": text, "cuts": cuts, "at": at, "ids": np.frombuffer(b"".join(coded), np.int32)}
+
+
+def stitch(chunks: Iterator[dict], encoder: Encoder, end: int) -> np.ndarray:
+    """Ids of a whole text from its chunks in order, each as ``Encoder.chunk`` gives it."""
+    out: list[np.ndarray] = []
     done, here = 0, None
     for chunk in chunks:
         if here is not None:
-            common = set(here["cuts"]).intersection(chunk["cuts"])
-            at = min((cut for cut in common if cut >= done), default=None)
-            if at is None:
+            common = np.intersect1d(here["cuts"], chunk["cuts"], assume_unique=False)
+            common = common[common >= done]
+            if not len(common):
                 # One piece spans the overlap: cut again from the last sure cut to the end of this chunk.
-                sure = here["cuts"][-1]
-                out += _between(here, done, sure)
+                sure = int(here["cuts"][-1])
+                out.append(_between(here, done, sure))
                 text = here["text"][sure - here["start"] :] + chunk["text"][here["start"] + len(here["text"]) - chunk["start"] :]
-                last = chunk["start"] + len(chunk["text"]) >= end
-                cuts, counts, ids = encoder.chunk(text, sure, last)
-                here, done = {"start": sure, "text": text, "cuts": cuts, "counts": counts, "ids": ids}, sure
+                here, done = encoder.chunk(text, sure, chunk["start"] + len(chunk["text"]) >= end), sure
                 continue
-            out += _between(here, done, at)
-            done = at
+            out.append(_between(here, done, int(common[0])))
+            done = int(common[0])
         here = chunk
-    return out + _between(here, done, here["cuts"][-1]) if here else out
+    if here is not None:
+        out.append(_between(here, done, int(here["cuts"][-1])))
+    return np.concatenate([np.zeros(0, np.int32), *out])
 
 
-def _between(chunk: dict, first: int, last: int) -> list[int]:
+def _between(chunk: dict, first: int, last: int) -> np.ndarray:
     """Ids of the pieces from one cut to another."""
-    cuts, counts = chunk["cuts"], chunk["counts"]
-    i, j = cuts.index(first), cuts.index(last)
-    skip = sum(counts[:i])
-    return list(chunk["ids"][skip : skip + sum(counts[i:j])])
+    i, j = np.searchsorted(chunk["cuts"], [first, last])
+    return chunk["ids"][chunk["at"][i] : chunk["at"][j]]
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col="text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``doc_id`` and ``ids`` of every row."""
-    ranks = read_ranks(path)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    # A worker keeps the value between its tasks, and with it the memory of pieces.
+    shared = docs.sparkSession.sparkContext.broadcast({"merges": Merges(read_ranks(path)), "memory": {}})
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def ids_column(all_ids: list[list[int]]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, all_ids)], dtype=np.int32)
-        flat = np.fromiter((i for ids in all_ids for i in ids), np.int32, count=int(ends[-1]))
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+    def ids_column(all_ids: list) -> pa.Array:
+        ends = np.cumsum([0, *(len(ids) // 4 for ids in all_ids)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(all_ids), np.int32)))
 
     def short(batches):
-        encoder = Encoder(shared.value, pattern)
+        encoder = Encoder(shared.value["merges"], pattern, shared.value["memory"])
         for batch in batches:
-            texts = batch.column("text")
-            for at in range(0, len(texts), 256):
-                part = texts.slice(at, 256)
+            for part in portions(batch, "text", TEXT_BYTES):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, 256), ids_column([encoder.whole(t) for t in part.to_pylist()])], ["doc_id", "ids"]
+                    [part.column(0), ids_column(encoder.texts(part.column(1).to_pylist()))], ["doc_id", "ids"]
                 )
 
     def cut_up(batches):
@@ -188,47 +270,67 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col=
                     )
 
     def in_chunks(batches):
-        encoder = Encoder(shared.value, pattern)
+        encoder = Encoder(shared.value["merges"], pattern, shared.value["memory"])
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
                 text, start, total = (one.column(c)[0].as_py() for c in ("piece", "start", "total"))
-                cuts, counts, ids = encoder.chunk(text, start, start + len(text) >= total)
-                yield pa.RecordBatch.from_arrays(
-                    [*one.columns, *[ids_column([x]) for x in (counts, ids)], pa.array([cuts], pa.list_(pa.int64()))],
-                    [*one.schema.names, "counts", "ids", "cuts"],
-                )
+                found = encoder.chunk(text, start, start + len(text) >= total)
+                packed = [pa.array([found[name].tobytes()], pa.binary()) for name in ("cuts", "at", "ids")]
+                yield pa.RecordBatch.from_arrays([*one.columns, *packed], [*one.schema.names, "cuts", "at", "ids"])
 
     def joined(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("number").to_numpy())
-        table = table.take(pa.array(order))
-        parts = (
-            {"start": r["start"], "text": r["piece"], "cuts": r["cuts"], "counts": r["counts"], "ids": r["ids"]} for r in table.to_pylist()
-        )
-        ids = stitch(parts, Encoder(shared.value, pattern), table.column("total")[0].as_py())
-        return pa.table([table.column("doc_id").slice(0, 1), ids_column([ids])], ["doc_id", "ids"])
+        table = table.take(pa.array(np.argsort(table.column("number").to_numpy())))
+
+        def parts():
+            for row in range(table.num_rows):
+                packed = {name: table.column(name)[row].as_py() for name in ("start", "piece", "cuts", "at", "ids")}
+                yield {
+                    "start": packed["start"], "text": packed["piece"], "ids": np.frombuffer(packed["ids"], np.int32),
+                    "cuts": np.frombuffer(packed["cuts"], np.int64), "at": np.frombuffer(packed["at"], np.int64),
+                }
+
+        encoder = Encoder(shared.value["merges"], pattern, shared.value["memory"])
+        ids = stitch(parts(), encoder, table.column("total")[0].as_py())
+        return pa.table([table.column("doc_id").slice(0, 1), ids_column([ids.tobytes()])], ["doc_id", "ids"])
 
     result = f"doc_id {kind}, ids array<int>"
     small = rows.where(F.char_length("text") <= chunk).mapInArrow(short, result)
     cut_schema = f"row bigint, doc_id {kind}, number int, start bigint, total bigint, piece string"
     large = rows.where(F.char_length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
     pieces = large.mapInArrow(cut_up, cut_schema).repartition("row", "number")
-    coded = pieces.mapInArrow(in_chunks, f"{cut_schema}, counts array<int>, ids array<int>, cuts array<bigint>")
+    coded = pieces.mapInArrow(in_chunks, f"{cut_schema}, cuts binary, at binary, ids binary")
     return small.unionByName(coded.groupBy("row").applyInArrow(joined, result))
 
 
 def decoded(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """The rows with the bytes that their ids stand for."""
-    shared = coded.sparkSession.sparkContext.broadcast({i: token for token, i in read_ranks(path).items()})
+    """The rows with the bytes that their ids stand for. Null ids stand for none."""
+    tokens = [b""] * (max((ranks := read_ranks(path)).values()) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    shared = coded.sparkSession.sparkContext.broadcast(
+        {"bytes": np.frombuffer(b"".join(tokens), np.uint8), "begin": np.concatenate(([0], np.cumsum([len(t) for t in tokens])))}
+    )
     names = [f.name for f in coded.schema.fields]
 
     def run(batches):
-        table = shared.value
+        table, begin = shared.value["bytes"], shared.value["begin"]
         for batch in batches:
-            at = batch.schema.names.index(ids_col)
-            ids = batch.column(at)
-            out = [b"".join(map(table.__getitem__, ids[i].values.to_pylist())) if ids[i].is_valid else b"" for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "bytes"])
+            column = batch.column(batch.schema.names.index(ids_col))
+            counts = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
+            before = np.concatenate(([0], np.cumsum(counts)))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(before, before[first] + AT_ONCE, "right")) - 1)
+                part = batch.slice(first, last - first)
+                flat = part.column(batch.schema.names.index(ids_col)).flatten().to_numpy(zero_copy_only=False)
+                sizes = begin[flat + 1] - begin[flat]
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                out = table[np.repeat(begin[flat] - ends[:-1], sizes) + np.arange(ends[-1])]
+                at = ends[before[first : last + 1] - before[first]].astype(np.int64)
+                whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(at), pa.py_buffer(out)])
+                yield pa.RecordBatch.from_arrays([*part.columns, whole.cast(pa.binary())], [*names, "bytes"])
+                first = last
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
     return coded.mapInArrow(run, f"{schema}, bytes binary")
