@@ -2,6 +2,8 @@
 
 Words are maximal runs of characters other than space and tab to carriage return. All measures come from the whole text:
 lengths, symbols, stop words, repeated lines and repeated runs of eight words. A null text counts as a text without words.
+No rule bounds the length above, and vocabulary is the mean share of distinct words in consecutive blocks of ``BLOCK`` words,
+weighted by their words: the share in the whole text would fall with length for any clean text.
 
 Defined results: a text without words fails the base rule and every ratio of it is null, which no threshold accepts.
 Rows are judged one by one, so repeated ids and rows each get their own verdict, in any order, with ties impossible.
@@ -18,6 +20,7 @@ from snapdelta.llm.common import BLANKS, without, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+BLOCK = 500
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -29,7 +32,7 @@ STOP_WORDS = (
 
 # measure, least, most; None leaves a side open. All must hold.
 THRESHOLDS = (
-    ("n_words", 20, 100_000),
+    ("n_words", 20, None),
     ("word_length", 2.0, 14.0),
     ("symbol_ratio", None, 0.1),
     ("stop_ratio", 0.03, None),
@@ -77,6 +80,12 @@ def _repeated(words: Column, hashes: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(of_hashes(hashes, words))
 
 
+def _distinct(hashes: Column) -> Column:
+    """Distinct words of each block, added up."""
+    blocks = F.sequence(F.lit(0), (F.size(hashes) / BLOCK).cast("int"))
+    return F.aggregate(blocks, F.lit(0), lambda n, k: n + F.size(F.array_distinct(F.slice(hashes, k * BLOCK + 1, BLOCK))))
+
+
 def _measures(text: Column) -> Column:
     """A struct of all counts; the words are split once."""
     gap_bytes = F.octet_length(text) - F.octet_length(without(text, BLANKS))
@@ -92,7 +101,7 @@ def _measures(text: Column) -> Column:
             (F.char_length(text) - gap_bytes).cast("bigint").alias("word_chars"),
             (F.octet_length(text) - F.octet_length(without(text, SYMBOLS))).cast("bigint").alias("n_symbols"),
             once(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("lines"),
-            F.size(F.array_distinct(hashes)).cast("bigint").alias("n_distinct"),
+            _distinct(hashes).cast("bigint").alias("n_distinct"),
             _repeated(words, hashes).cast("bigint").alias("n_repeat_words"),
             F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))).cast("bigint").alias("n_stop_words"),
         )

@@ -66,3 +66,14 @@ def test_very_long_text(frame):
 def test_no_user_functions(frame):
     plan = quality.measured(frame([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange hash" not in plan
+
+
+def long_text(n_words, vocabulary):
+    rng = random.Random(n_words + vocabulary)
+    return " ".join("the" if rng.random() < 0.1 else f"w{rng.randrange(vocabulary)}" for _ in range(n_words))
+
+
+def test_verdict_does_not_depend_on_length(frame):
+    rows = [(n, long_text(n, 2_000)) for n in (400, 20_000, 200_000)] + [(n + 1, long_text(n, 60)) for n in (400, 20_000, 200_000)]
+    got = {r.doc_id: r.kept for r in quality.measured(frame(rows)).collect()}
+    assert got == {400: True, 20_000: True, 200_000: True, 401: False, 20_001: False, 200_001: False}
