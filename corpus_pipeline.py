@@ -14,8 +14,8 @@ MIX = mixing.Mix(budget_share=0.8, max_epochs=1)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules."""
-    return quality.accepted(docs)
+    """Documents that pass the rules of ``op3``, whose SQL the tests take for this stage."""
+    return quality.accepted(docs, thresholds=quality.THRESHOLDS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

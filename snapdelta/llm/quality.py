@@ -40,6 +40,8 @@ THRESHOLDS = (
     ("dup_line_ratio", None, 0.3),
     ("repeat_ratio", None, 0.3),
 )
+# The same with the words in repeated lines instead of the lines: one short line said twice costs a short text little.
+BY_WORDS = tuple(("dup_word_ratio", *rule[1:]) if rule[0] == "dup_line_ratio" else rule for rule in THRESHOLDS)
 
 
 def _repeated(words: Column, hashes: Column) -> Column:
@@ -86,11 +88,20 @@ def _distinct(hashes: Column) -> Column:
     return F.aggregate(blocks, F.lit(0), lambda n, k: n + F.size(F.array_distinct(F.slice(hashes, k * BLOCK + 1, BLOCK))))
 
 
-def _measures(text: Column) -> Column:
-    """A struct of all counts; the words are split once."""
+def _measures(text: Column, thresholds) -> Column:
+    """A struct of all counts; the words are split once, and those of distinct lines again where a threshold asks."""
+    by_words = any(rule[0] == "dup_word_ratio" for rule in thresholds)
     gap_bytes = F.octet_length(text) - F.octet_length(without(text, BLANKS))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
 
+    def line_counts(x: Column, words: Column) -> Column:
+        fields = [F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")]
+        if by_words:
+            once_each = F.size(words_of(F.array_join(F.array_distinct(x), "\n")))
+            repeated = F.when(F.size(x) == F.size(F.array_distinct(x)), F.lit(0)).otherwise(F.size(words) - once_each)
+            fields.append(repeated.alias("w"))
+        return F.struct(*fields)
+
     def of_words(words: Column) -> Column:
         hashed = F.transform(words, lambda w: F.xxhash64(w))
         return once(hashed, lambda hashes: counts(words, hashes))
@@ -100,7 +111,7 @@ def _measures(text: Column) -> Column:
             F.size(words).cast("bigint").alias("n_words"),
             (F.char_length(text) - gap_bytes).cast("bigint").alias("word_chars"),
             (F.octet_length(text) - F.octet_length(without(text, SYMBOLS))).cast("bigint").alias("n_symbols"),
-            once(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("lines"),
+            once(lines, lambda x: line_counts(x, words)).alias("lines"),
             _distinct(hashes).cast("bigint").alias("n_distinct"),
             _repeated(words, hashes).cast("bigint").alias("n_repeat_words"),
             F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))).cast("bigint").alias("n_stop_words"),
@@ -109,10 +120,10 @@ def _measures(text: Column) -> Column:
     return once(words_of(text), of_words)
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresholds=BY_WORDS) -> DataFrame:
     """Counts and verdict of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), _measures(text).alias("m"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _measures(text, thresholds).alias("m"))
     return rows.select("doc_id", *_columns(F.col("m"), thresholds))
 
 
@@ -127,6 +138,8 @@ def _columns(m: Column, thresholds) -> list[Column]:
         "dup_line_ratio": m["lines"]["d"] / F.nullif(m["lines"]["n"], F.lit(0)),
         "repeat_ratio": m["n_repeat_words"] / words,
     }
+    if any(rule[0] == "dup_word_ratio" for rule in thresholds):
+        ratios["dup_word_ratio"] = m["lines"]["w"] / words
     base_failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     passes = F.lit(True)
     for name, least, most in thresholds:
@@ -146,9 +159,9 @@ def _columns(m: Column, thresholds) -> list[Column]:
     ]
 
 
-def accepted(docs: DataFrame, text_col: str = "text", thresholds=THRESHOLDS) -> DataFrame:
+def accepted(docs: DataFrame, text_col: str = "text", thresholds=BY_WORDS) -> DataFrame:
     """The rows that pass, with their columns as they are."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    judged = docs.withColumn("__m", _measures(text))
+    judged = docs.withColumn("__m", _measures(text, thresholds))
     kept = _columns(F.col("__m"), thresholds)[6]
     return judged.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -77,3 +77,12 @@ def test_verdict_does_not_depend_on_length(frame):
     rows = [(n, long_text(n, 2_000)) for n in (400, 20_000, 200_000)] + [(n + 1, long_text(n, 60)) for n in (400, 20_000, 200_000)]
     got = {r.doc_id: r.kept for r in quality.measured(frame(rows)).collect()}
     assert got == {400: True, 20_000: True, 200_000: True, 401: False, 20_001: False, 200_001: False}
+
+
+def test_clean_text_with_one_repeated_line_is_kept(frame):
+    body = "the river and the hill are in a valley of green trees that by now " + " ".join(f"word{i}" for i in range(60))
+    shout = "\n".join(["the same five words again and again"] * 4)
+    rows = [(1, f"a short line\n{body}\na short line"), (2, f"{body[:150]}\n{shout}")]
+    got = {r.doc_id: (r.n_dup_lines, r.base_failed, r.kept) for r in quality.measured(frame(rows)).collect()}
+    assert got[1] == (1, False, True) and not got[2][2]
+    assert [r.doc_id for r in quality.accepted(frame(rows)).collect()] == [1]
