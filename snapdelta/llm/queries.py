@@ -201,7 +201,8 @@ FROM totals LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
 
 @_query("op9_line_dedup", LINES_SQL)
 def op9_line_dedup(spark, sf_dir):
-    found = lines.deduplicated(documents(spark, sf_dir))
+    # The SQL knows runs of three lines only.
+    found = lines.deduplicated(documents(spark, sf_dir), long_words=None)
     removed = F.aggregate("runs", F.lit(0), lambda total, run: total + run["end"] - run["first"])
     return found.select(
         "doc_id",
