@@ -1,11 +1,11 @@
-"""Scoring texts with a weighted backoff automaton learnt from the corpus.
+"""Scoring texts with the formula of a weighted bigram backoff automaton learnt from the corpus.
 
 States are contexts of one word, the sentence start among them, and the root below them. A state has an arc for every word
 seen after its context, and one failure arc to the root, which has an arc for every word seen at all and one for any other
 word. Probabilities are smoothed with ``KAPPA`` pseudo-counts of the root's: after context v, word w has
 (c(v w) + KAPPA p(w)) / (c(v) + KAPPA); the failure arc weighs KAPPA / (c(v) + KAPPA). At the root a known word has
-(1 - UNKNOWN) c(w) / N and any other UNKNOWN, so every state's probabilities add up to one. A text is read once from left to right;
-the state is carried from word to word and the weights of the arcs taken are added up. Tokens are words with A-Z lowered,
+(1 - UNKNOWN) c(w) / N and any other UNKNOWN, so every state's probabilities add up to one. No automaton is
+walked: a word's state is the word before it, so the weights of all tokens are computed at once from two sorted arrays. Tokens are words with A-Z lowered,
 then one end.
 
 Nothing is counted in one place. Texts are dealt into blocks of bounded size; a block asks for its distinct n-grams, the
@@ -177,7 +177,7 @@ def _answers(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The states and arcs that a block's texts can reach."""
+    """Counts of the words and pairs that a block's texts can reach."""
 
     def __init__(self, words, word_counts, arcs, arc_counts, starts: int, total: int, kappa=KAPPA, unknown=UNKNOWN):
         self.words, self.word_counts, self.arcs, self.arc_counts = words, word_counts, arcs, arc_counts
