@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from snapdelta.llm import bpe, classifier, exact, lines, lm, mixing, near, quality, repeats, sharding
+from snapdelta.llm import align, bpe, classifier, exact, lines, lm, mixing, near, quality, repeats, sharding
 from snapdelta.llm.common import documents, labels, tokenizer
 
 QUERIES, ORACLES = {}, {}
@@ -211,3 +211,10 @@ def op9_line_dedup(spark, sf_dir):
         F.size("runs").cast("bigint").alias("n_runs"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
+
+
+@_query("op11_token_alignment")
+def op11_token_alignment(spark, sf_dir):
+    found = align.aligned(documents(spark, sf_dir), *align.token_files())
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
