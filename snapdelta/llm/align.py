@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ PIECE = 16_384
 # Bytes of text that are tokenised at once, and tokens that are aligned at once.
 TEXT_BYTES = 1 << 20
 TOKENS = 1 << 18
+# Words whose pieces a worker remembers.
+REMEMBERED = 100_000
 # Sets the ends of one row apart from those of the next; no text is that long.
 _APART = 1 << 40
 
@@ -42,11 +45,11 @@ A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 
 
-def token_files() -> tuple[str, str]:
-    """Paths of the two public vocabularies."""
+def token_files() -> tuple[str, str, str]:
+    """Paths of the two public vocabularies, and the pattern by which A cuts a text."""
     import public_tokenizers
 
-    return public_tokenizers.path(A_FILE), public_tokenizers.path(B_FILE)
+    return public_tokenizers.path(A_FILE), public_tokenizers.path(B_FILE), public_tokenizers.PATTERN
 
 
 def _byte_letters() -> dict[str, int]:
@@ -86,6 +89,17 @@ def linkable(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return np.array(sorted(pairs), np.int64)
 
 
+def _ranks(text: str, tokens: list[bytes]) -> dict[bytes, int] | None:
+    """Id of each token that is merged or a byte, if ids are in the order of the merges and so serve as ranks."""
+    whole = json.loads(text)
+    ids = whole["model"]["vocab"]
+    made = [ids["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in whole["model"]["merges"]]
+    if made != sorted(made):
+        return None
+    added = {x["id"] for x in whole.get("added_tokens", [])}
+    return {token: i for i, token in enumerate(tokens) if token and i not in added}
+
+
 class Tables:
     """Bytes of all tokens of a vocabulary end to end, and where each begins."""
 
@@ -103,54 +117,101 @@ class Tables:
 class Pair:
     """The two tokenizers, built from the contents of their files, so that executors need no file."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, pattern: str):
         with open(a_path, encoding="utf-8") as file:
             self.a_text = file.read()
         with open(b_path, "rb") as file:
             self.b_model = file.read()
-        self._tools = None
-        a, b = _bytes_of_a(self.a_text), _bytes_of_b(self.tools()[1])
-        self._tools = None
+        self.pattern = pattern
+        a, b = _bytes_of_a(self.a_text), _bytes_of_b(self.second)
         self.a, self.b = Tables(a), Tables(b)
+        self.kinds = [np.dtype(np.uint16 if len(x) <= 1 << 16 else np.int32) for x in (a, b)]
         self.pairs = linkable(a, b)
         self.digits = Tables([str(i).encode() for i in range(max(len(a), len(b)))])
-
-    def tools(self):
-        """Both tokenizers, built once by each worker."""
-        if self._tools is None:
-            import os
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            import sentencepiece
-            from tokenizers import Tokenizer
-
-            first = Tokenizer.from_str(self.a_text)
-            first.encode_special_tokens = True
-            self._tools = first, sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
-        return self._tools
+        self.ranks = _ranks(self.a_text, a)
+        self.words = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_tools": None}
+        # Tokenizers are built by each worker.
+        return {name: value for name, value in self.__dict__.items() if name not in ("first", "whole", "second", "words")} | {"words": {}}
+
+    @cached_property
+    def first(self):
+        """A over its ranks, which is faster than by its file."""
+        import tiktoken
+
+        return tiktoken.Encoding("a", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+
+    @cached_property
+    def whole(self):
+        """A by its own file, for what the other form refuses."""
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_str(self.a_text)
+        found.encode_special_tokens = True
+        return found
+
+    @cached_property
+    def second(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
+
+    def _ids_a(self, text: str) -> np.ndarray:
+        if self.ranks is None:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kinds[0])
+        try:
+            ids = self.first.encode_ordinary(text)
+        except BaseException as error:
+            # A panic of the library on a text that its pattern engine cannot take.
+            if isinstance(error, (KeyboardInterrupt, SystemExit)):
+                raise
+            ids = self.whole.encode(text, add_special_tokens=False).ids
+        return np.array(ids, self.kinds[0])
+
+    def _ids_b(self, text: str) -> np.ndarray:
+        """B's ids. No piece goes on after its word into a blank, so words between single blanks are encoded each for itself and remembered."""
+        if "  " in text or "\u2581" in text or text[0] == " " or text[-1] == " ":
+            return np.array(self.second.encode(text), self.kinds[1])
+        known, ids = self.words, []
+        for word in text.split(" "):
+            found = known.get(word)
+            if found is None:
+                found = self.second.encode(word)
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                if len(word) <= 64:
+                    known[word] = found
+            ids += found
+        return np.array(ids, self.kinds[1])
 
     def tokenised(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A's ids and where each text's begin, and B's. Texts that either does not spell have none."""
-        words = texts.to_pylist()
-        first, second = self.tools()
-        ids_a = [np.array(e.ids, np.int32) for e in first.encode_batch([f" {t}" if t else "" for t in words], add_special_tokens=False)]
-        ids_b = [np.array(ids, np.int32) for ids in second.encode([t or "" for t in words], num_threads=1)]
+        strings = texts.to_pylist()
         data, at = texts_of(texts)
-        nothing = np.zeros(0, np.int32)
-        for i in range(len(words)):
-            want = data[at[i] : at[i + 1]]
-            for ids, table in ((ids_a[i], self.a), (ids_b[i], self.b)):
-                if len(ids) and table.sizes[ids].sum() == len(want) + 1:
-                    got = table.spelt(ids)
-                    if got[0] == 32 and (got[1:] == want).all():
-                        continue
-                ids_a[i] = ids_b[i] = nothing
-                break
-        starts = [np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64) for ids in (ids_a, ids_b)]
-        return np.concatenate([nothing, *ids_a]), starts[0], np.concatenate([nothing, *ids_b]), starts[1]
+        full = np.diff(at) > 0
+        # What the tokens must spell: a blank before each text that has bytes.
+        want = np.insert(data, at[:-1][full], 32)
+        begin = at + np.concatenate(([0], np.cumsum(full)))
+        sides = []
+        good = np.ones(len(strings), bool)
+        for kind, table, ids_of in zip(self.kinds, (self.a, self.b), (lambda t: self._ids_a(f" {t}"), self._ids_b)):
+            ids = [ids_of(t) if t else np.zeros(0, kind) for t in strings]
+            sides.append(ids)
+            flat = np.concatenate([np.zeros(0, kind), *ids])
+            got = table.spelt(flat)
+            if len(got) == len(want) and (got == want).all():
+                continue
+            ends = np.concatenate(([0], np.cumsum(table.sizes[flat])))[np.cumsum([0, *map(len, ids)])]
+            good &= [np.array_equal(got[ends[i] : ends[i + 1]], want[begin[i] : begin[i + 1]]) for i in range(len(ids))]
+        out = []
+        for kind, ids in zip(self.kinds, sides):
+            ids = [x if ok else x[:0] for x, ok in zip(ids, good)]
+            out += [np.concatenate([np.zeros(0, kind), *ids]), np.cumsum([0, *map(len, ids)]).astype(np.int64)]
+        return tuple(out)
 
 
 def diagonal_cuts(ends_a: np.ndarray, ends_b: np.ndarray, work: int) -> list[tuple[int, int]]:
@@ -237,11 +298,21 @@ class Piece:
         return out, np.append(starts, len(out))
 
 
-_TOKEN_COLUMNS = "piece int, pieces int, a array<int>, a_from bigint, b array<int>, b_from bigint"
+_TOKEN_COLUMNS = "piece int, pieces int, a binary, a_from bigint, b binary, b_from bigint"
+
+
+def _packed(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    places = (at * ids.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(places), pa.py_buffer(ids)])
+
+
+def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    data, at = texts_of(column)
+    return np.frombuffer(data.tobytes(), kind), at // kind.itemsize
 
 
 def tokenised(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "text", work: int = PIECE) -> DataFrame:
-    """Both tokenizers' ids of every row, a row for each piece: ``key`` names the document, ``a_from`` and ``b_from`` the first bytes."""
+    """Both tokenizers' ids of every row, packed, a row for each piece: ``key`` names the document, ``a_from`` and ``b_from`` the first bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -264,7 +335,7 @@ def tokenised(docs: DataFrame, shared, id_col: str = "doc_id", text_col: str = "
                         counts.append(len(places) - 1)
                         cuts.append((own_a.start + two[0], own_b.start + two[1], ends[0][one[0]], ends[1][one[1]]))
                 cuts = np.array(cuts, np.int64).reshape(-1, 4)
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], cuts[:, k])).astype(np.int32)), pa.array(x)) for k, x in enumerate((a, b))]
+                lists = [_packed(x, np.concatenate(([0], cuts[:, k]))) for k, x in enumerate((a, b))]
                 taken = part.take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [taken.column(0), taken.column(1), pa.array(numbers, pa.int32()), pa.array(counts, pa.int32()), lists[0], pa.array(cuts[:, 2]), lists[1], pa.array(cuts[:, 3])],
@@ -278,16 +349,14 @@ def _merged(batch: pa.RecordBatch, pair: Pair) -> Iterator[tuple[pa.RecordBatch,
     """Stretches of a batch of some ``TOKENS`` tokens, at least one row each, with their merged ends."""
     names = batch.schema.names
     column = lambda part, name: part.column(names.index(name))
-    tokens = sum(np.diff(column(batch, side).offsets.to_numpy()) for side in "ab")
-    before = np.concatenate(([0], np.cumsum(tokens)))
+    before = sum(texts_of(column(batch, side))[1] // kind.itemsize for side, kind in zip("ab", pair.kinds))
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(before, before[first] + TOKENS, "right")) - 1)
         part = batch.slice(first, last - first)
         sides = []
-        for side in "ab":
-            at = column(part, side).offsets.to_numpy().astype(np.int64)
-            sides += [column(part, side).flatten().to_numpy(), at - at[0], column(part, f"{side}_from").to_numpy()]
+        for side, kind in zip("ab", pair.kinds):
+            sides += [*_unpacked(column(part, side), kind), column(part, f"{side}_from").to_numpy()]
         yield part, Piece(pair, *sides)
         first = last
 
@@ -327,10 +396,10 @@ def _figures(piece: Piece, counts: np.ndarray, best: np.ndarray) -> list[pa.Arra
     return [pa.array(x) for x in (np.diff(piece.at_a), np.diff(piece.at_b), n, n, *of_links)]
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", work: int = PIECE) -> DataFrame:
+def aligned(docs: DataFrame, a_path: str, b_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", work: int = PIECE) -> DataFrame:
     """Per row: ``doc_id``, numbers of tokens, groups and links, ``n_best``, ``count_sum`` and the ``groups`` as ``a1,a2|b1;a3|b2,b3``."""
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(Pair(a_path, b_path))
+    shared = context.broadcast(Pair(a_path, b_path, pattern))
     tokens = settled(tokenised(docs, shared, id_col, text_col, work), "align-tokens")
     kind = tokens.schema["doc_id"].dataType.simpleString()
     counts = pair_counts(tokens, shared)

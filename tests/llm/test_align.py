@@ -21,7 +21,7 @@ def pair():
 
 def brute(pair, rows):
     """All figures by walking both token lists of each text."""
-    first, second = pair.tools()
+    first, second = pair.whole, pair.second
     spell = lambda table, ids: [table.data[table.begin[i] : table.begin[i + 1]].tobytes() for i in ids]
     found, counts = [], Counter()
     for doc_id, text in rows:
@@ -116,7 +116,7 @@ def test_very_long_text(spark, frame, pair):
 
 def brute_fast(pair, rows):
     """``brute`` without its list searches, for long texts."""
-    first, second = pair.tools()
+    first, second = pair.whole, pair.second
     walked, counts = [], Counter()
     for doc_id, text in rows:
         a, b = first.encode(f" {text}", add_special_tokens=False).ids, second.encode(text)
@@ -140,3 +140,26 @@ def brute_fast(pair, rows):
     for (_, b), n in counts.items():
         highest[b] = max(n, highest.get(b, 0))
     return [(d, na, nb, ng, len(ls), sum(counts[x] == highest[x[1]] for x in ls), sum(counts[x] for x in ls), t) for d, na, nb, ng, ls, t in walked]
+
+
+def test_both_forms_of_a_agree_on_every_character(pair):
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(letters), 50_000):
+        texts = [f" a{c}b 1{c}2 {c}'s \n{c}" for c in letters[k : k + 50_000]]
+        assert [e.ids for e in pair.whole.encode_batch(texts, add_special_tokens=False)] == pair.first.encode_ordinary_batch(texts)
+
+
+def test_words_alone_give_the_pieces_of_the_text(pair):
+    rng = random.Random(8)
+    letters = "abé漢 🙂1-_<>'\t\n."
+    for _ in range(3_000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 40)))
+        assert pair._ids_b(text).tolist() == pair.second.encode(text)
+    # No piece has a blank behind another character, so none can span two words.
+    pieces = [pair.second.id_to_piece(i) for i in range(pair.second.get_piece_size())]
+    assert not [p for p in pieces if "\u2581" in p.lstrip("\u2581")]
+
+
+def test_texts_that_one_form_may_refuse(pair):
+    for text in ("x" * 300_000, " " * 300_000, "\n" * 100_000 + "x"):
+        assert pair._ids_a(text).tolist() == pair.whole.encode(text, add_special_tokens=False).ids
