@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from snapdelta.llm import align, bpe, classifier, exact, lines, lm, mixing, near, quality, repeats, sharding
-from snapdelta.llm.common import documents, labels, tokenizer
+from snapdelta.llm import align, bpe, classifier, exact, jaccard, lines, lm, mixing, near, quality, repeats, search, sharding
+from snapdelta.llm.common import benchmark, documents, labels, tokenizer
 
 QUERIES, ORACLES = {}, {}
 
@@ -218,3 +218,36 @@ def op11_token_alignment(spark, sf_dir):
     found = align.aligned(documents(spark, sf_dir), *align.token_files())
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
     return found.withColumn("groups_sha256", digest).drop("groups")
+
+
+def _terms_sql(text: str) -> str:
+    lowered = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+SEARCH_SQL = f"""
+WITH t AS (SELECT doc_id, unnest({_terms_sql("text")}) AS term FROM documents),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term) CROSS JOIN s),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_terms_sql("text")}) AS term FROM benchmark) GROUP BY item_id, term),
+m AS (SELECT doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM d CROSS JOIN s),
+scores AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= {search.K}
+"""
+
+
+@_query("op12_lexical_search", SEARCH_SQL)
+def op12_lexical_search(spark, sf_dir):
+    return search.ranked(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+@_query("op13_ngram_jaccard_join")
+def op13_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.clustered(documents(spark, sf_dir))
