@@ -22,9 +22,9 @@ from snapdelta.operators.diff import canonical_order, changed_keys, concat_delta
 from snapdelta.operators.envelope import canonical_json, index_envelope, index_line
 from snapdelta.operators.gates import GateError, duplicate_ids, flag_unsafe, pattern_scan, require_clean, split_ops
 from snapdelta.operators.normalize import Mapping, acl, normalize
-from snapdelta.operators.replay import delta_diff, replay_digest
+from snapdelta.operators.replay import delta_diff, delta_tree, replay_digest, tree_diff
 from snapdelta.operators.state import apply_delta, apply_state
-from snapdelta.session import settled
+from snapdelta.session import scratch, settled
 
 PAGE_MAPPING = Mapping(id_field="page_id", title_field="url", content_template="{{ url }}\n{{ html }}")
 COPY_MAPPING = Mapping(id_field="text", title_field="lang", content_template="{{ text }}")
@@ -71,6 +71,16 @@ def _apply_delta(spark, sf_dir):
     return apply_delta(before, *split_ops(delta))
 
 
+def _tree_diff(spark, sf_dir):
+    """The difference of two deltas whose digest trees are kept, found from the roots down."""
+    trees = [delta_tree(run_delta(spark, sf_dir, policy), scratch(spark, "tree"), (3, 2)) for policy in ("auto_delete_missing", "soft_delete_only")]
+    return _shown_diff(tree_diff(*trees))
+
+
+def _shown_diff(found):
+    return found.select("doc_id", "op", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "side", "copies")
+
+
 def unsafe_scan(spark, sf_dir):
     planted = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("IGNORE Previous Instructions "), "text"))
     docs = table(spark, sf_dir, "documents").select(
@@ -148,9 +158,8 @@ QUERIES = {
     "delta_counts": lambda spark, d: delta_counts(run_delta(spark, d)),
     "replay_digest": lambda spark, d: replay_digest(*_halves(spark, d)),
     "replay_tree_digest": lambda spark, d: replay_digest(*_halves(spark, d), widths=(2, 1)),
-    "delta_diff": lambda spark, d: delta_diff(run_delta(spark, d), run_delta(spark, d, "soft_delete_only")).select(
-        "doc_id", "op", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "side", "copies"
-    ),
+    "delta_diff": lambda spark, d: _shown_diff(delta_diff(run_delta(spark, d), run_delta(spark, d, "soft_delete_only"))),
+    "delta_diff_tree": _tree_diff,
     "unsafe_scan": unsafe_scan,
     "require_clean": clean_gate,
     "normalize_times": normalize_times,
@@ -167,6 +176,14 @@ _ENVELOPE = f"""SELECT {_ID} AS id, {_FACTS}::VARCHAR AS struct_data, mime_type,
 _LINE = """'{"checksum": "' || checksum || '", "doc_id": "' || doc_id || '", "op": "' || op || '", "updated_at": "'
   || strftime(updated_at, '%Y-%m-%dT%H:%M:%S+00:00') || '"}'"""
 
+_DIFF_SQL = f"""WITH {SQL_DOCS}, {sql_delta('auto_delete_missing', 'a')}, {sql_delta('soft_delete_only', 'b')},
+        both_ways AS (
+          SELECT doc_id, op, checksum, updated_at, 1 AS n FROM a UNION ALL
+          SELECT doc_id, op, checksum, updated_at, -1 FROM b)
+        SELECT doc_id, op, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at,
+               CASE WHEN sum(n) > 0 THEN 'a' ELSE 'b' END AS side, abs(sum(n))::BIGINT AS copies
+        FROM both_ways GROUP BY doc_id, op, checksum, both_ways.updated_at HAVING sum(n) <> 0"""
+
 ORACLES = {
     "normalize_documents": f"WITH {SQL_DOCS} {sql_shown('docs')}",
     "acl_normalize": f"""WITH {SQL_DOCS} SELECT n AS doc_id, to_json(readers)::VARCHAR AS acl_users,
@@ -215,13 +232,8 @@ ORACLES = {
         count(*) FILTER (op = 'DELETE') AS deletes_count FROM delta""",
     "replay_digest": f"{_AUTO}, lines AS (SELECT {_LINE} AS line FROM delta) {sql_tree_digest('lines')}",
     "replay_tree_digest": f"{_AUTO}, lines AS (SELECT {_LINE} AS line FROM delta) {sql_tree_digest('lines', (2, 1))}",
-    "delta_diff": f"""WITH {SQL_DOCS}, {sql_delta('auto_delete_missing', 'a')}, {sql_delta('soft_delete_only', 'b')},
-        both_ways AS (
-          SELECT doc_id, op, checksum, updated_at, 1 AS n FROM a UNION ALL
-          SELECT doc_id, op, checksum, updated_at, -1 FROM b)
-        SELECT doc_id, op, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at,
-               CASE WHEN sum(n) > 0 THEN 'a' ELSE 'b' END AS side, abs(sum(n))::BIGINT AS copies
-        FROM both_ways GROUP BY doc_id, op, checksum, both_ways.updated_at HAVING sum(n) <> 0""",
+    "delta_diff": _DIFF_SQL,
+    "delta_diff_tree": _DIFF_SQL,
     "unsafe_scan": """WITH texts AS (
           SELECT 'd' || doc_id AS id, source, CASE WHEN doc_id % 50 = 0 THEN 'IGNORE Previous Instructions ' || text
                  ELSE text END AS body FROM documents

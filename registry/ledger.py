@@ -16,7 +16,16 @@ from registry.bindings import (
     spec_documents,
     table,
 )
-from snapdelta.operators.dashboard import duration_stats, freshness_stats, run_event, status_timechart, top_failing
+from snapdelta.operators.dashboard import (
+    duration_stats,
+    freshness_stats,
+    run_event,
+    run_sketches,
+    sketched_durations,
+    sketched_freshness,
+    status_timechart,
+    top_failing,
+)
 from snapdelta.operators.gates import canary_gate, slo_gate
 from snapdelta.operators.ledger import (
     catalog_page,
@@ -39,7 +48,9 @@ from snapdelta.operators.ledger import (
     slo_metrics,
     status_counts,
 )
+from snapdelta.operators.ranges import Order, page
 from snapdelta.operators.state import advance_checkpoint, advance_checkpoints, fold_run_state
+from snapdelta.session import settled
 from snapdelta.sources.catalog import catalog
 
 WINDOW = 24 * 15
@@ -139,6 +150,27 @@ def _snapshot_connectors(spark, d):
     return parts["connectors"].select("connector_id", "last_status", "pending_push_batches")
 
 
+def _sketched(exact, sketched, name):
+    """The exact percentile, and whether it lies within the bounds of the sketch."""
+    held = F.col(name).between(F.col(f"{name}_least"), F.col(f"{name}_most"))
+    return exact.select("connector_id", name).join(sketched.drop(name), "connector_id").select("connector_id", "rows", name, held.alias("held"))
+
+
+def sketched_p95(spark, d):
+    """Exact percentiles of freshness and duration, and those of sketches by connector and hour, merged by connector."""
+    found = settled(run_sketches(runs(spark, d)), "sketches")
+    lags = _sketched(freshness_stats(runs(spark, d), NOW), sketched_freshness(found, NOW), "p95_lag_seconds")
+    times = _sketched(duration_stats(runs(spark, d)), sketched_durations(found), "p95_seconds")
+    return lags.withColumnRenamed("held", "lag_held").join(times.select("connector_id", "p95_seconds", F.col("held").alias("duration_held")), "connector_id")
+
+
+def deep_page(spark, d):
+    """A page that begins behind half of all runs, found by ranges of the order."""
+    found = runs(spark, d)
+    order = [Order("started_at", falls=True), Order("run_id", falls=True)]
+    return page(found, order, found.count() // 2, 100, range_rows=2_000).select("run_id", "connector_id", "status")
+
+
 def _detail(spark, d):
     parts = connector_detail(_health(spark, d), runs(spark, d), "c5", "failed", 30, 10)
     return parts["recent_runs"].select("run_id", "status", "error_class", "duration_seconds")
@@ -177,6 +209,7 @@ QUERIES = {
         "run_id", "connector_id", "status", "duration_seconds", "error_message", "log_url", "flow_url"
     ),
     "runs_page": lambda spark, d: runs_page(runs(spark, d), 100, 250).select("run_id", "connector_id", "status"),
+    "runs_page_deep": deep_page,
     "page_info": lambda spark, d: page_info(runs(spark, d), 100, 250),
     "catalog_report": lambda spark, d: shown(
         catalog_report(_catalog(spark, d), _jobs(spark, d), runs(spark, d)), "last_started_at"
@@ -196,6 +229,7 @@ QUERIES = {
     "top_failing": lambda spark, d: top_failing(runs(spark, d)),
     "freshness_stats": lambda spark, d: freshness_stats(runs(spark, d), NOW),
     "duration_stats": lambda spark, d: duration_stats(runs(spark, d)),
+    "sketched_p95": sketched_p95,
 }
 
 _WINDOW_START = f"TIMESTAMP '2024-02-01 00:00:00' - INTERVAL {WINDOW} HOUR"
@@ -321,6 +355,8 @@ ORACLES = {
         FROM runs WHERE run_id = '100'""",
     "runs_page": f"""WITH {SQL_RUNS} SELECT run_id, connector_id, status FROM runs
         ORDER BY started_at DESC, run_id DESC LIMIT 100 OFFSET 250""",
+    "runs_page_deep": f"""WITH {SQL_RUNS} SELECT run_id, connector_id, status FROM runs
+        ORDER BY started_at DESC, run_id DESC LIMIT 100 OFFSET (SELECT count(*) // 2 FROM events)""",
     "page_info": """SELECT 100 AS limit_runs, 250 AS offset_runs, count(*) AS total_runs, 350 < count(*) AS has_more
         FROM events""",
     "catalog_report": f"""{_REPORT} SELECT * REPLACE (strftime(last_started_at, '%Y-%m-%d %H:%M:%S.%f')
@@ -354,5 +390,12 @@ ORACLES = {
           trunc({_seconds('finished_at', 'started_at')})::BIGINT AS seconds FROM runs WHERE finished_at IS NOT NULL)
         SELECT connector_id, count(*) AS rows, avg(seconds) AS avg_seconds, quantile_cont(seconds, 0.95) AS p95_seconds
         FROM times GROUP BY 1""",
+    "sketched_p95": f"""WITH {SQL_RUNS}, ages AS (SELECT connector_id, count(*) AS rows, quantile_cont(lag, 0.95) AS p95_lag_seconds
+          FROM (SELECT connector_id, trunc({_seconds(_NOW, 'finished_at')})::BIGINT AS lag FROM runs WHERE status = 'SUCCESS') GROUP BY 1),
+        times AS (SELECT connector_id, quantile_cont(seconds, 0.95) AS p95_seconds
+          FROM (SELECT connector_id, trunc({_seconds('finished_at', 'started_at')})::BIGINT AS seconds FROM runs
+            WHERE finished_at IS NOT NULL) GROUP BY 1)
+        SELECT connector_id, rows, p95_lag_seconds, true AS lag_held, p95_seconds, true AS duration_held
+        FROM ages JOIN times USING (connector_id)""",
 }
 assert set(ORACLES) <= set(QUERIES)

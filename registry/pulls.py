@@ -8,6 +8,7 @@ import uuid
 from collections import defaultdict
 from datetime import datetime, timezone
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.bindings import (
@@ -29,15 +30,15 @@ from snapdelta.functions.text import iso_text
 from snapdelta.plans.publish import publish, publish_csv, union_rows
 from snapdelta.plans.run import run_connector
 from snapdelta.plans.store import Store
-from snapdelta.session import scratch, settled
+from snapdelta.session import scratch, setting, settled
 from snapdelta.sources.artifacts import read_delta
 from snapdelta.sources.csvfiles import CsvOptions, clean_errors, csv_pull, file_checkpoint, file_listing, file_manifest_hash
-from snapdelta.sources.pages import json_pages, page_gaps, project_items
+from snapdelta.sources.pages import json_pages, page_chain, page_gaps, page_links, project_items
 from snapdelta.sources.sql import high_water_mark, sql_pull
 from snapdelta.spec import Connector, Output, Source
 from snapdelta.streaming.drain import drain_together
 from snapdelta.streaming.intake import REQUEST_SCHEMA, intake_stream
-from snapdelta.streaming.status import status_stream
+from snapdelta.streaming.status import status_chart, status_stream
 
 AT = datetime(2024, 2, 1, tzinfo=timezone.utc)
 MARK = "1998-01-01T00:00:00+00:00"
@@ -102,6 +103,39 @@ def _orders_as_csv(spark, d, **options):
     return base
 
 
+def _orders_as_lines(spark, d, header):
+    """One file of orders: cells with quotes inside, quoted line breaks, short rows and blank lines."""
+    base = scratch(spark, "csv")
+    key = F.col("o_orderkey").cast("string")
+    line = (
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(key, F.lit(',a"b,c"d')))
+        .when(F.col("o_orderkey") % 5 == 1, F.concat(key, F.lit(',"first\n""second"",\n\nlast"x,'), "o_orderpriority"))
+        .when(F.col("o_orderkey") % 5 == 2, F.concat(key, F.lit(",only")))
+        .when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit('"'), key, F.lit('","",""')))
+        .otherwise(F.concat(key, F.lit(",x,"), "o_orderpriority"))
+    )
+    lines = table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), line.alias("value"))
+    if header:
+        lines = spark.range(1).select(F.lit(-1).cast("bigint").alias("n"), F.lit('id,"the\nnote",priority').alias("value")).unionByName(lines)
+    lines.coalesce(1).sortWithinPartitions("n").select("value").write.text(base)
+    return base
+
+
+def _divided(spark, base, **options):
+    """A pull in ranges of 64 KB, so that records go over their ends."""
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "64k"), setting(spark, "spark.sql.files.openCostInBytes", "1"):
+        return csv_pull(spark, base, "*.txt", CsvOptions(**options))
+
+
+def csv_ranges(spark, d):
+    rows = _divided(spark, _orders_as_lines(spark, d, True))
+    return rows.select("id", F.col("the\nnote").alias("note"), "priority")
+
+
+def csv_ranges_no_header(spark, d):
+    return _divided(spark, _orders_as_lines(spark, d, False), has_header=False).select("column_1", "column_2", "column_3")
+
+
 def csv_pull_row(spark, d):
     base = _orders_as_csv(spark, d)
     rows = csv_pull(spark, base, "*/*.csv", CsvOptions(delimiter=";", normalize_headers=True, clean_errors=True))
@@ -204,6 +238,26 @@ def _page_gaps(spark, d):
     return page_gaps(_pages(spark, d).where("n % 7 <> 4"), "paging.next.cursor")
 
 
+def _linked_pages(spark, d):
+    """The same pages as one chain in their order, but for every seventh: one half of those names pages of the chain, the other forms a cycle."""
+    numbers = table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / _PAGE_ROWS).alias("n")).distinct()
+    kind = F.when(F.col("n") % 7 != 4, 0).when(F.col("n") % 2 == 0, 1).otherwise(2)
+    kinds = numbers.withColumn("kind", kind)
+    along = Window.partitionBy("kind").orderBy("n")
+    ends = F.when(F.col("kind") == 2, F.min("n").over(Window.partitionBy("kind")))
+    on = kinds.withColumn("on", F.when(F.col("kind") == 1, F.col("n") + 1).otherwise(F.coalesce(F.lead("n").over(along), ends)))
+    following = F.when(F.col("on").isNull(), F.lit('{"items":[]}')).otherwise(F.concat(F.lit('{"next":"p'), "on", F.lit('"}')))
+    return on.select(F.concat(F.lit("p"), "n").alias("cursor"), following.alias("body"))
+
+
+def _page_chain(spark, d):
+    """Every page's place in the chain; null for those that it does not reach."""
+    links = settled(page_links(_linked_pages(spark, d), "next"), "links")
+    number = F.expr("cast(substring(cursor, 2) as bigint)")
+    first = links.where(number % 7 != 4).select(F.min_by("cursor", number)).first()[0]
+    return links.select("cursor").join(page_chain(links, first), "cursor", "left")
+
+
 # Publishing
 
 
@@ -338,7 +392,7 @@ def status_counts_stream(spark, d):
     out = scratch(spark, "status")
     run_events = runs_of(events).withColumnRenamed("started_at", "ts")
     status_stream(run_events, out, scratch(spark, "progress")).awaitTermination()
-    return shown(spark.read.parquet(out), "span_start")
+    return shown(status_chart(spark, out), "span_start")
 
 
 QUERIES = {
@@ -348,11 +402,14 @@ QUERIES = {
     "clean_errors": _cleaned,
     "csv_pull_row": csv_pull_row,
     "csv_pull_no_header": csv_pull_no_header,
+    "csv_ranges": csv_ranges,
+    "csv_ranges_no_header": csv_ranges_no_header,
     "csv_pull_file": csv_pull_file,
     "file_checkpoint": _file_checkpoint,
     "file_manifest": file_manifest,
     "json_pages": _page_items,
     "page_gaps": _page_gaps,
+    "page_chain": _page_chain,
     "read_delta": read_published,
     "publish_latest": read_alias,
     "success_pointer": read_pointer,
@@ -367,6 +424,9 @@ QUERIES = {
 }
 
 _NOTE = """CASE o_orderkey % 4 WHEN 0 THEN {error} WHEN 1 THEN '' ELSE 'line "one"' || chr(10) || 'and; ' || o_orderpriority END"""
+_LINE_CELLS = """o_orderkey::VARCHAR AS {id}, CASE o_orderkey % 5 WHEN 0 THEN 'a"b'
+      WHEN 1 THEN 'first' || chr(10) || '"second",' || chr(10) || chr(10) || 'lastx' WHEN 2 THEN 'only' WHEN 3 THEN '' ELSE 'x' END AS {note},
+    CASE o_orderkey % 5 WHEN 0 THEN 'c"d' WHEN 1 THEN o_orderpriority WHEN 3 THEN '' WHEN 4 THEN o_orderpriority END AS {priority} FROM orders"""
 _AUTO = f"WITH {SQL_DOCS}, {sql_delta('auto_delete_missing')}"
 
 ORACLES = {
@@ -389,6 +449,8 @@ ORACLES = {
                CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderkey::VARCHAR END AS column_2,
                CASE WHEN o_orderkey % 2 = 0 THEN note END AS column_3,
                CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS folder FROM noted""",
+    "csv_ranges": f"SELECT {_LINE_CELLS.format(id='id', note='note', priority='priority')}",
+    "csv_ranges_no_header": f"SELECT {_LINE_CELLS.format(id='column_1', note='column_2', priority='column_3')}",
     "csv_pull_file": f"""SELECT o_orderkey::VARCHAR AS o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus,
         {_NOTE.format(error="'#ERROR in cell'")} AS note FROM orders""",
     "file_checkpoint": """SELECT 1::INTEGER AS v, max(o_orderkey::VARCHAR) AS rw, 6::INTEGER AS fc, true AS hashed, true AS latest
@@ -402,6 +464,9 @@ ORACLES = {
         stored AS (SELECT n FROM pages WHERE n % 7 <> 4)
         SELECT 'p' || n AS cursor, 'p' || (n + 1) AS next_cursor FROM stored
         WHERE n % 5 NOT IN (1, 2) AND n + 1 NOT IN (SELECT n FROM stored)""",
+    "page_chain": f"""WITH pages AS (SELECT DISTINCT o_orderkey // {_PAGE_ROWS} AS n FROM orders)
+        SELECT 'p' || n AS cursor, CASE WHEN n % 7 <> 4 THEN row_number() OVER (PARTITION BY n % 7 <> 4 ORDER BY n) - 1 END AS place
+        FROM pages""",
     "read_delta": f"{_AUTO} {sql_shown('delta')}",
     "publish_latest": f"{_AUTO} SELECT doc_id FROM delta WHERE op = 'UPSERT'",
     "success_pointer": f"""{_AUTO}, n AS (SELECT count(*) AS n FROM delta WHERE op = 'UPSERT')
@@ -422,8 +487,6 @@ ORACLES = {
         strftime(max(changed_at), '%Y-%m-%dT%H:%M:%S+00:00') AS watermark FROM rows_in""",
     "drain_queue": """SELECT 'd' || doc_id AS doc_id, sha256(text) AS checksum FROM documents""",
     "status_stream": f"""WITH {SQL_RUNS} SELECT strftime(date_trunc('hour', started_at), '%Y-%m-%d %H:%M:%S.%f')
-        AS span_start, status, count(*) AS runs FROM runs
-        WHERE date_trunc('hour', started_at) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
-        GROUP BY 1, 2""",
+        AS span_start, status, count(*) AS runs FROM runs GROUP BY 1, 2""",
 }
 assert set(ORACLES) <= set(QUERIES)

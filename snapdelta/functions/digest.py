@@ -23,14 +23,15 @@ def tree_digest(df: DataFrame, line: Column, widths: tuple[int, ...] = WIDTHS) -
         "n",
     )
     for above in [*widths[1:], 0]:
-        nodes = nodes.groupBy("prefix").agg(*_fold()).select(
+        nodes = nodes.groupBy("prefix").agg(*folded()).select(
             F.left("prefix", F.lit(above)).alias("prefix"),
             F.concat_ws(":", "prefix", "digest").alias("item"),
             F.col("rows").alias("n"),
         )
-    return nodes.agg(*_fold()).select("digest", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
+    return nodes.agg(*folded()).select("digest", F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"))
 
 
-def _fold() -> list[Column]:
+def folded() -> list[Column]:
+    """Aggregates of one level: the digest of the children's sorted items, and the rows below."""
     children = F.array_join(F.array_sort(F.collect_list("item")), ",")
     return [F.sha2(children, 256).alias("digest"), F.sum("n").alias("rows")]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.functions.text import instant, utc, whole_seconds
-from snapdelta.operators.quantile import exact_percentile
+from snapdelta.operators.quantile import exact_percentile, merged_sketches, sketched_percentile, sketches
 
 
 def run_event(runs: DataFrame) -> DataFrame:
@@ -26,14 +26,9 @@ def run_event(runs: DataFrame) -> DataFrame:
     )
 
 
-def status_timechart(run_events: DataFrame, ts: str = "ts", span: str = "1 hour", late: str | None = None) -> DataFrame:
-    """Number of events by time span and status, for tables and, with ``late`` set, for streams.
-
-    ``late`` is how long a stream waits for events of a span before it gives the count out.
-    """
+def status_timechart(run_events: DataFrame, ts: str = "ts", span: str = "1 hour") -> DataFrame:
+    """Number of events by time span and status."""
     timed = run_events.select(instant(F.col(ts)).alias("ts"), "status")
-    if late:
-        timed = timed.withWatermark("ts", late)
     counted = timed.groupBy(F.window("ts", span), "status").agg(F.count(F.lit(1)).alias("runs"))
     return counted.select(F.col("window.start").alias("span_start"), "status", "runs")
 
@@ -60,3 +55,36 @@ def duration_stats(runs: DataFrame) -> DataFrame:
         "connector_id", whole_seconds(F.col("finished_at"), F.col("started_at")).alias("seconds")
     )
     return exact_percentile(times, ["connector_id"], "seconds", 0.95, "p95_seconds", "avg_seconds")
+
+
+def run_sketches(runs: DataFrame, span: str = "1 hour") -> DataFrame:
+    """Sketches of the finished runs' durations and, of successful ones, of their ends: one row per connector and span of the end.
+
+    Rows of later spans are added to those of earlier ones, and any choice of spans can be merged later. Ends are kept and not
+    ages, so a sketch does not depend on when it is asked.
+    """
+    ended = runs.where("finished_at is not null").select(
+        "connector_id",
+        F.window("finished_at", span)["start"].alias("span_start"),
+        whole_seconds(F.col("finished_at"), F.col("started_at")).alias("seconds"),
+        F.when(F.col("status") == "SUCCESS", F.unix_seconds("finished_at")).alias("ended_at"),
+    )
+    keys = ["connector_id", "span_start"]
+    durations = sketches(ended, keys, "seconds").withColumn("of", F.lit("duration"))
+    ends = sketches(ended, keys, "ended_at").withColumn("of", F.lit("end"))
+    return durations.unionByName(ends).select("of", *keys, "rows", "sketch")
+
+
+def sketched_durations(found: DataFrame, share: float = 0.95) -> DataFrame:
+    """Percentile duration by connector out of ``run_sketches``, with the bounds between which the exact one lies."""
+    merged = merged_sketches(found.where("of = 'duration'"), ["connector_id"])
+    return sketched_percentile(merged, share, "p95_seconds").drop("sketch")
+
+
+def sketched_freshness(found: DataFrame, now: datetime | str, share: float = 0.95) -> DataFrame:
+    """Percentile age of successful runs by connector out of ``run_sketches``: the age of the run that few ended before."""
+    merged = merged_sketches(found.where("of = 'end'"), ["connector_id"])
+    ends = sketched_percentile(merged, 1 - share, "end")
+    until = F.unix_seconds(utc(now))
+    ages = {"p95_lag_seconds": "end", "p95_lag_seconds_least": "end_most", "p95_lag_seconds_most": "end_least"}
+    return ends.select("connector_id", "rows", *[(until - F.col(end)).alias(name) for name, end in ages.items()])

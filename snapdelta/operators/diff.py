@@ -37,6 +37,40 @@ def changed_keys(keys: DataFrame, state: DataFrame, policy: str = "auto_delete_m
     return both.select("doc_id", change.alias("change"), "source_updated_at").where("change is not null")
 
 
+def changed_against(keys: DataFrame, base: DataFrame, overlay: DataFrame | None, policy: str = "auto_delete_missing") -> DataFrame:
+    """``changed_keys`` against a state that is a base table and the last change of each document since.
+
+    ``keys`` and ``base`` in equal buckets of ``doc_id`` meet without an exchange of either; the ``overlay`` (``doc_id``, ``op``,
+    ``checksum``, ``updated_at``) is small and joined to what they give. Adds ``old_sum`` and ``now_sum``, the checksums before and now.
+    """
+    _check(policy)
+    left = keys.select("doc_id", F.col("checksum").alias("now_sum"))
+    right = base.select("doc_id", F.col("checksum").alias("old_sum"), "source_updated_at")
+    both = left.join(right, "doc_id", "left" if policy == "never_delete" else "full")
+    if overlay is not None:
+        live = F.col("op") != "DELETE"
+        over = overlay.select(
+            "doc_id", F.lit(True).alias("touched"), F.when(live, F.col("checksum")).alias("over_sum"), F.when(live, F.col("updated_at")).alias("over_time")
+        )
+        both = both.join(over, "doc_id", "left").select(
+            "doc_id",
+            "now_sum",
+            F.when(F.col("touched"), F.col("over_sum")).otherwise(F.col("old_sum")).alias("old_sum"),
+            F.when(F.col("touched"), F.col("over_time")).otherwise(F.col("source_updated_at")).alias("source_updated_at"),
+        )
+        if policy != "never_delete":
+            known = over.where("over_sum is not null")
+            alone = known.join(left.select("doc_id"), "doc_id", "left_anti").join(right.select("doc_id"), "doc_id", "left_anti")
+            unseen = F.lit(None).cast("string").alias("now_sum")
+            both = both.unionByName(alone.select("doc_id", unseen, F.col("over_sum").alias("old_sum"), F.col("over_time").alias("source_updated_at")))
+    change = (
+        F.when(F.col("old_sum").isNull() & F.col("now_sum").isNotNull(), "new")
+        .when(F.col("now_sum").isNull() & F.col("old_sum").isNotNull(), "missing")
+        .when(F.col("now_sum") != F.col("old_sum"), "changed")
+    )
+    return both.select("doc_id", change.alias("change"), "source_updated_at", "old_sum", "now_sum").where("change is not null")
+
+
 def _tombstone(connector_id: str, policy: str, run_ts: datetime | str) -> dict[str, Column]:
     """Columns of a delete document; expects ``doc_id`` and the stored ``source_updated_at``."""
     soft = policy == "soft_delete_only"

@@ -91,11 +91,11 @@ def require_unique(df: DataFrame, key: str = "doc_id", report: str | None = None
     path, how many they are, and the first in order.
     """
     found = duplicate_ids(df, key)
-    if report:
-        found.write.mode("overwrite").json(report)
-        found = found.sparkSession.read.schema(found.schema).json(report)
     many = found.count()
     if many:
+        if report:
+            found.write.mode("overwrite").json(report)
+            found = found.sparkSession.read.schema(found.schema).json(report)
         names = ", ".join(row[key] for row in found.orderBy(key).limit(named).collect())
         more = "" if many <= named else f" and {many - named} more"
         raise GateError(f"duplicate document ids: {names}{more}" + (f"; all {many} are listed in {report}" if report else ""))
@@ -113,9 +113,8 @@ _NUMBER_TEXT = r"^[+-]?\d+(\.\d+)?$"
 _SECONDS_END = 20_000_000_000
 
 
-def _time_of(raw: Column) -> Column:
-    value = variant_at(raw, "updated_at")
-    kind = kind_of(value)
+def _time_of(value: Column, kind: Column) -> Column:
+    """The time that a variant holds, as text or as an epoch number; null for anything else."""
     text = F.btrim(F.try_variant_get(value, "$", "string"))
     clock = F.regexp_replace(F.regexp_replace(text, r"^(.{10})[t_]", "$1T"), ",", ".")
     number = F.when(
@@ -129,55 +128,54 @@ def _time_of(raw: Column) -> Column:
     )
 
 
+_TEXTS = ("doc_id", "title", "content", "checksum", "uri", "mime_type", "op")
+_LISTS = ("acl_users", "acl_groups")
+
+
 def validate_documents(events: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds the document columns and ``reason`` to variant events; a null reason means valid.
 
     Text fields must be JSON strings, names must be lists of strings, ``metadata`` an object, ``op``
-    one of the two operations and ``updated_at`` a time. Optional fields take their defaults.
+    one of the two operations and ``updated_at`` a time. Optional fields take their defaults. An event is walked once, for
+    its fields; kinds and values are then taken from each field by itself.
     """
-    value = F.col(raw)
-
-    def kind(name: str) -> Column:
-        return kind_of(variant_at(value, name))
-
-    def text(name: str) -> Column:
-        return F.try_variant_get(value, f"$.{name}", "string")
-
-    def names(name: str) -> Column:
-        return F.try_variant_get(value, f"$.{name}", "array<string>")
+    parts = (*_TEXTS, *_LISTS, "metadata", "updated_at")
+    cut = events.withColumns({"_top": kind_of(F.col(raw)), "_all": F.try_variant_get(raw, "$", "map<string,variant>")})
+    cut = cut.withColumn("_at", F.struct(*[F.element_at("_all", name).alias(name) for name in parts]))
+    at = F.col("_at")
+    kinds = F.struct(*[kind_of(at[name]).alias(name) for name in parts if name not in _LISTS], *[F.schema_of_variant(at[name]).alias(name) for name in _LISTS])
+    values = F.struct(
+        *[F.try_variant_get(at[name], "$", "string").alias(name) for name in _TEXTS],
+        *[F.try_variant_get(at[name], "$", "array<string>").alias(name) for name in _LISTS],
+        _time_of(at["updated_at"], kind_of(at["updated_at"])).alias("updated_at"),
+    )
+    cut = cut.withColumns({"_kind": kinds, "_value": values})
+    kind, value = F.col("_kind"), F.col("_value")
 
     def is_names(name: str) -> Column:
-        shape = F.schema_of_variant(variant_at(value, name))
-        whole = shape.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(names(name), lambda item: item.isNull())
-        return variant_at(value, name).isNull() | whole
+        whole = kind[name].isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(value[name], lambda item: item.isNull())
+        return at[name].isNull() | whole
 
-    # Nested JSON objects of the doc itself come as typed columns, so each is parsed once.
-    time = _time_of(value)
-    checks = [(kind_of(value) == "OBJECT", "not an object")]
+    checks = [(F.col("_top") == "OBJECT", "not an object")]
     for name in ("doc_id", "title", "content", "checksum"):
-        checks += [(variant_at(value, name).isNotNull(), f"{name} missing"), (kind(name) == "STRING", f"{name} not text")]
+        checks += [(at[name].isNotNull(), f"{name} missing"), (kind[name] == "STRING", f"{name} not text")]
     checks += [
-        (variant_at(value, "uri").isNull() | kind("uri").isin("STRING", "VOID"), "uri not text"),
-        (variant_at(value, "mime_type").isNull() | (kind("mime_type") == "STRING"), "mime_type not text"),
-        (variant_at(value, "updated_at").isNotNull(), "updated_at missing"),
-        (time.isNotNull(), "updated_at not a time"),
-        (is_names("acl_users"), "acl_users not a list of text"),
-        (is_names("acl_groups"), "acl_groups not a list of text"),
-        (variant_at(value, "metadata").isNull() | (kind("metadata") == "OBJECT"), "metadata not an object"),
-        (variant_at(value, "op").isNotNull(), "op missing"),
-        ((kind("op") == "STRING") & text("op").isin("UPSERT", "DELETE"), "op not UPSERT or DELETE"),
+        (at["uri"].isNull() | kind["uri"].isin("STRING", "VOID"), "uri not text"),
+        (at["mime_type"].isNull() | (kind["mime_type"] == "STRING"), "mime_type not text"),
+        (at["updated_at"].isNotNull(), "updated_at missing"),
+        (value["updated_at"].isNotNull(), "updated_at not a time"),
+        *[(is_names(name), f"{name} not a list of text") for name in _LISTS],
+        (at["metadata"].isNull() | (kind["metadata"] == "OBJECT"), "metadata not an object"),
+        (at["op"].isNotNull(), "op missing"),
+        ((kind["op"] == "STRING") & value["op"].isin("UPSERT", "DELETE"), "op not UPSERT or DELETE"),
     ]
     reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), why) for ok, why in checks])
     none = F.array().cast("array<string>")
-    columns = {name: text(name) for name in ("doc_id", "title", "content", "uri", "checksum", "op")}
-    columns |= {
-        "mime_type": F.coalesce(text("mime_type"), F.lit("text/plain")),
-        "updated_at": time,
-        "acl_users": F.coalesce(names("acl_users"), none),
-        "acl_groups": F.coalesce(names("acl_groups"), none),
-        "metadata": F.coalesce(F.to_json(F.try_variant_get(value, "$.metadata", "variant")), F.lit("{}")),
-    }
-    return events.select("*", *[columns[name].alias(name) for name in DOC_COLUMNS], reason.alias("reason"))
+    columns = {name: value[name] for name in (*_TEXTS, "updated_at")}
+    columns["mime_type"] = F.coalesce(value["mime_type"], F.lit("text/plain"))
+    columns |= {name: F.coalesce(value[name], none) for name in _LISTS}
+    columns["metadata"] = F.coalesce(F.to_json(at["metadata"]), F.lit("{}"))
+    return cut.select(*events.columns, *[columns[name].alias(name) for name in DOC_COLUMNS], reason.alias("reason"))
 
 
 def flag_rejects(validated: DataFrame) -> DataFrame:
@@ -204,6 +202,17 @@ def pattern_scan(docs: DataFrame, patterns: list[str], text: str = "content", ke
     return docs.select(*keep, first.alias("pattern")).where("pattern is not null")
 
 
+# Fixed texts: what the gates say, with the limit filled in first and the value second.
+_SAYS = {
+    "rate": "success_rate_percent below threshold (%.2f < {:.2f})",
+    "lag": "freshness_lag_seconds_max above threshold (%d > {})",
+    "mttr": "mttr_seconds above threshold (%d > {})",
+    "burn": "error_budget_burn exceeded threshold (%.4f >= {:.4f})",
+    "delta": "failed_run_rate_delta exceeded threshold (%.4f > {:.4f})",
+    "stale": "freshness lag breach detected",
+}
+
+
 def _verdict(metrics: DataFrame, problems: list[Column]) -> DataFrame:
     errors = F.filter(F.array(*problems), lambda item: item.isNotNull())
     return metrics.withColumn("errors", errors).withColumn("passed", F.size("errors") == 0)
@@ -219,9 +228,9 @@ def slo_gate(
     rate = F.coalesce(F.col("success_rate_percent"), F.lit(0.0))
     lag = F.coalesce(F.col("freshness_lag_seconds_max"), F.lit(0))
     mttr = F.coalesce(F.col("mttr_seconds"), F.lit(0))
-    low = F.format_string(f"success_rate_percent below threshold (%.2f < {min_success_rate:.2f})", rate)
-    stale = F.format_string(f"freshness_lag_seconds_max above threshold (%d > {max_freshness_lag})", lag)
-    slow = F.format_string(f"mttr_seconds above threshold (%d > {max_mttr})", mttr)
+    low = F.format_string(_SAYS["rate"].format(min_success_rate), rate)
+    stale = F.format_string(_SAYS["lag"].format(max_freshness_lag), lag)
+    slow = F.format_string(_SAYS["mttr"].format(max_mttr), mttr)
     return _verdict(
         metrics,
         [
@@ -242,9 +251,9 @@ def canary_gate(
     burn = F.coalesce(F.col("error_budget_burn"), F.lit(0.0))
     delta = F.coalesce(F.col("failed_run_rate_delta"), F.lit(0.0))
     stale = F.coalesce(F.col("freshness_lag_breach"), F.lit(False)) & F.lit(not allow_stale)
-    burnt = F.format_string(f"error_budget_burn exceeded threshold (%.4f >= {max_burn:.4f})", burn)
-    worse = F.format_string(f"failed_run_rate_delta exceeded threshold (%.4f > {max_delta:.4f})", delta)
+    burnt = F.format_string(_SAYS["burn"].format(max_burn), burn)
+    worse = F.format_string(_SAYS["delta"].format(max_delta), delta)
     return _verdict(
         metrics,
-        [F.when(burn >= max_burn, burnt), F.when(delta > max_delta, worse), F.when(stale, "freshness lag breach detected")],
+        [F.when(burn >= max_burn, burnt), F.when(delta > max_delta, worse), F.when(stale, _SAYS["stale"])],
     )

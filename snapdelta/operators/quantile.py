@@ -1,4 +1,4 @@
-"""Exact percentiles of whole numbers for groups of any size."""
+"""Percentiles of whole numbers for groups of any size: exact ones, and mergeable sketches with a bound on their error."""
 
 from __future__ import annotations
 
@@ -53,3 +53,43 @@ def exact_percentile(
     middle = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")
     average = F.col("weight") / F.col("rows")
     return picked.select(*keys, "rows", average.alias(mean), middle.cast("double").alias(name))
+
+
+# Size of a sketch. Larger ones are more exact; sketches of one size merge without losing their bound.
+SKETCH_SIZE = 800
+
+
+def rank_error(size: int = SKETCH_SIZE) -> float:
+    """How far the rank of a sketched percentile may be off, as a share of the rows, in 99 of 100 cases."""
+    return 2.296 / size**0.9723
+
+
+def sketches(df: DataFrame, keys: list[str | Column], value: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """``keys``, ``rows`` and a ``sketch`` of the values of each group: a few KB, however many rows it stands for."""
+    held = df.where(F.col(value).isNotNull())
+    sketch = F.kll_sketch_agg_bigint(F.col(value).cast("bigint"), F.lit(size))
+    return held.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), sketch.alias("sketch"))
+
+
+def merged_sketches(found: DataFrame, keys: list[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """Sketches of finer groups as one per coarser group, of the same form."""
+    sketch = F.kll_merge_agg_bigint("sketch", F.lit(size))
+    return found.groupBy(*keys).agg(F.sum("rows").alias("rows"), sketch.alias("sketch"))
+
+
+def sketched_percentile(found: DataFrame, share: float, name: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """Adds the percentile ``name`` of each sketch, and ``<name>_least`` and ``<name>_most``, between which the true one lies.
+
+    A percentile between two values counts as either, so the bounds reach a row further.
+    """
+    error = rank_error(size)
+
+    def at(where: float) -> Column:
+        return F.kll_sketch_get_quantile_bigint("sketch", F.lit(min(1.0, max(0.0, where))))
+
+    def bound(side: int) -> Column:
+        # The function takes fixed shares only, so a row's share is rounded up to a power of two.
+        steps = [2**j for j in range(10, -1, -1)]
+        return F.coalesce(*[F.when(F.col("rows") >= n, at(share + side * (error + 1 / n))) for n in steps])
+
+    return found.withColumns({name: at(share), f"{name}_least": bound(-1), f"{name}_most": bound(1)})

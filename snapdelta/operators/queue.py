@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,12 +16,15 @@ def check_targets(parsed: DataFrame, catalog: DataFrame) -> DataFrame:
     return parsed.join(modes, "connector_id", "left").select(*parsed.columns, error.alias("target_error"))
 
 
+def acceptable(parsed: DataFrame) -> Column:
+    """Whether a request may take its key: its body is sound, and its connector takes pushes where that was looked at."""
+    good = F.col("body_error").isNull()
+    return good & F.col("target_error").isNull() if "target_error" in parsed.columns else good
+
+
 def key_claims(parsed: DataFrame, keys: DataFrame) -> DataFrame:
     """One row per key: its first acceptable request here and its known hash."""
-    good = F.col("body_error").isNull()
-    if "target_error" in parsed.columns:
-        good = good & F.col("target_error").isNull()
-    claim = F.when(good, F.struct("received_at", "request_id", "request_hash"))
+    claim = F.when(acceptable(parsed), F.struct("received_at", "request_id", "request_hash"))
     claims = parsed.where("key <> ''").groupBy("key").agg(F.min(claim).alias("f"))
     known = keys.select("key", F.col("request_hash").alias("known_hash"))
     return claims.join(known, "key", "left").select(
@@ -51,11 +54,16 @@ def classify_requests(parsed: DataFrame, keys: DataFrame) -> DataFrame:
     Keys count across connectors and never expire. Requests that ``check_targets`` has found fault
     with are refused before their key is looked at.
     """
+    return judged(parsed, key_claims(parsed, keys))
+
+
+def judged(parsed: DataFrame, claims: DataFrame) -> DataFrame:
+    """Adds ``outcome`` to requests by the claims of their keys, as ``key_claims`` finds them."""
     refused = F.col("target_error").isNotNull() if "target_error" in parsed.columns else F.lit(False)
-    joined = _with_claims(parsed, key_claims(parsed, keys))
+    joined = _with_claims(parsed, claims)
     place, first_place = F.struct("received_at", "request_id"), F.struct("first_at", "first_id")
     before = place < first_place
-    is_first = (F.col("received_at") == F.col("first_at")) & (F.col("request_id") == F.col("first_id"))
+    is_first = F.col("received_at").eqNullSafe(F.col("first_at")) & (F.col("request_id") == F.col("first_id"))
     same = F.col("request_hash") == F.coalesce("known_hash", "first_hash")
     outcome = (
         F.when(F.coalesce(F.col("key") == "", F.lit(True)), "no_key")

@@ -47,6 +47,11 @@ class Files:
             return []
         return sorted(status.getPath().getName() for status in fs.listStatus(at))
 
+    def size(self, path: str) -> int:
+        """Bytes of all files under a path."""
+        fs, at = self._at(path)
+        return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
     def read(self, path: str) -> str:
         fs, at = self._at(path)
         stream = fs.open(at)

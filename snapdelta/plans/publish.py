@@ -68,6 +68,14 @@ def _write_rows(cells: DataFrame, folder: str) -> dict[str, str]:
     return {"csv_path": path}
 
 
+def _copy_lines(spark, paths: dict[str, str], folder: str) -> dict[str, str]:
+    """The lines of published artifacts under another folder, without computing them again."""
+    copies = {name: f"{folder}/{path.rsplit('/', 1)[1]}" for name, path in paths.items()}
+    for name, path in paths.items():
+        spark.read.option("lineSep", "\n").schema("value string").text(path).write.mode("overwrite").option("lineSep", "\n").text(copies[name])
+    return copies
+
+
 def _publish(frame, write, output, manifest: Manifest) -> Manifest:
     """Data of the run, its manifest, the alias where wanted, and then the pointer.
 
@@ -77,13 +85,17 @@ def _publish(frame, write, output, manifest: Manifest) -> Manifest:
     files = Files(frame.sparkSession)
     base = _base(output, manifest.connector_id)
     run = f"{base}/runs/{manifest.run_id}"
-    manifest = replace(manifest, manifest_path=f"{run}/manifest.json", **write(frame, run))
+    paths = write(frame, run)
+    manifest = replace(manifest, manifest_path=f"{run}/manifest.json", **paths)
     files.write(manifest.manifest_path, manifest.text())
     pointed = manifest
     if output.publish_latest_alias:
         latest = f"{base}/latest"
         before = files.names(latest)
-        pointed = replace(manifest, manifest_path=f"{latest}/{manifest.run_id}/manifest.json", **write(frame, f"{latest}/{manifest.run_id}"))
+        alias = f"{latest}/{manifest.run_id}"
+        # Files with a header cannot be copied line by line, since a task may hold a file's end only.
+        copied = write(frame, alias) if "csv_path" in paths else _copy_lines(frame.sparkSession, paths, alias)
+        pointed = replace(manifest, manifest_path=f"{alias}/manifest.json", **copied)
         files.write(pointed.manifest_path, pointed.text())
     files.write(f"{base}/state/latest_success.json", pointed.text())
     if output.publish_latest_alias:
@@ -103,21 +115,22 @@ def publish(
     watermark: str | None,
     started_at: datetime,
     completed_at: datetime,
+    counts: tuple[int, int] | None = None,
 ) -> Manifest:
     """Publish a delta of canonical documents.
 
-    ``delta`` is read several times (counts, three kinds of lines, again for the alias), so give a
-    table that was written, as ``plans.run`` does, not the plan that computes it.
+    ``delta`` is read several times (three kinds of lines, and its ``counts`` of upserts and deletes where they are not given), so
+    give a table that was written, as ``plans.run`` does, not the plan that computes it.
     """
-    counts = delta_counts(delta).first()
+    upserts, deletes = counts or delta_counts(delta).first()
     manifest = Manifest(
         run_id=run_id,
         connector_id=connector_id,
         started_at=moment_text(started_at),
         completed_at=moment_text(completed_at),
         manifest_path="",
-        upserts_count=counts["upserts_count"],
-        deletes_count=counts["deletes_count"],
+        upserts_count=upserts,
+        deletes_count=deletes,
         watermark=watermark,
     )
     return _publish(delta, _write_delta, output, manifest)

@@ -1,4 +1,4 @@
-"""Stored JSON pages: flattening to items, and finding holes in a chain of pages."""
+"""Stored JSON pages: flattening to items, following the chain of pages, and finding holes in it."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snapdelta.functions.once import once
 from snapdelta.functions.text import instant
 from snapdelta.operators.normalize import FACTS
+from snapdelta.session import settled
 
 
 def kind_of(value: Column) -> Column:
@@ -122,11 +123,10 @@ def missing_fields(items: DataFrame, fields: list[str], item: str = "item") -> D
     return counts.select(pairs.alias("p")).select("p.*").where("missing > 0")
 
 
-def page_gaps(pages: DataFrame, cursor_path: str) -> DataFrame:
-    """Pages whose next cursor names no stored page: ``cursor``, ``next_cursor``.
+def page_links(pages: DataFrame, cursor_path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``cursor`` of each page and ``next_cursor``, the one its body names; null, empty, zero and false end the chain.
 
-    ``pages`` has ``cursor`` (null or empty for the first page) and ``body``. Null, empty, zero and
-    false end the chain.
+    ``pages`` has ``cursor`` and ``body``; ``keep`` names further columns of it.
     """
 
     def following(value: Column) -> Column:
@@ -142,7 +142,57 @@ def page_gaps(pages: DataFrame, cursor_path: str) -> DataFrame:
         )
         return F.when(~F.coalesce(ends, F.lit(False)), text)
 
-    following_cursor = once(variant_at(F.try_parse_json("body"), cursor_path), following)
-    links = pages.select("cursor", following_cursor.alias("next_cursor")).where("next_cursor is not null")
-    stored = pages.select(F.col("cursor").alias("next_cursor"))
-    return links.join(stored, "next_cursor", "left_anti").select("cursor", "next_cursor")
+    next_cursor = once(variant_at(F.try_parse_json("body"), cursor_path), following)
+    return pages.select(*keep, "cursor", next_cursor.alias("next_cursor"))
+
+
+def link_gaps(links: DataFrame) -> DataFrame:
+    """Links whose next cursor names no stored page."""
+    stored = links.select(F.col("cursor").alias("next_cursor"))
+    return links.where("next_cursor is not null").join(stored, "next_cursor", "left_anti").select("cursor", "next_cursor")
+
+
+def page_gaps(pages: DataFrame, cursor_path: str) -> DataFrame:
+    """Pages whose next cursor names no stored page: ``cursor``, ``next_cursor``.
+
+    ``pages`` has ``cursor`` (null or empty for the first page) and ``body``.
+    """
+    return link_gaps(page_links(pages, cursor_path))
+
+
+class PageChainError(ValueError):
+    """The pages are no chain: two have one cursor, none is the first, or the chain comes back to itself."""
+
+
+def page_chain(links: DataFrame, first: str) -> DataFrame:
+    """The pages that are reached from the first one: ``cursor`` and ``place``, 0 for the first.
+
+    Pointer doubling: round k knows the pages in the first 2^k places and, for every page, the page 2^k steps on. Each round
+    doubles both, so a chain of a million pages takes twenty rounds of narrow joins. Fails on a cursor that two pages have, and
+    on a chain that comes back to a page it has passed.
+    """
+    spark = links.sparkSession
+    twice = links.groupBy("cursor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("cursor").limit(1).collect()
+    if twice:
+        raise PageChainError(f"{twice[0]['n']} pages have the cursor {twice[0]['cursor']}")
+    stored = links.select(F.col("cursor").alias("ahead"))
+    jumps = links.select("cursor", F.col("next_cursor").alias("ahead")).join(stored, "ahead", "left_semi")
+    jumps = settled(jumps.select("cursor", "ahead"), "page-jumps")
+    kind = links.schema["cursor"].dataType.simpleString()
+    reached = spark.createDataFrame([(first, 0)], f"cursor {kind}, place bigint").join(links.select("cursor"), "cursor", "left_semi")
+    reached = settled(reached, "page-reached")
+    if reached.isEmpty():
+        raise PageChainError(f"there is no page {first}")
+    step = 1
+    while True:
+        fresh = reached.join(jumps, "cursor").select(F.col("ahead").alias("cursor"), (F.col("place") + step).alias("place"))
+        fresh = settled(fresh, "page-reached")
+        if fresh.isEmpty():
+            return reached
+        again = fresh.join(reached.select("cursor"), "cursor", "left_semi").orderBy("place").limit(1).collect()
+        if again:
+            raise PageChainError(f"the pages form a cycle: {again[0]['cursor']} comes again as page {again[0]['place']}")
+        reached = settled(reached.unionByName(fresh), "page-reached")
+        on = jumps.select(F.col("cursor").alias("ahead"), F.col("ahead").alias("further"))
+        jumps = settled(jumps.join(on, "ahead").select("cursor", F.col("further").alias("ahead")), "page-jumps")
+        step *= 2

@@ -37,6 +37,8 @@ class Source:
     format: str | None = None
     csv: CsvOptions | None = None
     next_cursor_path: str | None = None
+    # Name of the file that begins the chain of pages, without its extension.
+    first_page: str | None = None
     partition_column: str | None = None
     bounds: tuple[str, str] | None = None
     partitions: int = 1
@@ -128,6 +130,7 @@ _SOURCE_KEYS = {
     "glob": "glob",
     "format": "format",
     "paginationNextCursorJsonPath": "next_cursor_path",
+    "firstPage": "first_page",
     "partitionColumn": "partition_column",
     "partitions": "partitions",
 }

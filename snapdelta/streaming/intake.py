@@ -1,56 +1,122 @@
-"""Push intake as a stream: idempotent, safe to repeat after a failure."""
+"""Push intake as a stream: idempotent, safe to repeat after a failure.
+
+The stream keeps one value per idempotency key in keyed state: the hash of the request that took the key, and the stream and
+micro-batch where its answer lies. A micro-batch looks up the keys it holds and no others, however many were used before. The
+state belongs to the checkpoint and moves on with it, so a repeated micro-batch finds the state as it was.
+
+Requests go through the state as claims: of each part of a micro-batch the first acceptable request per key, without bodies, so
+a key that holds a third of all requests is a few narrow rows there. Requests and the claims' answers come out of one
+plan, are written once, and meet again in a join.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from snapdelta.operators.gates import flag_rejects, validate_documents
 from snapdelta.operators.normalize import DOC_COLUMNS
-from snapdelta.operators.queue import check_targets, classify_requests
-from snapdelta.plans.store import Store, settle
-from snapdelta.sources.push import parse_requests, push_events
+from snapdelta.operators.queue import acceptable, check_targets, classify_requests, judged
+from snapdelta.plans.store import KEY_SCHEMA, Store, settle
+from snapdelta.session import setting
+from snapdelta.sources.push import body_hash, parse_requests, push_events
 
 # Columns of a request row, in tables and in streams. ``request_id`` is unique, for instance the
 # partition and offset under which the request arrived.
 REQUEST_SCHEMA = (
     "request_id string, key string, connector_id string, received_at timestamp, content_type string, body string"
 )
+_NARROW = ("request_id", "key", "connector_id", "received_at", "request_hash")
 
+# Fixed names: Spark's setting for the kind of state store, its value for RocksDB, and the property that numbers a micro-batch.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_BATCH_NUMBER = "streaming.sql.batchId"
 
-def intake_batch(
-    store: Store, requests: DataFrame, batch_id: int, stream: str = "main", catalog: DataFrame | None = None
-) -> None:
-    """Take in one micro-batch: queue events, keys, batches and one response per request.
+# Stands for a time that is absent; it comes before all others.
+_NO_TIME = -(2**63)
+_CLAIM = "key string, at bigint, request_id string, request_hash string"
+_ANSWER = "key string, known_hash string, known_stream string, known_batch bigint, at bigint, first_id string, first_hash string"
+
+
+def _claims(parsed: DataFrame) -> DataFrame:
+    """Of each batch of rows, per key the first request that may take it; a key without one keeps a row with a null hash."""
+    rows = parsed.where("key <> ''").select(
+        "key",
+        F.coalesce(F.unix_micros("received_at"), F.lit(_NO_TIME)).alias("at"),
+        "request_id",
+        F.when(acceptable(parsed), F.col("request_hash")).alias("request_hash"),
+    )
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.append_column("bad", pc.is_null(table["request_hash"]))
+            order = [(name, "ascending") for name in ("key", "bad", "at", "request_id")]
+            table = table.take(pc.sort_indices(table, sort_keys=order)).combine_chunks()
+            if table.num_rows:
+                key = table["key"].chunk(0)
+                starts = pa.concat_arrays([pa.array([True]), pc.not_equal(key[1:], key[:-1])])
+                yield from table.filter(starts).select(batch.schema.names).to_batches()
+
+    return rows.mapInArrow(first, _CLAIM)
+
+
+class FirstUse(StatefulProcessor):
+    """One value per key: who has taken it."""
+
+    def __init__(self, stream: str):
+        self._stream = stream
 
-    Every table gets the folder of this stream and batch id, replaced whole, so a repeated batch
-    changes nothing. Keys of the batch itself are left out of the lookup for the same reason.
+    def init(self, handle) -> None:
+        self._use = handle.getValueState("use", "request_hash string, stream string, batch_id bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        known = self._use.get() if self._use.exists() else (None, None, None)
+        first = (None, None, None)
+        for part in rows:
+            good = part[part["request_hash"].notna()]
+            for row in zip(good["at"], good["request_id"], good["request_hash"]):
+                if first[2] is None or row[:2] < first[:2]:
+                    first = row
+        if known[0] is None and first[2] is not None:
+            self._use.update((first[2], self._stream, int(TaskContext.get().getLocalProperty(_BATCH_NUMBER))))
+        names = [part.split()[0] for part in _ANSWER.split(", ")]
+        yield pd.DataFrame([(key[0], *known, *first)], columns=names).astype({"known_batch": "Int64", "at": "Int64"})
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        self._use.update((row["request_hash"], row["stream"], int(row["batch_id"])))
+
+    def close(self) -> None:
+        pass
+
+
+def _take_in(store: Store, requests: DataFrame, taken: DataFrame, answers: DataFrame, part: str, staged: str) -> None:
+    """Write what a micro-batch brings: queue events, keys, batches and one response per request.
+
+    Every table gets the folder of this stream and batch id, replaced whole, so a repeated batch changes nothing.
     Batches are written after events and keys; a drain sees a batch only when the rest is there.
-    With a ``catalog``, requests for connectors that do not take pushes are refused.
+    ``answers`` are the responses of keys that were taken before.
     """
     spark = store.spark
-    part = f"stream={stream}/batch_id={batch_id}"
-    staged = f"{store.root}/push/staging/{part}"
 
     def place(table: str) -> str:
         return f"{store.root}/push/{table}/{part}"
 
-    is_mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
-    asked = requests.where("key <> ''").select("key").distinct()
-    earlier = store.keys().where(~is_mine).select("key", "request_hash", "response_json")
-    known = settle(earlier.join(asked, "key", "left_semi"), f"{staged}/known")
-    narrow = ("request_id", "key", "connector_id", "received_at", "request_hash", "body_error")
-    parsed = settle(parse_requests(requests).select(*narrow), f"{staged}/parsed")
-    outcomes = classify_requests(parsed if catalog is None else check_targets(parsed, catalog), known)
-    taken = settle(outcomes.withColumn("run_id", F.md5("key")), f"{staged}/taken")
     originals = taken.where("outcome = 'original'")
     bodies = requests.select("request_id", "content_type", "body").join(
         originals.select("request_id", "run_id", "connector_id", "received_at"), "request_id"
     )
-
     events = push_events(parse_requests(bodies), ("run_id", "connector_id", "received_at"))
     flagged = flag_rejects(validate_documents(events)).select(
         "run_id", "connector_id", "pos", F.col("received_at").alias("created_at"), "accepted", *DOC_COLUMNS
@@ -75,18 +141,10 @@ def intake_batch(
     answered.select("key", "connector_id", "request_hash", response.alias("response_json"), "created_at").write.mode(
         "overwrite"
     ).parquet(place("keys"))
-    answered.select(
-        "run_id",
-        "connector_id",
-        F.col("key").alias("idempotency_key"),
-        F.lit("PENDING").alias("status"),
-        "accepted",
-        "rejected",
-        "created_at",
-    ).write.mode("overwrite").parquet(place("batches"))
+    store.add_batches(answered, part)
 
     fresh = spark.read.parquet(place("keys")).select("key", "response_json")
-    responses = known.select("key", "response_json").unionByName(fresh)
+    responses = answers.select("key", "response_json").unionByName(fresh)
     known_answer = F.when(F.col("outcome").isin("original", "replay"), F.col("response_json"))
     taken.join(responses, "key", "left").select(
         "request_id", "key", "outcome", known_answer.alias("response_json")
@@ -94,14 +152,72 @@ def intake_batch(
     store.files.remove(staged)
 
 
+def intake_batch(
+    store: Store, requests: DataFrame, batch_id: int, stream: str = "main", catalog: DataFrame | None = None
+) -> None:
+    """Take in one table of requests, without a stream: the keys used before are read from the store.
+
+    Keys of the batch itself are left out of the lookup, so a repeated batch changes nothing. With a ``catalog``, requests
+    for connectors that do not take pushes are refused.
+    """
+    part = f"stream={stream}/batch_id={batch_id}"
+    staged = f"{store.root}/push/staging/{part}"
+    is_mine = (F.col("stream") == stream) & (F.col("batch_id") == batch_id)
+    asked = requests.where("key <> ''").select("key").distinct()
+    earlier = store.keys().where(~is_mine).select("key", "request_hash", "response_json")
+    known = settle(earlier.join(asked, "key", "left_semi"), f"{staged}/known")
+    parsed = settle(parse_requests(requests).select(*_NARROW, "body_error"), f"{staged}/parsed")
+    outcomes = classify_requests(parsed if catalog is None else check_targets(parsed, catalog), known)
+    taken = settle(outcomes.withColumn("run_id", F.md5("key")), f"{staged}/taken")
+    _take_in(store, requests, taken, known, part, staged)
+
+
+def _with_answers(requests: DataFrame, stream: str, keys: DataFrame, catalog: DataFrame | None) -> DataFrame:
+    """The stream's requests, and one row per key of a micro-batch with what the state knows of it and its first claim."""
+    parsed = parse_requests(requests)
+    claims = _claims(parsed if catalog is None else check_targets(parsed, catalog))
+    before = keys.select("key", "request_hash", "stream", "batch_id").groupBy("key")
+    answers = claims.groupBy("key").transformWithStateInPandas(FirstUse(stream), _ANSWER, "Append", "None", before)
+    return requests.withColumn("kind", F.lit("request")).unionByName(answers.withColumn("kind", F.lit("answer")), allowMissingColumns=True)
+
+
+def _stateful_batch(store: Store, frame: DataFrame, number: int, stream: str, catalog: DataFrame | None) -> None:
+    """Take in one micro-batch of ``_with_answers``. Its plan moves the state, so it is run once: written, and read from there."""
+    part = f"stream={stream}/batch_id={number}"
+    staged = f"{store.root}/push/staging/{part}"
+    frame.write.mode("overwrite").partitionBy("kind").parquet(f"{staged}/frame")
+    both = store.spark.read.schema(frame.schema).parquet(f"{staged}/frame")
+    answers = both.where("kind = 'answer'").select("key", "known_hash", "known_stream", "known_batch", "at", "first_id", "first_hash")
+    requests = both.where("kind = 'request'").select(*[field.split()[0] for field in REQUEST_SCHEMA.split(", ")])
+    narrow = requests.withColumn("request_hash", body_hash(F.col("body"))).select(*_NARROW)
+    first_at = F.when(F.col("at") != _NO_TIME, F.timestamp_micros("at"))
+    claims = answers.select("key", first_at.alias("first_at"), "first_id", "first_hash", "known_hash")
+    outcomes = judged(narrow if catalog is None else check_targets(narrow, catalog), claims)
+    taken = settle(outcomes.withColumn("run_id", F.md5("key")), f"{staged}/taken")
+    # Only the folders that hold an answer asked for again are read; there are no more of them than earlier micro-batches.
+    known = answers.where("known_hash IS NOT NULL").select("key", F.col("known_stream").alias("stream"), F.col("known_batch").alias("batch_id"))
+    places = [(row["stream"], row["batch_id"]) for row in known.select("stream", "batch_id").distinct().collect()]
+    told = store.queue_at("keys", KEY_SCHEMA, places).join(known, ["key", "stream", "batch_id"], "left_semi")
+    _take_in(store, requests, taken, told, part, staged)
+
+
+def _begun(store: Store, checkpoint: str) -> bool:
+    """Whether the checkpoint has a finished micro-batch, and so a state."""
+    return bool([name for name in store.files.names(f"{checkpoint}/commits") if name.isdigit()])
+
+
 def intake_stream(
     store: Store, requests: DataFrame, checkpoint: str, catalog: DataFrame | None = None, **trigger
 ) -> StreamingQuery:
     """Start the intake on a streaming frame of requests; ``trigger`` goes to ``writeStream``.
 
     Batch numbers belong to the checkpoint, so its name is part of the folders: a stream begun
-    anew does not replace what an earlier one has queued.
+    anew does not replace what an earlier one has queued. It begins with the keys that the store has then; what other
+    streams accept later it does not see, so a store has one stream at a time.
     """
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    writer = requests.writeStream.foreachBatch(lambda frame, number: intake_batch(store, frame, number, name, catalog))
-    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    keys = store.keys()
+    frame = _with_answers(requests, name, keys.where("false") if _begun(store, checkpoint) else keys, catalog)
+    writer = frame.writeStream.foreachBatch(lambda batch, number: _stateful_batch(store, batch, number, name, catalog))
+    with setting(store.spark, _PROVIDER, _ROCKSDB):
+        return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
