@@ -7,11 +7,12 @@ are divided again by pivots of their own until they are small, and compared ther
 there once more. Documents within the radius of a pivot are linked to it at once, and a region whose documents are all joined
 needs no further work, so a large group of copies costs a few stars and not all its pairs.
 
-Nearly all documents have no link, and lie at distance one from everything, where pivots tell nothing. They are put aside first by
-two exact filters. A set's prefix is its first n - ceil(t * n) + 1 shingles in one order of all shingles; linked sets share a
-shingle of their prefixes. The order puts shingles last that a first pass has seen in many documents; it is a matter of cost
-only. And a set of which more than 1 - t of its shingles stand in no other set can have no link. The first regions are the
-connected parts of what shares a prefix shingle.
+Nearly all documents have no link, and lie at distance one from everything, where pivots tell nothing. They are put aside first, by
+an exact filter: of a set with a link at most u = n - ceil(t * n) shingles are not in the other set. So a set with more than u
+shingles that no other set has is left out; this is found from a prefix of a little over u shingles, in one order of all
+shingles, and for the sets that pass it from all shingles. The order puts shingles last that a first pass has seen in many documents,
+which is a matter of cost only. Two linked sets also share one of their first u + 1 shingles; the first regions are the
+connected parts of what shares one.
 
 Regions beyond ``LEAF_ROWS`` are never in one task. If pivots do not divide one (its documents are all equally far from each
 other), its rows are dealt into blocks, and each two blocks meet in a task: exact, and bounded in memory.
@@ -27,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm import wordhash
@@ -52,9 +53,15 @@ OFTEN = 8
 _SLACK = 1e-9
 
 
-def prefix_length(n: int, similarity: tuple[int, int]) -> int:
+def unshared(n: int, similarity: tuple[int, int]) -> int:
+    """How many shingles of a set with n a linked set may lack."""
     least, of = similarity
-    return n - -(-least * n // of) + 1
+    return n - -(-least * n // of)
+
+
+def _unshared(n: str, similarity: tuple[int, int]) -> Column:
+    least, of = similarity
+    return F.col(n) - F.expr(f"({least} * {n} + {of - 1}) div {of}")
 
 
 def linked(common, n_a, n_b, similarity):
@@ -96,31 +103,62 @@ def frequent(rows: DataFrame, words: int) -> np.ndarray:
     return last
 
 
+def _first(own: np.ndarray, put_last: np.ndarray, length: int) -> np.ndarray:
+    """The first shingles of a set in the order of all."""
+    return own[np.argsort(put_last[_counter(own)], kind="stable")[:length]].view(np.int64)
+
+
 def prefixed(rows: DataFrame, last, words: int, similarity) -> DataFrame:
-    """Per row: set size, a 128-bit digest of the set and its prefix."""
+    """Per row: set size, a 128-bit digest of the set, its first half as ``name``, and a prefix of half as many again as may be unshared."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         put_last = last.value
         for batch in batches:
             for part, sets in _text_sets(batch, words):
-                prefixes = []
-                for own in sets:
-                    order = np.argsort(put_last[_counter(own)], kind="stable")
-                    prefixes.append(own[order[: prefix_length(len(own), similarity)]].view(np.int64) if len(own) else own.view(np.int64))
+                most = [unshared(len(own), similarity) for own in sets]
+                prefixes = [_first(own, put_last, u + 1 + u // 2) for own, u in zip(sets, most)]
+                names = [hashlib.blake2b(own.tobytes(), digest_size=16).digest() for own in sets]
                 ends = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array([len(own) for own in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(own.tobytes(), digest_size=16).digest() for own in sets], pa.binary()),
+                        pa.array(names, pa.binary()),
+                        pa.array([int.from_bytes(name[:8], "little", signed=True) for name in names], pa.int64()),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))),
                     ],
-                    ["doc_id", "text_hash", "n_shingles", "digest", "prefix"],
+                    ["doc_id", "text_hash", "n_shingles", "digest", "name", "prefix"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, digest binary, prefix array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, digest binary, name bigint, prefix array<bigint>")
+
+
+def _promising(rows: DataFrame, similarity) -> DataFrame:
+    """The names of sets of which not too many prefix shingles stand in no other set. Copies have one name and count as one."""
+    posts = rows.select("name", F.explode("prefix").alias("element"))
+    alone = posts.groupBy("element").agg(F.min("name").alias("name"), F.max("name").alias("other")).where("name = other")
+    alone = alone.groupBy("name").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = rows.where("n_shingles > 0").select("name", "n_shingles").distinct()
+    kept = sizes.join(alone, "name", "left").where(F.coalesce("alone", F.lit(0)) <= _unshared("n_shingles", similarity))
+    return kept.select("name").distinct()
+
+
+def _prefix_posts(sets: DataFrame, last, similarity) -> DataFrame:
+    """``node`` and ``element`` for the shingles of which two linked sets share one."""
+
+    def run(batches):
+        put_last = last.value
+        for batch in batches:
+            lists = batch.column(1)
+            at, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint64)
+            owns = [flat[at[i] - at[0] : at[i + 1] - at[0]] for i in range(batch.num_rows)]
+            parts = [_first(own, put_last, unshared(len(own), similarity) + 1) for own in owns]
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], ["node", "element"])
+
+    return sets.select("node", "elements").mapInArrow(run, "node bigint, element bigint")
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
@@ -136,7 +174,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, n int, elements array<bigint>")
 
 
-def _peeled(sets: DataFrame, similarity, name: str) -> DataFrame:
+def peeled(sets: DataFrame, similarity, name: str) -> DataFrame:
     """Without the sets of which too many shingles stand in no other set."""
     least, of = similarity
     posts = sets.select("node", F.explode("elements").alias("element"))
@@ -351,29 +389,28 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     contents = _contents(docs, id_col, text_col)
     last = docs.sparkSession.sparkContext.broadcast(frequent(contents, words))
     rows = settled(prefixed(contents, last, words, similarity), "jaccard-rows")
+    found = rows.join(_promising(rows, similarity), "name", "left_semi").where("n_shingles > 0")
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
-    classes = rows.where("n_shingles > 0").groupBy("digest").agg(first, F.min("doc_id").alias("least_id"), F.any_value("prefix").alias("prefix"))
-    classes = classes.select(F.monotonically_increasing_id().alias("node"), "digest", "least_id", "first.doc_id", "first.text_hash", "prefix")
+    classes = found.groupBy("digest").agg(first, F.min("doc_id").alias("least_id"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "digest", "least_id", "first.doc_id", "first.text_hash")
     classes = settled(classes, "jaccard-classes")
-    posts = classes.select("node", F.explode("prefix").alias("element"))
-    shared = posts.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = settled(posts.join(shared.select("element"), "element"), "jaccard-members")
-    candidates = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    texts = contents.join(candidates, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    wanted = classes.select("node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    texts = contents.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
     texts = texts.dropDuplicates(["doc_id", "text_hash"])
-    sets = settled(_sets(texts, words), "jaccard-sets")
-    for _ in range(2):
-        sets = _peeled(sets, similarity, "jaccard-sets")
-    left = members.join(sets.select("node"), "node", "left_semi")
-    stars = left.groupBy("element").agg(F.min("node").alias("b"))
-    edges = left.join(stars, "element").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    sets = peeled(settled(_sets(texts, words), "jaccard-sets"), similarity, "jaccard-sets")
+    posts = settled(_prefix_posts(sets, last, similarity), "jaccard-posts")
+    stars = posts.groupBy("element").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = posts.join(stars.select("element", "b"), "element").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     regions = components(sets.select("node"), edges)
     links = joined(sets, regions, similarity, leaf_rows)
     found = components(sets.select("node"), links)
     named = classes.select("node", "digest", "least_id").join(found, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_digest = named.join(least, "component").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(of_digest, "digest", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    of_digest = named.join(least, "component").select("digest", F.struct("component_id").alias("of"))
+    # Sets that were put aside have the copies of their own texts as their component.
+    apart = rows.where("n_shingles > 0").join(classes.select("digest"), "digest", "left_anti")
+    alone = apart.groupBy("digest").agg(F.min("doc_id").alias("component_id")).select("digest", F.struct("component_id").alias("of"))
+    out = rows.select("doc_id", "n_shingles", "digest").join(of_digest.unionByName(alone), "digest", "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("of.component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
