@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from snapdelta.llm import wordhash
 from snapdelta.llm.components import components
-from snapdelta.llm.near import shingle_set
+from snapdelta.llm.wordhash import shingle_set
 from snapdelta.session import settled
 
 WORDS = 4
@@ -49,6 +49,9 @@ LEVELS = 6
 # Counters of the first pass; a shingle whose counter is ``OFTEN`` times the mean is put last.
 COUNTERS = 1 << 20
 OFTEN = 8
+# Bits per row of the filter by which texts are chosen before they are moved, and bits at most (16 MB); a full filter only lets more through.
+FILTER_BITS = 16
+MOST_BITS = 1 << 27
 # Distances are in floating point; windows are wider by this.
 _SLACK = 1e-9
 
@@ -161,6 +164,25 @@ def _prefix_posts(sets: DataFrame, last, similarity) -> DataFrame:
     return sets.select("node", "elements").mapInArrow(run, "node bigint, element bigint")
 
 
+def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``text_hash`` may be among the wanted ones: a filter of bounded size, sent to the scan, so that other texts are not moved."""
+    bits = min(MOST_BITS, max(64, FILTER_BITS * wanted.count()) // 64 * 64)
+    slot = F.pmod("__hash", F.lit(bits))
+    words = wanted.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(__hash, {bits}) % 64 as int))").alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    held = np.zeros(bits // 64, np.int64)
+    held[table.column("word").to_numpy()] = table.column("bit").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(held.view(np.uint64))
+
+    def run(batches):
+        known = shared.value
+        for batch in batches:
+            place = batch.column(1).to_numpy() % bits
+            yield batch.filter(pa.array((known[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """``node``, the set's size and its shingles, from ``node`` and ``text``."""
 
@@ -174,14 +196,12 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, n int, elements array<bigint>")
 
 
-def peeled(sets: DataFrame, similarity, name: str) -> DataFrame:
-    """Without the sets of which too many shingles stand in no other set."""
-    least, of = similarity
+def alone(sets: DataFrame, similarity) -> DataFrame:
+    """The ``node`` of every set of which too many shingles stand in no other set: it has no link."""
     posts = sets.select("node", F.explode("elements").alias("element"))
-    alone = posts.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-    alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    gone = alone.join(sets.select("node", "n"), "node").where(F.lit(of) * (F.col("n") - F.col("alone")) < F.lit(least) * F.col("n"))
-    return settled(sets.join(gone.select("node"), "node", "left_anti"), name)
+    single = posts.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    single = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    return settled(single.join(sets.select("node", "n"), "node").where(F.col("alone") > _unshared("n", similarity)).select("node"), "jaccard-alone")
 
 
 class Region:
@@ -346,12 +366,19 @@ def _in_blocks(rows: DataFrame, sizes: DataFrame, leaf_rows: int) -> DataFrame:
     return dealt.select(meeting.alias("region"), "node", "n", "elements", "label")
 
 
-def joined(sets: DataFrame, regions: DataFrame, similarity, leaf_rows: int) -> DataFrame:
-    """Links ``a``, ``b`` that join all similar sets: ``sets`` with node, n and elements; ``regions`` with node and component."""
-    rows = sets.join(regions.select("node", F.col("component").alias("region")), "node")
-    rows = settled(rows.select("region", "node", "n", "elements", F.col("node").alias("label")), "jaccard-regions")
-    sizes = settled(_sized(rows), "jaccard-sizes")
-    small = rows.join(sizes.where("rows > 1").where(_fits(leaf_rows)).select("region"), "region", "left_semi")
+def joined(sets: DataFrame, regions: DataFrame, similarity, leaf_rows: int, known: DataFrame | None = None) -> DataFrame:
+    """Links ``a``, ``b`` that join all similar sets: ``sets`` with node, n and elements; ``regions`` with node and component.
+
+    Sets outside of all regions are left out. ``known`` has for each node the ``label`` that it shares with those it is joined
+    to already; such pairs are passed over.
+    """
+    narrow = sets.select("node", "n").join(regions.select("node", F.col("component").alias("region")), "node")
+    narrow = narrow.withColumn("label", F.col("node")) if known is None else narrow.join(known, "node")
+    sizes = settled(_sized(narrow), "jaccard-sizes")
+    # Regions of one set are done. Sets are moved to the others' rows, and are never sent to all tasks, however few they are.
+    kept = narrow.join(sizes.where("rows > 1"), "region").select("region", "node", "label", _fits(leaf_rows).alias("fits"))
+    rows = settled(sets.hint("merge").join(kept, "node").select("region", "node", "n", "elements", "label", "fits"), "jaccard-regions")
+    small, rows = rows.where("fits"), rows.where("NOT fits").drop("fits")
     found = [settled(_leaves(small, similarity), "jaccard-links")]
     large = sizes.where(~_fits(leaf_rows))
     level = 0
@@ -395,22 +422,25 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     classes = classes.select(F.monotonically_increasing_id().alias("node"), "digest", "least_id", "first.doc_id", "first.text_hash")
     classes = settled(classes, "jaccard-classes")
     wanted = classes.select("node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    texts = contents.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
+    texts = _chosen(contents, wanted).hint("merge").join(wanted, same)
     texts = texts.dropDuplicates(["doc_id", "text_hash"])
-    sets = peeled(settled(_sets(texts, words), "jaccard-sets"), similarity, "jaccard-sets")
-    posts = settled(_prefix_posts(sets, last, similarity), "jaccard-posts")
+    sets = settled(_sets(texts, words), "jaccard-sets")
+    apart = alone(sets, similarity)
+    nodes = settled(sets.select("node").join(apart, "node", "left_anti"), "jaccard-nodes")
+    posts = settled(_prefix_posts(sets, last, similarity).join(nodes, "node", "left_semi"), "jaccard-posts")
     stars = posts.groupBy("element").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
     edges = posts.join(stars.select("element", "b"), "element").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    regions = components(sets.select("node"), edges)
+    regions = components(nodes, edges)
     links = joined(sets, regions, similarity, leaf_rows)
-    found = components(sets.select("node"), links)
+    found = components(nodes, links)
     named = classes.select("node", "digest", "least_id").join(found, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_digest = named.join(least, "component").select("digest", F.struct("component_id").alias("of"))
     # Sets that were put aside have the copies of their own texts as their component.
-    apart = rows.where("n_shingles > 0").join(classes.select("digest"), "digest", "left_anti")
-    alone = apart.groupBy("digest").agg(F.min("doc_id").alias("component_id")).select("digest", F.struct("component_id").alias("of"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(of_digest.unionByName(alone), "digest", "left")
+    others = rows.where("n_shingles > 0").join(classes.select("digest"), "digest", "left_anti")
+    others = others.groupBy("digest").agg(F.min("doc_id").alias("component_id")).select("digest", F.struct("component_id").alias("of"))
+    out = rows.select("doc_id", "n_shingles", "digest").join(of_digest.unionByName(others), "digest", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("of.component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))

@@ -98,3 +98,22 @@ def placed_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(hashes), np.concatenate(starts)
+
+
+def factors(random: np.random.Generator) -> np.ndarray:
+    """Odd numbers by which the words of a shingle are told apart."""
+    return random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_FACTORS = factors(np.random.default_rng(7_001))
+
+
+def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's word hashes."""
+    if not len(hashes):
+        return hashes
+    width = min(words, len(hashes))
+    mixed = np.zeros(len(hashes) - width + 1, np.uint64)
+    for k in range(width):
+        mixed += hashes[k : len(hashes) - width + 1 + k] * _FACTORS[k]
+    return np.unique(mix(mixed + np.uint64(width)))
