@@ -23,32 +23,40 @@ def _query(name: str, sql: str | None = None):
 _SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
+_NEXT = ", ".join(["w", *[f"lead(w, {k}) OVER o" for k in range(1, quality.WINDOW)]])
+
 QUALITY_SQL = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_SPLIT} AS words FROM documents),
 lines AS (
   SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+u AS (SELECT doc_id, unnest(words) AS w, unnest(generate_series(1, len(words))) AS i FROM w),
 starts AS (
-  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS win
-  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 7)) AS i FROM w WHERE len(words) >= 8)),
+  SELECT doc_id, i, win FROM (
+    SELECT doc_id, i, concat_ws(' ', {_NEXT}) AS win, lead(w, {quality.WINDOW - 1}) OVER o AS final FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+  WHERE final IS NOT NULL),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM starts) WHERE n > 1),
 cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM twice) GROUP BY doc_id),
+vocabulary AS (
+  SELECT doc_id, sum(n) AS n FROM (SELECT doc_id, (i - 1) // {quality.BLOCK} AS block, count(DISTINCT w) AS n FROM u GROUP BY ALL) GROUP BY doc_id),
 m AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words,
     coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    len(words) - coalesce(list_sum(list_transform(list_distinct(ls),
+      lambda l: len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')))), 0) AS n_dup_words,
     coalesce(cover.n, 0)::BIGINT AS n_repeat_words,
-    len(list_distinct(words)) AS n_distinct,
+    coalesce(vocabulary.n, 0) AS n_distinct,
     len(list_filter(words, lambda x: x IN ({_STOPS})))::BIGINT AS n_stop_words
-  FROM w JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id)),
+  FROM w JOIN lines USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN vocabulary USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_stop_words,
-  NOT base_failed AND coalesce(n_words BETWEEN 20 AND 100000
+  NOT base_failed AND coalesce(n_words >= 20
     AND word_chars::DOUBLE / n_words BETWEEN 2.0 AND 14.0
     AND n_symbols::DOUBLE / n_words <= 0.1
     AND n_stop_words::DOUBLE / n_words >= 0.03
     AND n_distinct::DOUBLE / n_words >= 0.28
-    AND n_dup_lines::DOUBLE / n_lines <= 0.3
+    AND n_dup_words::DOUBLE / n_words <= 0.3
     AND n_repeat_words::DOUBLE / n_words <= 0.3, false) AS kept
 FROM b
 """
@@ -56,8 +64,7 @@ FROM b
 
 @_query("op3_quality_rules", QUALITY_SQL)
 def op3_quality_rules(spark, sf_dir):
-    # The SQL counts repeated lines, not the words in them.
-    return quality.measured(documents(spark, sf_dir), thresholds=quality.THRESHOLDS)
+    return quality.measured(documents(spark, sf_dir))
 
 
 _TABLE = ", ".join(f"({i}, '{name}')" for i, name in enumerate(sharding.lookup_table()))
@@ -177,18 +184,25 @@ def op8_quality_classifier(spark, sf_dir):
     return classifier.scored(docs, classifier.fit(docs, labels(spark, sf_dir)))
 
 
+_CONTENTS = [", ".join(["content", *[f"c{k}" for k in range(1, width)]]) for width in range(1, lines.RUN + 1)]
+_LATER = " UNION ALL ".join(
+    f"""SELECT doc_id, line, {width} AS width FROM (
+    SELECT doc_id, line, row_number() OVER (PARTITION BY {_CONTENTS[width - 1]} ORDER BY doc_id, line) AS copy
+    FROM w WHERE n >= {width}{"" if width == lines.RUN else f" AND words{width} >= {lines.LONG_WORDS}"}) WHERE copy > 1"""
+    for width in range(1, lines.RUN + 1)
+)
+_WORDS = r"len(list_filter(string_split_regex(content, '[\x20\x09-\x0D]+'), lambda x: x <> ''))"
 LINES_SQL = f"""
 WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content,
-    unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS line FROM documents),
+  SELECT *, {_WORDS} AS words FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content,
+      unnest(generate_series(0, len(string_split(coalesce(text, ''), chr(10))) - 1)) AS line FROM documents)),
 w AS (
-  SELECT doc_id, line, content, count(*) OVER r AS n, {", ".join(f"lead(content, {k}) OVER o AS c{k}" for k in range(1, lines.RUN))}
+  SELECT doc_id, line, content, count(*) OVER r AS n, {", ".join(f"lead(content, {k}) OVER o AS c{k}" for k in range(1, lines.RUN))},
+    {", ".join(" + ".join(["words", *[f"lead(words, {k}) OVER o" for k in range(1, width)]]) + f" AS words{width}" for width in range(1, lines.RUN))}
   FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY line), r AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND {lines.RUN - 1} FOLLOWING)),
-later AS (
-  SELECT doc_id, line FROM (
-    SELECT doc_id, line, row_number() OVER (PARTITION BY content, {", ".join(f"c{k}" for k in range(1, lines.RUN))} ORDER BY doc_id, line) AS copy
-    FROM w WHERE n = {lines.RUN}) WHERE copy > 1),
-gone AS (SELECT DISTINCT doc_id, line + k AS line FROM later, generate_series(0, {lines.RUN - 1}) AS t(k)),
+later AS ({_LATER}),
+gone AS (SELECT DISTINCT doc_id, line + k AS line FROM later, generate_series(0, {lines.RUN - 1}) AS t(k) WHERE k < width),
 runs AS (SELECT doc_id, count(*) AS n_runs FROM (
   SELECT doc_id, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line) AS prev FROM gone) WHERE prev IS NULL OR line > prev + 1 GROUP BY doc_id),
 kept AS (SELECT doc_id, count(*) AS n_kept, string_agg(content, chr(10) ORDER BY line) AS text FROM l ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id),
@@ -201,8 +215,7 @@ FROM totals LEFT JOIN kept USING (doc_id) LEFT JOIN runs USING (doc_id)
 
 @_query("op9_line_dedup", LINES_SQL)
 def op9_line_dedup(spark, sf_dir):
-    # The SQL knows runs of three lines only.
-    found = lines.deduplicated(documents(spark, sf_dir), long_words=None)
+    found = lines.deduplicated(documents(spark, sf_dir))
     removed = F.aggregate("runs", F.lit(0), lambda total, run: total + run["end"] - run["first"])
     return found.select(
         "doc_id",
