@@ -1,4 +1,10 @@
-"""From raw documents to token ids, in five stages; each is written as Parquet and read again by the next."""
+"""From raw documents to token ids, in five stages; each is written as Parquet and read again by the next.
+
+Defined results: a null text has no words and is rejected by the first stage, as is an empty one. Of rows with equal texts that with
+the largest id stays, of similar texts that with the smallest; rows without an id rank as the operators' docstrings say.
+Columns of any name are carried through to the last stage, which returns the ids of each document. Empty tables give empty
+results.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ MIX = mixing.Mix(budget_share=0.8, max_epochs=1)
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules of ``op3``, whose SQL the tests take for this stage."""
-    return quality.accepted(docs, thresholds=quality.THRESHOLDS)
+    return quality.accepted(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
