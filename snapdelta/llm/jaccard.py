@@ -8,11 +8,13 @@ there once more. Documents within the radius of a pivot are linked to it at once
 needs no further work, so a large group of copies costs a few stars and not all its pairs.
 
 Nearly all documents have no link, and lie at distance one from everything, where pivots tell nothing. They are put aside first, by
-an exact filter: of a set with a link at most u = n - ceil(t * n) shingles are not in the other set. So a set with more than u
-shingles that no other set has is left out; this is found from a prefix of a little over u shingles, in one order of all
-shingles, and for the sets that pass it from all shingles. The order puts shingles last that a first pass has seen in many documents,
-which is a matter of cost only. Two linked sets also share one of their first u + 1 shingles; the first regions are the
-connected parts of what shares one.
+an exact filter. Linked sets of at most r shingles differ in at most d = 2 r (1 - t) / (1 + t) of them. All shingles are dealt
+into d + 1 + ``SPARE`` parts by a hash; at least one part more than ``SPARE`` is then the same in both. A set has one signature for
+each part that is not empty (and for empty ones if there are more than ``SPARE``), so linked sets have a signature in common. Sizes
+are divided into ranges that a linked pair spans two of at most, and a set has the signatures of its own range and of the next.
+A signature stands for several shingles at once, so it stays rare however often single shingles come again in a large corpus.
+Sets without a signature that another has are left out; the first regions are the connected parts of what shares one. Of the rest,
+sets with too many shingles that stand in no other set are left out too.
 
 Regions beyond ``LEAF_ROWS`` are never in one task. If pivots do not divide one (its documents are all equally far from each
 other), its rows are dealt into blocks, and each two blocks meet in a task: exact, and bounded in memory.
@@ -46,9 +48,9 @@ PIVOTS = 8
 FEW = 32
 # Levels of distributed division; what is still too large goes to blocks.
 LEVELS = 6
-# Counters of the first pass; a shingle whose counter is ``OFTEN`` times the mean is put last.
-COUNTERS = 1 << 20
-OFTEN = 8
+# Parts beyond those that differences can spoil.
+SPARE = 4
+_PART, _RANGE, _SIZE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 # Bits per row of the filter by which texts are chosen before they are moved, and bits at most (16 MB); a full filter only lets more through.
 FILTER_BITS = 16
 MOST_BITS = 1 << 27
@@ -56,13 +58,8 @@ MOST_BITS = 1 << 27
 _SLACK = 1e-9
 
 
-def unshared(n: int, similarity: tuple[int, int]) -> int:
-    """How many shingles of a set with n a linked set may lack."""
-    least, of = similarity
-    return n - -(-least * n // of)
-
-
 def _unshared(n: str, similarity: tuple[int, int]) -> Column:
+    """How many shingles of a set with n a linked set may lack."""
     least, of = similarity
     return F.col(n) - F.expr(f"({least} * {n} + {of - 1}) div {of}")
 
@@ -72,10 +69,6 @@ def linked(common, n_a, n_b, similarity):
     return of * common >= least * (n_a + n_b - common)
 
 
-def _counter(elements: np.ndarray) -> np.ndarray:
-    return (elements >> np.uint64(44)).astype(np.int64)
-
-
 def _contents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -88,41 +81,50 @@ def _text_sets(batch: pa.RecordBatch, words: int):
         yield part, [shingle_set(hashes[before[i] : before[i + 1]], words) for i in range(part.num_rows)]
 
 
-def frequent(rows: DataFrame, words: int) -> np.ndarray:
-    """For each counter, whether its shingles are put last."""
-
-    def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, sets in _text_sets(batch, words):
-                if sets:
-                    counts += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
-        many = np.flatnonzero(counts > OFTEN + OFTEN * counts.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(many.astype(np.int32)), pa.array(counts[many])], ["counter", "n"])
-
-    found = rows.select("text").mapInArrow(run, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
-    last = np.zeros(COUNTERS, bool)
-    last[[row[0] for row in found.select("counter").collect()]] = True
-    return last
-
-
-def _first(own: np.ndarray, put_last: np.ndarray, length: int) -> np.ndarray:
-    """The first shingles of a set in the order of all."""
-    return own[np.argsort(put_last[_counter(own)], kind="stable")[:length]].view(np.int64)
+def size_range(n: int, similarity: tuple[int, int]) -> tuple[int, int]:
+    """The number of the range of sizes that n lies in, and the greatest size of it; two linked sets lie in one range or in neighbours."""
+    least, of = similarity
+    number, last = 0, of // least
+    while n > last:
+        number, last = number + 1, (last + 1) * of // least
+    return number, last
 
 
-def prefixed(rows: DataFrame, last, words: int, similarity) -> DataFrame:
-    """Per row: set size, a 128-bit digest of the set, its first half as ``name``, and a prefix of half as many again as may be unshared."""
+def signatures(own: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """Of two linked sets, that are not equal, at least one signature is the same."""
+    least, of = similarity
+    if not len(own):
+        return np.zeros(0, np.int64)
+    number, last = size_range(len(own), similarity)
+    found = []
+    for instance, most in ((number, last), (number + 1, (last + 1) * of // least)):
+        differences = 2 * most * (of - least) // (of + least)
+        if not differences:
+            continue  # only equal sets are linked
+        parts = differences + 1 + SPARE
+        named = np.uint64((instance + 1) * int(_RANGE) % 2**64)
+        values = wordhash.mix(own ^ named)
+        part = (values % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        full, first, sizes = np.unique(part[order], return_index=True, return_counts=True)
+        sums = np.add.reduceat(wordhash.mix(values[order] + _SIZE), first)
+        found.append(wordhash.mix(sums + full.astype(np.uint64) * _PART + named + sizes.astype(np.uint64) * _SIZE))
+        if parts - len(full) > SPARE:
+            empty = np.setdiff1d(np.arange(parts), full)
+            found.append(wordhash.mix(empty.astype(np.uint64) * _PART + named))
+    return np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+
+
+def signed(rows: DataFrame, words: int, similarity) -> DataFrame:
+    """Per row: set size, a 128-bit digest of the set, its first half as ``name``, and the signatures."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        put_last = last.value
         for batch in batches:
             for part, sets in _text_sets(batch, words):
-                most = [unshared(len(own), similarity) for own in sets]
-                prefixes = [_first(own, put_last, u + 1 + u // 2) for own, u in zip(sets, most)]
+                found = [signatures(own, similarity) for own in sets]
                 names = [hashlib.blake2b(own.tobytes(), digest_size=16).digest() for own in sets]
-                ends = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
+                ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -130,38 +132,35 @@ def prefixed(rows: DataFrame, last, words: int, similarity) -> DataFrame:
                         pa.array([len(own) for own in sets], pa.int64()),
                         pa.array(names, pa.binary()),
                         pa.array([int.from_bytes(name[:8], "little", signed=True) for name in names], pa.int64()),
-                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *found]))),
                     ],
-                    ["doc_id", "text_hash", "n_shingles", "digest", "name", "prefix"],
+                    ["doc_id", "text_hash", "n_shingles", "digest", "name", "signatures"],
                 )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, digest binary, name bigint, prefix array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, digest binary, name bigint, signatures array<bigint>")
 
 
-def _promising(rows: DataFrame, similarity) -> DataFrame:
-    """The names of sets of which not too many prefix shingles stand in no other set. Copies have one name and count as one."""
-    posts = rows.select("name", F.explode("prefix").alias("element"))
-    alone = posts.groupBy("element").agg(F.min("name").alias("name"), F.max("name").alias("other")).where("name = other")
+def _promising(rows: DataFrame) -> DataFrame:
+    """The names of sets with a signature that another set has. Copies have one name and count as one."""
+    posts = rows.select("name", F.explode("signatures").alias("signature"))
+    alone = posts.groupBy("signature").agg(F.min("name").alias("name"), F.max("name").alias("other")).where("name = other")
     alone = alone.groupBy("name").agg(F.count(F.lit(1)).alias("alone"))
-    sizes = rows.where("n_shingles > 0").select("name", "n_shingles").distinct()
-    kept = sizes.join(alone, "name", "left").where(F.coalesce("alone", F.lit(0)) <= _unshared("n_shingles", similarity))
-    return kept.select("name").distinct()
+    sizes = rows.select("name", F.size("signatures").alias("n")).where("n > 0").distinct()
+    return sizes.join(alone, "name", "left").where(F.col("n") > F.coalesce("alone", F.lit(0))).select("name").distinct()
 
 
-def _prefix_posts(sets: DataFrame, last, similarity) -> DataFrame:
-    """``node`` and ``element`` for the shingles of which two linked sets share one."""
+def _posts(sets: DataFrame, similarity) -> DataFrame:
+    """``node`` and ``signature`` of each set."""
 
     def run(batches):
-        put_last = last.value
         for batch in batches:
             lists = batch.column(1)
             at, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy().view(np.uint64)
-            owns = [flat[at[i] - at[0] : at[i + 1] - at[0]] for i in range(batch.num_rows)]
-            parts = [_first(own, put_last, unshared(len(own), similarity) + 1) for own in owns]
-            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))], ["node", "element"])
+            found = [signatures(flat[at[i] - at[0] : at[i + 1] - at[0]], similarity) for i in range(batch.num_rows)]
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], ["node", "signature"])
 
-    return sets.select("node", "elements").mapInArrow(run, "node bigint, element bigint")
+    return sets.select("node", "elements").mapInArrow(run, "node bigint, signature bigint")
 
 
 def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -414,9 +413,8 @@ def joined(sets: DataFrame, regions: DataFrame, similarity, leaf_rows: int, know
 def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity=SIMILARITY, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     contents = _contents(docs, id_col, text_col)
-    last = docs.sparkSession.sparkContext.broadcast(frequent(contents, words))
-    rows = settled(prefixed(contents, last, words, similarity), "jaccard-rows")
-    found = rows.join(_promising(rows, similarity), "name", "left_semi").where("n_shingles > 0")
+    rows = settled(signed(contents, words, similarity), "jaccard-rows")
+    found = rows.join(_promising(rows), "name", "left_semi").where("n_shingles > 0")
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")
     classes = found.groupBy("digest").agg(first, F.min("doc_id").alias("least_id"))
     classes = classes.select(F.monotonically_increasing_id().alias("node"), "digest", "least_id", "first.doc_id", "first.text_hash")
@@ -428,9 +426,9 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     sets = settled(_sets(texts, words), "jaccard-sets")
     apart = alone(sets, similarity)
     nodes = settled(sets.select("node").join(apart, "node", "left_anti"), "jaccard-nodes")
-    posts = settled(_prefix_posts(sets, last, similarity).join(nodes, "node", "left_semi"), "jaccard-posts")
-    stars = posts.groupBy("element").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = posts.join(stars.select("element", "b"), "element").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    posts = settled(_posts(sets, similarity).join(nodes, "node", "left_semi"), "jaccard-posts")
+    stars = posts.groupBy("signature").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = posts.join(stars.select("signature", "b"), "signature").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     regions = components(nodes, edges)
     links = joined(sets, regions, similarity, leaf_rows)
     found = components(nodes, links)

@@ -134,3 +134,25 @@ def test_regions_compare_few_pairs():
     region.join(np.arange(len(sets)))
     assert len(set(region.root)) == 16
     assert region.compared < len(sets) ** 2 / 4
+
+
+def test_linked_sets_share_a_signature():
+    """Pairs of every size at the threshold, differences spread at random, against the count of equal signatures."""
+    rng = np.random.default_rng(11)
+    least, of = jaccard.SIMILARITY
+    for n in [*range(1, 60), 97, 150, 301, 800]:
+        for _ in range(12):
+            extra = int(rng.integers(0, n // 3 + 2))
+            lost = int(rng.integers(0, n // 4 + 1))
+            pool = rng.integers(1, 2**63, n + extra, dtype=np.uint64) * np.uint64(2)
+            a, b = np.unique(pool[:n]), np.unique(pool[lost:])
+            common = len(np.intersect1d(a, b))
+            if len(b) and not np.array_equal(a, b) and jaccard.linked(common, len(a), len(b), (least, of)):
+                assert np.intersect1d(jaccard.signatures(a, (least, of)), jaccard.signatures(b, (least, of))).size
+
+
+def test_size_ranges_hold_linked_sizes():
+    for n in range(1, 2_000):
+        number, last = jaccard.size_range(n, (85, 100))
+        assert n <= last and jaccard.size_range(last + 1, (85, 100))[0] == number + 1
+        assert jaccard.size_range(n * 100 // 85, (85, 100))[0] <= number + 1
