@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from snapdelta.llm import near, wordhash
+from snapdelta.llm.queries import QUERIES
 
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -118,3 +119,52 @@ def test_nulls_repeats_and_kept_rows(frame):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [2, 7, 9, 9, None]
     assert near.clustered(frame([])).count() == 0
+
+
+def test_query_equals_brute_force(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: shingles(t, 4) for i, t in rows}
+    holding, parent = {}, {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sorted(sets):
+        for j in {j for s in sets[i] for j in holding.get(s, ())}:
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+        for s in sets[i]:
+            holding.setdefault(s, []).append(i)
+    want = {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+    found = QUERIES["op2_minhash_near_dedup"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == want
+
+
+def test_pairs_close_to_the_threshold_are_found(frame):
+    """Pairs of 0.80 to 0.85, each on its own: none may be missed, and none below the threshold linked."""
+    rng = random.Random(12)
+    rows, alike = [], {}
+    for k in range(400):
+        words = [f"p{k}w{i}" for i in range(203)]
+        # Words replaced at the end cost as many shingles and a few; 200 shingles, of which d differ: (200 - d) / (200 + d).
+        d = rng.randint(17, 27)
+        other = words[: 203 - d] + [f"q{k}w{i}" for i in range(d)]
+        alike[2 * k + 1] = 100 * (200 - d) >= 80 * (200 + d)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    found = {r.doc_id: r.component_id for r in near.clustered(frame(rows)).collect()}
+    assert {i: found[i] == i - 1 for i in alike} == alike and 100 < sum(alike.values()) < 400
+
+
+def test_a_large_group_beside_near_misses(frame):
+    """Copies joined by a few centres, and as many texts of the same base whose edits keep them just below the threshold."""
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(edited(rng, base, rng.randint(0, 3))) for _ in range(150)]
+    texts += [" ".join(edited(rng, base, rng.randint(5, 8))) for _ in range(150)]
+    rows = list(enumerate(texts))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near.clustered(frame(rows)).collect()} == brute(rows)

@@ -3,8 +3,9 @@ from __future__ import annotations
 import hashlib
 
 import duckdb
-import tiktoken
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -53,6 +54,20 @@ def test_query_matches_sql(spark, name):
     assert table_of(found.columns, [tuple(r) for r in found.collect()]) == table_of([c[0] for c in cursor.description], cursor.fetchall())
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_nulls_repeats_and_clashing_columns_go_through_all_stages(spark):
+    docs = documents(spark, DATA).where("doc_id < 60")
+    odd = docs.where("doc_id = 1").selectExpr("doc_id + 1000 AS doc_id", "CAST(NULL AS STRING) AS text", "lang", "source", "n_chars")
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0")).unionByName(odd)
+    names = ("ids", "bytes", "node", "component", "kept", "digest", "row", "budget", "times", "salt")
+    wide = docs.withColumns({name: F.lit(f"own {name}") for name in names})
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        wide = stage(spark, wide, DATA)
+        if number < 4:
+            assert set(wide.columns) == {*docs.columns, *names}
+            assert all(r.ids == "own ids" for r in wide.select("ids").distinct().collect())
+    assert 0 < wide.count() < 60
+
+
+def test_all_operators_and_the_pipeline_are_registered():
     names = list(entry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names

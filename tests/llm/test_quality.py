@@ -3,9 +3,12 @@ from __future__ import annotations
 import random
 import re
 
+import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from snapdelta.llm import quality
+from check_queries import table_of
+from snapdelta.llm import quality, queries
 
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,3 +89,27 @@ def test_clean_text_with_one_repeated_line_is_kept(frame):
     got = {r.doc_id: (r.n_dup_lines, r.base_failed, r.kept) for r in quality.measured(frame(rows)).collect()}
     assert got[1] == (1, False, True) and not got[2][2]
     assert [r.doc_id for r in quality.accepted(frame(rows)).collect()] == [1]
+
+
+def test_sql_and_code_agree_on_long_texts(spark, frame):
+    rng = random.Random(6)
+    small = [f"the word{i}" for i in range(400)]
+    large = [f"of term{i}" for i in range(60_000)]
+    rows = [
+        (1, " ".join(rng.choice(small) for _ in range(1_500))),
+        (2, " ".join(rng.choice(large) for _ in range(100_000))),
+        (3, "the one line\n" * 3 + " ".join(rng.choice(large) for _ in range(60))),
+        (4, "\n".join(" ".join(rng.choice(large) for _ in range(6)) for _ in range(3)) + "\nof it\nof it"),
+        (5, "\n".join(["the same line of words"] * 30)),
+        (6, None),
+        (7, " ".join(["a b c d e f g the"] * 4) + " " + " ".join(rng.choice(large) for _ in range(300))),
+    ]
+    docs = frame(rows)
+    database = duckdb.connect()
+    database.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": pa.array([r[1] for r in rows], pa.string())}))
+    cursor = database.execute(queries.QUALITY_SQL)
+    want = table_of([c[0] for c in cursor.description], cursor.fetchall())
+    found = quality.measured(docs)
+    assert table_of(found.columns, [tuple(r) for r in found.collect()]) == want
+    kept = {r["doc_id"] for r in found.where("kept").collect()}
+    assert {1, 2, 3, 4} <= kept and not kept & {5, 6}
