@@ -33,7 +33,7 @@ from snapdelta.plans.store import Store
 from snapdelta.session import scratch, setting, settled
 from snapdelta.sources.artifacts import read_delta
 from snapdelta.sources.csvfiles import CsvOptions, clean_errors, csv_pull, file_checkpoint, file_listing, file_manifest_hash
-from snapdelta.sources.pages import json_pages, page_chain, page_gaps, page_links, project_items
+from snapdelta.sources.pages import json_pages, missing_fields, page_chain, page_gaps, page_links, project_items
 from snapdelta.sources.sql import high_water_mark, sql_pull
 from snapdelta.spec import Connector, Output, Source
 from snapdelta.streaming.drain import drain_together
@@ -234,6 +234,23 @@ def _page_items(spark, d):
     return project_items(items, fields, keep=("page",))
 
 
+def _missing_fields(spark, d):
+    """Items that lack an id or a title, counted by field; null values are there."""
+    item = F.concat(
+        F.lit("{"),
+        F.concat_ws(
+            ",",
+            F.when(F.col("o_orderkey") % 11 != 0, F.concat(F.lit('"id":'), "o_orderkey")),
+            F.when(F.col("o_orderkey") % 7 != 0, F.concat(F.lit('"title":"'), "o_orderstatus", F.lit('"'))),
+            F.when(F.col("o_orderkey") % 5 != 0, F.lit('"note":null')),
+        ),
+        F.lit("}"),
+    )
+    pages = table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / _PAGE_ROWS).alias("n")).agg(F.array_join(F.collect_list(item), ",").alias("items"))
+    pages = pages.select(F.col("n").cast("string").alias("page"), F.concat(F.lit("["), "items", F.lit("]")).alias("body"))
+    return missing_fields(json_pages(pages), ["id", "title", "note"])
+
+
 def _page_gaps(spark, d):
     return page_gaps(_pages(spark, d).where("n % 7 <> 4"), "paging.next.cursor")
 
@@ -408,6 +425,7 @@ QUERIES = {
     "file_checkpoint": _file_checkpoint,
     "file_manifest": file_manifest,
     "json_pages": _page_items,
+    "missing_fields": _missing_fields,
     "page_gaps": _page_gaps,
     "page_chain": _page_chain,
     "read_delta": read_published,
@@ -460,6 +478,9 @@ ORACLES = {
         {sql_tree_digest('lines', prefix='sha256:')}""",
     "json_pages": f"""SELECT 'page ' || (o_orderkey // {_PAGE_ROWS}) AS page, o_orderkey, o_orderstatus, NULL::VARCHAR AS absent
         FROM orders WHERE (o_orderkey // {_PAGE_ROWS}) % 5 <> 2""",
+    "missing_fields": """SELECT 'id' AS field, count(*) AS missing FROM orders WHERE o_orderkey % 11 = 0
+        UNION ALL SELECT 'title', count(*) FROM orders WHERE o_orderkey % 7 = 0
+        UNION ALL SELECT 'note', count(*) FROM orders WHERE o_orderkey % 5 = 0""",
     "page_gaps": f"""WITH pages AS (SELECT DISTINCT o_orderkey // {_PAGE_ROWS} AS n FROM orders),
         stored AS (SELECT n FROM pages WHERE n % 7 <> 4)
         SELECT 'p' || n AS cursor, 'p' || (n + 1) AS next_cursor FROM stored
