@@ -172,8 +172,14 @@ def deep_page(spark, d):
 
 
 def _detail(spark, d):
+    """The page of runs, with what the page info and the health row say beside it."""
     parts = connector_detail(_health(spark, d), runs(spark, d), "c5", "failed", 30, 10)
-    return parts["recent_runs"].select("run_id", "status", "error_class", "duration_seconds")
+    info = parts["runs_page"].first()
+    health = parts["connector"].first()
+    beside = {"total_runs": info["total_runs"], "has_more": info["has_more"], "last_status": health["last_status"], "waiting": health["pending_push_batches"]}
+    kinds = {"total_runs": "bigint", "has_more": "boolean", "last_status": "string", "waiting": "bigint"}
+    rows = parts["recent_runs"].select("run_id", "status", "error_class", "duration_seconds")
+    return rows.withColumns({name: F.lit(value).cast(kinds[name]) for name, value in beside.items()})
 
 
 QUERIES = {
@@ -346,9 +352,13 @@ ORACLES = {
         SELECT * REPLACE (strftime(last_started_at, '%Y-%m-%d %H:%M:%S.%f') AS last_started_at,
           strftime(last_finished_at, '%Y-%m-%d %H:%M:%S.%f') AS last_finished_at,
           strftime(checkpoint_updated_at, '%Y-%m-%d %H:%M:%S.%f') AS checkpoint_updated_at) FROM joined""",
-    "connector_detail": f"""WITH {SQL_RUNS} SELECT run_id, status, error_class,
-        trunc({_seconds('finished_at', 'started_at')})::BIGINT AS duration_seconds FROM runs
-        WHERE connector_id = 'c5' AND status = 'FAILED' ORDER BY started_at DESC, run_id DESC LIMIT 30 OFFSET 10""",
+    "connector_detail": f"""WITH {SQL_RUNS}, {SQL_BATCHES},
+        failed AS (SELECT count(*) AS n FROM runs WHERE connector_id = 'c5' AND status = 'FAILED')
+        SELECT run_id, status, error_class, trunc({_seconds('finished_at', 'started_at')})::BIGINT AS duration_seconds,
+          (SELECT n FROM failed) AS total_runs, (SELECT n > 40 FROM failed) AS has_more,
+          (SELECT status FROM runs WHERE connector_id = 'c5' ORDER BY started_at DESC, run_id DESC LIMIT 1) AS last_status,
+          (SELECT count(*) FROM batches WHERE connector_id = 'c5' AND status = 'PENDING') AS waiting
+        FROM runs WHERE connector_id = 'c5' AND status = 'FAILED' ORDER BY started_at DESC, run_id DESC LIMIT 30 OFFSET 10""",
     "run_detail": f"""WITH {SQL_RUNS} SELECT run_id, connector_id, status,
         trunc({_seconds('finished_at', 'started_at')})::BIGINT AS duration_seconds, error_message,
         'https://logs/?run=' || run_id || '&full=1' AS log_url, 'https://flows/' || run_id AS flow_url

@@ -294,10 +294,11 @@ def read_published(spark, d):
 
 
 def read_alias(spark, d):
-    """Ids of the index lines under the latest alias."""
+    """The index lines under the latest alias, field by field."""
     manifest = _published(spark, d, alias=True)
     latest = manifest.import_upserts_path.replace("/runs/run-1/", "/latest/run-1/")
-    return spark.read.text(latest).select(F.get_json_object("value", "$.structData.doc_id").alias("doc_id"))
+    paths = {"id": "$.id", "doc_id": "$.structData.doc_id", "checksum": "$.structData.checksum", "mime_type": "$.content.mimeType", "raw_bytes": "$.content.rawBytes"}
+    return spark.read.text(latest).select(*[F.get_json_object("value", path).alias(name) for name, path in paths.items()])
 
 
 def read_pointer(spark, d):
@@ -489,7 +490,8 @@ ORACLES = {
         SELECT 'p' || n AS cursor, CASE WHEN n % 7 <> 4 THEN row_number() OVER (PARTITION BY n % 7 <> 4 ORDER BY n) - 1 END AS place
         FROM pages""",
     "read_delta": f"{_AUTO} {sql_shown('delta')}",
-    "publish_latest": f"{_AUTO} SELECT doc_id FROM delta WHERE op = 'UPSERT'",
+    "publish_latest": f"""{_AUTO} SELECT 'docs_' || split_part(doc_id, ':', 2) || '_' || left(sha1(doc_id), 8) AS id, doc_id, checksum, mime_type,
+        base64(encode(content)) AS raw_bytes FROM delta WHERE op = 'UPSERT'""",
     "success_pointer": f"""{_AUTO}, n AS (SELECT count(*) AS n FROM delta WHERE op = 'UPSERT')
         SELECT 'run-1' AS run_id, place, n AS upserts_count, n AS lines FROM n, (VALUES ('latest'), ('runs')) AS t(place)""",
     "run_manifest": f"""{_AUTO} SELECT 'run-1' AS run_id, 'docs' AS connector_id, '2024-02-01T00:00:00Z' AS started_at,

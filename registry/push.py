@@ -86,7 +86,7 @@ def push_targets(spark, d):
     """Requests for connectors of the catalog and for some that it does not know."""
     requests = _requests(spark, d).withColumn("connector_id", F.expr("concat('c', request_id % 27)"))
     checked = check_targets(parse_requests(requests), catalog(spec_documents(spark, d)))
-    return classify_requests(checked.where("key <> ''"), _known_keys(spark, d).where("false")).select(
+    return classify_requests(checked, _known_keys(spark, d).where("false")).select(
         "request_id", "target_error", F.col("outcome").isin("refused").alias("refused")
     )
 
@@ -121,7 +121,7 @@ def _pushed(spark, d):
         .when(kind == 12, text("op", F.lit('"DELETE"')))
         .otherwise(text("op", F.lit('"UPSERT"'))),
         F.when(kind == 13, text("uri", F.lit("5"))).when(kind == 14, text("uri", F.lit("null"))),
-        F.when(kind == 15, text("mime_type", F.lit("null"))),
+        F.when(kind == 15, text("mime_type", F.lit("null"))).when(kind == 17, text("mime_type", F.lit('"text/html"'))),
     ]
     body = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
     whole = F.when(kind == 16, F.lit("[1]")).otherwise(body)
@@ -240,10 +240,10 @@ ORACLES = {
     "push_targets": f"""WITH {SQL_CATALOG}, {_CLASSIFIED},
         judged AS (SELECT request_id, CASE WHEN c.connector_id IS NULL THEN 'unknown connector'
             WHEN c.mode <> 'rest_push' THEN 'not a push connector' END AS target_error
-          FROM requests r LEFT JOIN catalog c ON c.connector_id = 'c' || (r.request_id % 27) WHERE r.key <> '')
-        SELECT request_id, target_error, target_error IS NOT NULL AS refused FROM judged""",
+          , r.key FROM requests r LEFT JOIN catalog c ON c.connector_id = 'c' || (r.request_id % 27))
+        SELECT request_id, target_error, target_error IS NOT NULL AND key <> '' AS refused FROM judged""",
     "validate_documents": f"""WITH {_PUSHED} SELECT n, form AS reason,
-        CASE WHEN n % 25 = 15 THEN 'text/plain' ELSE 'text/plain' END AS mime_type,
+        CASE WHEN n % 25 = 17 THEN 'text/html' ELSE 'text/plain' END AS mime_type,
         CASE n % 25 WHEN 10 THEN '{{"lang":"en"}}' WHEN 9 THEN '[]' ELSE '{{}}' END AS metadata,
         CASE n % 25 WHEN 11 THEN 'MERGE' WHEN 12 THEN 'DELETE' WHEN 16 THEN NULL ELSE 'UPSERT' END AS op,
         CASE n % 25 WHEN 7 THEN '["a",null]' WHEN 8 THEN '["a","b"]' ELSE '[]' END AS acl_users,
