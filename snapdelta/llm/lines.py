@@ -1,6 +1,6 @@
 """Line dedup: repeated runs of a few lines are found by counting hashed names, and later copies are deleted.
 
-A line's name is a 64-bit hash of its text; contents are not compared again. Names of runs of 1, 2, 4 ... lines are made from the names of their
+A line's name is a 128-bit digest of its text; contents are not compared again. Names of runs of 1, 2, 4 ... lines are made from the names of their
 halves, and the last step overlaps two names to reach ``run`` lines; only positions whose name occurs twice go on, so after the
 first step the work is on repeated lines alone. No suffix order is built, so runs longer than
 ``run`` are known by their windows only. The earliest position of a name stays; at the others all lines of the run are deleted. Neighbouring
@@ -35,6 +35,11 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
+def _name(content: Column) -> Column:
+    """A digest by which contents are told apart."""
+    return F.unhex(F.md5(content))
+
+
 def _often(named: DataFrame) -> DataFrame:
     """Only the positions whose name occurs at more than one."""
     counts = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
@@ -50,7 +55,7 @@ def _wider(named: DataFrame, step: int) -> DataFrame:
         paired = paired.withColumn("after", F.max("tail").over(lines))
         counts = [(F.col("words") + F.col("after")).alias("words"), F.col("after").alias("tail")]
     paired = paired.where("follow IS NOT NULL")
-    return paired.select(*_AT, F.xxhash64("name", "follow").alias("name"), *counts)
+    return paired.select(*_AT, _name(F.concat("name", "follow")).alias("name"), *counts)
 
 
 def _levels(docs: DataFrame, id_col: str, text_col: str, run: int, counted: bool):
@@ -60,7 +65,7 @@ def _levels(docs: DataFrame, id_col: str, text_col: str, run: int, counted: bool
     words = F.size(words_of(F.col("content")))
     counts = [words.alias("words"), words.alias("tail")] if counted else []
     # Repeated rows are one document: their positions agree, so each is taken once among the few that go on.
-    named = _often(lines.select(*_AT, F.xxhash64("content").alias("name"), *counts))
+    named = _often(lines.select(*_AT, _name(F.col("content")).alias("name"), *counts))
     named = settled(named, "line-names").dropDuplicates(_AT)
     width = 1
     yield width, named
