@@ -145,7 +145,7 @@ def brute_fast(pair, rows):
 def test_both_forms_of_a_agree_on_every_character(pair):
     letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     for k in range(0, len(letters), 50_000):
-        texts = [f" a{c}b 1{c}2 {c}'s \n{c}" for c in letters[k : k + 50_000]]
+        texts = [f" a{c}b {c}1" for c in letters[k : k + 50_000]]
         assert [e.ids for e in pair.whole.encode_batch(texts, add_special_tokens=False)] == pair.first.encode_ordinary_batch(texts)
 
 
