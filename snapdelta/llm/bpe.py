@@ -33,7 +33,7 @@ OVERLAP = 512
 REMEMBERED = 120_000
 # Ids that are decoded at once, and bytes of text that are encoded at once, more only for one longer text.
 AT_ONCE = 1 << 18
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -304,7 +304,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col="doc_id", text_col=
 
 
 def decoded(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """The rows with the bytes that their ids stand for. Null ids stand for none."""
+    """The rows with the ``bytes`` that their ids stand for, in place of a column of that name. Null ids stand for none."""
+    coded = coded.drop("bytes")
     tokens = [b""] * (max((ranks := read_ranks(path)).values()) + 1)
     for token, i in ranks.items():
         tokens[i] = token

@@ -54,3 +54,8 @@ def test_empty_table_and_extra_columns(frame):
     docs = frame([(1, "a b")]).withColumn("ids", F.lit(3)).withColumn("row", F.lit(1)).withColumn("piece", F.lit("x"))
     assert bpe.encoded(docs, PATH, PATTERN).columns == ["doc_id", "ids"]
     assert bpe.decoded(bpe.encoded(docs, PATH, PATTERN), PATH).first().bytes == bytearray(b"a b")
+
+
+def test_own_bytes_are_replaced(frame):
+    coded = bpe.encoded(frame([(1, "a b")]), PATH, PATTERN).withColumn("bytes", F.lit("own"))
+    assert bpe.decoded(coded, PATH).select("doc_id", "bytes").first() == (1, bytearray(b"a b"))
