@@ -175,12 +175,15 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
 
     whole = settled(shingles.mapInArrow(listed, "node bigint, n int, elements array<bigint>"), "near-left")
     left = settled(whole.select("node").join(jaccard.alone(whole, similarity), "node", "left_anti"), "near-nodes")
-    named = rest.join(numbers.select("node", "number"), "node").join(left.select(F.col("node").alias("number")), "number", "left_semi")
-    stars = named.groupBy("band", "value").agg(F.min("number").alias("b"))
-    edges = named.join(stars, ["band", "value"]).where("number <> b").select(F.col("number").alias("a"), "b").distinct()
-    regions = components(left, edges)
-    known = numbers.groupBy("component").agg(F.min("number").alias("label"))
-    known = numbers.join(known, "component").select(F.col("number").alias("node"), "label")
+    # Regions are connected parts of the graph of components, so a large component is one node of it.
+    labels = numbers.groupBy("component").agg(F.min("number").alias("label"))
+    known = settled(numbers.join(labels, "component").select(F.col("number").alias("node"), "label"), "near-known")
+    named = rest.select("band", "value", "node").join(numbers.select("node", "number"), "node")
+    named = named.select("band", "value", F.col("number").alias("node")).join(left, "node", "left_semi").join(known, "node")
+    stars = named.groupBy("band", "value").agg(F.min("label").alias("b"))
+    edges = named.join(stars, ["band", "value"]).where("label <> b").select(F.col("label").alias("a"), "b").distinct()
+    parts = components(left.join(known, "node").select(F.col("label").alias("node")).distinct(), edges)
+    regions = left.join(known, "node").join(parts.select(F.col("node").alias("label"), "component"), "label").select("node", "component")
     found = settled(jaccard.joined(whole, regions, similarity, jaccard.LEAF_ROWS, known), "near-links")
     ends = [numbers.select(F.col("number").alias(side), F.col("node").alias(f"of_{side}")) for side in "ab"]
     return found.join(ends[0], "a").join(ends[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
