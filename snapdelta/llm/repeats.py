@@ -47,6 +47,11 @@ def _power(k: int) -> np.uint64:
     return np.uint64(pow(_BASE, k, 1 << 64))
 
 
+def _names(hashes: np.ndarray) -> np.ndarray:
+    """Names of anchors, evenly spread: an anchor's hash is a minimum, and minima crowd at the low end, in a few buckets."""
+    return wordhash.mix(hashes)
+
+
 def _anchor_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the 24 bytes from each position on, by doubling."""
     one = _BYTE[data]
@@ -58,7 +63,7 @@ def _anchor_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of windows with one anchor: first and last window start, and the anchor's hash.
+    """Maximal runs of windows with one anchor: first and last window start, and the anchor's name.
 
     ``data`` holds texts end to end, ``at`` their starts with the total last.
     """
@@ -89,15 +94,15 @@ def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np
         good = valid[starts]
         firsts.append(starts[good] + begin)
         lasts.append(stops[good] + begin)
-        hashes.append(anchors[place[starts[good]]])
+        hashes.append(_names(anchors[place[starts[good]]]))
     if not firsts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
 
 
 def _anchor_place(text: bytes, anchor: np.uint64) -> int:
-    """Where the anchor of a segment lies: at the first substring with its hash."""
-    return int(np.flatnonzero(_anchor_hashes(np.frombuffer(text, np.uint8)) == anchor)[0])
+    """Where the anchor of a segment lies: at the first substring with its name."""
+    return int(np.flatnonzero(_names(_anchor_hashes(np.frombuffer(text, np.uint8))) == anchor)[0])
 
 
 class Block:

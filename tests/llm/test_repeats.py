@@ -100,3 +100,11 @@ def test_nulls_repeats_and_clashing_columns(frame):
     assert repeats.deduplicated(frame([])).count() == 0
     with pytest.raises(ValueError):
         repeats.deduplicated(docs, length=10)
+
+
+def test_anchors_are_dealt_evenly_over_the_buckets():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 60_000).astype(np.uint8)
+    _, _, anchor = repeats.segments(data, np.array([0, len(data)]))
+    sizes = np.diff(repeats._buckets(np.unique(anchor), 16))
+    assert len(sizes) == 16 and sizes.max() <= 2 * sizes.mean()
