@@ -1,7 +1,8 @@
-"""Connected components of a graph given as nodes and links, by minimum labels with shortcuts.
+"""Connected components of a graph given as nodes and links, by hooking and contraction.
 
-Every node starts with its own id, takes the least label among its neighbours, and then the label of its label, which halves
-paths. Each round is written to the shared folder, so the plan stays short and lost executors cost one round.
+Every node with a smaller neighbour is hooked to its least one, which gives trees; jumps from parent to parent name each tree's
+root. Then the links are those between different roots, and all others are gone: a link is read once or twice, and not in
+every round. Each step is written to the shared folder, so the plan stays short and lost executors cost one step.
 """
 
 from __future__ import annotations
@@ -12,22 +13,60 @@ from pyspark.sql import functions as F
 from snapdelta.session import settled
 
 
+def _between(links: DataFrame) -> DataFrame:
+    """Links between different nodes, each once, the greater end first."""
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _rooted(tree: DataFrame) -> DataFrame:
+    """``node`` and the root of its tree, from ``node`` and its parent ``component``; a root is its own parent."""
+    while True:
+        via = tree.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        jumped = tree.join(via, "component").select("node", F.col("further").alias("component"), (F.col("component") != F.col("further")).alias("moved"))
+        jumped = settled(jumped, "labels")
+        tree = jumped.select("node", "component")
+        if jumped.where("moved").isEmpty():
+            return tree
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node reachable. ``links`` has ``a`` and ``b``, in either order, repeats allowed."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = settled(both.distinct(), "links")
-    touched = both.select(F.col("a").alias("node")).distinct()
-    labels = settled(touched.withColumn("component", F.col("node")), "labels")
-    while True:
-        of_b = labels.select(F.col("node").alias("b"), F.col("component").alias("seen"))
-        least = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
-        near = labels.join(least, "node").select("node", F.least("component", "seen").alias("component"))
-        via = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        short = near.join(via, "component").select("node", F.least("component", "further").alias("component"))
-        fresh = settled(short, "labels")
-        moved = fresh.join(labels.select("node", F.col("component").alias("old")), "node").where("component <> old")
-        labels_before, labels = labels, fresh
-        if moved.isEmpty():
-            break
-    rest = nodes.join(labels_before.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+    links = settled(_between(links), "links")
+    labels = None
+    while not links.isEmpty():
+        hooked = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+        least = links.select(F.col("b").alias("node")).distinct().join(hooked.select("node"), "node", "left_anti")
+        tree = _rooted(settled(hooked.unionByName(least.withColumn("component", F.col("node"))), "labels"))
+        to = [tree.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")) for end in "ab"]
+        links = links.join(to[0], "a").join(to[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+        links = settled(_between(links), "links")
+        if labels is None:
+            labels = tree
+        else:
+            of_root = tree.select(F.col("node").alias("component"), F.col("component").alias("further"))
+            labels = labels.join(of_root, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+            labels = settled(labels, "labels")
+    if labels is None:
+        return settled(nodes.select("node", F.col("node").alias("component")), "components")
+    rest = nodes.join(labels.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
     return settled(labels.unionByName(rest.select("node", "component")), "components")
+
+
+def sharing(members: DataFrame, group: list[str]) -> DataFrame:
+    """``node`` and ``component`` of nodes that are linked by a group they share; ``members`` has one row per node and group.
+
+    Each node is joined to the least node of one of its groups first. Only what is still apart in a group is linked then: a
+    node of a large cluster shares many groups, whose least nodes differ, and would have a link in each.
+    """
+    nodes = members.select("node").distinct()
+
+    def stars(state: DataFrame) -> DataFrame:
+        least = state.groupBy(*group).agg(F.min("component").alias("b"), F.max("component").alias("high")).where("b < high")
+        return state.join(least.drop("high"), group).where("component <> b").select(F.col("component").alias("a"), "b")
+
+    first = stars(members.withColumn("component", F.col("node"))).groupBy("a").agg(F.min("b").alias("b"))
+    labels = components(nodes, first)
+    open_ = stars(members.join(labels, "node"))
+    roots = components(labels.select(F.col("component").alias("node")).distinct(), open_)
+    roots = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    return labels.join(roots, "component").select("node", F.col("root").alias("component"))

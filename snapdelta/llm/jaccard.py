@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm import wordhash
-from snapdelta.llm.components import components
+from snapdelta.llm.components import components, sharing
 from snapdelta.llm.wordhash import shingle_set
 from snapdelta.session import settled
 
@@ -427,10 +427,7 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     apart = alone(sets, similarity)
     nodes = settled(sets.select("node").join(apart, "node", "left_anti"), "jaccard-nodes")
     posts = settled(_posts(sets, similarity).join(nodes, "node", "left_semi"), "jaccard-posts")
-    stars = posts.groupBy("signature").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = posts.join(stars.select("signature", "b"), "signature").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    regions = components(nodes, edges)
-    links = joined(sets, regions, similarity, leaf_rows)
+    links = joined(sets, sharing(posts, ["signature"]), similarity, leaf_rows)
     found = components(nodes, links)
     named = classes.select("node", "digest", "least_id").join(found, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
