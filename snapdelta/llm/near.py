@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm import jaccard, wordhash
-from snapdelta.llm.components import components
+from snapdelta.llm.components import components, sharing
 from snapdelta.llm.wordhash import shingle_set
 from snapdelta.session import settled
 
@@ -180,9 +180,7 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
     known = settled(numbers.join(labels, "component").select(F.col("number").alias("node"), "label"), "near-known")
     named = rest.select("band", "value", "node").join(numbers.select("node", "number"), "node")
     named = named.select("band", "value", F.col("number").alias("node")).join(left, "node", "left_semi").join(known, "node")
-    stars = named.groupBy("band", "value").agg(F.min("label").alias("b"))
-    edges = named.join(stars, ["band", "value"]).where("label <> b").select(F.col("label").alias("a"), "b").distinct()
-    parts = components(left.join(known, "node").select(F.col("label").alias("node")).distinct(), edges)
+    parts = sharing(named.select("band", "value", F.col("label").alias("node")).distinct(), ["band", "value"])
     regions = left.join(known, "node").join(parts.select(F.col("node").alias("label"), "component"), "label").select("node", "component")
     found = settled(jaccard.joined(whole, regions, similarity, jaccard.LEAF_ROWS, known), "near-links")
     ends = [numbers.select(F.col("number").alias(side), F.col("node").alias(f"of_{side}")) for side in "ab"]
@@ -215,7 +213,11 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     # Centres: the member that shares most buckets with most others, then members picked by a hash of round and id.
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     labels = settled(candidates.withColumn("component", F.col("node")), "near-labels")
-    links = None
+
+    def joined_by(links: DataFrame) -> DataFrame:
+        """The labels after some more links."""
+        return components(candidates, links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
     for star in range(STAR_ROUNDS):
         state = members.join(labels, "node")
         if star == 0:
@@ -227,11 +229,8 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             centre.alias("best"), F.min("component").alias("low"), F.max("component").alias("high")
         ).where("low <> high").select("band", "value", F.col("best.at.node").alias("a"), F.col("best.at.component").alias("of"))
         pairs = state.select("band", "value", F.col("node").alias("b"), "component").join(centres, ["band", "value"])
-        found = confirmed(pairs.where("component <> of").select("a", "b"), "near-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(candidates, links)
-    links = links.unionByName(_across(members, labels, sets, similarity))
-    labels = components(candidates, links)
+        labels = joined_by(confirmed(pairs.where("component <> of").select("a", "b"), "near-links"))
+    labels = joined_by(_across(members, labels, sets, similarity))
     found = classes.select("digest", "node").join(labels, "node", "left")
     found = found.select("digest", F.coalesce("component", "node").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
