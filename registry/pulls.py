@@ -86,7 +86,16 @@ def _cleaned(spark, d):
 # CSV directories
 
 
-def _orders_as_csv(spark, d, **options):
+def pieces(total, each):
+    """Number of parts of about ``each`` that ``total`` makes, at least one."""
+    return max(1, -(-total // each))
+
+
+# Orders in one written file at most: a file is read or sorted by one task.
+_FILE_ORDERS = 50_000
+
+
+def _orders_as_csv(spark, d, files=3, **options):
     """Two folders of order files whose headers differ in order and in columns."""
     base = scratch(spark, "csv")
     orders = table(spark, d, "orders").withColumn(
@@ -98,7 +107,7 @@ def _orders_as_csv(spark, d, **options):
     first = orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus", "Order Note/Text")
     second = orders.where("o_orderkey % 2 = 1").select("Order Note/Text", "o_orderkey")
     for name, frame in (("a", first), ("b", second)):
-        writer = frame.repartition(3, "o_orderkey").write.option("header", options.get("header", True))
+        writer = frame.repartition(files, "o_orderkey").write.option("header", options.get("header", True))
         writer.option("escape", '"').option("sep", ";").option("quoteAll", True).csv(f"{base}/{name}")
     return base
 
@@ -153,7 +162,7 @@ def csv_pull_no_header(spark, d):
 
 def csv_pull_file(spark, d):
     """Rows found again inside the one record of each file."""
-    base = _orders_as_csv(spark, d)
+    base = _orders_as_csv(spark, d, files=max(3, pieces(table(spark, d, "orders").count(), 2 * _FILE_ORDERS)))
     files = csv_pull(spark, base, "*/*.csv", CsvOptions(document_mode="file", delimiter=";"))
     rows = files.select(F.explode(F.from_json("file_rows_json", "array<map<string,string>>")).alias("r"))
     return rows.select(
