@@ -8,6 +8,7 @@ import uuid
 from collections import defaultdict
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ def pieces(total, each):
 
 
 # Orders in one written file at most: a file is read or sorted by one task.
-_FILE_ORDERS = 50_000
+_FILE_ORDERS, _FILE_LINES = 50_000, 500_000
 
 
 def _orders_as_csv(spark, d, files=3, **options):
@@ -112,8 +113,8 @@ def _orders_as_csv(spark, d, files=3, **options):
     return base
 
 
-def _orders_as_lines(spark, d, header):
-    """One file of orders: cells with quotes inside, quoted line breaks, short rows and blank lines."""
+def _orders_as_lines(spark, d, header, most=_FILE_LINES):
+    """Files of ``most`` orders or so, in the order of their keys: cells with quotes inside, quoted line breaks, short rows and blank lines."""
     base = scratch(spark, "csv")
     key = F.col("o_orderkey").cast("string")
     line = (
@@ -123,10 +124,17 @@ def _orders_as_lines(spark, d, header):
         .when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit('"'), key, F.lit('","",""')))
         .otherwise(F.concat(key, F.lit(",x,"), "o_orderpriority"))
     )
-    lines = table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), line.alias("value"))
-    if header:
-        lines = spark.range(1).select(F.lit(-1).cast("bigint").alias("n"), F.lit('id,"the\nnote",priority').alias("value")).unionByName(lines)
-    lines.coalesce(1).sortWithinPartitions("n").select("value").write.text(base)
+    orders, head = table(spark, d, "orders"), 'id,"the\nnote",priority'
+    lines, many = orders.select(F.col("o_orderkey").alias("n"), line.alias("value")), orders.count()
+    lines = lines.repartitionByRange(pieces(many, most), "n").sortWithinPartitions("n").select("value")
+
+    def headed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        yield from batches
+
+    if header:  # no rows may be no task
+        lines = lines.mapInArrow(headed, "value string") if many else spark.range(1).select(F.lit(head).alias("value"))
+    lines.write.text(base)
     return base
 
 
