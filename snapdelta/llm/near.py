@@ -7,7 +7,7 @@ fills bin r - COORDINATES from all elements, so no bin stays empty however small
 the similarity, with the concentration of independent samples.
 
 Equal sets are one class before anything is compared. Classes that share a band become candidates; each link between classes
-is confirmed on the full sets. Within a bucket classes are compared with a few centres first and joined into components;
+is confirmed on the full sets. Within a bucket classes are compared with one centre first and joined into components;
 afterwards only members of different components are left to compare, so a group of thousands of copies costs a star and not
 all its pairs. What is left is compared on full sets without any pair as a row: sets with too many shingles of their own are put
 aside first, which is exact, and the others meet in regions of bounded size (``jaccard.joined``), where pairs that are
@@ -35,7 +35,6 @@ WORDS = 4
 COORDINATES = 128
 ROWS = 4
 SIMILARITY = (80, 100)
-STAR_ROUNDS = 2
 # A pair with a centre is looked at early if its sketches agree in so many bins; what this passes over is looked at later.
 LEAST_EQUAL = 80
 
@@ -198,10 +197,11 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     hits = classes.select("node", F.posexplode("bands").alias("band", "value"))
     sizes = hits.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = settled(hits.join(sizes, ["band", "value"]), "near-members")
-    candidates = members.select("node").distinct()
+    # Written once: each time that they are found from the members anew costs a shuffle of those.
+    marks = settled(classes.select("node", "marks").join(members, "node", "left_semi"), "near-marks")
+    candidates = marks.select("node")
     texts = docs.select(F.col(id_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = settled(_sets(texts.join(candidates, "node", "left_semi"), words), "near-sets")
-    marks = settled(classes.join(candidates, "node", "left_semi").select("node", "marks"), "near-marks")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Distinct pairs, written once as links."""
@@ -210,27 +210,14 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
         with_marks = with_marks.join(marks.select(F.col("node").alias("b"), F.col("marks").alias("marks_b")), "b")
         return settled(_verified(_promising(with_marks.select("a", "b", "marks_a", "marks_b")), sets, similarity), name)
 
-    # Centres: the member that shares most buckets with most others, then members picked by a hash of round and id.
+    # Centre of a bucket: the member that shares most buckets with most others. What else it holds is left to the regions.
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    labels = settled(candidates.withColumn("component", F.col("node")), "near-labels")
-
-    def joined_by(links: DataFrame) -> DataFrame:
-        """The labels after some more links."""
-        return components(candidates, links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-    for star in range(STAR_ROUNDS):
-        state = members.join(labels, "node")
-        if star == 0:
-            state = state.join(weight, "node").withColumn("rank", F.col("weight"))
-        else:
-            state = state.withColumn("rank", F.xxhash64(F.lit(star), "band", "node"))
-        centre = F.max(F.struct("rank", F.struct("node", "component").alias("at")))
-        centres = state.groupBy("band", "value").agg(
-            centre.alias("best"), F.min("component").alias("low"), F.max("component").alias("high")
-        ).where("low <> high").select("band", "value", F.col("best.at.node").alias("a"), F.col("best.at.component").alias("of"))
-        pairs = state.select("band", "value", F.col("node").alias("b"), "component").join(centres, ["band", "value"])
-        labels = joined_by(confirmed(pairs.where("component <> of").select("a", "b"), "near-links"))
-    labels = joined_by(_across(members, labels, sets, similarity))
+    weighed = members.select("band", "value", "node").join(weight, "node")
+    centres = weighed.groupBy("band", "value").agg(F.max(F.struct("weight", "node")).alias("best"))
+    pairs = weighed.select("band", "value", F.col("node").alias("b")).join(centres.select("band", "value", F.col("best.node").alias("a")), ["band", "value"])
+    labels = components(candidates, confirmed(pairs.select("a", "b"), "near-links"))
+    more = _across(members, labels, sets, similarity)
+    labels = components(candidates, more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     found = classes.select("digest", "node").join(labels, "node", "left")
     found = found.select("digest", F.coalesce("component", "node").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
