@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapdelta.functions.text import index_id
+from snapdelta.operators.envelope import index_envelope
 from snapdelta.operators.normalize import DOC_SCHEMA
 from snapdelta.operators.ranges import numbered
-from snapdelta.operators.state import STATE_SCHEMA, apply_delta, fold_run_state
+from snapdelta.operators.state import STATE_SCHEMA, fold_run_state
 from snapdelta.plans.buckets import Digest, bucket_count, digests, read_buckets, write_buckets
 from snapdelta.plans.files import Files
 
@@ -273,9 +274,23 @@ class Store:
             return self.spark.createDataFrame([], TARGET_SCHEMA)
         return self.spark.read.schema(TARGET_SCHEMA).parquet(*paths)
 
-    def _target_changes(self, at: Commit) -> DataFrame:
+    def _target_ids(self, at: Commit) -> DataFrame:
+        """Index ids that the deltas touch, with the last ``op`` of each document; content is not read."""
+        return self._folded(at.target_deltas, []).select(index_id(F.col("doc_id")).alias("id"), "op")
+
+    def _applied(self, base: DataFrame, at: Commit) -> DataFrame:
+        """The index table after its deltas, as ``apply_delta`` leaves it; only the fold moves content.
+
+        Folded changes hold each document once, so an upsert stands against a delete only where the index ids of two
+        documents are the same by chance. Those few ids are sent to all tasks; content would be shuffled again to meet them.
+        """
         fields = ["title", "content", "uri", "mime_type", "updated_at", "acl_users", "acl_groups", "metadata", "checksum"]
-        return self._folded(at.target_deltas, fields)
+        ids = self._target_ids(at)
+        gone = ids.where("op = 'DELETE'").select("id")
+        clash = ids.where("op <> 'DELETE'").select("id").join(gone, "id", "left_semi").distinct()
+        incoming = index_envelope(self._folded(at.target_deltas, fields).where("op <> 'DELETE'"))
+        added = incoming.join(F.broadcast(clash), "id", "left_anti")
+        return base.join(ids.select("id"), "id", "left_anti").unionByName(added)
 
     def target(self, connector_id: str, at: Commit | None = None) -> DataFrame:
         """The index table: one envelope per live document."""
@@ -283,8 +298,7 @@ class Store:
         base = self._target_base(at)
         if not at.target_deltas:
             return base
-        changes = self._target_changes(at)
-        return apply_delta(base, changes.where("op <> 'DELETE'"), changes.where("op = 'DELETE'"))
+        return self._applied(base, at)
 
     def compact(self, connector_id: str, state: bool = True, target: bool = False) -> Commit:
         """Fold deltas into the base tables and commit; of the target only the parts are written anew that deltas touch."""
@@ -315,11 +329,9 @@ class Store:
             rows = self.target(at.connector_id, at)
             touched = None
         else:
-            changes = self._target_changes(at)
-            ids = changes.select(self.part_of(parts, index_id(F.col("doc_id"))).alias("part")).distinct()
+            ids = self._target_ids(at).select(self.part_of(parts, F.col("id")).alias("part")).distinct()
             touched = {row["part"] for row in ids.collect()}
-            base = self._target_base(at, touched)
-            rows = apply_delta(base, changes.where("op <> 'DELETE'"), changes.where("op = 'DELETE'"))
+            rows = self._applied(self._target_base(at, touched), at)
         dealt = rows.withColumn("part", self.part_of(parts, F.col("id"))).repartition("part")
         dealt.write.mode("overwrite").partitionBy("part").parquet(place)
         written = {name.removeprefix("part="): f"{place}/{name}" for name in self.files.names(place) if name.startswith("part=")}

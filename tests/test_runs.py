@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
@@ -256,6 +257,18 @@ def test_many_runs_leave_the_state_of_one_by_one(spark, folder, policy):
             assert store.digests_at(store.head("crew")) is not None
 
 
+def test_content_of_deltas_is_read_once_for_the_index(spark, folder):
+    """Deletes and the ids that a delta touches are found without the content."""
+    store, spec = Store(spark, folder), connector(folder)
+    people(spark, *[(i, f"n{i}", "x", "2025-08-01") for i in range(6)])
+    run(store, spec, "r1")
+    people(spark, *[(i, f"n{i}", "y" if i == 2 else "x", "2025-08-01") for i in range(2, 8)])
+    run(store, spec, "r2")
+    target = store.target("crew")
+    assert len(re.findall(r"FileScan parquet \[[^]]*content#", target._jdf.queryExecution().executedPlan().toString())) == 2
+    assert sorted(json.loads(r["struct_data"])["doc_id"] for r in target.collect()) == [f"crew:{i}" for i in range(2, 8)]
+
+
 def test_compaction_writes_the_touched_parts_of_the_index(spark, folder):
     store, spec = Store(spark, folder, part_bytes=4_000), connector(folder)
     people(spark, *[(n, f"P{n}", "x" * 50, "2025-08-01") for n in range(500)])
