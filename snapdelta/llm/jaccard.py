@@ -163,8 +163,8 @@ def _posts(sets: DataFrame, similarity) -> DataFrame:
     return sets.select("node", "elements").mapInArrow(run, "node bigint, signature bigint")
 
 
-def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``text_hash`` may be among the wanted ones: a filter of bounded size, sent to the scan, so that other texts are not moved."""
+def chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose second column, a hash, may be the ``__hash`` of a wanted one: a filter of bounded size, sent to the scan, so that other texts are not moved."""
     bits = min(MOST_BITS, max(64, FILTER_BITS * wanted.count()) // 64 * 64)
     slot = F.pmod("__hash", F.lit(bits))
     words = wanted.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(__hash, {bits}) % 64 as int))").alias("bit"))
@@ -421,7 +421,7 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     classes = settled(classes, "jaccard-classes")
     wanted = classes.select("node", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    texts = _chosen(contents, wanted).hint("merge").join(wanted, same)
+    texts = chosen(contents, wanted).hint("merge").join(wanted, same)
     texts = texts.dropDuplicates(["doc_id", "text_hash"])
     sets = settled(_sets(texts, words), "jaccard-sets")
     apart = alone(sets, similarity)

@@ -105,6 +105,15 @@ def sketched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>, marks binary")
 
 
+def _texts_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node`` and ``text`` of the rows with an id among ``nodes``. Most others are left out where they are read, so texts of documents
+    without a candidate are not moved; the join then says which of the rest belong, in the same way however few nodes there are.
+    """
+    texts = docs.select(F.col(id_col).alias("node"), F.xxhash64(id_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = jaccard.chosen(texts, nodes.select("node", F.xxhash64("node").alias("__hash")))
+    return chosen.hint("merge").join(nodes, "node", "left_semi").select("node", "text")
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     """``node`` and its shingle set as bytes, from ``node`` and ``text``."""
     kind = texts.schema["node"].dataType.simpleString()
@@ -200,8 +209,7 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     # Written once: each time that they are found from the members anew costs a shuffle of those.
     marks = settled(classes.select("node", "marks").join(members, "node", "left_semi"), "near-marks")
     candidates = marks.select("node")
-    texts = docs.select(F.col(id_col).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = settled(_sets(texts.join(candidates, "node", "left_semi"), words), "near-sets")
+    sets = settled(_sets(_texts_of(docs, candidates, id_col, text_col), words), "near-sets")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Distinct pairs, written once as links."""

@@ -184,3 +184,17 @@ def test_a_repeated_id_without_any_link(frame):
     texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "ab"]
     rows = [(1, texts[0]), (1, texts[1]), (2, texts[0][:40] + " other words that differ here"), (3, "lone words of its own")]
     assert sorted((r.doc_id, r.component_id) for r in near.clustered(frame(rows)).collect()) == [(1, 1), (1, 1), (2, 2), (3, 3)]
+
+
+def test_texts_without_a_candidate_are_not_moved(frame, monkeypatch):
+    """Of texts alike in nothing few pass the filter at the scan, and the way of the others does not change with their number."""
+    passed, plans = [], []
+    monkeypatch.setattr(jaccard, "chosen", lambda rows, wanted, own=jaccard.chosen: passed.append(own(rows, wanted)) or passed[-1])
+    monkeypatch.setattr(near, "_sets", lambda texts, words, own=near._sets: plans.append(texts._jdf.queryExecution().toString()) or own(texts, words))
+    rows = [(i, " ".join(f"t{i}w{k}" for k in range(20))) for i in range(600)]
+    rows += [(None, "t5w1 t5w2"), *((1_000 + i, text) for i, text in rows[:3]), *((2_000 + i, text + " more") for i, text in rows[:3])]
+    found = {r.doc_id: r.component_id for r in near.clustered(frame(rows)).collect() if r.doc_id is not None}
+    assert found == {i: i % 1_000 if i % 1_000 < 3 else i for i, _ in rows if i is not None}
+    assert {0, 1, 2, 2_000, 2_001, 2_002} <= {r.node for r in passed[0].collect()}
+    assert passed[0].count() < 120
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
