@@ -2,7 +2,8 @@
 
 The stream keeps one value per idempotency key in keyed state: the hash of the request that took the key, and the stream and
 micro-batch where its answer lies. A micro-batch looks up the keys it holds and no others, however many were used before. The
-state belongs to the checkpoint and moves on with it, so a repeated micro-batch finds the state as it was.
+state belongs to the checkpoint and moves on with it, so a repeated micro-batch finds the state as it was. It is the state of an
+aggregation, which Spark keeps without a call into Python per key; a key whose requests were all unsound has an empty value in it.
 
 Requests go through the state as claims: of each part of a micro-batch the first acceptable request per key, without bodies, so
 a key that holds a third of all requests is a few narrow rows there. Requests and the claims' answers come out of one
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from snapdelta.operators.gates import flag_rejects, validate_documents
 from snapdelta.operators.normalize import DOC_COLUMNS
@@ -42,12 +43,16 @@ _BATCH_NUMBER = "streaming.sql.batchId"
 
 # Stands for a time that is absent; it comes before all others.
 _NO_TIME = -(2**63)
-_CLAIM = "key string, at bigint, request_id string, request_hash string"
-_ANSWER = "key string, known_hash string, known_stream string, known_batch bigint, at bigint, first_id string, first_hash string"
+# The turn of keys that were taken before the stream began; micro-batches count from 0.
+_BEFORE = -1
+_CLAIM = "key string, at bigint, request_id string, request_hash string, turn bigint"
+_EARLIER = "key string, request_hash string, stream string, batch_id bigint"
 
 
 def _claims(parsed: DataFrame) -> DataFrame:
-    """Of each batch of rows, per key the first request that may take it; a key without one keeps a row with a null hash."""
+    """Of each batch of rows, per key the first request that may take it, with the number of the micro-batch as ``turn``; a key
+    without such a request keeps a row with a null hash.
+    """
     rows = parsed.where("key <> ''").select(
         "key",
         F.coalesce(F.unix_micros("received_at"), F.lit(_NO_TIME)).alias("at"),
@@ -56,6 +61,7 @@ def _claims(parsed: DataFrame) -> DataFrame:
     )
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = int(TaskContext.get().getLocalProperty(_BATCH_NUMBER))
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table.append_column("bad", pc.is_null(table["request_hash"]))
@@ -64,41 +70,29 @@ def _claims(parsed: DataFrame) -> DataFrame:
             if table.num_rows:
                 key = table["key"].chunk(0)
                 starts = pa.concat_arrays([pa.array([True]), pc.not_equal(key[1:], key[:-1])])
-                yield from table.filter(starts).select(batch.schema.names).to_batches()
+                table = table.filter(starts).select(batch.schema.names)
+                yield from table.append_column("turn", pa.repeat(pa.scalar(turn, pa.int64()), table.num_rows)).to_batches()
 
     return rows.mapInArrow(first, _CLAIM)
 
 
-class FirstUse(StatefulProcessor):
-    """One value per key: who has taken it."""
-
-    def __init__(self, stream: str):
-        self._stream = stream
-
-    def init(self, handle) -> None:
-        self._use = handle.getValueState("use", "request_hash string, stream string, batch_id bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
-        known = self._use.get() if self._use.exists() else (None, None, None)
-        first = (None, None, None)
-        for part in rows:
-            good = part[part["request_hash"].notna()]
-            for row in zip(good["at"], good["request_id"], good["request_hash"]):
-                if first[2] is None or row[:2] < first[:2]:
-                    first = row
-        if known[0] is None and first[2] is not None:
-            self._use.update((first[2], self._stream, int(TaskContext.get().getLocalProperty(_BATCH_NUMBER))))
-        names = [part.split()[0] for part in _ANSWER.split(", ")]
-        yield pd.DataFrame([(key[0], *known, *first)], columns=names).astype({"known_batch": "Int64", "at": "Int64"})
-
-    def handleInitialState(self, key, initialState, timerValues) -> None:
-        row = initialState.iloc[0]
-        self._use.update((row["request_hash"], row["stream"], int(row["batch_id"])))
+def _answers(claims: DataFrame, earlier: DataFrame, stream: str) -> DataFrame:
+    """One row per key that a micro-batch asks for: who had taken it before, or else its first claim here.
 
-    def close(self) -> None:
-        pass
+    An aggregation is the keyed state: of each key its first claim ever, as turns come in order, and the last turn that asked for it.
+    """
+    asking = claims.select("*", F.lit(stream).alias("stream"), F.col("turn").alias("batch_id"))
+    before = earlier.select("key", F.lit(_NO_TIME).alias("at"), F.lit("").alias("request_id"), "request_hash", F.lit(_BEFORE).cast("bigint").alias("turn"), "stream", "batch_id")
+    use = F.struct("turn", "at", "request_id", "request_hash", "stream", "batch_id")
+    found = asking.unionByName(before).groupBy("key").agg(
+        F.min(F.when(F.col("request_hash").isNotNull(), use)).alias("use"), F.max("turn").alias("asked")
+    )
+    known = F.col("use.turn") < F.col("asked")
+    return found.where(F.col("asked") > _BEFORE).select(
+        "key",
+        *[F.when(known, F.col(f"use.{name}")).alias(to) for name, to in (("request_hash", "known_hash"), ("stream", "known_stream"), ("batch_id", "known_batch"))],
+        *[F.when(~known, F.col(f"use.{name}")).alias(to) for name, to in (("at", "at"), ("request_id", "first_id"), ("request_hash", "first_hash"))],
+    )
 
 
 def _take_in(store: Store, requests: DataFrame, taken: DataFrame, answers: DataFrame, part: str, staged: str) -> None:
@@ -172,12 +166,11 @@ def intake_batch(
     _take_in(store, requests, taken, known, part, staged)
 
 
-def _with_answers(requests: DataFrame, stream: str, keys: DataFrame, catalog: DataFrame | None) -> DataFrame:
+def _with_answers(requests: DataFrame, stream: str, earlier: DataFrame, catalog: DataFrame | None) -> DataFrame:
     """The stream's requests, and one row per key of a micro-batch with what the state knows of it and its first claim."""
     parsed = parse_requests(requests)
     claims = _claims(parsed if catalog is None else check_targets(parsed, catalog))
-    before = keys.select("key", "request_hash", "stream", "batch_id").groupBy("key")
-    answers = claims.groupBy("key").transformWithStateInPandas(FirstUse(stream), _ANSWER, "Append", "None", before)
+    answers = _answers(claims, earlier, stream)
     return requests.withColumn("kind", F.lit("request")).unionByName(answers.withColumn("kind", F.lit("answer")), allowMissingColumns=True)
 
 
@@ -201,9 +194,15 @@ def _stateful_batch(store: Store, frame: DataFrame, number: int, stream: str, ca
     _take_in(store, requests, taken, told, part, staged)
 
 
-def _begun(store: Store, checkpoint: str) -> bool:
-    """Whether the checkpoint has a finished micro-batch, and so a state."""
-    return bool([name for name in store.files.names(f"{checkpoint}/commits") if name.isdigit()])
+def _earlier_keys(store: Store, checkpoint: str) -> DataFrame:
+    """The keys that the store had when the stream began, as a stream that ends with its first micro-batch.
+
+    They are written beside the checkpoint once, before anything is taken in, so a first micro-batch that is repeated finds the same.
+    """
+    path = f"{checkpoint}/earlier_keys"
+    if not store.files.exists(f"{path}/_SUCCESS"):
+        store.keys().select("key", "request_hash", "stream", "batch_id").write.mode("overwrite").parquet(path)
+    return store.spark.readStream.schema(_EARLIER).parquet(path)
 
 
 def intake_stream(
@@ -216,8 +215,7 @@ def intake_stream(
     streams accept later it does not see, so a store has one stream at a time.
     """
     name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    keys = store.keys()
-    frame = _with_answers(requests, name, keys.where("false") if _begun(store, checkpoint) else keys, catalog)
+    frame = _with_answers(requests, name, _earlier_keys(store, checkpoint), catalog)
     writer = frame.writeStream.foreachBatch(lambda batch, number: _stateful_batch(store, batch, number, name, catalog))
     with setting(store.spark, _PROVIDER, _ROCKSDB):
-        return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        return writer.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

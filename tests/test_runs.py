@@ -609,3 +609,28 @@ def test_spec_text():
         assert old in SPEC
         with pytest.raises(SpecError):
             connector_from_text(SPEC.replace(old, new))
+
+
+def test_keys_of_a_stream_are_kept_without_work_in_python(spark, tmp_path):
+    """Keys taken before the stream, in an earlier turn and in the same one, and keys whose requests were all unsound so far."""
+    store, landing = Store(spark, str(tmp_path / "store")), str(tmp_path / "in")
+    one, two = body({"doc_id": "a", "content": "1"}), body({"doc_id": "a", "content": "2"})
+    intake_batch(store, push(spark, ("p1", "before", 0, one), ("p2", "unasked", 0, one)), 0)
+    turns = [
+        [("a1", "before", 1, one, "replay"), ("a2", "before", 1, two, "conflict"), ("a3", "bad", 1, "oops", "invalid"), ("a4", "new", 2, two, "conflict"), ("a5", "new", 1, one, "original"), ("a6", "new", 0, "oops", "invalid"), ("a7", "", 1, one, "no_key")],
+        [("b1", "new", 0, one, "replay"), ("b2", "bad", 0, two, "original"), ("b3", "bad", 1, one, "conflict"), ("b4", "before", 0, "oops", "conflict")],
+        [("c1", "unasked", 5, one, "replay"), ("c2", "bad", 0, two, "replay"), ("c3", "new", 0, two, "conflict"), ("c4", "unasked", 5, two, "conflict")],
+    ]
+    for turn in turns:
+        push(spark, *[row[:4] for row in turn]).coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(landing)
+        query = intake_stream(store, stream, str(tmp_path / "progress"))
+        query.awaitTermination()
+        assert [found["operatorName"] for found in query.lastProgress["stateOperators"]] == ["stateStoreSave"]
+        # The last progress that moved the state tells how many keys it holds.
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    answers = spark.read.parquet(f"{store.root}/push/responses").where("batch_id >= 0 AND request_id NOT LIKE 'p%'")
+    assert ids(answers, "request_id", "outcome") == sorted((row[0], row[4]) for turn in turns for row in turn)
+    told = {row["key"]: row["response_json"] for row in store.keys().collect()}
+    assert sorted(told) == ["bad", "before", "new", "unasked"]
+    assert all(row["response_json"] == told[row["key"]] for row in answers.where("outcome IN ('original', 'replay')").collect())
