@@ -7,7 +7,8 @@ a segment of at most 176 bytes. Documents are dealt into blocks of bounded size,
 1. a block sends its distinct anchor hashes; those that two blocks hold are answered (an anchor within one block counts too);
 2. a block sends its distinct segments that have a repeated anchor, each with its first position;
 3. where these meet, equal segments become one with the earliest position, and a run-length index (``runindex``) over the
-   segments of shared anchors streams matching statistics and tells which windows occur in no earlier segment;
+   segments of shared anchors streams matching statistics and tells which windows occur in no earlier segment; windows whose
+   own hash comes only once stay and are not indexed;
 4. a block gets the windows that stay for the segments it owns; all other windows with a repeated anchor are repeats.
 
 Texts are compared as bytes throughout; hashes only bring candidates together. A passage that is frequent costs a block one entry,
@@ -52,14 +53,42 @@ def _names(hashes: np.ndarray) -> np.ndarray:
     return wordhash.mix(hashes)
 
 
+def _hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` bytes from each position on, by doubling."""
+    part, size, out, have = _BYTE[data], 1, None, 0
+    while True:
+        if width & size:
+            # The part goes in front of what is there already.
+            out = part if out is None else part[: len(data) - have - size + 1] * _power(have) + out[size:]
+            have += size
+        if have == width:
+            return wordhash.mix(out)
+        part = part[:-size] * _power(size) + part[size:]
+        size *= 2
+
+
 def _anchor_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the 24 bytes from each position on, by doubling."""
-    one = _BYTE[data]
-    two = one[:-1] * _power(1) + one[1:]
-    four = two[:-2] * _power(2) + two[2:]
-    eight = four[:-4] * _power(4) + four[4:]
-    sixteen = eight[:-8] * _power(8) + eight[8:]
-    return wordhash.mix(sixteen[:-8] * _power(8) + eight[16:])
+    return _hashes(data, ANCHOR)
+
+
+def _again(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of segments given end to end, the first window and the end of windows whose hash comes again in any; none: end 0.
+
+    A window outside of these has no equal one, so it need not be indexed.
+    """
+    hashes = _hashes(data, length)
+    windows = sizes - length + 1
+    item = np.repeat(np.arange(len(sizes)), windows)
+    place = np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+    hashes = hashes[begins[item] + place]
+    ranked = np.sort(hashes)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    first, end = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    if len(twice):
+        again = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes)
+        first[item[again[::-1]]] = place[again[::-1]]
+        end[item[again]] = place[again] + 1
+    return first, end
 
 
 def segments(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,13 +194,13 @@ def _repeated(block: Block, answers: pa.Table) -> np.ndarray:
     if len(ranked):
         twice[1:] = ranked[1:] == ranked[:-1]
         twice[:-1] |= twice[1:]
+    # One search among the answers of all buckets: one per bucket would make a block's work grow with the corpus.
+    packs = [np.frombuffer(x.as_py(), np.uint64) for x in answers.column("keys") if x.is_valid]
+    if packs:
+        asked = np.sort(np.concatenate(packs))
+        twice |= asked[np.minimum(np.searchsorted(asked, ranked), len(asked) - 1)] == ranked
     out = np.empty(len(ranked), bool)
     out[order] = twice
-    for pack in answers.column("keys"):
-        if pack.is_valid:
-            asked = np.frombuffer(pack.as_py(), np.uint64)  # sorted, as it was sent
-            place = np.minimum(np.searchsorted(asked, block.anchor), len(asked) - 1)
-            out |= asked[place] == block.anchor
     return out
 
 
@@ -261,13 +290,20 @@ def _stay(table: pa.Table, length: int, index_bytes: int) -> pa.Table:
     def index(parts: list[list[tuple[int, int, int]]]) -> None:
         """Several groups in one index; windows of different groups are never equal."""
         items = [item for part in parts for item in part]
-        data = b"".join(texts[t][s : e - 1 + length] for t, s, e in items)
-        held = RunIndex(np.frombuffer(data, np.uint8), np.array([e - 1 + length - s for _, s, e in items], np.int64))
+        data = np.frombuffer(b"".join(texts[t][s : e - 1 + length] for t, s, e in items), np.uint8)
+        owner, begin, end = np.array(items, np.int64).T
+        whole = end - begin - 1 + length
+        starts = np.cumsum(whole) - whole
+        skip, end = _again(data, starts, whole, length)
+        some = np.flatnonzero(end)
+        if not len(some):
+            return
+        owner, begin, starts, lengths = owner[some], begin[some] + skip[some], starts[some] + skip[some], (end - skip)[some] - 1 + length
+        held = RunIndex(data[np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)], lengths)
         at, first = held.first_occurrences(length)
         item = np.searchsorted(held.begins, at, "right") - 1
-        owner, begin = (np.array([x[k] for x in items])[item] for k in (0, 1))
         gone = ~first
-        stay[owner[gone], (begin + at - held.begins[item])[gone]] = False
+        stay[owner[item[gone]], (begin[item] + at - held.begins[item])[gone]] = False
 
     pending, waiting = [], 0
 

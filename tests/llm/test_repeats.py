@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,3 +109,38 @@ def test_anchors_are_dealt_evenly_over_the_buckets():
     _, _, anchor = repeats.segments(data, np.array([0, len(data)]))
     sizes = np.diff(repeats._buckets(np.unique(anchor), 16))
     assert len(sizes) == 16 and sizes.max() <= 2 * sizes.mean()
+
+
+def test_a_block_searches_its_answers_once_however_many_buckets_there_are(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(100, 900))) for _ in range(30)]
+    table = pa.table({"doc_id": pa.array(range(30), pa.int64()), "tie": pa.array(range(30), pa.int64()), "text": texts})
+    block = repeats.Block(table, 100)
+    keys, times = np.unique(block.anchor, return_counts=True)
+    asked, searched, search = keys[::3], [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: searched.append(np.size(v)) or search(a, v, *more, **named))
+
+    def cost(buckets):
+        at = repeats._buckets(asked, buckets)
+        packs = [asked[a:b].tobytes() for a, b in zip(at[:-1], at[1:]) if a < b] + [None]
+        answers = pa.table([pa.array([0] * len(packs), pa.int32()), pa.array(packs[::-1], pa.binary())], ["block", "keys"])
+        searched.clear()
+        found = repeats._repeated(block, answers)
+        assert found.tolist() == np.isin(block.anchor, np.union1d(asked, keys[times > 1])).tolist()
+        return sum(searched)
+
+    assert cost(400) == cost(1) <= len(block.anchor)
+
+
+def test_only_windows_whose_hash_comes_again_are_indexed():
+    rng = random.Random(8)
+    shared = bytes(rng.choice(b"abc") for _ in range(130))
+    texts = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 30))) + shared[rng.randint(0, 40) : rng.randint(90, 130)] for _ in range(12)]
+    texts = [t for t in texts if len(t) >= 60] + [b"x" * 60, b"y" * 64, b"z" + shared[5:66]]
+    windows = [[t[i : i + 60] for i in range(len(t) - 59)] for t in texts]
+    every = [w for of in windows for w in of]
+    again = [[i for i, w in enumerate(of) if every.count(w) > 1] for of in windows]
+    sizes = np.array([len(t) for t in texts])
+    first, end = repeats._again(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes, 60)
+    assert any(again) and not all(again)
+    assert list(zip(first.tolist(), end.tolist())) == [(a[0], a[-1] + 1) if a else (0, 0) for a in again]
