@@ -412,7 +412,8 @@ def _removes(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     for k, members in enumerate(block.rows_of):
         begin, end = int(at[k]), int(at[k + 1])
         a, b = np.searchsorted(closes, begin, "right"), np.searchsorted(opens, end, "left")
-        mine = [(max(int(opens[j]), begin) - begin, min(int(closes[j]), end) - begin) for j in range(a, b)]
+        # A run may go on from text to text; an empty text amid it has no part of it.
+        mine = [(max(int(opens[j]), begin) - begin, min(int(closes[j]), end) - begin) for j in range(a, b)] if begin < end else []
         parts, from_ = [], 0
         for x, y in mine:
             parts.append(raw[begin + from_ : begin + x])

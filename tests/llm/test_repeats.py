@@ -144,3 +144,10 @@ def test_only_windows_whose_hash_comes_again_are_indexed():
     first, end = repeats._again(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes, 60)
     assert any(again) and not all(again)
     assert list(zip(first.tolist(), end.tolist())) == [(a[0], a[-1] + 1) if a else (0, 0) for a in again]
+
+
+def test_an_empty_text_between_removed_ones_has_no_span(frame):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = list(enumerate([text, "q" + text, "", text[:250], None, text[10:]]))
+    assert answers(repeats.deduplicated(frame(rows))) == brute(rows)
