@@ -2,7 +2,7 @@
 
 Every string of ``length`` bytes (a window) has an anchor: the leftmost of its least hashed 24-byte substrings. Equal windows
 have equal anchors, so windows are grouped by anchor without comparing all with all: consecutive windows with one anchor are
-a segment of at most 176 bytes. Documents are dealt into blocks of bounded size, and
+a segment of at most 176 bytes. Documents are dealt into blocks of bounded size by their text, those of a frequent text by id too, and
 
 1. a block sends its distinct anchor hashes; those that two blocks hold are answered (an anchor within one block counts too);
 2. a block sends its distinct segments that have a repeated anchor, each with its first position;
@@ -12,7 +12,7 @@ a segment of at most 176 bytes. Documents are dealt into blocks of bounded size,
 4. a block gets the windows that stay for the segments it owns; all other windows with a repeated anchor are repeats.
 
 Texts are compared as bytes throughout; hashes only bring candidates together. A passage that is frequent costs a block one entry,
-and meets once per block, not once per copy.
+and meets once per block, not once per copy. Of equal texts in a block all but the first are repeats as a whole and have no segments.
 
 Order is by ``doc_id`` (nulls first), then a hash of the text for rows that share an id, then the start. Defined results: a null
 text is empty; texts shorter than ``length`` lose nothing; rows that agree in id and text are one document and get equal results.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapdelta.llm import wordhash
-from snapdelta.llm.common import pieces, text_bytes
+from snapdelta.llm.common import pieces
 from snapdelta.llm.lm import _buckets
 from snapdelta.llm.runindex import RunIndex
 
@@ -135,24 +135,38 @@ def _anchor_place(text: bytes, anchor: np.uint64) -> int:
 
 
 class Block:
-    """A block's distinct documents in order, as bytes end to end, and their segments."""
+    """A block's distinct texts in the order of their first documents, as bytes end to end, and their segments.
+
+    Later documents with the same text, ``copies_of`` by id, are repeats as a whole.
+    """
 
     def __init__(self, table: pa.Table, length: int):
         ids = table.column("doc_id").to_pylist()
         ties = table.column("tie").to_pylist()
         least = min((i for i in ids if i is not None), default=0)
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, least if ids[i] is None else ids[i], ties[i]))
-        self.rows_of: list[list[int]] = []
-        distinct = []
+        texts = table.column("text").combine_chunks()
+        data, at = wordhash.texts_of(texts)
+        self.rows_of: list[list] = []
+        self.copies_of: list[list] = []
+        distinct, of_tie, before, into = [], {}, None, []
         for i in order:
-            if distinct and (ids[distinct[-1]], ties[distinct[-1]]) == (ids[i], ties[i]):
-                self.rows_of[-1].append(i)
-            else:
-                distinct.append(i)
-                self.rows_of.append([i])
+            if before != (ids[i], ties[i]):
+                before = ids[i], ties[i]
+                alike = of_tie.setdefault(ties[i], [])
+                text = data[at[i] : at[i + 1]]
+                k = next((k for k in alike if np.array_equal(text, data[at[distinct[k]] : at[distinct[k] + 1]])), None)
+                if k is None:
+                    alike.append(len(distinct))
+                    distinct.append(i)
+                    self.rows_of.append([])
+                    self.copies_of.append([])
+                    into = self.rows_of[-1]
+                else:
+                    into = self.copies_of[k]
+            into.append(ids[i])
         self.ids, self.ties = [ids[i] for i in distinct], [ties[i] for i in distinct]
-        texts = table.column("text").combine_chunks().take(pa.array(distinct, pa.int64()))
-        self.data, self.at = wordhash.texts_of(texts)
+        self.data, self.at = wordhash.texts_of(texts.take(pa.array(distinct, pa.int64())))
         self.first, self.last, self.anchor = segments(self.data, self.at, length)
 
 
@@ -409,7 +423,7 @@ def _removes(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     opens, closes = np.flatnonzero(edges > 0), np.flatnonzero(edges < 0)
     del edges
     raw = block.data.tobytes()
-    for k, members in enumerate(block.rows_of):
+    for k in range(len(block.ids)):
         begin, end = int(at[k]), int(at[k + 1])
         a, b = np.searchsorted(closes, begin, "right"), np.searchsorted(opens, end, "left")
         # A run may go on from text to text; an empty text amid it has no part of it.
@@ -419,11 +433,15 @@ def _removes(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
             parts.append(raw[begin + from_ : begin + x])
             from_ = y
         parts.append(raw[begin + from_ : end])
-        for _ in members:
-            ids.append(block.ids[k])
-            spans.append([{"start": x, "end": y} for x, y in mine])
-            kept_bytes.append(b"".join(parts))
-            sizes.append(end - begin)
+        whole = end - begin >= length
+        for members, gone, left in (
+            (block.rows_of[k], [{"start": x, "end": y} for x, y in mine], b"".join(parts)),
+            (block.copies_of[k], [{"start": 0, "end": end - begin}] if whole else [], b"" if whole else raw[begin:end]),
+        ):
+            ids.extend(members)
+            spans.extend([gone] * len(members))
+            kept_bytes.extend([left] * len(members))
+            sizes.extend([end - begin] * len(members))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     return pa.table(
         [pa.array(ids, table.schema.field("doc_id").type), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept_bytes, pa.binary())],
@@ -431,6 +449,15 @@ def _removes(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     )
 
 
+def _sizes(rows: DataFrame, most: int) -> tuple[int, list[int]]:
+    """Bytes of all texts, and the hashes of texts whose copies have more than ``most`` bytes in all, each row counted with 64 more."""
+    size = F.octet_length("text").cast("bigint")
+    texts = rows.groupBy("tie").agg(F.sum(size).alias("size"), F.count("*").alias("copies"))
+    heavy = (F.col("copies") > 1) & (F.col("size") + 64 * F.col("copies") > most)
+    total, frequent = texts.agg(F.sum("size"), F.collect_list(F.when(heavy, F.col("tie")))).first()
+    return int(total or 0), frequent
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block_bytes=BLOCK_BYTES, bucket_bytes=BUCKET_BYTES, index_bytes=INDEX_BYTES) -> DataFrame:
     """``doc_id``, ``n_bytes``, removed ``spans`` (start, end in bytes) and the ``kept`` bytes of every row.
 
@@ -441,11 +468,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    size = text_bytes(rows)
+    size, frequent = _sizes(rows, block_bytes // 16)
     blocks, buckets = pieces(size, block_bytes), pieces(size, bucket_bytes)
-    number = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(blocks)).cast("int")
+    spread = F.lit(None).cast("bigint")
+    if frequent:
+        held = docs.sparkSession.createDataFrame([(tie, True) for tie in frequent], "tie bigint, frequent boolean")
+        rows = rows.join(F.broadcast(held), "tie", "left")
+        spread = F.when(F.col("frequent"), F.col("doc_id"))
+    # Copies of a text meet in one block, and none but the first has segments; those of a frequent text go to all blocks.
+    number = F.pmod(F.xxhash64(spread, "tie"), F.lit(blocks)).cast("int")
     # All uses of the dealt texts have one plan, so Spark writes this shuffle once.
-    dealt = rows.withColumn("block", number).repartition(max(2, blocks), "block")
+    dealt = rows.select("doc_id", "tie", "text", number.alias("block")).repartition(max(2, blocks), "block")
     asks = dealt.groupBy("block").applyInArrow(lambda t: _asks(t, buckets, length), "bucket int, block int, keys binary")
     # Small packs would be put into few tasks by their bytes; the work on them is larger, so each bucket has its own.
     shared = asks.repartition(max(2, buckets), "bucket").groupBy("bucket").applyInArrow(_shared_anchors, "block int, keys binary")

@@ -146,6 +146,33 @@ def test_only_windows_whose_hash_comes_again_are_indexed():
     assert list(zip(first.tolist(), end.tolist())) == [(a[0], a[-1] + 1) if a else (0, 0) for a in again]
 
 
+def test_copies_in_a_block_send_no_segments():
+    rng = random.Random(7)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    rows = pa.table({"doc_id": pa.array([4, None, 2, 4, 9], pa.int64()), "tie": pa.array([1, 1, 1, 1, 2], pa.int64()), "text": [text] * 4 + ["short"], "block": pa.array([0] * 5, pa.int32())})
+    nothing = pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], ["block", "keys"])
+    assert repeats._sends(rows, nothing, 4, 100).num_rows == 0
+    for name in ("ranks", "starts", "low", "high"):
+        nothing = nothing.append_column(name, pa.array([], pa.binary()))
+    found = repeats._removes(rows, nothing, 100)
+    got = sorted(((r["doc_id"], len(r["spans"]), r["kept"]) for r in found.to_pylist()), key=repr)
+    assert got == sorted([(None, 0, text.encode()), (2, 1, b""), (4, 1, b""), (4, 1, b""), (9, 0, b"short")], key=repr)
+
+
+def test_frequent_and_rare_copies_over_several_blocks(frame):
+    rng = random.Random(15)
+    fresh = lambda n: "".join(rng.choice("abcdé fgh\\n") for _ in range(n))
+    rare, frequent = [fresh(rng.randint(80, 400)) for _ in range(30)], [fresh(900), fresh(99), ""]
+    texts = rare * 2 + frequent * 60 + [frequent[0][300:] + rare[3] + fresh(50), fresh(2_000)]
+    rng.shuffle(texts)
+    docs = frame(list(enumerate(texts)))
+    tied = docs.select(F.xxhash64("text").alias("tie"), "text")
+    size, heavy = repeats._sizes(tied, 20_000 // 16)
+    assert size == sum(len(t.encode()) for t in texts)
+    assert sorted(heavy) == sorted(r.tie for r in tied.distinct().collect() if r.text in frequent)
+    assert answers(repeats.deduplicated(docs, block_bytes=20_000, bucket_bytes=10_000)) == brute(list(enumerate(texts)))
+
+
 def test_an_empty_text_between_removed_ones_has_no_span(frame):
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefgh ") for _ in range(300))
